@@ -25,5 +25,6 @@ def hash_uniform(hex_digest: Column) -> Column:
 
 
 def tie_key(item: Column) -> Column:
-    """Order among rows with equal values: 64 bits of the item's hash."""
-    return F.substring(F.sha2(item.cast("string"), 256), 1, 16)
+    """Order among rows with equal values: 60 bits of the item's hash. A table has no row order to
+    fall back on, and a hash leaves no group of ties in one place."""
+    return hash_int(F.sha2(item.cast("string"), 256))

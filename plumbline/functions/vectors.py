@@ -36,8 +36,9 @@ def dot(a: Column, b: Column) -> Column:
     return vsum(F.zip_with(a, b, lambda x, y: x * y))
 
 
-def normalize(p: Column) -> Column:
+def normalize(p: Column | str) -> Column:
     """``p`` divided by its sum; an all-zero vector stays zero."""
+    p = F.col(p) if isinstance(p, str) else p
     return let(vsum(p), lambda s: F.when(s > 0, F.transform(p, lambda x: x / s)).otherwise(p))
 
 

@@ -116,9 +116,10 @@ def split_bin(rank: Column, size: Column, bins: int) -> Column:
 def equal_mass_bins(
     df: DataFrame, groups: Sequence[str], value: str, item: str, bins: int, bin_name: str = "bin"
 ) -> DataFrame:
-    """Rows with their equal-mass bin by ``value``; ties follow the hash of ``item``."""
+    """Rows (less ``item``) with their equal-mass bin by ``value``; ties follow the hash of
+    ``item``."""
     ranked = with_rank(
-        df.withColumn("_tie", tie_key(F.col(item))), groups, [value, "_tie", item], "_rank", "_size"
+        df.withColumn("_tie", tie_key(F.col(item))).drop(item), groups, [value, "_tie"], "_rank", "_size"
     )
     return ranked.withColumn(bin_name, split_bin(F.col("_rank"), F.col("_size"), bins)).drop(
         "_rank", "_size", "_tie"

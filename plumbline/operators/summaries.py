@@ -109,11 +109,11 @@ def weighted_ece(
     proportion, so no row is ever expanded.
     """
     rows = df.where(F.col(weight) > 0).select(
-        *groups, F.col(item).alias("_item"), tie_key(F.col(item)).alias("_tie"),
+        *groups, tie_key(F.col(item)).alias("_tie"),
         F.col(conf).alias("_conf"), as_double(correct).alias("_hit"),
         F.col(weight).cast("bigint").alias("_w"),
     )
-    placed = with_prefix_sums(rows, groups, ["_conf", "_tie", "_item"], ["_w"])
+    placed = with_prefix_sums(rows, groups, ["_conf", "_tie"], ["_w"])
     base, extra = F.floor(F.col("total__w") / bins), F.col("total__w") % bins
     edges = F.transform(
         F.sequence(F.lit(0), F.lit(bins - 1)),
