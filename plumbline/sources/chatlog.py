@@ -11,12 +11,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from plumbline.functions import vectors as V
 from plumbline.operators.logprobs import MASKED_LOGPROB, clean_logprob
 
-PAYLOAD_SCHEMA = T.StructType.fromDDL(
+PAYLOAD_SCHEMA = (
     "choices array<struct<finish_reason:string,message:struct<content:string>,logprobs:struct<content:array<"
     "struct<token:string,logprob:double,top_logprobs:array<struct<token:string,logprob:double>>>>>>>, "
     "usage struct<prompt_tokens:bigint,completion_tokens:bigint,"
@@ -60,9 +58,8 @@ def usage_rows(payloads: DataFrame, key: str = "request_id") -> DataFrame:
 VALUE_OPENING = r'\s*\{?\s*"?answer"?\s*:\s*"?'
 SAME_LOGPROB = 1e-3
 
-STRUCTURED_SCHEMA = T.StructType.fromDDL(
-    "request_id string, value string, logprob double, sampled boolean, failure string"
-)
+STRUCTURED_COLUMNS = ("request_id", "value", "logprob", "sampled", "failure")
+STRUCTURED_SCHEMA = "request_id string, value string, logprob double, sampled boolean, failure string"
 
 
 def _begins(piece: str, values: list[str]) -> str | None:
@@ -160,7 +157,7 @@ def structured_reads(payloads: DataFrame) -> DataFrame:
                 if failure is not None:
                     rows.append((request, None, None, None, failure))
                 rows += [(request, v, lp, v == generated, None) for v, lp in sorted(found.items())]
-            yield pd.DataFrame(rows, columns=STRUCTURED_SCHEMA.names)
+            yield pd.DataFrame(rows, columns=STRUCTURED_COLUMNS)
 
     return payloads.select("request_id", "payload", "values").mapInPandas(read, STRUCTURED_SCHEMA)
 
