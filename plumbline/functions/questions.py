@@ -300,3 +300,27 @@ def scheme_labels(scheme: Column, options: Column) -> Column:
         .when(scheme == "keys", keys_of(options))
         .otherwise(F.array(*[F.lit(x) for x in NOUL_LABELS]))
     )
+
+
+def random_orders(free: Column, n: int, *keys: Column | str) -> Column:
+    """The identity and up to ``n - 1`` distinct hashed shuffles of the free positions. More draws
+    are tried for few options, where shuffles repeat."""
+    from plumbline.functions.hashing import keyed_hash
+
+    slots = free_slots(free)
+    identity = F.transform(free, lambda f, i: i)
+
+    def shuffled(draw: Column) -> Column:
+        ranked = F.transform(
+            F.array_sort(F.transform(slots, lambda s: F.struct(keyed_hash(*keys, draw, s).alias("h"), s.alias("s")))),
+            lambda x: x["s"],
+        )
+        return F.transform(
+            free,
+            lambda f, i: F.when(f, F.get(ranked, (F.array_position(slots, i) - 1).cast("int"))).otherwise(i),
+        )
+
+    few = F.size(slots) <= 5  # up to 120 orders: repeats are likely
+    draws = F.when(few, F.lit(16 * n)).otherwise(F.lit(2 * n))
+    tried = F.transform(F.sequence(F.lit(1), draws), shuffled)
+    return F.slice(F.array_distinct(F.concat(F.array(identity), tried)), 1, n)

@@ -18,17 +18,14 @@ def write_records(latest: DataFrame, path: str) -> None:
     )
 
 
-def row_digest(df: DataFrame) -> Column:
-    """Hash of a row's canonical JSON."""
-    return F.sha2(F.to_json(F.struct(*df.columns)), 256)
-
-
 def table_digest(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """Order-independent digest per group: row hashes are summed per hash bucket in four 48-bit
+    """Order-independent digest per group: hashes of the rows' JSON are summed per hash bucket in four 48-bit
     lanes (a multiset hash that aggregates partially), and the bucket digests are hashed in
     bucket order."""
     groups = list(groups)
-    hashed = df.select(*groups, row_digest(df).alias("_h"))
+    hashed = df.select(
+        *groups, F.sha2(F.to_json(F.struct(*[c for c in df.columns if c not in groups])), 256).alias("_h")
+    )
     bucket = F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")
     lanes = [
         F.sum(F.conv(F.substring("_h", 4 + 12 * i, 12), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"_l{i}")
