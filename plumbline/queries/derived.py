@@ -136,7 +136,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~ok, F.lit("TimeoutError")).alias("error_type"),
         F.col("value").alias("latency_ms"),
         (F.col("event_type") == "view").alias("cached"),
-        F.when(F.col("event_type") == "view", 0.0).otherwise(F.col("value") * 1e-6).alias("cost_usd"),
+        F.when(F.col("event_type") == "view", 0.0).otherwise(F.col("value") * 1e-4).alias("cost_usd"),
         F.when(ok, F.ceil("value").cast("bigint")).alias("input_tokens"),
         F.when(ok, F.lit(1).cast("bigint")).alias("output_tokens"),
         F.when(ok, F.floor(F.col("value") / 3).cast("bigint")).alias("cached_tokens"),
@@ -309,7 +309,7 @@ SQL: dict[str, str] = {
          event_type <> 'error' AS ok,
          CASE WHEN event_type = 'error' THEN 'TimeoutError' END AS error_type, value AS latency_ms,
          event_type = 'view' AS cached,
-         CASE WHEN event_type = 'view' THEN 0.0 ELSE value * 1e-6 END::DOUBLE AS cost_usd,
+         CASE WHEN event_type = 'view' THEN 0.0 ELSE value * 1e-4 END::DOUBLE AS cost_usd,
          CASE WHEN event_type <> 'error' THEN ceil(value)::BIGINT END AS input_tokens,
          CASE WHEN event_type <> 'error' THEN 1::BIGINT END AS output_tokens,
          CASE WHEN event_type <> 'error' THEN floor(value / 3)::BIGINT END AS cached_tokens

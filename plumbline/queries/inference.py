@@ -1 +1,170 @@
-"""Queries."""
+"""Paired inference on hashed Poisson resamples."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.functions.scores import with_scores
+from plumbline.operators import alignment as A
+from plumbline.operators import bootstrap as B
+from plumbline.queries import derived as D
+from plumbline.queries.registry import n, query, r
+
+RESAMPLES = 200
+CLUSTER = ("benchmark", "question_id")
+_M = B.MODULUS
+_WEIGHT = "(" + " + ".join(f"(u >= {s})::INTEGER" for s in B.POISSON_STEPS) + ")"
+
+
+def resample_sql(source: str, groups: str, values: tuple[str, ...], resamples: int = RESAMPLES) -> str:
+    """(groups, r, w, s_*) of the same hashed Poisson resamples."""
+    sums = ", ".join(f"sum(({v})::DOUBLE) AS v{i}" for i, v in enumerate(values))
+    weighted = ", ".join(f"sum({_WEIGHT} * v{i}) AS s{i}" for i in range(len(values)))
+    return f"""SELECT {groups}, r, sum({_WEIGHT} * n) AS w, {weighted} FROM (
+      SELECT *, (a + r * b) % {_M} AS u FROM (
+        SELECT {groups}, count(*) AS n, {sums},
+          ('0x' || substr(sha256(concat_ws(chr(31), '0', benchmark, question_id)), 1, 15))::BIGINT % {_M} AS a,
+          ('0x' || substr(sha256(concat_ws(chr(31), '0', benchmark, question_id)), 16, 15))::BIGINT % {_M} AS b
+        FROM {source} GROUP BY {groups}, benchmark, question_id), (SELECT unnest(range(0, {resamples})) AS r)) GROUP BY {groups}, r"""
+
+
+def scored(spark, sf):
+    return with_scores(D.preds(spark, sf))
+
+
+_PAIRS = """pairs AS (SELECT a.benchmark, a.question_id, a.item_id, a.correct::INTEGER - b.correct::INTEGER AS d_accuracy, a.nll - b.nll AS d_nll, a.brier - b.brier AS d_brier,
+  a.correct AS correct_a, b.correct AS correct_b FROM scored_choice a JOIN scored_choice b ON a.item_id = b.item_id AND a.system = 'a' AND b.system = 'b')"""
+
+
+def pairs(spark, sf):
+    """Per-item differences of the two systems."""
+    p = A.pair_systems(scored(spark, sf), "a", "b", ["question_id", "correct", "nll", "brier"])
+    return p.select(
+        "benchmark", F.col("question_id_a").alias("question_id"), "item_id", "correct_a", "correct_b",
+        (F.col("correct_a").cast("int") - F.col("correct_b").cast("int")).alias("d_accuracy"),
+        (F.col("nll_a") - F.col("nll_b")).alias("d_nll"), (F.col("brier_a") - F.col("brier_b")).alias("d_brier"),
+    )
+
+
+VALUES = ("d_accuracy", "d_nll", "d_brier")
+
+
+@query(
+    "bootstrap_sums",
+    f"""SELECT system, benchmark, r::BIGINT AS r, {r('w', 'w')}, {r('s0', 's_correct')} FROM ({resample_sql('noul', 'system, benchmark', ('correct',), 40)})""".replace(
+        "FROM noul ", "FROM (SELECT *, probs[1 + gold_idx] >= 0.5 AND (gold_idx = 0 OR probs[1] < 0.5) AS correct FROM noul_preds) "
+    ),
+    ("noul_preds",),
+)
+def bootstrap_sums(spark, sf):
+    """Weighted sums of forty hashed resamples of line-item clusters."""
+    rows = with_scores(D.noul_preds(spark, sf))
+    return B.bootstrap_sums(rows, ["system", "benchmark"], CLUSTER, ["correct"], 40)
+
+
+@query(
+    "paired_bootstrap",
+    f"""WITH {_PAIRS}, b AS ({resample_sql('pairs', 'benchmark', VALUES)}), p AS (SELECT benchmark, count(*) AS n, avg(d_accuracy) AS d0, avg(d_nll) AS d1, avg(d_brier) AS d2 FROM pairs GROUP BY 1)
+    SELECT benchmark, {n('any_value(n)', 'n')}, {', '.join(r(f'any_value(d{i})', v) + ', ' + r(f'quantile_cont(s{i} / w, 0.025)', 'low_' + v) + ', ' + r(f'quantile_cont(s{i} / w, 0.975)', 'high_' + v) for i, v in enumerate(VALUES))}
+    FROM b JOIN p USING (benchmark) WHERE w > 0 GROUP BY 1""",
+    ("scored_choice",),
+)
+def paired_bootstrap(spark, sf):
+    """Paired cluster bootstrap intervals of three score differences per benchmark."""
+    return B.bootstrap_intervals(pairs(spark, sf), ["benchmark"], CLUSTER, VALUES, RESAMPLES)
+
+
+@query(
+    "macro_intervals",
+    f"""WITH b AS ({resample_sql('scored_choice', 'system, benchmark', ('correct', 'nll', 'brier'))}), m AS (SELECT system, r, avg(s0 / w) AS m0, avg(s1 / w) AS m1, avg(s2 / w) AS m2 FROM b GROUP BY 1, 2),
+    p AS (SELECT system, count(*) AS k, avg(c) AS p0, avg(l) AS p1, avg(q) AS p2 FROM (SELECT system, benchmark, avg(correct::INTEGER) AS c, avg(nll) AS l, avg(brier) AS q FROM scored_choice GROUP BY 1, 2) GROUP BY 1)
+    SELECT system, {n('any_value(k)', 'n_benchmarks')}, {', '.join(r(f'any_value(p{i})', v) + ', ' + r(f'quantile_cont(m{i}, 0.025)', 'low_' + v) + ', ' + r(f'quantile_cont(m{i}, 0.975)', 'high_' + v) for i, v in enumerate(('correct', 'nll', 'brier')))}
+    FROM m JOIN p USING (system) GROUP BY 1""",
+    ("scored_choice",),
+)
+def macro_intervals(spark, sf):
+    """Macro averages with stratified bootstrap intervals."""
+    return B.macro_intervals(scored(spark, sf), ["system"], CLUSTER, ["correct", "nll", "brier"], RESAMPLES)
+
+
+@query(
+    "subset_combined",
+    f"""WITH b AS ({resample_sql('scored_choice', 'system, benchmark', ('nll',))}), m AS (SELECT system, r, avg(s0 / w) AS m0 FROM b WHERE benchmark IN ('b0', 'b2') GROUP BY 1, 2)
+    SELECT system, {r('quantile_cont(m0, 0.025)', 'low_nll')}, {r('quantile_cont(m0, 0.975)', 'high_nll')} FROM m GROUP BY 1""",
+    ("scored_choice",),
+)
+def subset_combined(spark, sf):
+    """Replicates of two benchmarks combined."""
+    means = B.replicate_means(B.bootstrap_sums(scored(spark, sf), ["system", "benchmark"], CLUSTER, ["nll"], RESAMPLES), ["nll"])
+    macro = B.macro_replicates(means.where(F.col("benchmark").isin("b0", "b2")), ["system"], ["nll"])
+    return B.percentile_intervals(macro, ["system"], ["nll"])
+
+
+@query(
+    "replicate_deltas",
+    f"""WITH b AS ({resample_sql('scored_choice', 'system, benchmark', ('correct', 'nll'))}), d AS (
+      SELECT x.benchmark, x.s0 / x.w - y.s0 / y.w AS d0, x.s1 / x.w - y.s1 / y.w AS d1 FROM b x JOIN b y ON x.benchmark = y.benchmark AND x.r = y.r AND x.system = 'b' AND y.system = 'a')
+    SELECT benchmark, {r('quantile_cont(d0, 0.025)', 'low_correct')}, {r('quantile_cont(d0, 0.975)', 'high_correct')}, {r('quantile_cont(d1, 0.025)', 'low_nll')}, {r('quantile_cont(d1, 0.975)', 'high_nll')},
+      quantile_cont(d1, 0.025) > 0 OR quantile_cont(d1, 0.975) < 0 AS excludes_zero FROM d GROUP BY 1""",
+    ("scored_choice",),
+)
+def replicate_deltas(spark, sf):
+    """Deltas between two series on shared resamples."""
+    means = B.replicate_means(B.bootstrap_sums(scored(spark, sf), ["system", "benchmark"], CLUSTER, ["correct", "nll"], RESAMPLES), ["correct", "nll"])
+    deltas = B.replicate_deltas(means, ["benchmark"], "system", "a", ["correct", "nll"])
+    out = B.percentile_intervals(deltas, ["benchmark"], ["correct", "nll"])
+    return out.withColumn("excludes_zero", B.excludes_zero(F.col("low_nll"), F.col("high_nll")))
+
+
+@query(
+    "jackknife_acceleration",
+    f"""WITH c AS (SELECT system, benchmark, question_id, sum(correct::INTEGER)::DOUBLE AS s, count(*) AS n FROM scored_choice GROUP BY 1, 2, 3),
+    t AS (SELECT system, benchmark, sum(s) AS S_, sum(n) AS N_, count(*) AS k FROM c GROUP BY 1, 2),
+    j AS (SELECT c.system, c.benchmark, k, S_ / N_ AS est, (S_ - s) / (N_ - n) AS v FROM c JOIN t ON c.system = t.system AND c.benchmark = t.benchmark),
+    m AS (SELECT system, benchmark, k, est, v, avg(v) OVER (PARTITION BY system, benchmark) AS mv FROM j)
+    SELECT system, benchmark, {n('any_value(k)', 'n_clusters')}, {r('any_value(est)', 'estimate')}, {r('sum(power(mv - v, 3)) / (6 * power(sum(power(mv - v, 2)), 1.5))', 'acceleration')} FROM m GROUP BY 1, 2""",
+    ("scored_choice",),
+)
+def jackknife_acceleration(spark, sf):
+    return B.jackknife_moments(scored(spark, sf), ["system", "benchmark"], CLUSTER, "correct").select(
+        "system", "benchmark", "n_clusters", "estimate", "acceleration"
+    )
+
+
+@query("bca_intervals")
+def bca_intervals(spark, sf):
+    """Bias-corrected accelerated intervals of the accuracy per benchmark (normal quantiles are not
+    SQL, so rows only)."""
+    return B.bca_intervals(scored(spark, sf), ["system", "benchmark"], CLUSTER, "correct", 500, min_clusters=50)
+
+
+_LNFACT = "lgamma(x + 1)"
+
+
+@query(
+    "mcnemar_test",
+    f"""WITH {_PAIRS}, c AS (SELECT benchmark, count(*) FILTER (WHERE correct_a AND NOT correct_b) AS oa, count(*) FILTER (WHERE correct_b AND NOT correct_a) AS ob FROM pairs GROUP BY 1)
+    SELECT benchmark, {n('oa', 'only_a')}, {n('ob', 'only_b')}, {r("CASE WHEN oa + ob = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, least(oa, ob) + 1), lambda i: exp(lgamma(oa + ob + 1) - lgamma(i + 1) - lgamma(oa + ob - i + 1) - (oa + ob) * ln(2.0))))) END", 'p_value')} FROM c""",
+    ("scored_choice",),
+)
+def mcnemar_test(spark, sf):
+    return B.mcnemar(pairs(spark, sf), ["benchmark"], "correct_a", "correct_b")
+
+
+@query(
+    "group_influence",
+    f"""WITH {_PAIRS}, b AS (SELECT benchmark, avg(d_accuracy) AS d, count(*) AS n FROM pairs GROUP BY 1), m AS (SELECT avg(d) AS macro, avg(d) FILTER (WHERE benchmark <> 'b0') AS without_group,
+      sum(d) FILTER (WHERE benchmark = 'b0') / count(*) AS part, sum(d * n) / sum(n) AS item_weighted FROM b)
+    SELECT {r('macro', 'macro')}, {r('without_group', 'without_group')}, {r('part / nullif(macro, 0)', 'share')}, {r('item_weighted', 'item_weighted')} FROM m""",
+    ("scored_choice",),
+)
+def group_influence(spark, sf):
+    """How much of a macro difference rests on one benchmark: its share, the macro without it, and
+    the difference with every item weighing the same."""
+    per = pairs(spark, sf).groupBy("benchmark").agg(F.avg("d_accuracy").alias("d"), F.count(F.lit(1)).alias("n"))
+    mine = F.col("benchmark") == "b0"
+    return per.agg(
+        F.avg("d").alias("macro"), F.avg(F.when(~mine, F.col("d"))).alias("without_group"),
+        F.try_divide(F.sum(F.when(mine, F.col("d"))) / F.count(F.lit(1)), F.avg("d")).alias("share"),
+        (F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("item_weighted"),
+    )
