@@ -13,11 +13,13 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.hashing import hash_int, keyed_hash
+from plumbline.functions.hashing import hash_int, keyed_hash, tie_key
+from plumbline.operators.ranking import sorted_once
+from plumbline.session import checkpoint
 
 MODULUS = 2**31 - 1
 """Weights come from ``(a + r * b) mod MODULUS`` with ``a``, ``b`` hashed from the cluster:
@@ -320,3 +322,98 @@ def mcnemar(pairs: DataFrame, groups: Sequence[str], a: str, b: str) -> DataFram
         F.count_if(left & ~right).alias("only_a"), F.count_if(~left & right).alias("only_b")
     )
     return counts.withColumn("p_value", _mcnemar_p("only_a", "only_b"))
+
+
+# --- calibration error per replicate -----------------------------------------------------------------
+
+
+def ece_replicates(
+    df: DataFrame,
+    groups: Sequence[str],
+    cluster: Sequence[str],
+    n_resamples: int = DEFAULT_RESAMPLES,
+    bins: int = 10,
+    seed: int | str = 0,
+    conf: str = "confidence",
+    correct: str = "correct",
+    item: str = "item_id",
+) -> DataFrame:
+    """(groups, r, ece): equal-mass calibration error of every replicate's expanded sample.
+
+    Rows are range-sorted by confidence once for all replicates. Each range reports its weight per
+    replicate; running totals over the ranges place every item's copies among the bin edges, and a
+    range adds up its own share of each bin. Items are never expanded, and a task holds one range.
+    """
+    groups = list(groups)
+    rows = with_seeds(df, cluster, seed).select(
+        *groups, F.col(conf).alias("_conf"), F.col(correct).cast("double").alias("_hit"),
+        tie_key(F.col(item)).alias("_tie"), "_a", "_b",
+    )
+    placed = sorted_once(rows, [*groups, "_conf", "_tie"])
+    place = [*groups, "_part"]
+    key_fields = [placed.schema[c] for c in place]
+    weight_schema = T.StructType(
+        [*key_fields, T.StructField("r", T.IntegerType()), T.StructField("w", T.DoubleType())]
+    )
+    block = 64
+
+    def range_weights(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf["_a"].to_numpy(np.int64), pdf["_b"].to_numpy(np.int64)
+        w = np.empty(n_resamples)
+        for r in range(0, n_resamples, block):
+            size = min(block, n_resamples - r)
+            w[r : r + size] = replicate_weights(a, b, r, size).sum(axis=1)
+        out = pd.DataFrame({"r": np.arange(n_resamples, dtype=np.int32), "w": w})
+        for i, (name, value) in enumerate(zip(place, key, strict=True)):
+            out.insert(i, name, value)
+        return out
+
+    weights = placed.groupBy(*place).applyInPandas(range_weights, weight_schema)
+    earlier = Window.partitionBy(*groups, "r").orderBy("_part")  # one row per range
+    offsets = checkpoint(
+        weights.withColumns(
+            {
+                "before": F.coalesce(
+                    F.sum("w").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)
+                ),
+                "total": F.sum("w").over(Window.partitionBy(*groups, "r")),
+            }
+        ).drop("w")
+    )
+    sums_schema = T.StructType(
+        [placed.schema[c] for c in groups]
+        + [T.StructField("r", T.IntegerType()), T.StructField("bin", T.IntegerType())]
+        + [T.StructField(c, T.DoubleType()) for c in ("c", "h", "w")]
+    )
+
+    def range_bins(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values("_pos"), right.sort_values("r")
+        a, b = left["_a"].to_numpy(np.int64), left["_b"].to_numpy(np.int64)
+        value = np.stack([left["_conf"].to_numpy(), left["_hit"].to_numpy(), np.ones(len(left))])
+        before, total = right["before"].to_numpy(), right["total"].to_numpy()
+        parts = []
+        for r in range(0, n_resamples, block):
+            size = min(block, n_resamples - r)
+            w = replicate_weights(a, b, r, size)
+            end = before[r : r + size, None] + np.cumsum(w, axis=1)
+            start = end - w
+            base, extra = np.divmod(total[r : r + size], bins)
+            for k in range(bins):
+                low = base * k + np.minimum(k, extra)
+                high = base * (k + 1) + np.minimum(k + 1, extra)
+                share = np.clip(np.minimum(end, high[:, None]) - np.maximum(start, low[:, None]), 0.0, None)
+                c, h, n = (share @ v for v in value)
+                used = n > 0
+                parts.append(
+                    pd.DataFrame(
+                        {"r": (r + np.flatnonzero(used)).astype(np.int32), "bin": np.int32(k), "c": c[used], "h": h[used], "w": n[used]}
+                    )
+                )
+        out = pd.concat(parts)
+        for i, (name, v) in enumerate(zip(groups, key, strict=False)):
+            out.insert(i, name, v)
+        return out
+
+    partial_bins = placed.groupBy(*place).cogroup(offsets.groupBy(*place)).applyInPandas(range_bins, sums_schema)
+    per_bin = partial_bins.groupBy(*groups, "r", "bin").agg(*[F.sum(x).alias(x) for x in ("c", "h", "w")])
+    return per_bin.groupBy(*groups, "r").agg((F.sum(F.abs(F.col("h") - F.col("c"))) / F.sum("w")).alias("ece"))

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from plumbline.functions import vectors as V
 from plumbline.functions.hashing import keyed_hash
 from plumbline.operators.ranking import with_prefix_sums, with_rank
-from plumbline.session import broadcast_if_small, cached, checkpoint
+from plumbline.session import BROADCAST_ROWS, broadcast_if_small, cached, checkpoint
 
 T_MIN, T_MAX = 1e-3, 1e3
 VECTOR_L2 = 1e-3
@@ -27,6 +27,8 @@ HISTOGRAM_BINS = 10
 DEFAULT_FOLDS = 5
 MIN_GROUP = 30
 """Groups with fewer training rows use the global temperature of their fold."""
+NEWTON_TOLERANCE = 1e-6
+"""A Newton step this small leaves an error of about its square."""
 ALL_ROWS = -1
 """Target of a fit that holds nothing out."""
 
@@ -76,10 +78,12 @@ def _iterate(
     tolerance: float,
 ) -> DataFrame:
     """Advance ``state`` (one row per fit, with a ``moved`` column) until no fit moves."""
-    state = checkpoint(state)
+    state, few = checkpoint(state), None
     for _ in range(max_iterations):
-        state = checkpoint(step(rows.join(broadcast_if_small(state), list(on))))
-        moved = state.agg(F.max("moved")).first()[0]
+        hinted = broadcast_if_small(state) if few is None else (F.broadcast(state) if few else state)
+        state = checkpoint(step(rows.join(hinted, list(on))))
+        size, moved = state.agg(F.count(F.lit(1)), F.max("moved")).first()
+        few = size <= BROADCAST_ROWS
         if moved is None or moved < tolerance:
             break
     return state
@@ -143,7 +147,7 @@ def fit_temperature(
             .select(*on, "n_train", F.col("_next").alias("beta"), "low", "high", "moved")
         )
 
-    state = _iterate(training, start, on, step, 40, 1e-9)
+    state = _iterate(training, start, on, step, 40, NEWTON_TOLERANCE)
     training.unpersist()
     return state.select(*on, "n_train", (1.0 / F.col("beta")).alias("temperature"))
 
@@ -215,7 +219,7 @@ def fit_platt(rows: DataFrame, keys: Sequence[str], n_folds: int | None = DEFAUL
             F.greatest(F.abs("_da"), F.abs("_db")).alias("moved"),
         )
 
-    state = _iterate(training, start, on, step, 40, 1e-9)
+    state = _iterate(training, start, on, step, 40, NEWTON_TOLERANCE)
     training.unpersist()
     return state.select(*on, "n_train", "a", "b")
 
@@ -317,7 +321,7 @@ def fit_vector(
         step.state = state
         state = checkpoint(step(training.join(broadcast_if_small(state), on)))
         moved = state.agg(F.max("moved")).first()[0]
-        if moved is None or moved < 1e-8:
+        if moved is None or moved < NEWTON_TOLERANCE:
             break
     training.unpersist()
     bias = F.slice("theta", F.lit(2), F.size("theta") - 1)

@@ -148,12 +148,18 @@ def crossfit(
     logits = items.withColumn("z", V.centered(V.probs_to_logits(F.col("probs"), floor)))
     carried = [*keys, "benchmark", "item_id", "question_id", "gold_idx"]
     parsed = [Arm.parse(a) for a in arms]
-    needs_fallback = any(a.name != "identity" for a in parsed)
-    overall = None
-    if needs_fallback:
-        rows = logits.select(*keys, F.lit("all").alias("grp"), "fold", "z", "gold_idx")
-        overall = C.fit_temperature(rows, [*keys, "grp"], n_folds)
-        fallback = overall.select(*keys, F.col("target").alias("fold"), F.col("temperature").alias("_t_all"))
+    scopes = {"global"} | {a.scope for a in parsed if a.name == "temperature"}
+    temperatures = None
+    if any(a.name != "identity" for a in parsed):
+        # One fit loop serves every temperature arm and the fallback.
+        scoped = F.array(
+            *[F.struct(F.lit(s).alias("scope"), Arm("temperature", s).group().alias("grp")) for s in sorted(scopes)]
+        )
+        rows = logits.select(*keys, "fold", "z", "gold_idx", F.inline(scoped))
+        temperatures = C.fit_temperature(rows, [*keys, "scope", "grp"], n_folds)
+        fallback = temperatures.where("scope = 'global'").select(
+            *keys, F.col("target").alias("fold"), F.col("temperature").alias("_t_all")
+        )
     outputs, fits_out = [], []
     for arm in parsed:
         calibrator = CALIBRATORS[arm.name]
@@ -163,8 +169,8 @@ def crossfit(
         else:
             rows = grouped.select(*keys, "grp", "fold", "z", "gold_idx")
             on = [*keys, "grp"]
-            if arm.label == "temperature@global":
-                fits = overall
+            if arm.name == "temperature":
+                fits = temperatures.where(F.col("scope") == arm.scope).drop("scope")
             else:
                 fits = calibrator.fit(rows, on, n_folds)
             usable = fits.where(F.col("n_train") >= min_group)

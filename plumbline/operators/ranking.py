@@ -17,7 +17,7 @@ from plumbline.functions.hashing import tie_key
 from plumbline.session import broadcast_if_small, cached, checkpoint
 
 
-def _sorted_once(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def sorted_once(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``df`` range-partitioned and sorted on ``keys``, with its partition number and position
     fixed by a checkpoint."""
     return checkpoint(
@@ -52,7 +52,7 @@ def with_rank(
     groups = list(groups)
     if not groups:
         return with_rank(df.withColumn("_all", F.lit(1)), ["_all"], order, rank, size).drop("_all")
-    placed = _sorted_once(df, [*groups, *order])
+    placed = sorted_once(df, [*groups, *order])
     runs = cached(
         placed.groupBy(*groups, "_part").agg(
             F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first")
@@ -80,7 +80,7 @@ def with_prefix_sums(
     """``df`` with, for each value column v, ``cum_v`` (inclusive running sum in order) and
     ``total_v`` (group sum)."""
     groups = list(groups)
-    placed = _sorted_once(df, [*groups, *order])
+    placed = sorted_once(df, [*groups, *order])
     runs = cached(
         placed.groupBy(*groups, "_part").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
     )

@@ -1 +1,251 @@
-"""Queries."""
+"""Calibrator fits, cross-fitting, registries and confidence fits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.functions import vectors as V
+from plumbline.functions.scores import with_item_metrics
+from plumbline.operators import calibration as C
+from plumbline.operators import crossfit as X
+from plumbline.operators import summaries as S
+from plumbline.operators.confidence_fit import fit_power
+from plumbline.queries import derived as D
+from plumbline.queries.registry import n, query, r
+from plumbline.queries.scoring import normalised
+from plumbline.queries.summaries import ece_sql
+
+
+def cal_items(spark, sf):
+    """Normalised answers with a signature and a fold per question."""
+    return normalised(spark, sf).withColumns(
+        {
+            "fold": (F.col("question_id").cast("bigint") % 5).cast("int"),
+            "signature": F.concat(F.lit("choice:10:"), (F.col("item_id").cast("bigint") % 2).cast("string")),
+        }
+    )
+
+
+def rows(spark, sf):
+    return C.training_rows(cal_items(spark, sf), ["system"])
+
+
+_CAL = """cal AS (SELECT system, item_id, gold_idx, question_id::BIGINT % 5 AS fold, list_transform(probs, lambda x: ln(greatest(1e-4, least(1.0, x)))) AS z FROM metrics),
+train AS (SELECT c.*, f AS target FROM cal c, (SELECT unnest(range(0, 5)) AS f) WHERE fold <> f)"""
+
+
+def _level(k: int, centre: str, step: float) -> str:
+    """One round of a log-temperature grid around the previous best."""
+    grid = f"(SELECT unnest(range(-30, 31)) AS i)"
+    return f"""l{k} AS (SELECT system, target, arg_min(g, (loss, g)) AS g FROM (
+      SELECT system, target, g, avg(ln(list_reduce(list_transform(z, lambda x: exp(x / exp(g))), lambda a, y: a + y)) - z[gold_idx + 1] / exp(g)) AS loss FROM (
+        SELECT t.system, t.target, t.z, t.gold_idx, {centre} + i * {step} AS g FROM {'train t' if k == 1 else f'train t JOIN l{k - 1} USING (system, target)'}, {grid}) GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+
+_TEMPERATURE = ", ".join([_level(1, "0.0", 0.08), _level(2, "g", 0.003), _level(3, "g", 0.0001), _level(4, "g", 0.000004)])
+
+
+@query(
+    "temperature_fits",
+    f"WITH {_CAL}, {_TEMPERATURE} SELECT system, {n('target', 'target')}, round(exp(g), 3) + 0.0::DOUBLE AS temperature, {n('(SELECT count(*) FROM train t WHERE t.system = l4.system AND t.target = l4.target)', 'n_train')} FROM l4", ("metrics",),
+)
+def temperature_fits(spark, sf):
+    """Out-of-fold temperatures (three decimals) of every system and held-out fold."""
+    fits = C.fit_temperature(rows(spark, sf), ["system"])
+    return fits.select("system", "target", F.round("temperature", 3).alias("temperature"), "n_train")
+
+
+@query(
+    "temperature_summary",
+    f"WITH {_CAL}, {_TEMPERATURE} SELECT system, {n('count(*)', 'n_folds')}, round(avg(exp(g)), 2) + 0.0::DOUBLE AS mean_temperature, round(min(exp(g)), 2) + 0.0::DOUBLE AS min_temperature, round(max(exp(g)), 2) + 0.0::DOUBLE AS max_temperature FROM l4 GROUP BY 1", ("metrics",),
+)
+def temperature_summary(spark, sf):
+    """Mean and range of the fitted temperatures over folds."""
+    fits = C.fit_temperature(rows(spark, sf), ["system"]).withColumn("fallback", F.col("n_train") < C.MIN_GROUP)
+    out = S.parameter_summary(fits, ["system"])
+    return out.select("system", "n_folds", *[F.round(c, 2).alias(c) for c in out.columns if c.endswith("temperature")])
+
+
+_TOP = """top AS (SELECT system, fold, exp(list_max(z)) / total AS conf, (list_position(z, list_max(z)) - 1 = gold_idx)::INTEGER AS hit FROM (
+  SELECT *, list_reduce(list_transform(z, lambda x: exp(x)), lambda a, y: a + y) AS total FROM cal)), tt AS (SELECT system, round(conf, 9) AS conf, hit, f AS target FROM top, (SELECT unnest(range(0, 5)) AS f) WHERE fold <> f)"""
+
+
+def top_rows(spark, sf):
+    """Logits whose top probability is rounded to nine decimals (equal on both engines)."""
+    p = V.softmax(V.probs_to_logits(F.col("probs")))
+    conf = F.round(F.array_max(p), 9)
+    items = cal_items(spark, sf)
+    hit = V.argmax(F.col("probs")) == F.col("gold_idx")
+    return items.select(
+        "system", "fold", F.array(F.ln(conf), F.ln(1.0 - conf)).alias("z"), F.when(hit, 0).otherwise(1).alias("gold_idx"), conf.alias("conf")
+    )
+
+
+@query(
+    "histogram_fits",
+    f"""WITH {_CAL}, {_TOP}, e AS (SELECT system, target, unnest([{', '.join(f'quantile_disc(conf, {j / 10})' for j in range(1, 10))}]) AS edge, max(conf) AS top_ FROM tt GROUP BY 1, 2),
+    ed AS (SELECT system, target, list_sort(list(DISTINCT edge)) AS edges FROM e WHERE edge < top_ GROUP BY 1, 2),
+    b AS (SELECT system, target, len(list_filter(edges, lambda x: x < conf)) AS bin, hit, edges FROM tt JOIN ed USING (system, target))
+    SELECT system, {n('target', 'target')}, bin::BIGINT AS bin, {r('avg(hit)', 'value')}, {r('any_value(edges)[bin]', 'lower_edge')} FROM b GROUP BY system, target, bin""",
+    ("metrics",),
+)
+def histogram_fits(spark, sf):
+    """Out-of-fold histogram calibrators: bin edges and accuracies."""
+    two = _two_way(spark, sf)
+    fits = C.fit_histogram(two, ["system"])
+    bins = fits.select("system", "target", "edges", F.posexplode("values").alias("bin", "value"))
+    return bins.select("system", "target", "bin", "value", F.when(F.col("bin") > 0, F.get("edges", F.col("bin") - 1)).alias("lower_edge"))
+
+
+def _two_way(spark, sf):
+    """Rows for the top-probability calibrators: a vector whose top entry is the rounded top
+    probability, gold 0 when the top key was right."""
+    items = top_rows(spark, sf)
+    # Five equal other entries keep the top entry on top whatever the confidence.
+    rest = F.array_repeat(F.ln((1.0 - F.col("conf")) / 50.0), F.lit(50))
+    return items.select("system", "fold", F.concat(F.array(F.ln("conf")), rest).alias("z"), "gold_idx")
+
+
+_ISO = """d AS (SELECT system, target, round(conf, 6) AS conf, sum(hit)::DOUBLE AS h, count(*)::DOUBLE AS w FROM tt GROUP BY 1, 2, 3),
+i AS (SELECT *, row_number() OVER (PARTITION BY system, target ORDER BY conf) AS k, sum(h) OVER q AS ch, sum(w) OVER q AS cw FROM d WINDOW q AS (PARTITION BY system, target ORDER BY conf ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT a.system, a.target, a.k AS j, b.k AS k, (b.ch - a.ch + a.h) / (b.cw - a.cw + a.w) AS m FROM i a JOIN i b ON a.system = b.system AND a.target = b.target AND a.k <= b.k),
+lo AS (SELECT system, target, j, k, min(m) OVER (PARTITION BY system, target, j ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS m FROM p),
+fit AS (SELECT system, target, k, max(m) AS v FROM lo GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "isotonic_fits",
+    f"""WITH {_CAL}, {_TOP}, {_ISO} SELECT f.system, {n('f.target', 'target')}, {r('min(conf)', 'low')}, {r('max(conf)', 'high')}, {r('v', 'value')}, {r('sum(w)', 'weight')} FROM fit f JOIN i ON i.system = f.system AND i.target = f.target AND i.k = f.k GROUP BY f.system, f.target, round(v, 12), v""",
+    ("metrics",),
+)
+def isotonic_fits(spark, sf):
+    """Out-of-fold isotonic fits: stretches of constant accuracy over the top probability."""
+    items = top_rows(spark, sf).withColumn("conf", F.round("conf", 6))
+    rest = F.array_repeat(F.ln((1.0 - F.col("conf")) / 50.0), F.lit(50))
+    two = items.select("system", "fold", F.concat(F.array(F.ln("conf")), rest).alias("z"), "gold_idx")
+    return C.fit_isotonic(two, ["system"])
+
+
+@query("platt_fits")
+def platt_fits(spark, sf):
+    """Out-of-fold Platt parameters (iterative, rows only)."""
+    return C.fit_platt(rows(spark, sf), ["system"])
+
+
+@query("vector_fits")
+def vector_fits(spark, sf):
+    """Out-of-fold vector scaling (iterative, rows only)."""
+    fits = C.fit_vector(rows(spark, sf), ["system"])
+    return fits.select("system", "target", "temperature", F.posexplode("bias").alias("pos", "bias"))
+
+
+@query(
+    "crossfit_temperature_arm",
+    f"""WITH {_CAL}, {_TEMPERATURE}, t AS (SELECT system, target AS fold, round(exp(g), 3) AS t FROM l4),
+    p AS (SELECT c.system, c.item_id, c.gold_idx, list_transform(z, lambda x: exp(x / t)) AS e FROM cal c JOIN t USING (system, fold))
+    SELECT system, {n('count(*)', 'n')}, round(avg(-ln(e[gold_idx + 1] / list_reduce(e, lambda a, y: a + y))), 5) + 0.0::DOUBLE AS nll FROM p GROUP BY 1""",
+    ("metrics",),
+)
+def crossfit_temperature_arm(spark, sf):
+    """Log loss of every system calibrated out of fold by temperature (five decimals; temperatures
+    enter with three)."""
+    fits = C.fit_temperature(rows(spark, sf), ["system"]).select("system", F.col("target").alias("fold"), F.round("temperature", 3).alias("t"))
+    z = V.probs_to_logits(F.col("probs"))
+    applied = cal_items(spark, sf).join(fits, ["system", "fold"]).withColumn(
+        "lp", V.log_softmax(F.transform(z, lambda x: x / F.col("t")))
+    )
+    return applied.groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(-F.get("lp", F.col("gold_idx"))), 5).alias("nll"))
+
+
+@query(
+    "identity_arm",
+    f"""WITH c AS (SELECT system, benchmark, item_id, gold_idx, list_transform(probs, lambda x: greatest(1e-4, least(1.0, x))) AS q FROM metrics),
+    m AS (SELECT *, list_transform(q, lambda x: x / list_reduce(q, lambda a, y: a + y)) AS probs FROM c), s AS (
+      SELECT system, benchmark, item_id, list_max(probs) AS confidence, list_position(probs, list_max(probs)) - 1 = gold_idx AS correct, -ln(probs[gold_idx + 1]) AS nll FROM m)
+    SELECT system, benchmark, {r('any_value(ece)', 'ece')}, {r('avg(nll)', 'nll')} FROM s JOIN ({ece_sql('s')}) USING (system, benchmark) GROUP BY 1, 2""",
+    ("metrics",),
+)
+def identity_arm(spark, sf):
+    """The uncalibrated arm: floored probabilities renormalised."""
+    predictions, _ = X.crossfit(cal_items(spark, sf), ["identity@global"])
+    m = with_item_metrics(predictions)
+    return m.groupBy("system", "benchmark").agg(F.avg("nll").alias("nll")).join(S.ece_equal_mass(m, ["system", "benchmark"]), ["system", "benchmark"])
+
+
+@query("crossfit_arms")
+def crossfit_arms(spark, sf):
+    """Every default calibrator arm out of fold: accuracy, log loss and Brier per system and arm
+    (iterative fits, rows only)."""
+    predictions, _ = X.crossfit(cal_items(spark, sf))
+    m = with_item_metrics(predictions)
+    return m.groupBy("system", "arm").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(S.as_double("correct")).alias("accuracy"), F.avg("nll").alias("nll"), F.avg("brier").alias("brier")
+    )
+
+
+@query(
+    "fit_records",
+    f"""WITH c AS (SELECT system, benchmark AS grp, question_id::BIGINT % 5 AS fold FROM metrics WHERE benchmark <> 'b3' OR item_id::BIGINT % 8 = 6)
+    SELECT system, 'temperature@benchmark' AS arm, grp, {n('target', 'target')}, {n('count(*) FILTER (WHERE fold <> target)', 'n_train')}, count(*) FILTER (WHERE fold <> target) < 70 AS fallback FROM c, (SELECT unnest(range(0, 5)) AS target)
+    GROUP BY 1, 3, 4 HAVING count(*) FILTER (WHERE fold = target) > 0""",
+    ("metrics",),
+)
+def fit_records(spark, sf):
+    """Which fits had enough rows and which fell back to the fold's global temperature."""
+    items = cal_items(spark, sf).where((F.col("benchmark") != "b3") | (F.col("item_id").cast("bigint") % 8 == 6))
+    _, fits = X.crossfit(items, ["temperature@benchmark"], min_group=70)
+    return fits.select("system", "arm", "grp", "target", "n_train", "fallback")
+
+
+@query(
+    "registry_resolution",
+    f"""WITH req AS (SELECT conv_id, turn, role AS backend, 'm' || conv_id % 3 AS model, 't' || turn % 2 AS template_id, 's' || conv_id % 5 AS signature FROM conversations),
+    ex AS (SELECT DISTINCT backend, model, template_id, signature, 1 + right(signature, 1)::DOUBLE / 10 AS t FROM req WHERE signature IN ('s0', 's1')),
+    fb AS (SELECT DISTINCT model, template_id, 2 + right(model, 1)::DOUBLE / 10 AS t FROM req WHERE model <> 'm2')
+    SELECT conv_id, turn, {r('coalesce(ex.t, fb.t, 1)', 'temperature')}, CASE WHEN ex.t IS NOT NULL THEN 'exact' WHEN fb.t IS NOT NULL THEN 'temperature_fallback' ELSE 'identity' END AS source
+    FROM req LEFT JOIN ex USING (backend, model, template_id, signature) LEFT JOIN fb ON fb.model = req.model AND fb.template_id = req.template_id""",
+)
+def registry_resolution(spark, sf):
+    """Parameters found by exact key, by model and template, or not at all."""
+    c = D.table(spark, sf, "conversations")
+    req = c.select(
+        "conv_id", "turn", F.col("role").alias("backend"), F.concat(F.lit("m"), (F.col("conv_id") % 3).cast("string")).alias("model"),
+        F.concat(F.lit("t"), (F.col("turn") % 2).cast("string")).alias("template_id"), F.concat(F.lit("s"), (F.col("conv_id") % 5).cast("string")).alias("signature"),
+    )
+    last = lambda c: F.substring(c, 2, 1).cast("double") / 10
+    exact = req.where(F.col("signature").isin("s0", "s1")).select(
+        "backend", "model", "template_id", "signature", (1 + last("signature")).alias("temperature")
+    ).distinct()
+    general = req.where("model <> 'm2'").select("model", "template_id", (2 + last("model")).alias("temperature")).distinct()
+    return X.resolve_temperature(req, exact, general).select("conv_id", "turn", "temperature", "source")
+
+
+@query(
+    "deployment_registry",
+    f"SELECT 'choice:10:' || (item_id::BIGINT % 2) AS signature, {n('count(*)', 'n_train')} FROM metrics WHERE system = 'a' GROUP BY 1 HAVING count(*) >= 30", ("metrics",),
+)
+def deployment_registry(spark, sf):
+    """Signatures with enough items for a calibrator of their own."""
+    exact, _ = X.fit_registry(cal_items(spark, sf).where("system = 'a'"), "api", "m", "t")
+    return exact.select("signature", "n_train")
+
+
+def _power_level(k: int, step: float) -> str:
+    src = "s" if k == 1 else f"s JOIN g{k - 1} USING (kind)"
+    centre = "0.0" if k == 1 else "g"
+    return f"""g{k} AS (SELECT kind, arg_min(g, (loss, g)) AS g FROM (SELECT kind, g, avg(power(power(x, exp(g)) - y, 2)) AS loss FROM (
+      SELECT kind, x, y, greatest(ln(0.2), least(ln(5.0), {centre} + i * {step})) AS g FROM {src}, (SELECT unnest(range(-30, 31)) AS i)) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(
+    "confidence_power_fit",
+    f"""WITH s AS (SELECT qtype AS kind, list_max(probs) / list_reduce(probs, lambda a, y: a + y) AS x, power(list_max(probs), 0.7 + 0.1 * (item_id::BIGINT % 5)) AS y FROM all_preds WHERE qtype <> 'noul'),
+    {_power_level(1, 0.054)}, {_power_level(2, 0.002)}, {_power_level(3, 0.0001)} SELECT kind, round(exp(g), 2) + 0.0::DOUBLE AS gamma FROM g3""",
+    ("all_preds",),
+)
+def confidence_power_fit(spark, sf):
+    """The exponent that best maps the top probability to a reported confidence, per kind."""
+    p = D.all_preds(spark, sf).where("qtype <> 'noul'")
+    reported = F.pow(F.array_max("probs"), 0.7 + 0.1 * (F.col("item_id").cast("bigint") % 5))
+    samples = p.select(F.col("qtype").alias("kind"), V.normalize("probs").alias("probs"), reported.alias("reported"))
+    return fit_power(samples, "max_prob").select("kind", F.round("gamma", 2).alias("gamma"))

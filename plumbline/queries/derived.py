@@ -208,7 +208,7 @@ def presentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         shown.withColumn("order", order)
-        .withColumn("shown_probs", _rounded(V.normalize(weighted)))
+        .withColumn("shown_probs", V.normalize(weighted))
         .select(
             "benchmark", "item_id", "question_id", "stratum", "gold_idx", "shift", "order",
             "shown_probs",
@@ -344,7 +344,7 @@ SQL: dict[str, str] = {
 """,
     "presentations": """
   SELECT benchmark, item_id, question_id, stratum, gold_idx, shift, ord,
-         list_transform(w, lambda x: round(x / list_reduce(w, lambda a, y: a + y), 6)) AS shown_probs,
+         list_transform(w, lambda x: x / list_reduce(w, lambda a, y: a + y)) AS shown_probs,
          'choice:10:' || (item_id::BIGINT % 2) AS prior_key
   FROM (
     SELECT *, list_transform(range(0, 10), lambda i: greatest(probs[1 + ord[i + 1]], 1e-6)

@@ -168,3 +168,17 @@ def group_influence(spark, sf):
         F.try_divide(F.sum(F.when(mine, F.col("d"))) / F.count(F.lit(1)), F.avg("d")).alias("share"),
         (F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("item_weighted"),
     )
+
+
+@query(
+    "ece_replicates",
+    f"""WITH c AS (SELECT *, ('0x' || substr(sha256(concat_ws(chr(31), '0', benchmark, question_id)), 1, 15))::BIGINT % {_M} AS a, ('0x' || substr(sha256(concat_ws(chr(31), '0', benchmark, question_id)), 16, 15))::BIGINT % {_M} AS b FROM scored_choice),
+    u AS (SELECT system, benchmark, item_id, confidence, correct, r, (a + r * b) % {_M} AS u FROM c, (SELECT unnest(range(0, 30)) AS r)),
+    e AS (SELECT system, benchmark, item_id, confidence, correct, r, unnest(range(0, {_WEIGHT})) AS copy FROM u),
+    t AS (SELECT *, ntile(10) OVER (PARTITION BY system, benchmark, r ORDER BY confidence, ('0x' || substr(sha256(item_id), 1, 15))::BIGINT, copy) AS bin FROM e)
+    SELECT system, benchmark, {n('r', 'r')}, {r('sum(abs(h - c)) / sum(k)', 'ece')} FROM (SELECT system, benchmark, r, bin, sum(confidence) AS c, sum(correct::INTEGER) AS h, count(*) AS k FROM t GROUP BY 1, 2, 3, 4) GROUP BY system, benchmark, r""",
+    ("scored_choice",),
+)
+def ece_replicates(spark, sf):
+    """Calibration error of thirty hashed resamples, on the same resamples as the other metrics."""
+    return B.ece_replicates(scored(spark, sf), ["system", "benchmark"], CLUSTER, 30)
