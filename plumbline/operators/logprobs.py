@@ -24,9 +24,10 @@ DECORATIONS = "*()[].:_`'\"- \n\t"
 
 
 def log_sum(values: str | Column) -> Column:
-    """Aggregate: ``ln(sum(exp(values)))``, shifted by a partial maximum within each task's sums
-    (logprobs are at most 0, so the shift is not needed for range)."""
-    return F.ln(F.sum(F.exp(values)))
+    """Aggregate: ``ln(sum(exp(values)))``, ``-Infinity`` when every value is (logprobs are at most
+    0, so no shift is needed for range)."""
+    total = F.sum(F.exp(values))
+    return F.when(total > 0, F.ln(total)).when(total == 0, F.lit(V.NEG_INF))
 
 
 def label_dimension(spark: SparkSession, scheme: str, n_labels: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("scoring", "summaries", "items", "records_area", "costs_area", "inference", "calibration_area", "debiasing", "logprob_area", "rankings", "streams")
+AREAS = ("scoring", "summaries", "items", "records_area", "costs_area", "inference", "calibration_area", "debiasing", "logprob_area", "rankings", "streams", "studies")
 
 
 def _load() -> None:
