@@ -69,31 +69,39 @@ def bootstrap_sums(
 ) -> DataFrame:
     """(groups, r) -> weighted sums ``s_<value>`` and weighted size ``w`` of every replicate.
 
-    Rows are first added up per cluster (the columns ``n`` and one sum per value). Weights depend on
-    ``cluster`` only, so groups listing the same clusters (systems, arms) are paired.
+    Rows are first added up per cluster. Weights depend on ``cluster`` only, so the series of a
+    cluster (group columns that are not part of it: systems, arms) are packed side by side and one
+    draw of weights serves them all.
     """
-    groups, values = list(groups), list(values)
+    groups, values, cluster = list(groups), list(values), list(cluster)
+    series = [g for g in groups if g not in cluster]
+    shared = [g for g in groups if g in cluster]
+    columns = ["w", *[f"s_{v}" for v in values]]
     sums = [F.sum(F.col(v).cast("double")).alias(f"s_{v}") for v in values]
     keys = list(dict.fromkeys([*groups, *cluster]))
-    per_cluster = with_seeds(
-        df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("w"), *sums), cluster, seed
-    ).select(*groups, "_a", "_b", "w", *[f"s_{v}" for v in values])
-    columns = ["w", *[f"s_{v}" for v in values]]
+    per_cluster = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("w"), *sums)
+    name = F.to_json(F.struct(*series)) if series else F.lit("{}")
+    entry = F.struct(name.alias("name"), F.array(*columns).alias("v"))
+    # One entry per series of a cluster.
+    packed = per_cluster.groupBy(*cluster).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
+    packed = with_seeds(packed, cluster, seed).select(
+        *shared, "_a", "_b",
+        F.array_join(F.transform("_e", lambda e: e["name"]), "\n").alias("_series"),
+        F.flatten(F.transform("_e", lambda e: e["v"])).alias("_x"),
+    )
     schema = T.StructType(
-        [per_cluster.schema[g] for g in groups]
-        + [T.StructField("r", T.IntegerType())]
+        [packed.schema[g] for g in shared]
+        + [T.StructField("_name", T.StringType()), T.StructField("r", T.IntegerType())]
         + [T.StructField(c, T.DoubleType()) for c in columns]
     )
-    block_rows, block_reps = 2048, 128
+    block_rows, block_reps, width = 2048, 128, len(columns)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[tuple, np.ndarray] = {}
         for pdf in batches:
-            parts = pdf.groupby(groups, sort=False, dropna=False) if groups else [((), pdf)]
-            for key, part in parts:
-                key = key if isinstance(key, tuple) else (key,)
-                acc = totals.setdefault(key, np.zeros((n_resamples, len(columns))))
-                x = part[columns].to_numpy(np.float64)
+            for key, part in pdf.groupby([*shared, "_series"], sort=False, dropna=False):
+                x = np.stack(part["_x"].to_numpy())
+                acc = totals.setdefault(key, np.zeros((n_resamples, x.shape[1])))
                 a, b = part["_a"].to_numpy(np.int64), part["_b"].to_numpy(np.int64)
                 for i in range(0, len(part), block_rows):
                     rows = slice(i, i + block_rows)
@@ -101,14 +109,24 @@ def bootstrap_sums(
                         size = min(block_reps, n_resamples - r)
                         acc[r : r + size] += replicate_weights(a[rows], b[rows], r, size) @ x[rows]
         for key, acc in totals.items():
-            out = pd.DataFrame(acc, columns=columns)
-            out.insert(0, "r", np.arange(n_resamples, dtype=np.int32))
-            for i, (name, value) in enumerate(zip(groups, key, strict=True)):
-                out.insert(i, name, value)
-            yield out
-
-    partials = per_cluster.mapInPandas(partial, schema)
-    return partials.groupBy(*groups, "r").agg(*[F.sum(c).alias(c) for c in columns])
+            for i, series_name in enumerate(key[-1].split("\n")):
+                out = pd.DataFrame(acc[:, i * width : (i + 1) * width], columns=columns)
+                out.insert(0, "r", np.arange(n_resamples, dtype=np.int32))
+                out.insert(0, "_name", series_name)
+                for j, (column, value) in enumerate(zip(shared, key, strict=False)):
+                    out.insert(j, column, value)
+                yield out
+
+    partials = packed.mapInPandas(partial, schema).groupBy(*shared, "_name", "r").agg(
+        *[F.sum(c).alias(c) for c in columns]
+    )
+    if not series:
+        return partials.select(*groups, "r", *columns)
+    fields = T.StructType([per_cluster.schema[g] for g in series])
+    named = partials.withColumn("_g", F.from_json("_name", fields))
+    return named.select(
+        *[F.col(f"_g.{g}").alias(g) if g in series else F.col(g) for g in groups], "r", *columns
+    )
 
 
 def replicate_means(sums: DataFrame, values: Sequence[str]) -> DataFrame:

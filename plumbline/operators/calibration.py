@@ -12,9 +12,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.functions import vectors as V
 from plumbline.functions.hashing import keyed_hash
@@ -22,6 +24,8 @@ from plumbline.operators.ranking import with_prefix_sums, with_rank
 from plumbline.session import BROADCAST_ROWS, broadcast_if_small, cached, checkpoint
 
 T_MIN, T_MAX = 1e-3, 1e3
+UNTRIED_LOW, UNTRIED_HIGH = 0.999 / T_MAX, 1.001 / T_MIN
+"""Bracket ends of 1/T just outside the bounds: the bounds themselves are still to be tried."""
 VECTOR_L2 = 1e-3
 HISTOGRAM_BINS = 10
 DEFAULT_FOLDS = 5
@@ -29,6 +33,8 @@ MIN_GROUP = 30
 """Groups with fewer training rows use the global temperature of their fold."""
 NEWTON_TOLERANCE = 1e-6
 """A Newton step this small leaves an error of about its square."""
+GRADIENT_TOLERANCE = 1e-10
+"""Mean slope in log T below which a temperature is final (separable rows have no optimum)."""
 ALL_ROWS = -1
 """Target of a fit that holds nothing out."""
 
@@ -70,25 +76,115 @@ def with_targets(rows: DataFrame, n_folds: int | None) -> DataFrame:
 
 
 def _iterate(
-    rows: DataFrame,
     state: DataFrame,
-    on: Sequence[str],
-    step: Callable[[DataFrame], DataFrame],
+    step: Callable[[DataFrame, bool], DataFrame],
     max_iterations: int,
     tolerance: float,
 ) -> DataFrame:
-    """Advance ``state`` (one row per fit, with a ``moved`` column) until no fit moves."""
-    state, few = checkpoint(state), None
+    """Advance ``state`` (one row per fit, with a ``moved`` column) until no fit moves. ``step``
+    gets the state and whether its counted size allows a broadcast."""
+    state = checkpoint(state)
+    size = state.count()
     for _ in range(max_iterations):
-        hinted = broadcast_if_small(state) if few is None else (F.broadcast(state) if few else state)
-        state = checkpoint(step(rows.join(hinted, list(on))))
+        state = checkpoint(step(state, size <= BROADCAST_ROWS))
         size, moved = state.agg(F.count(F.lit(1)), F.max("moved")).first()
-        few = size <= BROADCAST_ROWS
         if moved is None or moved < tolerance:
             break
     return state
 
 
+def _targets(n_folds: int | None) -> list[int]:
+    return [ALL_ROWS] if n_folds is None else list(range(n_folds))
+
+
+def _training_counts(data: DataFrame, keys: Sequence[str], n_folds: int | None) -> DataFrame:
+    """(keys, target, n_train): rows outside each held-out fold, from one count per fold."""
+    fold = F.lit(0) if n_folds is None else F.col("fold")
+    per_fold = data.groupBy(*keys, fold.alias("fold")).agg(F.count(F.lit(1)).alias("n"))
+    target = F.explode(F.array(*[F.lit(t) for t in _targets(n_folds)]))
+    return (
+        per_fold.withColumn("target", target)
+        .where(F.col("fold") != F.col("target"))
+        .groupBy(*keys, "target")
+        .agg(F.sum("n").alias("n_train"))
+    )
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A list column as an (n, K) matrix; shorter rows are padded with zero-probability entries."""
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    ends = column.offsets.to_numpy()
+    sizes = np.diff(ends)
+    if not len(sizes):
+        return np.empty((0, 1))
+    width = int(sizes.max())
+    if (sizes == width).all():
+        return np.maximum(values.reshape(-1, width), -1e6)
+    out = np.full((len(sizes), width), -1e6)
+    out[np.arange(width) < sizes[:, None]] = values
+    return np.maximum(out, -1e6)
+
+
+def _fold_sums(
+    data: DataFrame,
+    state: DataFrame,
+    keys: Sequence[str],
+    n_folds: int | None,
+    kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray],
+    small: bool,
+) -> DataFrame:
+    """(keys, target, sums): ``kernel(z, gold, theta)`` added up over each fit's training rows.
+
+    A row meets the parameters of all its targets at once, so rows are neither copied per fold nor
+    shuffled; tasks keep one vector per fit and Spark adds those up by position.
+    """
+    keys, targets = list(keys), _targets(n_folds)
+    entry = F.struct("target", "theta")
+    packed = state.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_fits"))  # one per fold
+    fold = F.lit(0) if n_folds is None else F.col("fold")
+    joined = data.join(F.broadcast(packed) if small else packed, keys).select(
+        *keys, fold.cast("int").alias("_fold"), "gold_idx", "z",
+        F.transform("_fits", lambda f: f["target"]).alias("_t"),
+        F.flatten(F.transform("_fits", lambda f: f["theta"])).alias("_theta"),
+    )
+    key_fields = [data.schema[k] for k in keys]
+    schema = T.StructType(
+        [*key_fields, T.StructField("target", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("value", T.DoubleType())]
+    )
+    arrow = to_arrow_schema(schema)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = batch.select(keys).to_pandas()
+            z = _matrix(batch.column("z"))
+            gold = batch.column("gold_idx").to_numpy(zero_copy_only=False).astype(np.int64)
+            own = batch.column("_fold").to_numpy(zero_copy_only=False)
+            for key, index in table.groupby(keys, sort=False, dropna=False).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                fits = batch.column("_t")[int(index[0])].as_py()
+                theta = np.array(batch.column("_theta")[int(index[0])].as_py()).reshape(len(fits), -1)
+                for target, params in zip(fits, theta, strict=True):
+                    used = index[own[index] != target]
+                    if len(used):
+                        value = kernel(z[used], gold[used], params)
+                        old = totals.get((*key, target))
+                        totals[(*key, target)] = value if old is None else old + value
+        for key, value in totals.items():
+            n = len(value)
+            columns = [pa.array([v] * n, arrow.field(i).type) for i, v in enumerate(key)]
+            columns += [pa.array(range(n), pa.int32()), pa.array(value, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    added = joined.mapInArrow(partial, schema).groupBy(*keys, "target", "pos").agg(F.sum("value").alias("value"))
+    # One entry per parameter of a fit and its derivatives.
+    return added.groupBy(*keys, "target").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("_s")).select(
+        *keys, "target", F.transform("_s", lambda x: x["value"]).alias("sums")
+    )
+
+
 # --- temperature -----------------------------------------------------------------------------------
 
 
@@ -101,55 +197,48 @@ def fit_temperature(
     Newton step inside the bracket the gradient signs leave (a geometric midpoint otherwise).
     """
     on = [*keys, "target"]
-    training = cached(
-        with_targets(rows, n_folds).select(*on, "z", F.get("z", F.col("gold_idx")).alias("zy"))
-    )
-    start = training.groupBy(*on).agg(F.count(F.lit(1)).alias("n_train")).withColumns(
+    data = cached(rows.select(*keys, "fold", "z", "gold_idx"))
+    start = _training_counts(data, keys, n_folds).withColumns(
         {
-            "beta": F.lit(1.0), "low": F.lit(1.0 / T_MAX), "high": F.lit(1.0 / T_MIN),
+            "theta": F.array(F.lit(1.0)), "low": F.lit(UNTRIED_LOW), "high": F.lit(UNTRIED_HIGH),
             "moved": F.lit(float("inf")),
         }
     )
 
-    def derivatives(beta: Column) -> Column:
-        z = F.transform("z", lambda x: F.greatest(x, F.lit(-1e6)))
-        weights = F.transform(z, lambda x: F.exp(beta * x))
-        return V.let(
-            weights,
-            lambda e: V.let(
-                V.vsum(e),
-                lambda s: V.let(
-                    V.dot(e, z) / s,
-                    lambda mean: F.struct(
-                        (mean - F.col("zy")).alias("g"),
-                        (V.vsum(F.zip_with(e, z, lambda w, x: w * x * x)) / s - mean * mean).alias("h"),
-                    ),
-                ),
-            ),
+    def slopes(z: np.ndarray, gold: np.ndarray, theta: np.ndarray) -> np.ndarray:
+        e = np.exp(theta[0] * z)
+        ez = e * z
+        total = e.sum(axis=1)
+        mean = ez.sum(axis=1) / total
+        second = (ez * z).sum(axis=1) / total
+        return np.array([(mean - z[np.arange(len(z)), gold]).sum(), (second - mean * mean).sum()])
+
+    def step(state: DataFrame, small: bool) -> DataFrame:
+        sums = _fold_sums(data, state, keys, n_folds, slopes, small)
+        joined = state.join(sums, on)
+        g, h, beta = F.get("sums", F.lit(0)), F.get("sums", F.lit(1)), F.get("theta", F.lit(0))
+        low = F.when(g < 0, beta).otherwise(F.col("low"))
+        high = F.when(g > 0, beta).otherwise(F.col("high"))
+        guess = beta - F.try_divide(g, h)
+        inside = guess.isNotNull() & (guess >= F.greatest(low, F.lit(1.0 / T_MAX))) & (guess <= F.least(high, F.lit(1.0 / T_MIN)))
+        # An overshoot tries the bound itself; a fit the slope still pushes outward there is done.
+        first, last = 1.0 / T_MAX, 1.0 / T_MIN
+        stuck = ((beta == first) & (g > 0)) | ((beta == last) & (g < 0))
+        nxt = (
+            F.when((F.abs(g * beta) < GRADIENT_TOLERANCE * F.col("n_train")) | stuck, beta)
+            .when(inside, guess)
+            .when((guess < low) & (low < first), F.lit(first))
+            .when((guess > high) & (high > last), F.lit(last))
+            .otherwise(F.sqrt(low * high))
         )
-
-    def step(joined: DataFrame) -> DataFrame:
-        sums = joined.withColumn("_d", derivatives(F.col("beta"))).groupBy(*on).agg(
-            F.first("n_train").alias("n_train"), F.first("beta").alias("beta"),
-            F.first("low").alias("low"), F.first("high").alias("high"),
-            F.sum("_d.g").alias("g"), F.sum("_d.h").alias("h"),
-        )
-        low = F.when(F.col("g") < 0, F.col("beta")).otherwise(F.col("low"))
-        high = F.when(F.col("g") > 0, F.col("beta")).otherwise(F.col("high"))
-        newton = F.try_divide(F.col("g"), F.col("h"))
-        guess = F.col("beta") - newton
-        inside = newton.isNotNull() & (guess >= F.col("low")) & (guess <= F.col("high"))
-        nxt = F.when(inside, guess).otherwise(F.sqrt(F.col("low") * F.col("high")))
-        return (
-            sums.withColumns({"low": low, "high": high})
-            .withColumn("_next", F.when(F.col("g") == 0, F.col("beta")).otherwise(nxt))
-            .withColumn("moved", F.abs(F.ln(F.col("_next") / F.col("beta"))))
-            .select(*on, "n_train", F.col("_next").alias("beta"), "low", "high", "moved")
+        return joined.withColumn("_next", nxt).select(
+            *on, "n_train", F.array("_next").alias("theta"), low.alias("low"), high.alias("high"),
+            F.abs(F.ln(F.col("_next") / beta)).alias("moved"),
         )
 
-    state = _iterate(training, start, on, step, 40, NEWTON_TOLERANCE)
-    training.unpersist()
-    return state.select(*on, "n_train", (1.0 / F.col("beta")).alias("temperature"))
+    state = _iterate(start, step, 40, NEWTON_TOLERANCE)
+    data.unpersist()
+    return state.select(*on, "n_train", (1.0 / F.get("theta", F.lit(0))).alias("temperature"))
 
 
 # --- Platt -----------------------------------------------------------------------------------------
@@ -190,7 +279,8 @@ def fit_platt(rows: DataFrame, keys: Sequence[str], n_folds: int | None = DEFAUL
         .drop("_pos")
     )
 
-    def step(joined: DataFrame) -> DataFrame:
+    def step(state: DataFrame, small: bool) -> DataFrame:
+        joined = training.join(F.broadcast(state) if small else state, on)
         q = sigmoid(F.col("a") * F.col("s") + F.col("b"))
         rows_ = joined.withColumn("_q", q).withColumns(
             {
@@ -219,7 +309,7 @@ def fit_platt(rows: DataFrame, keys: Sequence[str], n_folds: int | None = DEFAUL
             F.greatest(F.abs("_da"), F.abs("_db")).alias("moved"),
         )
 
-    state = _iterate(training, start, on, step, 40, NEWTON_TOLERANCE)
+    state = _iterate(start, step, 40, NEWTON_TOLERANCE)
     training.unpersist()
     return state.select(*on, "n_train", "a", "b")
 
@@ -237,50 +327,28 @@ def fit_vector(
     sums, and each fit solves its own small system.
     """
     on = [*keys, "target"]
-    training = cached(with_targets(rows, n_folds).select(*on, "z", "gold_idx"))
+    data = cached(rows.select(*keys, "fold", "z", "gold_idx"))
+    sizes = data.groupBy(*keys).agg(F.max(F.size("z")).alias("_k"))
     start = (
-        training.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("n_train"), F.max(F.size("z")).alias("_k"))
+        _training_counts(data, keys, n_folds)
+        .join(sizes, list(keys))
         .withColumn("theta", F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), F.col("_k"))))
         .withColumn("moved", F.lit(float("inf")))
         .drop("_k")
     )
-    key_fields = [training.schema[c] for c in on]
-    partial_schema = T.StructType(
-        [*key_fields, T.StructField("pos", T.IntegerType()), T.StructField("value", T.DoubleType())]
-    )
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[tuple, np.ndarray] = {}
-        for pdf in batches:
-            for key, part in pdf.groupby(on, sort=False, dropna=False):
-                z = np.stack(part["z"].to_numpy())
-                theta = np.asarray(part["theta"].iloc[0])
-                y = part["gold_idx"].to_numpy(np.int64)
-                finite = np.where(np.isfinite(z), z, 0.0)
-                s = theta[0] * z + theta[1:]
-                e = np.exp(s - s.max(axis=1, keepdims=True))
-                p = e / e.sum(axis=1, keepdims=True)
-                n, k = z.shape
-                mean = (p * finite).sum(axis=1)
-                hot = np.zeros((n, k))
-                hot[np.arange(n), y] = 1.0
-                grad = np.concatenate([[(mean - finite[np.arange(n), y]).sum()], (p - hot).sum(axis=0)])
-                hess = np.zeros((k + 1, k + 1))
-                hess[0, 0] = ((p * finite * finite).sum(axis=1) - mean * mean).sum()
-                hess[0, 1:] = hess[1:, 0] = (p * (finite - mean[:, None])).sum(axis=0)
-                hess[1:, 1:] = np.diag(p.sum(axis=0)) - p.T @ p
-                value = np.concatenate([grad, hess.ravel()])
-                key = key if isinstance(key, tuple) else (key,)
-                if key in totals:
-                    totals[key] += value
-                else:
-                    totals[key] = value
-        for key, value in totals.items():
-            out = pd.DataFrame({"pos": np.arange(value.shape[0], dtype=np.int32), "value": value})
-            for i, (name, v) in enumerate(zip(on, key, strict=True)):
-                out.insert(i, name, v)
-            yield out
+    def derivatives(z: np.ndarray, gold: np.ndarray, theta: np.ndarray) -> np.ndarray:
+        s = theta[0] * z + theta[1:]
+        p = np.exp(s - s.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        n, k = z.shape
+        mean = (p * z).sum(axis=1)
+        grad = np.concatenate([[(mean - z[np.arange(n), gold]).sum()], p.sum(axis=0) - np.bincount(gold, minlength=k)])
+        hess = np.empty((k + 1, k + 1))
+        hess[0, 0] = ((p * z * z).sum(axis=1) - mean * mean).sum()
+        hess[0, 1:] = hess[1:, 0] = (p * (z - mean[:, None])).sum(axis=0)
+        hess[1:, 1:] = np.diag(p.sum(axis=0)) - p.T @ p
+        return np.concatenate([grad, hess.ravel()])
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def solve(theta: pd.Series, sums: pd.Series, n: pd.Series) -> pd.Series:
@@ -299,31 +367,17 @@ def fit_vector(
             out.append(new.tolist())
         return pd.Series(out)
 
-    def step(joined: DataFrame) -> DataFrame:
-        kept = joined.select(*on, "z", "gold_idx", "theta")
-        sums = (
-            kept.mapInPandas(partial, partial_schema)
-            .groupBy(*on, "pos").agg(F.sum("value").alias("value"))
-            .groupBy(*on)
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("_s"))
-            .select(*on, F.transform("_s", lambda x: x["value"]).alias("_sums"))
-        )
-        current = step.state  # the parameters this pass used
+    def step(state: DataFrame, small: bool) -> DataFrame:
+        sums = _fold_sums(data, state, keys, n_folds, derivatives, small)
         moved = F.array_max(F.zip_with("theta", "_new", lambda x, y: F.abs(x - y)))
         return (
-            sums.join(current, on)
-            .withColumn("_new", solve("theta", "_sums", F.col("n_train").cast("double")))
+            state.join(sums, on)
+            .withColumn("_new", solve("theta", "sums", F.col("n_train").cast("double")))
             .select(*on, "n_train", F.col("_new").alias("theta"), moved.alias("moved"))
         )
 
-    state = checkpoint(start)
-    for _ in range(30):
-        step.state = state
-        state = checkpoint(step(training.join(broadcast_if_small(state), on)))
-        moved = state.agg(F.max("moved")).first()[0]
-        if moved is None or moved < NEWTON_TOLERANCE:
-            break
-    training.unpersist()
+    state = _iterate(start, step, 30, NEWTON_TOLERANCE)
+    data.unpersist()
     bias = F.slice("theta", F.lit(2), F.size("theta") - 1)
     return state.select(
         *on, "n_train", (1.0 / F.get("theta", F.lit(0))).alias("temperature"),
