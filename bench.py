@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import vectors as V
+from plumbline.functions.hashing import hash_uniform, keyed_hash
 from plumbline.functions.scores import with_scores
 from plumbline.operators import bootstrap as B
 from plumbline.operators import calibration as C
@@ -35,25 +36,23 @@ def drain(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def ordinal_systems(spark: SparkSession) -> DataFrame:
-    """Three systems answering every order: the five-level view and two sharpened or shifted copies."""
-    base = D.spread(D.score_preds(spark, SF_DIR)).withColumn("qtype", F.lit("choice"))
-    moved = F.concat(F.slice("probs", F.lit(2), F.lit(4)), F.slice("probs", 1, 1))
-    sharp = V.normalize(F.transform("probs", lambda x: x * x))
-    systems = F.array(
-        F.struct(F.lit("one").alias("s"), F.col("probs").alias("p")),
-        F.struct(F.lit("two").alias("s"), sharp.alias("p")),
-        F.struct(F.lit("three").alias("s"), moved.alias("p")),
+def segment_systems(spark: SparkSession) -> DataFrame:
+    """Three systems answering a five-way question about every customer."""
+    segments = F.array(*[F.lit(x) for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")])
+    c = D.table(spark, SF_DIR, "customer").select(
+        "c_custkey", "c_acctbal", (F.array_position(segments, F.col("c_mktsegment")) - 1).cast("int").alias("gold")
     )
-    # A slight item-specific tilt makes the probabilities distinct.
-    tilt = 1.0 + (F.col("item_id").cast("bigint") % 977) / 1e4
-    return base.withColumn("_s", F.explode(systems)).select(
-        F.col("_s.s").alias("system"),
-        F.concat(F.lit("b"), (F.col("item_id").cast("bigint") % 9).cast("string")).alias("benchmark"),
-        "item_id", "question_id", "stratum", "keys",
-        V.normalize(F.transform("_s.p", lambda x, i: F.when(i == 2, x * tilt).otherwise(x))).alias("probs"),
-        "gold_idx", F.lit("choice:5:orders").alias("signature"),
+    systems = F.array(*[F.struct(F.lit(n).alias("s"), F.lit(b).alias("b")) for n, b in (("one", 1.6), ("two", 1.1), ("three", 0.7))])
+    noise = lambda i: hash_uniform(keyed_hash("bench", F.col("_s.s"), F.col("c_custkey"), i))
+    logits = F.transform(
+        F.sequence(F.lit(0), F.lit(4)), lambda i: 3.0 * noise(i) + F.when(i == F.col("gold"), F.col("_s.b")).otherwise(0.0)
     )
+    key = F.col("c_custkey")
+    return D.spread(c).withColumn("_s", F.explode(systems)).select(
+        F.col("_s.s").alias("system"), F.concat(F.lit("b"), (key % 9).cast("string")).alias("benchmark"),
+        key.cast("string").alias("item_id"), key.cast("string").alias("question_id"), (key % 4).cast("string").alias("stratum"),
+        segments.alias("keys"), V.softmax(logits).alias("probs"), F.col("gold").alias("gold_idx"), F.lit("choice:5:segments").alias("signature"),
+    ).where("gold_idx >= 0")
 
 
 def runs(spark: SparkSession):
@@ -67,7 +66,7 @@ def runs(spark: SparkSession):
         return C.fit_temperature(rows, ["system", "benchmark"])
 
     def study() -> DataFrame:
-        s = calibration_study(ordinal_systems(spark), X.DEFAULT_ARMS, reference="one", n_resamples=10_000)
+        s = calibration_study(segment_systems(spark), X.DEFAULT_ARMS, reference="one", n_resamples=10_000)
         return s.estimates.join(s.deltas.groupBy("system", "arm", "benchmark").count(), ["system", "arm", "benchmark"], "left")
 
     yield "item_scores", lambda: drain(scored())
