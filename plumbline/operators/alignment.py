@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import lookup
+
 ITEM = ("benchmark", "item_id")
 
 
@@ -51,7 +53,7 @@ def align(scored: DataFrame, n_systems: int) -> DataFrame:
         .where(F.col("count") == n_systems).select("benchmark")
     )
     shared = shared_items(scored, n_systems).where(~F.col("disagrees")).select(*ITEM)
-    return scored.join(have_all, "benchmark", "left_semi").join(shared, list(ITEM), "left_semi")
+    return scored.join(lookup(have_all), "benchmark", "left_semi").join(shared, list(ITEM), "left_semi")
 
 
 def left_out(scored: DataFrame, n_systems: int) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.hashing import hash_int, keyed_hash, tie_key
 from plumbline.operators.ranking import sorted_once
-from plumbline.session import checkpoint
+from plumbline.session import checkpoint, lookup
 
 MODULUS = 2**31 - 1
 """Weights come from ``(a + r * b) mod MODULUS`` with ``a``, ``b`` hashed from the cluster:
@@ -160,12 +160,15 @@ def bootstrap_intervals(
 ) -> DataFrame:
     """Mean of each value with its percentile interval per group."""
     groups = list(groups)
+    if not groups:
+        whole = df.withColumn("_all", F.lit(1))
+        return bootstrap_intervals(whole, ["_all"], cluster, values, n_resamples, seed, level).drop("_all")
     sums = bootstrap_sums(df, groups, cluster, values, n_resamples, seed)
     bounds = percentile_intervals(replicate_means(sums, values), groups, values, level)
     points = df.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(F.col(v).cast("double")).alias(v) for v in values]
     )
-    return points.join(bounds, groups) if groups else points.crossJoin(bounds)
+    return points.join(bounds, groups)
 
 
 def excludes_zero(low: Column, high: Column) -> Column:
@@ -189,7 +192,7 @@ def jackknife_moments(
     )
     left_out = F.try_divide(F.col("_sum") - F.col("_s"), F.col("_size") - F.col("_n"))
     # Moments about the estimate keep the cubes free of cancellation.
-    dev = per.join(totals, groups).withColumn("_d", left_out - F.col("_sum") / F.col("_size"))
+    dev = per.join(lookup(totals), groups).withColumn("_d", left_out - F.col("_sum") / F.col("_size"))
     moments = dev.groupBy(*groups).agg(
         F.first("n_clusters").alias("n_clusters"),
         (F.first("_sum") / F.first("_size")).alias("estimate"),
@@ -288,6 +291,9 @@ def macro_intervals(
 ) -> DataFrame:
     """Equal-weight mean over benchmarks with a stratified percentile interval."""
     groups = list(groups)
+    if not groups:
+        whole = df.withColumn("_all", F.lit(1))
+        return macro_intervals(whole, ["_all"], cluster, values, n_resamples, seed, level).drop("_all")
     sums = bootstrap_sums(df, [*groups, "benchmark"], cluster, values, n_resamples, seed)
     macro = macro_replicates(replicate_means(sums, values), groups, values)
     per = df.groupBy(*groups, "benchmark").agg(*[F.avg(F.col(v).cast("double")).alias(v) for v in values])
@@ -295,7 +301,7 @@ def macro_intervals(
         F.count(F.lit(1)).alias("n_benchmarks"), *[F.avg(v).alias(v) for v in values]
     )
     bounds = percentile_intervals(macro, groups, values, level)
-    return points.join(bounds, groups) if groups else points.crossJoin(bounds)
+    return points.join(bounds, groups)
 
 
 def replicate_deltas(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import lookup
+
 PER_MTOK = 1e-6
 MISMATCH_TOLERANCE = 0.01
 DEFAULT_GPU_WATTS = 410.0
@@ -96,7 +98,7 @@ def allocate(
     filled = F.coalesce(F.col(weight).cast("double"), F.coalesce(F.try_divide("_known", "_n_known"), F.lit(1.0)))
     mean = F.coalesce(F.try_divide("_known", "_n_known"), F.lit(1.0))
     norm = F.coalesce("_known", F.lit(0.0)) + (F.col("_n") - F.col("_n_known")) * mean
-    placed = rows.join(sums, groups).join(totals, groups)
+    placed = rows.join(lookup(sums.join(totals, groups)), groups)
     value = F.when(norm > 0, F.col(total) * filled / norm).otherwise(F.col(total) / F.col("_n"))
     return placed.withColumn(share, value).drop("_known", "_n_known", "_n", total)
 

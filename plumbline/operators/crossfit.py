@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import vectors as V
 from plumbline.operators import calibration as C
-from plumbline.session import broadcast_if_small, checkpoint
+from plumbline.session import broadcast_if_small, checkpoint, lookup
 
 SCOPES = ("global", "benchmark", "signature")
 DEFAULT_ARMS = (
@@ -244,8 +244,8 @@ def resolve_temperature(
     own = exact.select("backend", "model", "template_id", "signature", F.col("temperature").alias("_exact"))
     general = fallbacks.select("model", "template_id", F.col("temperature").alias("_fallback"))
     return (
-        requests.join(own, ["backend", "model", "template_id", "signature"], "left")
-        .join(general, ["model", "template_id"], "left")
+        requests.join(lookup(own), ["backend", "model", "template_id", "signature"], "left")
+        .join(lookup(general), ["model", "template_id"], "left")
         .withColumn("temperature", F.coalesce("_exact", "_fallback", F.lit(1.0)))
         .withColumn(
             "source",

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import vectors as V
+from plumbline.session import lookup
 
 PRIOR_FLOOR = 1e-6
 MIN_BATCH = 30
@@ -209,7 +210,7 @@ def debias_offline(
         )
     else:
         raise ValueError(f"unknown debias method {method!r}")
-    divided = items.join(priors.select("prior_key", "fold", "prior"), ["prior_key", "fold"], "left").withColumn(
+    divided = items.join(lookup(priors.select("prior_key", "fold", "prior")), ["prior_key", "fold"], "left").withColumn(
         "debiased", divide_by_prior(F.col("raw"), F.col("prior"), F.col("free"))
     )
     if method == "pride":
@@ -282,7 +283,7 @@ def divide_batch(items: DataFrame, priors: DataFrame) -> DataFrame:
     n_free = F.size(F.filter("free", lambda f: f))
     prior = F.when(n_free >= 2, F.col("prior"))
     return (
-        items.join(priors.select("prior_key", "prior"), "prior_key", "left")
+        items.join(lookup(priors.select("prior_key", "prior")), "prior_key", "left")
         .withColumn("debiased", divide_by_prior(F.col("probs"), prior, F.col("free")))
         .withColumn(
             "warning",
@@ -307,7 +308,7 @@ def divide_contextual(items: DataFrame, content_free: DataFrame) -> DataFrame:
     priors = batch_priors(content_free, ["question_hash"])
     n_free = F.size(F.filter("free", lambda f: f))
     return (
-        items.join(priors.select("question_hash", "prior"), "question_hash", "left")
+        items.join(lookup(priors.select("question_hash", "prior")), "question_hash", "left")
         .withColumn(
             "debiased", divide_by_prior(F.col("probs"), F.when(n_free >= 2, F.col("prior")), F.col("free"))
         )

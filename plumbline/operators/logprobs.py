@@ -102,8 +102,10 @@ def first_token_read(
     raw value is then the upper bound), observed mass and the low-mass warning."""
     merged = merge_variants(observed_surfaces(topk, labels))
     requests = upper_bounds(topk, leftover, masked)
-    positions = labels.select("pos", "label").distinct()
-    grid = requests.join(F.broadcast(positions))  # one row per label of the fixed scheme
+    # The labels of a fixed scheme (at most 676) become one array, exploded per request.
+    names = sorted({(row["pos"], row["label"]) for row in labels.select("pos", "label").collect()})
+    listed = F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(n).alias("label")) for p, n in names])
+    grid = requests.select("request_id", "bound", F.inline(listed))
     filled = grid.join(merged, ["request_id", "pos", "label"], "left").withColumns(
         {
             "missing": F.col("logprob").isNull(),

@@ -376,13 +376,16 @@ def label_surfaces(spark, sf):
 
 @query(
     "label_capacity",
-    f"""SELECT scheme, {n('n_labels', 'n_labels')}, {n('n_labels * 2 + 1', 'n_first_tokens')}, n_labels * 2 <= 20 AS fits, (SELECT count(*) FROM part)::BIGINT AS n_questions FROM (VALUES ('digits', 10), ('letters', 12)) AS s(scheme, n_labels)""",
+    f"""SELECT CASE qtype WHEN 'choice' THEN 'letters' WHEN 'score' THEN 'digits' ELSE 'yes_no' END AS scheme, {n('len(keys)', 'n_labels')}, {n('CASE qtype WHEN $$choice$$ THEN 21 ELSE 11 END', 'n_first_tokens')}, len(keys) * 2 <= 11 AS fits, {n('count(*)', 'n_questions')}
+    FROM all_preds GROUP BY qtype, len(keys)""".replace("$$", "'"),
+    ("all_preds",),
 )
 def label_capacity(spark, sf):
-    """First tokens a constraint over each scheme's surfaces allows, beside the questions asked."""
-    labels = label_dimension(spark, "letters", 12).unionByName(label_dimension(spark, "digits", 10))
-    questions = D.table(spark, sf, "part").agg(F.count(F.lit(1)).alias("n_questions"))
-    return capacity(labels, 20).crossJoin(F.broadcast(questions))
+    """Questions per label scheme, the first tokens a constraint over its surfaces allows, and
+    whether all its surfaces fit a top-11 list."""
+    labels = label_dimension(spark, "letters", 10).unionByName(label_dimension(spark, "digits", 5)).unionByName(label_dimension(spark, "yes_no", 2))
+    asked = D.all_preds(spark, sf).groupBy(Q.scheme_for(F.col("qtype"), F.size("keys")).alias("scheme")).agg(F.count(F.lit(1)).alias("n_questions"))
+    return asked.join(capacity(labels, 11), "scheme").select("scheme", "n_labels", "n_first_tokens", "fits", "n_questions")
 
 
 @query(

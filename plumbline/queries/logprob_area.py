@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import vectors as V
+from plumbline.functions.questions import letter
 from plumbline.operators import logprobs as L
 from plumbline.queries import derived as D
 from plumbline.queries.registry import n, query, r
@@ -100,8 +101,16 @@ def echo_rescaled_read(spark, sf):
     lp = F.when((i % 5 == 0) & (F.col("pos") == 0), F.lit(V.NEG_INF)).otherwise(
         -1.0 - F.col("pos") / 4.0 - (F.col("surface") != F.col("label")).cast("int")
     )
-    # One row per request and surface of a ten-label scheme.
-    echo = D.table(spark, sf, "embeddings").select("vec_id").crossJoin(F.broadcast(names)).select(
+    surfaces = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(9)),
+            lambda k: F.transform(
+                F.array(letter(k), F.concat(F.lit(" "), letter(k))),
+                lambda s: F.struct(k.alias("pos"), letter(k).alias("label"), s.alias("surface")),
+            ),
+        )
+    )
+    echo = D.table(spark, sf, "embeddings").select("vec_id", F.inline(surfaces)).select(
         i.cast("string").alias("request_id"), "surface", "label", lp.alias("logprob")
     )
     read = L.echo_rescale(L.first_token_read(topk, names), L.observed_surfaces(topk, names), echo)

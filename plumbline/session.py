@@ -61,6 +61,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if fits else df
 
 
+def lookup(df: DataFrame) -> DataFrame:
+    """An aggregated table to join facts with by a possibly skewed key (a benchmark, a system, a
+    prior key): computed once, counted, and broadcast when small so the facts are not shuffled by
+    that key; otherwise left to a shuffled join with AQE's skew handling."""
+    return broadcast_if_small(checkpoint(df))
+
+
 def cached(df: DataFrame) -> DataFrame:
     """``df`` kept on the executors (recomputed from its lineage when one is lost)."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
