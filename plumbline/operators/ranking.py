@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import tie_key
-from plumbline.session import broadcast_if_small, cached, checkpoint
+from plumbline.session import checkpoint, lookup
 
 
 def sorted_once(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -53,27 +53,19 @@ def with_rank(
     if not groups:
         return with_rank(df.withColumn("_all", F.lit(1)), ["_all"], order, rank, size).drop("_all")
     placed = sorted_once(df, [*groups, *order])
-    runs = cached(
-        placed.groupBy(*groups, "_part").agg(
-            F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first")
-        )
+    runs = placed.groupBy(*groups, "_part").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first")
     )
     offsets = _offsets(runs, groups, {"_n": "n"}).select(
         *groups, "_part", "_first", "_before_n", F.col("_all_n").alias(size)
     )
     return (
-        placed.join(hinted(offsets, runs), [*groups, "_part"])
+        placed.join(lookup(offsets), [*groups, "_part"])
         .withColumn(rank, F.col("_before_n") + F.col("_pos") - F.col("_first") + 1)
         .drop("_part", "_pos", "_first", "_before_n")
     )
 
 
-def hinted(derived: DataFrame, source: DataFrame) -> DataFrame:
-    """``derived`` (one row per row of ``source``) broadcast when ``source`` is small."""
-    small = broadcast_if_small(source)
-    return F.broadcast(derived) if small is not source else derived
-
-
 def with_prefix_sums(
     df: DataFrame, groups: Sequence[str], order: Sequence[str], values: Sequence[str]
 ) -> DataFrame:
@@ -81,9 +73,7 @@ def with_prefix_sums(
     ``total_v`` (group sum)."""
     groups = list(groups)
     placed = sorted_once(df, [*groups, *order])
-    runs = cached(
-        placed.groupBy(*groups, "_part").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
-    )
+    runs = placed.groupBy(*groups, "_part").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
     offsets = _offsets(runs, groups, {f"_s_{v}": v for v in values}).drop(
         *[f"_s_{v}" for v in values]
     )
@@ -91,7 +81,7 @@ def with_prefix_sums(
         Window.unboundedPreceding, Window.currentRow
     )
     out = placed.withColumns({f"_c_{v}": F.sum(v).over(local) for v in values}).join(
-        hinted(offsets, runs), [*groups, "_part"]
+        lookup(offsets), [*groups, "_part"]
     )
     for v in values:
         out = out.withColumn(f"cum_{v}", F.col(f"_c_{v}") + F.col(f"_before_{v}")).withColumnRenamed(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.ranking import equal_mass_bins, exact_quantiles, with_prefix_sums
 from plumbline.functions.hashing import tie_key
+from plumbline.session import cached, checkpoint
 
 # Known benchmarks in display order, and those left out of summaries unless named: fixed values.
 BENCHMARK_ORDER = (
@@ -155,7 +156,13 @@ def score_summary(df: DataFrame, groups: Sequence[str]) -> DataFrame:
 def benchmark_summary(df: DataFrame, groups: Sequence[str] = ("system", "benchmark"), bins: int = DEFAULT_BINS) -> DataFrame:
     """:func:`score_summary` plus the equal-mass calibration error."""
     groups = list(groups)
-    return score_summary(df, groups).join(ece_equal_mass(df, groups, bins), groups)
+    needed = [
+        "item_id", "correct", "abstained", "p_gold", "nll", "brier", "abs_error", "within_one", "confidence", "idk_idx",
+    ]
+    scores = cached(df.select(*groups, *needed))
+    summary = checkpoint(score_summary(scores, groups).join(ece_equal_mass(scores, groups, bins), groups))
+    scores.unpersist()
+    return summary
 
 
 def macro_average(

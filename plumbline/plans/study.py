@@ -52,7 +52,9 @@ def summarize(
         "system", F.lit(MACRO).alias("benchmark"), *totals, "accuracy", "nll", "brier",
         F.col("low_accuracy").alias("accuracy_low"), F.col("high_accuracy").alias("accuracy_high"),
     )
-    return out.unionByName(macro_row, allowMissingColumns=True)
+    table = checkpoint(out.unionByName(macro_row, allowMissingColumns=True))
+    scored.unpersist()
+    return table
 
 
 def summary_markdown(summary: DataFrame) -> str:
@@ -98,7 +100,8 @@ def compare(
         points.agg(F.lit(1).alias("_all"), F.sum("n").alias("n"), *[F.avg(v).alias(v) for v in ("accuracy_a", "accuracy_b", *values)])
         .join(macro_bounds, "_all").drop("_all").withColumn("benchmark", F.lit(MACRO))
     )
-    out = per.unionByName(macro, allowMissingColumns=True)
+    out = checkpoint(per.unionByName(macro, allowMissingColumns=True))
+    d.unpersist()
     return out.withColumns({f"{v}_excludes_zero": B.excludes_zero(F.col(f"low_{v}"), F.col(f"high_{v}")) for v in values})
 
 
@@ -129,7 +132,9 @@ def run_statistics(
         named = other.withColumnRenamed("system_id", "_s").withColumnRenamed("benchmark", "_b")
         same = (F.col("system_id") == F.col("_s")) & F.col("benchmark").eqNullSafe(F.col("_b"))
         stats = stats.join(named, same, "left").drop("_s", "_b")
-    return stats
+    table = checkpoint(stats)
+    costed.unpersist()
+    return table
 
 
 @dataclass
@@ -137,7 +142,7 @@ class Study:
     """Tables of a calibration study."""
 
     predictions: DataFrame
-    """system, arm, benchmark, item_id, question_id, gold_idx, probs"""
+    """system, arm, benchmark, item_id, question_id, gold_idx, probs; cached until unpersisted"""
     estimates: DataFrame
     """system, arm, benchmark (macro included): accuracy, nll, brier, ece, intervals"""
     deltas: DataFrame
@@ -210,6 +215,7 @@ def calibration_study(
         deltas = deltas.unionByName(
             _deltas(replicates, all_points, reference, "system", ["arm", "benchmark"], "reference")
         )
+    scored.unpersist()
     return Study(predictions, estimates, deltas, reliability, fits)
 
 
