@@ -21,7 +21,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from plumbline.functions import vectors as V
 from plumbline.functions.hashing import keyed_hash
 from plumbline.operators.ranking import with_prefix_sums, with_rank
-from plumbline.session import BROADCAST_ROWS, broadcast_if_small, cached, checkpoint
+from plumbline.session import (
+    BROADCAST_BYTES, BROADCAST_ROWS, broadcast_if_small, cached, checkpoint, row_bytes,
+)
 
 T_MIN, T_MAX = 1e-3, 1e3
 UNTRIED_LOW, UNTRIED_HIGH = 0.999 / T_MAX, 1.001 / T_MIN
@@ -82,12 +84,14 @@ def _iterate(
     tolerance: float,
 ) -> DataFrame:
     """Advance ``state`` (one row per fit, with a ``moved`` column) until no fit moves. ``step``
-    gets the state and whether its counted size allows a broadcast."""
+    gets the state and whether its measured size allows a broadcast."""
+    measure = lambda s: s.agg(F.count(F.lit(1)), F.sum(row_bytes(s)), F.max("moved")).first()
     state = checkpoint(state)
-    size = state.count()
+    rows, size, moved = measure(state)
     for _ in range(max_iterations):
-        state = checkpoint(step(state, size <= BROADCAST_ROWS))
-        size, moved = state.agg(F.count(F.lit(1)), F.max("moved")).first()
+        small = rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+        state = checkpoint(step(state, small))
+        rows, size, moved = measure(state)
         if moved is None or moved < tolerance:
             break
     return state

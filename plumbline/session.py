@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 """Largest row count :func:`broadcast_if_small` ships to every executor."""
+BROADCAST_BYTES = 64 * 2**20
+"""Largest size (as JSON text, an upper bound for numbers) it ships."""
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "plumbline") -> SparkSession:
@@ -53,12 +55,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Length of a row as JSON text."""
+    return F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint when it has at most ``max_rows`` rows, else unhinted, so the
-    planner (and AQE's skew handling) picks a shuffled join. Pass checkpointed or cached tables:
-    the size check runs a bounded count."""
-    fits = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if fits else df
+    """``df`` with a broadcast hint when it has at most ``max_rows`` rows and
+    :data:`BROADCAST_BYTES`, else unhinted, so the planner (and AQE's skew handling) picks a
+    shuffled join. Pass checkpointed or cached tables: the check reads up to ``max_rows`` rows."""
+    probe = df.limit(max_rows + 1)
+    rows, size = probe.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
+    return F.broadcast(df) if rows <= max_rows and size <= BROADCAST_BYTES else df
 
 
 def lookup(df: DataFrame) -> DataFrame:
