@@ -30,6 +30,8 @@ HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 RANDOM = "random"
 
+LONG = 20
+"""Characters of a run that is scored; shorter words are the samples of identifiers."""
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,}")
 # A text without any of these has no span of any kind.
@@ -119,7 +121,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
             for t in texts:
                 spans = base_spans(t)
                 totals[0] += transitions([t[a:b].split("=")[-1].split(":")[-1].strip("\"' ") if k == "assign" else t[a:b] for a, b, k in spans])
-                totals[1] += transitions([m[0] for m in WORD.finditer(t) if not any(a < m.end() and m.start() < b for a, b, _ in spans)])
+                totals[1] += transitions([m[0] for m in WORD.finditer(t) if len(m[0]) < LONG and not any(a < m.end() and m.start() < b for a, b, _ in spans)])
         kind, cell = np.nonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(cell, pa.int32()), pa.array(totals[kind, cell])], schema=arrow)
 

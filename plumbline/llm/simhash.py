@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import components, map_texts, narrow, schema_of
@@ -90,7 +90,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     """``docs`` with one row of each class of near-duplicates: the smallest key (NULL last), ties by
     a hash of the row; of rows equal throughout, one stays. All columns are kept."""
     mark = "_row"
-    while mark in docs.columns:
+    while any(c.startswith(mark) for c in docs.columns):
         mark += "_"
     plain = [f"`{f.name}`" for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
     marked_docs = docs.withColumn(mark, F.xxhash64(*plain))
@@ -103,11 +103,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     marked = checkpoint(map_texts(pairs, work, schema_of("key bigint, row bigint, fp bigint")))
     order = F.struct(F.col("key").isNull().alias("late"), "key", "row")
     best = marked.groupBy("fp").agg(F.min(order).alias("best")).join(classes(marked, radius), "fp", "left")
-    kept = best.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best")).select("best.key", F.col("best.row").alias("row"))
-    same = F.col(mark) == F.col("row")
-    chosen = marked_docs.join(kept, same & F.col(f"`{key}`").cast("bigint").eqNullSafe(F.col("key")), "left_semi")
-    from pyspark.sql import Window
-
-    copies = mark + "n"
+    kept = best.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
+    kept = kept.select(F.col("best.key").alias(mark + "key"), F.col("best.row").alias(mark + "same"))
+    same = (F.col(mark) == F.col(mark + "same")) & F.col(f"`{key}`").cast("bigint").eqNullSafe(F.col(mark + "key"))
+    chosen = marked_docs.join(kept, same, "left_semi")
     first = F.row_number().over(Window.partitionBy(mark, f"`{key}`").orderBy(F.lit(1)))
-    return chosen.withColumn(copies, first).where(F.col(copies) == 1).drop(mark, copies)
+    return chosen.withColumn(mark + "n", first).where(F.col(mark + "n") == 1).drop(mark, mark + "n")
