@@ -7,6 +7,7 @@ order carries meaning, so no MAP is used. ``text`` is NULL for an option without
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import factorial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -303,24 +304,43 @@ def scheme_labels(scheme: Column, options: Column) -> Column:
 
 
 def random_orders(free: Column, n: int, *keys: Column | str) -> Column:
-    """The identity and up to ``n - 1`` distinct hashed shuffles of the free positions. More draws
-    are tried for few options, where shuffles repeat."""
-    from plumbline.functions.hashing import keyed_hash
+    """The identity and ``n - 1`` other orders of the free positions, all different (all orders, where
+    there are fewer). The orders of f positions are numbered from 0 (the identity) to f! - 1; the
+    numbers taken are evenly apart from a hashed place on, so none repeats and none is tried twice.
+    Of more than 18 free positions, whose orders outnumber a BIGINT, a hashed 18 move."""
+    from plumbline.functions.hashing import hash_int, keyed_hash
+    from plumbline.functions.vectors import let
 
-    slots = free_slots(free)
     identity = F.transform(free, lambda f, i: i)
+    hashed = F.array_sort(F.transform(free_slots(free), lambda s: F.struct(keyed_hash(*keys, "slot", s).alias("h"), s.alias("s"))))
+    moving = F.array_sort(F.transform(F.slice(hashed, 1, 18), lambda x: x["s"]))
+    counts = F.array(*[F.lit(factorial(k)).cast("bigint") for k in range(19)])
+    whole = lambda a, b: F.call_function("div", a, b)
+
+    def order(m: Column, number: Column) -> Column:
+        """The order with this number: its factorial-base digits pick from the positions left."""
+
+        def pick(state: Column, left_after: Column) -> Column:
+            weight = F.get(counts, left_after)
+            chosen = F.get(state["left"], whole(state["rest"], weight).cast("int"))
+            return F.struct(
+                F.array_remove(state["left"], chosen).alias("left"),
+                F.concat(state["out"], F.array(chosen)).alias("out"),
+                (state["rest"] % weight).alias("rest"),
+            )
 
-    def shuffled(draw: Column) -> Column:
-        ranked = F.transform(
-            F.array_sort(F.transform(slots, lambda s: F.struct(keyed_hash(*keys, draw, s).alias("h"), s.alias("s")))),
-            lambda x: x["s"],
-        )
-        return F.transform(
-            free,
-            lambda f, i: F.when(f, F.get(ranked, (F.array_position(slots, i) - 1).cast("int"))).otherwise(i),
-        )
-
-    few = F.size(slots) <= 5  # up to 120 orders: repeats are likely
-    draws = F.when(few, F.lit(16 * n)).otherwise(F.lit(2 * n))
-    tried = F.transform(F.sequence(F.lit(1), draws), shuffled)
-    return F.slice(F.array_distinct(F.concat(F.array(identity), tried)), 1, n)
+        start = F.struct(m.alias("left"), F.slice(m, 1, 0).alias("out"), number.alias("rest"))
+        left_after = F.transform(m, lambda _, i: F.size(m) - 1 - i)
+        placed = F.aggregate(left_after, start, pick, lambda s: s["out"])
+        at = lambda i: F.array_position(m, i).cast("int")
+        return let(placed, lambda o: F.transform(free, lambda _, i: F.when(at(i) > 0, F.get(o, at(i) - 1)).otherwise(i)))
+
+    def others(m: Column) -> Column:
+        more = F.get(counts, F.size(m)) - 1  # orders besides the identity
+        taken = F.least(F.lit(n - 1).cast("bigint"), more)
+        place = F.pmod(hash_int(keyed_hash(*keys, "place")), F.greatest(more, F.lit(1)))
+        apart = whole(more, F.greatest(taken, F.lit(1)))
+        draw = lambda k: order(m, 1 + F.pmod(place + k * apart, more))
+        return F.when(taken < 1, F.slice(F.array(identity), 1, 0)).otherwise(F.transform(F.sequence(F.lit(0).cast("bigint"), taken - 1), draw))
+
+    return F.slice(F.concat(F.array(identity), let(moving, others)), 1, n)

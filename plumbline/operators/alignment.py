@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import lookup
+from plumbline.session import cached, lookup
 
 ITEM = ("benchmark", "item_id")
 
@@ -46,14 +46,25 @@ def shared_items(scored: DataFrame, n_systems: int) -> DataFrame:
     )
 
 
-def align(scored: DataFrame, n_systems: int) -> DataFrame:
-    """Rows of items every system answered, in benchmarks every system has."""
+def align(scored: DataFrame, n_systems: int, disagreeing: str = "raise") -> DataFrame:
+    """Rows of items every system answered, in benchmarks every system has. Items whose keys or gold
+    the systems recorded differently are an error (``raise``) or, where a caller reports them by
+    :func:`shared_items`, left out (``leave out``)."""
     have_all = (
         scored.select("benchmark", "system").distinct().groupBy("benchmark").count()
         .where(F.col("count") == n_systems).select("benchmark")
     )
-    shared = shared_items(scored, n_systems).where(~F.col("disagrees")).select(*ITEM)
-    return scored.join(lookup(have_all), "benchmark", "left_semi").join(shared, list(ITEM), "left_semi")
+    shared = shared_items(scored, n_systems)
+    if disagreeing == "raise":
+        shared = cached(shared)
+        first = shared.where("disagrees").select(*ITEM).head(5)
+        if first:
+            shared.unpersist()
+            raise ValueError(f"systems disagree on keys or gold of {[tuple(r) for r in first]}")
+    elif disagreeing != "leave out":
+        raise ValueError(f"disagreeing is 'raise' or 'leave out', not {disagreeing!r}")
+    kept = shared.where(~F.col("disagrees")).select(*ITEM)
+    return scored.join(lookup(have_all), "benchmark", "left_semi").join(kept, list(ITEM), "left_semi")
 
 
 def left_out(scored: DataFrame, n_systems: int) -> DataFrame:

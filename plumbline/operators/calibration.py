@@ -325,7 +325,8 @@ def fit_vector(
     rows: DataFrame, keys: Sequence[str], n_folds: int | None = DEFAULT_FOLDS, l2: float = VECTOR_L2
 ) -> DataFrame:
     """(keys, target) -> n_train, temperature, bias of ``softmax(z / T + b)``, mean NLL plus
-    ``l2 / 2 |b|^2``, bias centred. All rows of a group must have the same number of keys.
+    ``l2 / 2 |b|^2``, bias centred. Rows with fewer keys than others of their group take part with
+    the first biases.
 
     Newton steps in (1/T, b): tasks add up gradient and Hessian per fit, Spark adds the partial
     sums, and each fit solves its own small system.
@@ -342,10 +343,15 @@ def fit_vector(
     )
 
     def derivatives(z: np.ndarray, gold: np.ndarray, theta: np.ndarray) -> np.ndarray:
+        width = len(theta) - 1
+        if z.shape[1] < width:
+            z = np.column_stack([z, np.full((len(z), width - z.shape[1]), -1e6)])
+        z = z[:, :width]
         s = theta[0] * z + theta[1:]
         p = np.exp(s - s.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         n, k = z.shape
+        z = np.where(p > 0, z, 0.0)  # keys a question lacks weigh nothing
         mean = (p * z).sum(axis=1)
         grad = np.concatenate([[(mean - z[np.arange(n), gold]).sum()], p.sum(axis=0) - np.bincount(gold, minlength=k)])
         hess = np.empty((k + 1, k + 1))

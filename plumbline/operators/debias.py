@@ -6,13 +6,15 @@ works on exploded (key, position) rows, so a prior key of any size is a partial
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import vectors as V
+from plumbline.functions.hashing import hash_uniform, keyed_hash
+from plumbline.functions.questions import cyclic_shifts, random_orders
 from plumbline.session import lookup
 
 PRIOR_FLOOR = 1e-6
@@ -193,124 +195,157 @@ def debias_offline(
 
     ``none`` keeps the raw ones; ``batch`` and ``pride`` divide by the prior of the other folds,
     and a question shown in a full cycle answers with the average of its presentations (pride).
-    A prior key without a prior keeps its raw probabilities.
+    A prior key without a prior keeps its raw probabilities. Where items have them, ``system`` and
+    ``benchmark`` are part of an item's key, and priors are estimated for each system by itself;
+    presentations must then name the system too.
     """
     if method == "none":
         return items.withColumn("debiased", F.col("raw"))
-    ids = ["item_id", "fold", "prior_key"]
+    per_system = ["system"] if "system" in items.columns else []
+    item = [*per_system, *(["benchmark"] if "benchmark" in items.columns else []), "item_id"]
+    keys = [*per_system, "prior_key"]
     if method == "batch":
-        rows = free_rows(items, ["prior_key", "fold"], "raw")
-        priors = out_of_fold_priors(rows, ["prior_key"], method, n_folds, min_batch)
+        rows = free_rows(items, [*keys, "fold"], "raw")
+        priors = out_of_fold_priors(rows, keys, method, n_folds, min_batch)
     elif method == "pride":
-        tagged = shown.join(items.select("item_id", "fold"), "item_id")
-        full = full_cycles(tagged, ids).where("full").select("item_id")
-        rows = item_priors(tagged, ids).join(full, "item_id", "left_semi")
+        lacking = [k for k in item if k not in shown.columns]
+        if lacking:
+            raise ValueError(f"presentations lack {lacking}")
+        tagged = shown.join(items.select(*item, "fold"), item)
+        ids = [*item, "fold", "prior_key"]
+        full = full_cycles(tagged, ids).where("full").select(*item)
+        rows = item_priors(tagged, ids).join(full, item, "left_semi")
         priors = out_of_fold_priors(
-            rows.select("prior_key", "fold", "pos", F.col("prior").alias("value")), ["prior_key"], method, n_folds
+            rows.select(*keys, "fold", "pos", F.col("prior").alias("value")), keys, "pride", n_folds
         )
     else:
         raise ValueError(f"unknown debias method {method!r}")
-    divided = items.join(lookup(priors.select("prior_key", "fold", "prior")), ["prior_key", "fold"], "left").withColumn(
+    divided = items.join(lookup(priors.select(*keys, "fold", "prior")), [*keys, "fold"], "left").withColumn(
         "debiased", divide_by_prior(F.col("raw"), F.col("prior"), F.col("free"))
     )
     if method == "pride":
         averaged = average_presentations(
-            tagged.join(full, "item_id", "left_semi"), ["item_id"]
+            tagged.join(full, item, "left_semi"), item
         ).withColumnRenamed("probs", "_averaged")
-        divided = divided.join(averaged, "item_id", "left").withColumn(
+        divided = divided.join(averaged, item, "left").withColumn(
             "debiased", F.coalesce("_averaged", "debiased")
         ).drop("_averaged")
     return divided.drop("prior")
 
 
-# --- debiasers by name (extension point) ----------------------------------------------------------
+# --- debiasers as values (extension point) --------------------------------------------------------
+#
+# A debiaser is a frozen dataclass: its fields are its options, ``apply`` its DataFrame transform.
 
-Debias = Callable[..., DataFrame]
-DEBIASERS: dict[str, tuple[Debias, dict[str, Callable[[str], object]]]] = {}
 
+@dataclass(frozen=True)
+class PermutationAverage:
+    """Answer with the average presentation; questions with fewer than two or more than
+    ``max_options`` free options keep their own answer (with a warning in the latter case)."""
 
-def debiaser(name: str, **parameters: Callable[[str], object]) -> Callable[[Debias], Debias]:
-    """Register a DataFrame transform with the parameters its spec text may set."""
+    kind: str = "cyclic"
+    n: int | None = None
+    seed: int = 0
+    max_options: int | None = MAX_FREE_OPTIONS
+
+    def orders(self, free: Column, *keys: Column | str) -> Column:
+        """The presentations to ask for: ``n`` shifts, or ``n`` hashed orders of the keys."""
+        if self.kind == "cyclic":
+            return cyclic_shifts(free) if self.n is None else cyclic_shifts(free, self.n)
+        return random_orders(free, self.n or 2, F.lit(self.seed), *keys)
+
+    def apply(self, items: DataFrame, shown: DataFrame) -> DataFrame:
+        averaged = average_presentations(shown, ["item_id"]).withColumnRenamed("probs", "_averaged")
+        n_free = F.size(F.filter("free", lambda f: f))
+        over = F.lit(False) if self.max_options is None else n_free > self.max_options
+        applies = (n_free >= 2) & ~over
+        warning = F.when(over, F.format_string("permutation: %d free options > max_options=%d", n_free, F.lit(self.max_options or 0)))
+        return (
+            items.join(averaged, "item_id", "left")
+            .withColumn("debiased", F.when(applies, F.coalesce("_averaged", "probs")).otherwise(F.col("probs")))
+            .withColumn("warning", warning)
+            .drop("_averaged")
+        )
 
-    def register(fn: Debias) -> Debias:
-        DEBIASERS[name] = (fn, parameters)
-        return fn
 
-    return register
+@dataclass(frozen=True)
+class StoredPrior:
+    """Divide each question by the stored prior of its key, with a warning where there is none.
+    Priors of fewer than ``min_count`` questions do not count."""
 
+    min_count: int = 1
 
-def debiaser_from_spec(spec: str) -> Callable[..., DataFrame]:
-    """``name`` or ``name:key=value,key=value`` as a transform with those parameters bound."""
-    name, _, rest = spec.partition(":")
-    if name not in DEBIASERS:
-        raise ValueError(f"unknown debiaser {name!r}; known: {sorted(DEBIASERS)}")
-    fn, allowed = DEBIASERS[name]
-    bound: dict[str, object] = {}
-    for setting in rest.split(",") if rest else []:
-        key, eq, value = setting.partition("=")
-        if not eq or key not in allowed:
-            raise ValueError(f"{name}: bad parameter {setting!r}; known: {sorted(allowed)}")
-        bound[key] = allowed[key](value)
-    return lambda *args, **kwargs: fn(*args, **{**bound, **kwargs})
+    def apply(self, items: DataFrame, priors: DataFrame) -> DataFrame:
+        n_free = F.size(F.filter("free", lambda f: f))
+        known = priors if "n" not in priors.columns else priors.where(F.col("n") >= self.min_count)
+        prior = F.when(n_free >= 2, F.col("prior"))
+        return (
+            items.join(lookup(known.select("prior_key", "prior")), "prior_key", "left")
+            .withColumn("debiased", divide_by_prior(F.col("probs"), prior, F.col("free")))
+            .withColumn(
+                "warning",
+                F.when((n_free >= 2) & F.col("prior").isNull(), F.concat(F.lit("batch: no prior for "), F.col("prior_key"))),
+            )
+            .drop("prior")
+        )
 
 
-def _count_or_none(text: str) -> int | None:
-    return None if text in ("all", "none") else int(text)
+@dataclass(frozen=True)
+class PermutedPrior(StoredPrior):
+    """Stored priors of permuted questions; ``alpha`` is the share of questions to permute when they
+    are estimated."""
 
+    alpha: float = 0.05
+    seed: int = 0
 
-@debiaser("permutation", max_options=_count_or_none)
-def permutation_average(
-    items: DataFrame, shown: DataFrame, max_options: int | None = MAX_FREE_OPTIONS
-) -> DataFrame:
-    """Answer with the average presentation; questions with fewer than two or more than
-    ``max_options`` free options keep their own answer (with a warning in the latter case)."""
-    averaged = average_presentations(shown, ["item_id"]).withColumnRenamed("probs", "_averaged")
-    n_free = F.size(F.filter("free", lambda f: f))
-    over = F.lit(False) if max_options is None else n_free > max_options
-    applies = (n_free >= 2) & ~over
-    warning = F.when(over, F.format_string("permutation: %d free options > max_options=%d", n_free, F.lit(max_options or 0)))
-    return (
-        items.join(averaged, "item_id", "left")
-        .withColumn("debiased", F.when(applies, F.coalesce("_averaged", "probs")).otherwise(F.col("probs")))
-        .withColumn("warning", warning)
-        .drop("_averaged")
-    )
+    def sampled(self, items: DataFrame, item: str = "item_id") -> DataFrame:
+        return items.where(hash_uniform(keyed_hash(self.seed, F.col(item))) < self.alpha)
 
 
-@debiaser("batch")
-def divide_batch(items: DataFrame, priors: DataFrame) -> DataFrame:
-    """Divide each question by the stored prior of its key, with a warning where there is none."""
-    n_free = F.size(F.filter("free", lambda f: f))
-    prior = F.when(n_free >= 2, F.col("prior"))
-    return (
-        items.join(lookup(priors.select("prior_key", "prior")), "prior_key", "left")
-        .withColumn("debiased", divide_by_prior(F.col("probs"), prior, F.col("free")))
-        .withColumn(
-            "warning",
-            F.when((n_free >= 2) & F.col("prior").isNull(), F.concat(F.lit("batch: no prior for "), F.col("prior_key"))),
-        )
-        .drop("prior")
-    )
+@dataclass(frozen=True)
+class ContextualPrior:
+    """Divide by the mean answer to ``content_free`` states, estimated once per distinct question.
 
+    ``answers``: question_hash, free, probs of each content-free answer.
+    """
 
-@debiaser("pride")
-def divide_pride(items: DataFrame, priors: DataFrame) -> DataFrame:
-    """Divide by stored priors of permuted questions."""
-    return divide_batch(items, priors)
+    content_free: tuple[str, ...] = ("N/A", "", "[MASK]")
 
+    def apply(self, items: DataFrame, answers: DataFrame) -> DataFrame:
+        priors = batch_priors(answers, ["question_hash"])
+        n_free = F.size(F.filter("free", lambda f: f))
+        return (
+            items.join(lookup(priors.select("question_hash", "prior")), "question_hash", "left")
+            .withColumn(
+                "debiased", divide_by_prior(F.col("probs"), F.when(n_free >= 2, F.col("prior")), F.col("free"))
+            )
+            .drop("prior")
+        )
 
-@debiaser("contextual")
-def divide_contextual(items: DataFrame, content_free: DataFrame) -> DataFrame:
-    """Divide by the mean answer to content-free states, estimated once per distinct question.
 
-    ``content_free``: question_hash, free, probs of each content-free answer.
-    """
-    priors = batch_priors(content_free, ["question_hash"])
-    n_free = F.size(F.filter("free", lambda f: f))
-    return (
-        items.join(lookup(priors.select("question_hash", "prior")), "question_hash", "left")
-        .withColumn(
-            "debiased", divide_by_prior(F.col("probs"), F.when(n_free >= 2, F.col("prior")), F.col("free"))
-        )
-        .drop("prior")
-    )
+DEBIASERS: dict[str, type] = {
+    "permutation": PermutationAverage, "batch": StoredPrior, "pride": PermutedPrior, "contextual": ContextualPrior
+}
+"""Debiasers by name; add dataclasses with an ``apply`` method here."""
+
+
+def make_debiaser(name: str, **options: object) -> object:
+    """A debiaser with options given by keyword. Text values (of a configuration or a command line)
+    take the type of the option's default; ``none`` and ``all`` lift a limit."""
+    if name not in DEBIASERS:
+        raise ValueError(f"unknown debiaser {name!r}; known: {sorted(DEBIASERS)}")
+    defaults = {f.name: f.default for f in fields(DEBIASERS[name])}
+    typed = {}
+    for option, value in options.items():
+        if option not in defaults:
+            raise ValueError(f"bad parameter {option!r} of {name}; known: {sorted(defaults)}")
+        if isinstance(value, str):
+            kind = type(defaults[option])
+            if value in ("none", "all") and not isinstance(defaults[option], str):
+                value = None
+            elif kind is tuple:
+                value = tuple(value.split("|"))
+            elif kind in (int, float, type(None)):
+                value = float(value) if kind is float else int(value)
+        typed[option] = value
+    return DEBIASERS[name](**typed)

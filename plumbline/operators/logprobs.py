@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import vectors as V
+from plumbline.session import broadcast_if_small, lookup
 
 LOW_MASS = 0.5
 LEFTOVER_FLOOR = 2.0**-23
@@ -24,10 +25,11 @@ DECORATIONS = "*()[].:_`'\"- \n\t"
 
 
 def log_sum(values: str | Column) -> Column:
-    """Aggregate: ``ln(sum(exp(values)))``, ``-Infinity`` when every value is (logprobs are at most
-    0, so no shift is needed for range)."""
-    total = F.sum(F.exp(values))
-    return F.when(total > 0, F.ln(total)).when(total == 0, F.lit(V.NEG_INF))
+    """Aggregate: stable ``ln(sum(exp(values)))``, ``-Infinity`` when every value is, NULL without
+    values. Groups are the entries of one request (a top-k list, a question's labels), so gathering
+    them is bounded."""
+    held = F.collect_list(values)
+    return F.when(F.size(held) > 0, V.logsumexp(held))
 
 
 def label_dimension(spark: SparkSession, scheme: str, n_labels: int) -> DataFrame:
@@ -62,7 +64,7 @@ def clean_logprob(lp: Column) -> Column:
 
 def observed_surfaces(topk: DataFrame, labels: DataFrame) -> DataFrame:
     """(request_id, label, pos, surface, logprob): listed surfaces of labels, duplicates added."""
-    small = F.broadcast(labels)  # bounded by the scheme's capacity
+    small = broadcast_if_small(labels)
     return (
         topk.where(F.col("logprob") > V.NEG_INF)
         .join(small, F.col("token") == F.col("surface"))
@@ -113,7 +115,7 @@ def first_token_read(
         }
     )
     per_request = filled.groupBy("request_id").agg(
-        F.ln(F.sum(F.exp("raw"))).alias("_total"),
+        log_sum("raw").alias("_total"),
         F.least(F.lit(1.0), F.coalesce(F.sum(F.exp("logprob")), F.lit(0.0))).alias("observed_mass"),
         F.max("missing").alias("truncated"),
     )
@@ -174,7 +176,8 @@ def echo_rescale(
 
 def sequence_scores(sequences: DataFrame, mode: str = "sum", null: DataFrame | None = None) -> DataFrame:
     """(request_id, label, score) of echo-scored continuations ``token_logprobs``: total logprob,
-    mean per token, or difference to the content-free state's total (``pmi``)."""
+    mean per token, or difference to the content-free state's total (``pmi``; ``null`` has one row
+    per label, or per question_id and label where both tables name questions)."""
     total = V.vsum(F.col("token_logprobs"))
     scored = sequences.where(F.size("token_logprobs") > 0).withColumn("total", total)
     if mode == "sum":
@@ -183,13 +186,18 @@ def sequence_scores(sequences: DataFrame, mode: str = "sum", null: DataFrame | N
         return scored.select("request_id", "label", (F.col("total") / F.size("token_logprobs")).alias("score"))
     if mode != "pmi":
         raise ValueError(f"unknown mode {mode!r}")
-    base = null.select("label", V.vsum(F.col("token_logprobs")).alias("_null"))
+    on = [k for k in ("question_id", "label") if k in sequences.columns and k in null.columns]
+    repeated = F.raise_error(F.concat(F.lit("several content-free scores of "), F.concat_ws(" / ", *on))).cast("double")
+    totals = null.select(*on, V.vsum(F.col("token_logprobs")).alias("_null"))
+    base = totals.groupBy(*on).agg(F.max("_null").alias("_null"), F.count(F.lit(1)).alias("_n"))
+    base = lookup(base.select(*on, F.when(F.col("_n") == 1, F.col("_null")).otherwise(repeated).alias("_null")))
     pmi = (
         F.when(F.col("total") == V.NEG_INF, F.lit(V.NEG_INF))
         .when(F.col("_null") == V.NEG_INF, F.lit(float("inf")))
         .otherwise(F.col("total") - F.col("_null"))
     )
-    return scored.join(base, "label").select("request_id", "label", pmi.alias("score"))
+    # A label without a content-free score has no PMI: it stays, with NULL.
+    return scored.join(base, on, "left").select("request_id", "label", pmi.alias("score"))
 
 
 # --- token trie ----------------------------------------------------------------------------------
@@ -198,23 +206,30 @@ def sequence_scores(sequences: DataFrame, mode: str = "sum", null: DataFrame | N
 def trie_read(
     labels: DataFrame, branches: DataFrame, tau: float = 1e-4
 ) -> DataFrame:
-    """(request_id, label, raw, pruned): chain-rule label logprobs over recorded trie reads.
-
-    ``labels``: label, path ARRAY<token text>. ``branches``: request_id, node (text so far),
-    child (token text), logprob read at that decision point, ends (a label ends at the node).
-    Children are renormalised at a node; where a label ends while longer ones go on, the end gets
-    the mass the children leave. Below a decision point reached with less than ``tau`` every label
-    gets that point's probability, an upper bound.
+    """(request_id, label, raw, logprob, pruned, missing): chain-rule label logprobs over recorded
+    trie reads, and the same renormalised over the request's labels.
+
+    ``labels``: label, path ARRAY<token text>, and question_id where questions differ (``branches``
+    then has it too). ``branches``: request_id, node (text so far), child (token text), logprob read
+    at that decision point, ends (a label ends at the node). Children are renormalised at a node;
+    where a label ends while longer ones go on, the end gets the mass the children leave. A point
+    with one way on decides nothing and counts as 1. Below a decision point that was reached with
+    less than ``tau``, or was not read, every label gets that point's probability (``pruned``); a
+    child that a read does not list gets at most the least listed probability and what the list
+    leaves over (``missing``). Both are upper bounds.
     """
-    at_node = Window.partitionBy("request_id", "node")  # the children of one node
-    total = F.ln(F.sum(F.exp("logprob")).over(at_node))
-    with_total = branches.withColumn("_total", total)
+    asked = ["question_id"] if "question_id" in labels.columns else []
+    at_node = branches.groupBy("request_id", "node").agg(
+        log_sum("logprob").alias("_total"), F.min("logprob").alias("_least"), F.max("ends").alias("_ends")
+    )
+    left = F.ln(F.greatest(1.0 - F.exp("_total"), F.lit(LEFTOVER_FLOOR)))
+    reads = at_node.withColumn("_bound", F.least("_least", left))
     end = F.when(F.col("_total") >= 0, F.lit(V.NEG_INF)).otherwise(F.log1p(-F.exp("_total")))
-    child = F.when(F.col("ends") & (F.col("_total") < 0), F.col("logprob")).otherwise(
+    child = F.when(F.col("_ends") & (F.col("_total") < 0), F.col("logprob")).otherwise(
         F.col("logprob") - F.col("_total")
     )
-    children = with_total.select("request_id", "node", F.col("child"), child.alias("cond"))
-    ends = with_total.where("ends").select("request_id", "node", F.lit("").alias("child"), end.alias("cond")).distinct()
+    children = branches.join(reads, ["request_id", "node"]).select("request_id", "node", "child", child.alias("cond"))
+    ends = reads.where("_ends").select("request_id", "node", F.lit("").alias("child"), end.alias("cond"))
     conditionals = children.unionByName(ends)
     # A label's steps: (text before token i, token i), plus its end.
     step = F.transform(
@@ -226,28 +241,33 @@ def trie_read(
     last = F.array(
         F.struct(F.array_join("path", "").alias("node"), F.lit("").alias("child"), F.size("path").alias("depth"))
     )
-    steps = labels.select("label", F.explode(F.concat(step, last)).alias("s")).select(
-        "label", "s.node", "s.child", "s.depth"
+    steps = labels.select(*asked, "label", F.explode(F.concat(step, last)).alias("s")).select(
+        *asked, "label", "s.node", "s.child", "s.depth"
     )
-    walked = steps.join(conditionals, ["node", "child"]).withColumn(
-        "before",
-        F.coalesce(
-            F.sum("cond").over(
-                Window.partitionBy("request_id", "label").orderBy("depth").rowsBetween(
-                    Window.unboundedPreceding, -1
-                )
-            ),
-            F.lit(0.0),
-        ),
+    ways = steps.groupBy(*asked, "node").agg((F.count_distinct("child") == 1).alias("_only"))
+    steps = steps.join(ways, [*asked, "node"]).withColumn("_all", F.lit(0))
+    requests = branches.select("request_id", *asked).distinct().withColumn("_all", F.lit(0))
+    grid = requests.join(lookup(steps), [*asked, "_all"]).drop("_all")
+    walked = grid.join(conditionals, ["request_id", "node", "child"], "left").join(
+        reads.select("request_id", "node", "_bound"), ["request_id", "node"], "left"
     )
+    cond = F.when(F.col("_only"), F.lit(0.0)).otherwise(F.coalesce("cond", "_bound"))
+    unlisted = ~F.col("_only") & F.col("cond").isNull() & F.col("_bound").isNotNull()
+    walked = walked.withColumns({"_cond": F.coalesce(cond, F.lit(0.0)), "_unread": cond.isNull(), "_unlisted": unlisted})
+    earlier = Window.partitionBy("request_id", "label").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    walked = walked.withColumn("before", F.coalesce(F.sum("_cond").over(earlier), F.lit(0.0)))
     limit = math.log(tau) if tau > 0 else V.NEG_INF
-    walked = walked.withColumn("_cut", F.col("before") < limit)
-    return walked.groupBy("request_id", "label").agg(
-        F.coalesce(
-            F.min_by("before", F.when(F.col("_cut"), F.col("depth"))),
-            F.sum("cond"),
-        ).alias("raw"),
+    cut = ~F.col("_only") & (F.col("before") > V.NEG_INF) & ((F.col("before") < limit) | F.col("_unread"))
+    walked = walked.withColumn("_cut", cut)
+    first_cut = F.min(F.when(F.col("_cut"), F.col("depth")))
+    per_label = walked.groupBy("request_id", "label").agg(
+        F.coalesce(F.min_by("before", F.when(F.col("_cut"), F.col("depth"))), F.sum("_cond")).alias("raw"),
         F.max("_cut").alias("pruned"),
+        (F.min(F.when(F.col("_unlisted"), F.col("depth"))) < F.coalesce(first_cut, F.lit(2**30))).alias("missing"),
+    ).withColumn("missing", F.coalesce("missing", F.lit(False)))
+    total = per_label.groupBy("request_id").agg(log_sum("raw").alias("_t"))
+    return per_label.join(total, "request_id").select(
+        "request_id", "label", "raw", F.when(F.col("_t") > V.NEG_INF, F.col("raw") - F.col("_t")).alias("logprob"), "pruned", "missing"
     )
 
 
@@ -268,7 +288,7 @@ def surface_profile(topk: DataFrame, labels: DataFrame, keys: Sequence[str]) ->
     from plumbline.operators.ranking import exact_quantiles, top_n_per_group
 
     keys = list(keys)
-    names = F.broadcast(labels.select("pos", "label").distinct())
+    names = broadcast_if_small(labels.select("pos", "label").distinct())
     core = F.btrim(F.col("token"), F.lit(DECORATIONS))
     matched = topk.join(names, core == F.col("label"), "left").withColumn(
         "cls", surface_class(F.col("token"), F.col("label"))

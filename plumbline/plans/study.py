@@ -173,10 +173,11 @@ def calibration_study(
     ``items``: system, benchmark, item_id, question_id, stratum, signature, keys, probs, gold_idx
     (and prior_key, free for debiased systems, named ``<system>+<method>``; ``shown`` holds the
     permuted presentations of pride). Items not answered by every system are left out; folds keep a
-    question together; every series shares its resamples.
+    question together; every series shares its resamples. Systems that disagree on an item's keys or
+    gold are an error. Debiased systems are also compared with the same system undebiased.
     """
     n_systems = items.select("system").distinct().count()
-    aligned = A.align(items, n_systems).withColumn("probs", V.normalize("probs"))
+    aligned = A.align(items, n_systems, disagreeing="raise").withColumn("probs", V.normalize("probs"))
     folds = C.assign_folds(aligned, n_folds, seed)
     base = cached(aligned.join(folds, [*CLUSTER, "stratum"]))
     systems = base
@@ -215,7 +216,13 @@ def calibration_study(
         deltas = deltas.unionByName(
             _deltas(replicates, all_points, reference, "system", ["arm", "benchmark"], "reference")
         )
+    for method in debias:
+        plain = F.regexp_replace("system", f"\\+{method}$", "")
+        sided = lambda df, p=plain: df.withColumn("variant", F.when(F.col("system") == p, "plain").otherwise("debiased")).withColumn("system", p)
+        undebiased = _deltas(sided(replicates), sided(all_points), "plain", "variant", ["system", "arm", "benchmark"], "undebiased")
+        deltas = deltas.unionByName(undebiased.withColumn("system", F.concat_ws("+", "system", F.lit(method))).select(*deltas.columns))
     scored.unpersist()
+    base.unpersist()
     return Study(predictions, estimates, deltas, reliability, fits)
 
 
@@ -223,7 +230,7 @@ def _deltas(
     replicates: DataFrame, points: DataFrame, base: str, varied: str, fixed: Sequence[str], against: str
 ) -> DataFrame:
     """Series minus the ``base`` value of ``varied`` with intervals on shared resamples."""
-    keys = ["system", "arm", "benchmark"]
+    keys = list(dict.fromkeys([*fixed, varied]))
     drawn = B.replicate_deltas(replicates, fixed, varied, base, METRICS)
     bounds = B.percentile_intervals(drawn, keys, METRICS)
     metrics = (*METRICS, "ece")

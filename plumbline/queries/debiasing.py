@@ -134,7 +134,7 @@ def prior_with_fixed_option(spark, sf):
     free = F.concat(F.array_repeat(F.lit(True), F.lit(9)), F.array(F.lit(False)))
     items = keyed_items(spark, sf).withColumn("free", free)
     priors = B.batch_priors(items)
-    out = B.debiaser_from_spec("batch")(items, priors)
+    out = B.make_debiaser("batch").apply(items, priors)
     return out.select("item_id", F.posexplode("debiased").alias("pos", "p"))
 
 
@@ -148,7 +148,7 @@ def prior_lookup(spark, sf):
     """Stored priors applied by key; keys without one keep their answer and are warned about."""
     items = keyed_items(spark, sf)
     priors = B.batch_priors(items.where("prior_key = 'choice:10:1'"))
-    out = B.DEBIASERS["batch"][0](items, priors)
+    out = B.make_debiaser("batch").apply(items, priors)
     return out.select("item_id", F.posexplode(V.normalize("debiased")).alias("pos", "p"), "warning")
 
 
@@ -166,7 +166,7 @@ def permutation_policy(spark, sf):
         F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: i < 8)
     )
     items = keyed_items(spark, sf).withColumn("free", free)
-    out = B.debiaser_from_spec("permutation:max_options=8")(items, shown(spark, sf))
+    out = B.make_debiaser("permutation", max_options="8").apply(items, shown(spark, sf))
     return out.select("item_id", F.posexplode("debiased").alias("pos", "p"), "warning")
 
 
@@ -180,5 +180,56 @@ def permutation_policy(spark, sf):
 def contextual_debiased(spark, sf):
     """Answers divided by the mean answer to content-free states of the same question."""
     p = normalised(spark, sf).withColumn("free", free_column()).withColumnRenamed("question_id", "question_hash")
-    out = B.DEBIASERS["contextual"][0](p.where("system = 'a'"), p.where("system = 'b'").select("question_hash", "free", "probs"))
+    out = B.make_debiaser("contextual").apply(p.where("system = 'a'"), p.where("system = 'b'").select("question_hash", "free", "probs"))
     return out.select("item_id", F.posexplode("debiased").alias("pos", "p"))
+
+
+def both_systems(spark, sf):
+    """Raw answers of both systems with prior key, fold and free positions."""
+    i = F.col("item_id").cast("bigint")
+    return normalised(spark, sf).select(
+        "system", "benchmark", "item_id", F.col("probs").alias("raw"),
+        F.concat(F.lit("choice:10:"), (i % 2).cast("string")).alias("prior_key"),
+        (F.col("question_id").cast("bigint") % 5).cast("int").alias("fold"), free_column().alias("free"),
+    )
+
+
+def both_shown(spark, sf):
+    """The presentations with gaps, as both systems' (b's with positions weighted anew)."""
+    a = with_gaps(spark, sf).withColumn("system", F.lit("a"))
+    weighted = F.transform("shown_probs", lambda x, i: x * (i + 1))
+    return a.unionByName(a.withColumn("system", F.lit("b")).withColumn("shown_probs", V.normalize(weighted)))
+
+
+_BOTH = f"items AS (SELECT system, item_id, probs, {_KEY} AS prior_key, question_id::BIGINT % 5 AS fold FROM metrics), il AS (SELECT *, unnest(probs) AS p, unnest(range(0, 10)) AS pos FROM items)"
+_BOTH_OOF = "oof AS (SELECT system, prior_key, f AS fold, pos, avg(v) AS m FROM src, (SELECT unnest(range(0, 5)) AS f) WHERE fold <> f GROUP BY 1, 2, 3, 4)"
+
+
+@query(
+    "batch_debiased_systems",
+    f"""WITH {_BOTH}, src AS (SELECT system, prior_key, fold, pos, p AS v FROM il), {_BOTH_OOF}, d AS (SELECT system, item_id, pos, p / m AS w FROM il JOIN oof USING (system, prior_key, fold, pos))
+    SELECT system, item_id, {n('pos', 'pos')}, {r('w / sum(w) OVER (PARTITION BY system, item_id)', 'p')} FROM d""",
+    ("metrics",),
+)
+def batch_debiased_systems(spark, sf):
+    """Both systems' answers, each divided by its own mean answer of the other folds."""
+    return B.debias_offline(both_systems(spark, sf), "batch").select("system", "item_id", F.posexplode("debiased").alias("pos", "p"))
+
+
+@query(
+    "pride_debiased_systems",
+    f"""WITH {_BOTH}, {_GAPS}, wt AS (SELECT 'a' AS system, item_id, prior_key, ord, shown_probs FROM gaps UNION ALL
+      SELECT 'b', item_id, prior_key, ord, list_transform(w, lambda x: x / list_reduce(w, lambda a, y: a + y)) FROM (SELECT *, list_transform(shown_probs, lambda x, i: x * i) AS w FROM gaps)),
+    long AS (SELECT *, unnest(ord) AS opt, unnest(shown_probs) AS p, unnest(range(0, 10)) AS pos FROM wt),
+    ip AS (SELECT system, item_id, prior_key, pos, w / sum(w) OVER (PARTITION BY system, item_id) AS prior FROM (SELECT system, item_id, prior_key, pos, exp(avg(ln(greatest(p, 1e-6)))) AS w FROM long GROUP BY 1, 2, 3, 4)),
+    full_ AS (SELECT item_id FROM gaps GROUP BY 1 HAVING count(*) = 10),
+    src AS (SELECT i.system, i.prior_key, i.fold, ip.pos, ip.prior AS v FROM ip JOIN full_ USING (item_id) JOIN items i USING (system, item_id)), {_BOTH_OOF},
+    div AS (SELECT system, item_id, pos, p / m AS w FROM il JOIN oof USING (system, prior_key, fold, pos) WHERE item_id NOT IN (SELECT item_id FROM full_)),
+    av AS (SELECT system, item_id, opt AS pos, avg(p) AS w FROM long JOIN full_ USING (item_id) GROUP BY 1, 2, 3), u AS (SELECT * FROM div UNION ALL SELECT * FROM av)
+    SELECT system, item_id, {n('pos', 'pos')}, {r('w / sum(w) OVER (PARTITION BY system, item_id)', 'p')} FROM u""",
+    ("metrics", "presentations"),
+)
+def pride_debiased_systems(spark, sf):
+    """Both systems' answers, each divided by its own permutation priors of the other folds."""
+    out = B.debias_offline(both_systems(spark, sf), "pride", both_shown(spark, sf))
+    return out.select("system", "item_id", F.posexplode("debiased").alias("pos", "p"))

@@ -69,7 +69,7 @@ def labelled_choice_items(spark, sf):
 def classification_items(spark, sf):
     """Documents as a choice among languages, one class out of scope."""
     d = D.table(spark, sf, "documents")
-    codes = [row["lang"] for row in d.select("lang").distinct().orderBy("lang").limit(255).collect()]
+    codes = [row["lang"] for row in d.select("lang").distinct().orderBy("lang").collect()]  # classification() refuses more than 255
     names = ["English" if c == "en" else c for c in codes]
     place = F.array_position(F.array(*[F.lit(c) for c in codes]), F.col("lang")).cast("int") - 1
     items = ds.classification(
@@ -112,8 +112,8 @@ def ordinal_items(spark, sf):
 
 @query(
     "mapped_file_items",
-    f"""SELECT 'mine:' || event_id AS item_id, CASE WHEN event_type IN ('click', 'purchase') THEN 'true' ELSE 'false' END AS gold, event_type AS tag
-    FROM events WHERE event_type <> 'error'""",
+    f"""SELECT 'mine:' || event_id AS item_id, CASE WHEN event_type IN ('click', 'purchase') THEN 'true' WHEN event_type <> 'error' THEN 'false' END AS gold, event_type AS tag,
+      CASE WHEN props IS NULL THEN 'no state' WHEN event_type = 'error' THEN 'gold' END AS problem FROM events""",
 )
 def mapped_file_items(spark, sf):
     """A user's table with a column mapping: yes/no gold in several spellings, bad gold rejected."""
@@ -122,9 +122,10 @@ def mapped_file_items(spark, sf):
         F.when(F.col("event_type") == "click", " Yes").when(F.col("event_type") == "purchase", "1")
         .when(F.col("event_type") == "error", "maybe").otherwise("FALSE")
     )
-    mapping = ds.ColumnMapping("noul", state="props", gold="gold", id="event_id", instructions="Is it?", metadata=("event_type",))
-    items, _ = ds.mapped_items(e.withColumn("gold", gold), mapping, "mine")
-    return items.select("item_id", "gold", F.col("event_type").alias("tag"))
+    fields = {"state": "props", "gold": "gold", "id": "event_id", "instructions": F.lit("Is it?")}
+    items, rejected = ds.mapped_items(e.withColumn("gold", gold), "mine", "noul", fields, ("event_type",))
+    judged = items.withColumn("problem", F.lit(None).cast("string")).unionByName(rejected)
+    return judged.select("item_id", "gold", F.col("event_type").alias("tag"), "problem")
 
 
 @query(
@@ -276,12 +277,10 @@ def permuted_presentations(spark, sf):
 
 @query(
     "random_presentations",
-    f"""WITH draws AS (SELECT question_id, d, list_transform(list_sort(list_transform(range(0, 4), lambda s: {{'h': {sha("'0'", 'question_id', 'd::VARCHAR', 's::VARCHAR')}, 's': s}})), lambda x: x.s) AS o
-      FROM mcq_rows, (SELECT unnest(range(0, 81)) AS d)),
-    named AS (SELECT question_id, d, CASE WHEN d = 0 THEN '0,1,2,3' ELSE array_to_string(o, ',') END AS option_order FROM draws),
-    firsts AS (SELECT question_id, option_order, min(d) AS d FROM named GROUP BY 1, 2),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d) - 1 AS pos FROM firsts)
-    SELECT question_id, {n('pos', 'pos')}, option_order FROM ranked WHERE pos < 5""",
+    f"""WITH nums AS (SELECT question_id, k + 1 AS pos, 1 + (('0x' || substr({sha("'0'", 'question_id', "'place'")}, 1, 15))::BIGINT % 23 + k * 5) % 23 AS num FROM mcq_rows, (SELECT unnest(range(0, 4)) AS k)),
+    a AS (SELECT *, num // 6 AS x, num % 6 AS rest, [0, 1, 2, 3] AS l FROM nums), b AS (SELECT *, list_filter(l, lambda v: v <> x) AS m FROM a),
+    c AS (SELECT *, m[rest // 2 + 1] AS y FROM b), d AS (SELECT *, list_filter(m, lambda v: v <> y) AS o, rest % 2 AS z FROM c)
+    SELECT question_id, {n('pos', 'pos')}, concat_ws(',', x, y, o[z + 1], o[2 - z]) AS option_order FROM d UNION ALL SELECT question_id, 0::BIGINT, '0,1,2,3' FROM mcq_rows""",
     ("mcq_rows",),
 )
 def random_presentations(spark, sf):

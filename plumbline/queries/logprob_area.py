@@ -118,33 +118,35 @@ def echo_rescaled_read(spark, sf):
 
 
 def sequences(spark, sf):
-    """Echo-scored continuations of one to four tokens per request."""
+    """Echo-scored continuations of 16 tokens per request, some far below the range of ``exp``; each
+    request asks one of three questions."""
     e = D.table(spark, sf, "embeddings")
     spans = F.transform(
         F.sequence(F.lit(0), F.lit(3)),
         lambda k: F.struct(
             F.concat(F.lit("o"), k.cast("string")).alias("label"),
-            F.transform(F.slice("embedding", 1 + k * 4, k + 1), lambda x: -F.abs(8.0 * x.cast("double"))).alias("token_logprobs"),
+            F.transform(F.slice("embedding", 1 + k * 16, 16), lambda x: -F.abs(400.0 * x.cast("double"))).alias("token_logprobs"),
         ),
     )
-    return e.select(F.col("vec_id").cast("string").alias("request_id"), F.inline(spans))
+    return e.select(F.col("vec_id").cast("string").alias("request_id"), (F.col("vec_id") % 3).alias("question_id"), F.inline(spans))
 
 
-_SEQ = "seq AS (SELECT vec_id::VARCHAR AS request_id, vec_id, 'o' || k AS label, k + 1 AS len, list_reduce(list_transform(embedding[1 + k * 4:1 + k * 5], lambda x: -abs(8.0::DOUBLE * x::DOUBLE)), lambda a, y: a + y) AS total FROM embeddings, (SELECT unnest(range(0, 4)) AS k))"
+_SEQ = "seq AS (SELECT vec_id::VARCHAR AS request_id, vec_id, 'o' || k AS label, 16 AS len, list_reduce(list_transform(embedding[1 + k * 16:16 + k * 16], lambda x: -abs(400.0::DOUBLE * x::DOUBLE)), lambda a, y: a + y) AS total FROM embeddings, (SELECT unnest(range(0, 4)) AS k))"
 
 
 @query(
     "sequence_scores",
     f"""WITH {_SEQ}, u AS (SELECT request_id, label, 'sum' AS mode, total AS score FROM seq UNION ALL SELECT request_id, label, 'mean', total / len FROM seq
-      UNION ALL SELECT s.request_id, s.label, 'pmi', s.total - n.total FROM seq s JOIN seq n ON n.vec_id = 0 AND n.label = s.label)
-    SELECT mode, request_id, label, {r('score', 'score')}, {r('score - ln(sum(exp(score)) OVER (PARTITION BY mode, request_id))', 'logprob')} FROM u""",
+      UNION ALL SELECT s.request_id, s.label, 'pmi', s.total - n.total FROM seq s JOIN seq n ON n.vec_id < 3 AND n.vec_id = s.vec_id % 3 AND n.label = s.label),
+    m AS (SELECT *, max(score) OVER (PARTITION BY mode, request_id) AS top FROM u)
+    SELECT mode, request_id, label, {r('score', 'score')}, {r('score - top - ln(sum(exp(score - top)) OVER (PARTITION BY mode, request_id))', 'logprob')} FROM m""",
 )
 def sequence_scores(spark, sf):
-    """Echo scores as totals, means per token and differences to a content-free request."""
+    """Echo scores as totals, means per token and differences to the question's content-free request."""
     s = sequences(spark, sf)
     out = None
     for mode in ("sum", "mean", "pmi"):
-        null = s.where("request_id = '0'") if mode == "pmi" else None
+        null = s.where("request_id in ('0', '1', '2')") if mode == "pmi" else None
         part = L.sequence_scores(s, mode, null).withColumn("mode", F.lit(mode))
         out = part if out is None else out.unionByName(part)
     total = out.groupBy("mode", "request_id").agg(L.log_sum("score").alias("_t"))
@@ -155,13 +157,15 @@ def sequence_scores(spark, sf):
 
 @query(
     "trie_read",
-    f"""WITH b AS (SELECT vec_id::VARCHAR AS request_id, 6 * embedding[1]::DOUBLE AS ca, 6 * embedding[2]::DOUBLE AS pin, 6 * embedding[3]::DOUBLE - 1 AS rd, 6 * embedding[4]::DOUBLE - 12 AS sh, -abs(6 * embedding[5]::DOUBLE) - 0.1 AS fee FROM embeddings),
-    t AS (SELECT *, ca - ln(exp(ca) + exp(pin)) AS p_ca, pin - ln(exp(ca) + exp(pin)) AS p_pin, rd - ln(exp(rd) + exp(sh)) AS p_rd, sh - ln(exp(rd) + exp(sh)) AS p_sh FROM b),
+    f"""WITH b AS (SELECT vec_id::VARCHAR AS request_id, 6 * embedding[1]::DOUBLE AS ca, 6 * embedding[2]::DOUBLE AS pin, 6 * embedding[3]::DOUBLE - 1 AS rd, 6 * embedding[4]::DOUBLE - 12 AS sh, -abs(6 * embedding[5]::DOUBLE) - 0.1 AS fee, vec_id % 7 = 3 AS gap FROM embeddings),
+    t AS (SELECT *, ca - ln(exp(ca) + exp(pin)) AS p_ca, pin - ln(exp(ca) + exp(pin)) AS p_pin, CASE WHEN gap THEN 0 ELSE rd - ln(exp(rd) + exp(sh)) END AS p_rd,
+      CASE WHEN gap THEN least(rd, ln(greatest(1 - exp(rd), power(2.0, -23)))) ELSE sh - ln(exp(rd) + exp(sh)) END AS p_sh FROM b),
     u AS (SELECT request_id, ' pin' AS label, p_pin AS raw, false AS pruned FROM t
       UNION ALL SELECT request_id, ' cash', CASE WHEN p_ca < ln(0.5) THEN p_ca ELSE p_ca + p_sh END, p_ca < ln(0.5) FROM t
       UNION ALL SELECT request_id, ' card', CASE WHEN p_ca < ln(0.5) THEN p_ca WHEN p_ca + p_rd < ln(0.5) THEN p_ca + p_rd ELSE p_ca + p_rd + ln(1 - exp(fee)) END, p_ca + p_rd < ln(0.5) FROM t
       UNION ALL SELECT request_id, ' card fee', CASE WHEN p_ca < ln(0.5) THEN p_ca WHEN p_ca + p_rd < ln(0.5) THEN p_ca + p_rd ELSE p_ca + p_rd + fee END, p_ca + p_rd < ln(0.5) FROM t)
-    SELECT request_id, label, {r('raw', 'raw')}, pruned FROM u""",
+    SELECT u.request_id, label, {r('u.raw', 'raw')}, {r('u.raw - ln(sum(exp(u.raw)) OVER (PARTITION BY u.request_id))', 'logprob')}, pruned, coalesce(label = ' cash' AND t.gap AND NOT pruned, false) AS missing
+    FROM u JOIN t ON t.request_id = u.request_id""",
 )
 def trie_read(spark, sf):
     """Label logprobs as products of the conditionals along their token paths, pruned below 0.5."""
@@ -176,7 +180,8 @@ def trie_read(spark, sf):
         *[F.struct(F.lit(a).alias("node"), F.lit(b).alias("child"), lp.alias("logprob"), F.lit(e).alias("ends")) for a, b, lp, e in rows]
     )
     branches = D.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("request_id"), F.inline(reads))
-    return L.trie_read(paths, branches, tau=0.5)
+    gap = (F.col("request_id").cast("bigint") % 7 == 3) & (F.col("child") == "sh")  # not listed
+    return L.trie_read(paths, branches.where(~gap), tau=0.5)
 
 
 @query(
@@ -196,7 +201,7 @@ def surface_profile(spark, sf):
 
 @query(
     "surface_other_tokens",
-    f"""WITH w AS (SELECT doc_id % 3 AS grp, unnest(string_split_regex(substr(text, 1, 1000000), '\\s+')) AS token FROM documents), c AS (SELECT grp, token, count(*) AS n FROM w WHERE token <> '' AND trim(token, '*()[].:_`''"- ' || chr(10) || chr(9)) NOT IN ('A', 'B', 'C', 'D', 'E', 'F', 'G', 'H', 'I', 'J') GROUP BY 1, 2)
+    f"""WITH w AS (SELECT doc_id % 3 AS grp, unnest(string_split_regex(text, '\\s+')) AS token FROM documents), c AS (SELECT grp, token, count(*) AS n FROM w WHERE token <> '' AND trim(token, '*()[].:_`''"- ' || chr(10) || chr(9)) NOT IN ('A', 'B', 'C', 'D', 'E', 'F', 'G', 'H', 'I', 'J') GROUP BY 1, 2)
     SELECT grp, token, {n('n', 'n')}, {n('k', 'rank')} FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, token) AS k FROM c) WHERE k <= 8""",
 )
 def surface_other_tokens(spark, sf):

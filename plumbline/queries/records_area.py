@@ -189,7 +189,7 @@ _PARTIAL = """partial AS (
 )
 def aligned_systems(spark, sf):
     """Rows of items every system answered, in benchmarks every system has."""
-    return A.align(partial_systems(spark, sf), 3).select("system", "benchmark", "item_id")
+    return A.align(partial_systems(spark, sf), 3, disagreeing="leave out").select("system", "benchmark", "item_id")
 
 
 @query(

@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import bisect
-import json
-import math
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import vectors as V
 from plumbline.operators.logprobs import MASKED_LOGPROB, clean_logprob
 
 PAYLOAD_SCHEMA = (
@@ -58,108 +52,90 @@ def usage_rows(payloads: DataFrame, key: str = "request_id") -> DataFrame:
 VALUE_OPENING = r'\s*\{?\s*"?answer"?\s*:\s*"?'
 SAME_LOGPROB = 1e-3
 
-STRUCTURED_COLUMNS = ("request_id", "value", "logprob", "sampled", "failure")
-STRUCTURED_SCHEMA = "request_id string, value string, logprob double, sampled boolean, failure string"
-
-
-def _begins(piece: str, values: list[str]) -> str | None:
-    """The allowed value a reply piece starts (it may break off or run into the closing quote)."""
-    head, quote, _ = piece.partition('"')
-    for value in values:
-        if head and value.startswith(head) and (head == value or not quote):
-            return value
-    return None
-
-
-def _masked(lp: float) -> float:
-    return -math.inf if lp <= MASKED_LOGPROB else min(lp, 0.0)
-
-
-def _log_total(values: list[float]) -> float:
-    top = max(values)
-    return top + math.log(sum(math.exp(v - top) for v in values))
-
-
-def read_structured(content: list[dict], values: list[str]) -> tuple[dict[str, float], str | None, str | None]:
-    """(value -> logprob, generated value, failure) of one structured reply's token list."""
-    tokens = [t["token"] for t in content]
-    opening = re.match(VALUE_OPENING, "".join(tokens))
-    if opening is None:
-        return {}, None, "stuck"
-    start, ends, total = opening.end(), [], 0
-    for t in tokens:
-        total += len(t)
-        ends.append(total)
-    at = bisect.bisect_right(ends, start - 1)
-    if at >= len(tokens):
-        return {}, None, "stuck"
-    prefix = tokens[at][: start - (ends[at] - len(tokens[at]))]
-
-    def alternatives(i: int) -> list[tuple[str, float]] | None:
-        own = (tokens[i], _masked(content[i]["logprob"]))
-        listed = [(a["token"], _masked(a["logprob"])) for a in content[i].get("top_logprobs") or []]
-        fits = any(t == own[0] and (lp == own[1] or abs(lp - own[1]) <= SAME_LOGPROB) for t, lp in listed)
-        return listed if fits else None
-
-    here = alternatives(at)
-    if here is None:
-        return {}, None, "stale list"
-    found: dict[str, list[float]] = {}
-    bare: list[float] = []
-    for token, lp in here:
-        if lp == -math.inf or not token.startswith(prefix):
-            continue
-        piece = token[len(prefix):]
-        value = _begins(piece, values)
-        if value is not None:
-            found.setdefault(value, []).append(lp)
-        elif not piece:
-            bare.append(lp)
-    starts = [*bare, *(lp for lps in found.values() for lp in lps)]
-    if not starts:
-        return {}, None, "value not allowed"
-    scale = _log_total(starts)
-    if tokens[at] == prefix:
-        if at + 1 == len(tokens):
-            return {}, None, "stuck"
-        after = alternatives(at + 1)
-        if after is None:
-            return {}, None, "stale list"
-        for token, lp in after:
-            value = _begins(token, values)
-            if value is not None and lp > -math.inf:
-                found.setdefault(value, []).append(_log_total(bare) + lp)
-        generated = _begins(tokens[at + 1], values)
-    else:
-        generated = _begins(tokens[at][len(prefix):], values)
-    if generated is None:
-        return {}, None, "value not allowed"
-    return {v: min(_log_total(lps) - scale, 0.0) for v, lps in found.items()}, generated, None
+
+
+def _floored(lp: Column) -> Column:
+    return F.when(lp <= MASKED_LOGPROB, F.lit(float("-inf"))).otherwise(F.least(lp, F.lit(0.0)))
+
+
+def _listed(token: Column) -> Column:
+    """Alternatives listed at a token, their logprobs cleaned (none: an empty array)."""
+    held = F.transform(token["top_logprobs"], lambda t: F.struct(t["token"].alias("token"), _floored(t["logprob"]).alias("lp")))
+    return F.coalesce(held, F.expr("cast(array() as array<struct<token: string, lp: double>>)"))
+
+
+def _lists_itself(token: Column) -> Column:
+    """Whether a token's list has the token with its own logprob; if not, the list is stale."""
+    own = _floored(token["logprob"])
+    same = lambda t: (t["token"] == token["token"]) & ((t["lp"] == own) | (F.abs(t["lp"] - own) <= SAME_LOGPROB))
+    return F.exists(_listed(token), same)
+
+
+def _value_of(piece: Column) -> Column:
+    """The first allowed value that ``piece`` begins. A piece may break off within the value, and the
+    closing quote may follow the whole value only."""
+    head = F.substring_index(piece, '"', 1)
+    open_ended = ~F.contains(piece, F.lit('"'))
+    return F.get(F.filter("values", lambda v: (head != "") & F.startswith(v, head) & ((head == v) | open_ended)), F.lit(0))
+
+
+def _lps(entries: Column) -> Column:
+    return F.transform(entries, lambda e: e["lp"])
 
 
 def structured_reads(payloads: DataFrame) -> DataFrame:
     """(request_id, value, logprob, sampled, failure): the distribution over the allowed values of
     logged structured replies, one row per value found, or one row naming why it cannot be read.
 
-    Which piece of which token starts the value is offset arithmetic over a short token list, so
-    each reply is read by a small helper inside an Arrow batch. ``payloads``: request_id, payload
-    (JSON text), values ARRAY<STRING>.
+    The reply's text opens with fixed characters; the token in which they end (and the next one, when
+    they end with that token) lists how the value could have gone on. ``payloads``: request_id,
+    payload (JSON text), values ARRAY<STRING>.
     """
+    reply = parsed(payloads.select("request_id", "payload", "values")).select(
+        "request_id", "values", F.col("_p.choices")[0]["logprobs"]["content"].alias("content")
+    )
+    empty = F.coalesce(F.size("content"), F.lit(0)) <= 0
+    lengths = F.transform("content", lambda t: F.length(t["token"]))
+    opening = F.length(F.regexp_extract(F.array_join(F.transform("content", lambda t: t["token"]), ""), "^" + VALUE_OPENING, 0))
+    placed = reply.withColumns({"opening": opening, "ends": F.transform(lengths, lambda n, i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda x, y: x + y))})
+    # The token that holds the opening's last character.
+    at = F.size(F.filter("ends", lambda e: e < F.col("opening")))
+    placed = placed.withColumns({"here": F.get("content", at), "next": F.get("content", at + 1), "end": F.get("ends", at)})
+    inside = F.length("here.token") - (F.col("end") - F.col("opening"))
+    placed = placed.withColumn("prefix", F.left("here.token", inside))
+    rest = lambda token: F.substring(token, F.length("prefix") + 1, F.length(token))
+    going = F.filter(_listed(F.col("here")), lambda t: (t["lp"] > float("-inf")) & F.startswith(t["token"], F.col("prefix")))
+    placed = placed.withColumn("first", F.transform(going, lambda t: F.struct(_value_of(rest(t["token"])).alias("value"), (rest(t["token"]) == "").alias("bare"), t["lp"].alias("lp"))))
+    placed = placed.withColumns({
+        "starts": F.filter("first", lambda e: e["bare"] | e["value"].isNotNull()),
+        "undecided": V.logsumexp(_lps(F.filter("first", lambda e: e["bare"]))),
+        "split": F.col("here.token") == F.col("prefix"),
+    })
+    later = F.filter(_listed(F.col("next")), lambda t: t["lp"] > float("-inf"))
+    later = F.transform(later, lambda t: F.struct(_value_of(t["token"]).alias("value"), F.lit(False).alias("bare"), (F.col("undecided") + t["lp"]).alias("lp")))
+    none = F.slice("first", 1, 0)
+    placed = placed.withColumns({
+        "found": F.filter(F.concat("first", F.when(F.col("split"), later).otherwise(none)), lambda e: e["value"].isNotNull()),
+        "scale": V.logsumexp(_lps(F.col("starts"))),
+        "sampled": _value_of(F.when(F.col("split"), F.col("next.token")).otherwise(rest(F.col("here.token")))),
+    })
+    failure = (
+        F.when(empty, "empty reply")
+        .when((F.col("opening") == 0) | F.col("here").isNull(), "stuck")
+        .when(~_lists_itself(F.col("here")), "stale list")
+        .when(F.size("starts") == 0, "value not allowed")
+        .when(F.col("split") & F.col("next").isNull(), "stuck")
+        .when(F.col("split") & ~_lists_itself(F.col("next")), "stale list")
+        .when(F.col("sampled").isNull(), "value not allowed")
+    )
+
+    def entry(v: Column) -> Column:
+        lps = _lps(F.filter("found", lambda e: e["value"] == v))
+        return F.struct(v.alias("value"), F.least(V.logsumexp(lps) - F.col("scale"), F.lit(0.0)).alias("logprob"), (v == F.col("sampled")).alias("sampled"), F.lit(None).cast("string").alias("failure"))
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for request, text, values in zip(pdf["request_id"], pdf["payload"], pdf["values"], strict=True):
-                content = ((json.loads(text)["choices"][0].get("logprobs") or {}).get("content")) or []
-                found, generated, failure = (
-                    read_structured(content, list(values)) if content else ({}, None, "empty reply")
-                )
-                if failure is not None:
-                    rows.append((request, None, None, None, failure))
-                rows += [(request, v, lp, v == generated, None) for v, lp in sorted(found.items())]
-            yield pd.DataFrame(rows, columns=STRUCTURED_COLUMNS)
-
-    return payloads.select("request_id", "payload", "values").mapInPandas(read, STRUCTURED_SCHEMA)
+    read = F.transform(F.array_distinct(F.transform("found", lambda e: e["value"])), entry)
+    failed = F.array(F.struct(F.lit(None).cast("string").alias("value"), F.lit(None).cast("double").alias("logprob"), F.lit(None).cast("boolean").alias("sampled"), F.col("failure")))
+    return placed.withColumn("failure", failure).select("request_id", F.inline(F.when(F.col("failure").isNotNull(), failed).otherwise(read)))
 
 
 def structured_profile(reads: DataFrame, keys: DataFrame, n_labels: Column) -> DataFrame:

@@ -8,16 +8,19 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import questions as Q
 from plumbline.functions.hashing import keyed_hash
 from plumbline.operators.records import duplicate_ids
 from plumbline.sources.readers import SourceError, csv_records, jsonl_records, require_columns
 
+MAX_CLASSES = 255
+"""Options of a choice at most."""
 QUESTION_TYPES = ("choice", "score", "noul")
 
 # Level names of the ordinal benchmarks: fixed values.
@@ -47,8 +50,13 @@ def make_item(
 
 
 def multiple_choice(df: DataFrame, benchmark: str, stratum: Column | None = None) -> DataFrame:
-    """Rows (question_id, question, options, answer_index[, answer]) as lettered choices."""
-    gold = Q.letter(F.col("answer_index"))
+    """Rows (question_id, question, options, answer_index[, answer]) as lettered choices. Gold is NULL
+    (which :func:`item_violations` reports) where the index is none of an option or the answer's
+    letter says otherwise."""
+    index = F.col("answer_index")
+    gold = F.when((index >= 0) & (index < F.size("options")), Q.letter(index))
+    if "answer" in df.columns:
+        gold = F.when(F.upper(F.trim("answer")) == gold, gold)
     return make_item(
         df, benchmark, question_id=F.col("question_id"), state=F.col("question"), qtype="choice",
         instructions=F.lit(Q.QUESTION_TEXT), options=Q.lettered_options(F.col("options")), gold=gold,
@@ -71,10 +79,13 @@ def classification(
     df: DataFrame, benchmark: str, text: str, label: str, names: Sequence[str], instructions: str,
     exclude: Sequence[str] = (), row_id: str = "row",
 ) -> DataFrame:
-    """Rows as a choice among class names; rows of excluded classes go, and so do those options."""
+    """Rows as a choice among class names; rows of excluded classes go, and so do those options. A row
+    whose label names no class stays, with NULL gold (which :func:`item_violations` reports)."""
+    if len(set(names)) != len(names) or len(names) - len(exclude) > MAX_CLASSES:
+        raise ValueError(f"{benchmark}: class names must differ and be at most {MAX_CLASSES}")
     shown = F.array(*[F.lit(n) for n in names if n not in exclude])
     name = F.get(F.array(*[F.lit(n) for n in names]), F.col(label))
-    kept = df.withColumn("_name", name).where(~F.col("_name").isin(list(exclude) or [""]))
+    kept = df.withColumn("_name", name).where(F.col("_name").isNull() | ~F.col("_name").isin(list(exclude) or [""]))
     return make_item(
         kept, benchmark, question_id=F.col(row_id), state=F.col(text), qtype="choice",
         instructions=F.lit(instructions), options=Q.named_options(shown), gold=F.col("_name"), stratum=F.col("_name"),
@@ -113,7 +124,8 @@ def question_bank(
     a hashed order of its own, ``n_permutations`` cyclic shifts of it, and "I don't know" last.
 
     The order is a pure function of (seed, question, option): no row position enters, so a bank
-    of any size is one projection.
+    of any size is one projection. A question with fewer options than ``n_permutations`` is an error
+    (:func:`too_short` finds such rows beforehand).
     """
     n = F.size("options")
     hashed = F.array_sort(
@@ -123,8 +135,10 @@ def question_bank(
         )
     )
     base = F.transform(hashed, lambda x: x["i"])
-    shifts = F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1)))
-    shifted = rows.where(n >= n_permutations).withColumn("_base", base).withColumn("permutation_id", shifts)
+    short = F.raise_error(F.concat(F.lit(f"{dataset}: fewer than {n_permutations} options: "), F.col("question_id")))
+    steps = F.sequence(F.lit(0), F.lit(n_permutations - 1))
+    shifts = F.explode(F.when(n >= n_permutations, steps).otherwise(short.cast("array<int>")))
+    shifted = rows.withColumn("_base", base).withColumn("permutation_id", shifts)
     ordered = shifted.withColumn("option_order", Q.rotate(F.col("_base"), F.col("permutation_id")))
     texts = F.transform("option_order", lambda i: F.get("options", i))
     shown = F.concat(texts, F.array(F.lit(Q.IDK_TEXT))) if idk else texts
@@ -142,6 +156,11 @@ def question_bank(
     )
 
 
+def too_short(rows: DataFrame, n_permutations: int) -> DataFrame:
+    """Questions that have fewer options than a bank is to have permutations."""
+    return rows.where(~F.coalesce(F.size("options") >= n_permutations, F.lit(False)))
+
+
 def bank_violations(bank: DataFrame) -> DataFrame:
     """Bank items that break a rule, with the rule's name."""
     n = F.size("option_order")
@@ -173,34 +192,9 @@ def item_violations(items: DataFrame) -> DataFrame:
 
 # --- user files ------------------------------------------------------------------------------------
 
-
-@dataclass(frozen=True)
-class ColumnMapping:
-    """Which columns hold what; instructions and options are fixed or read per row."""
-
-    qtype: str
-    state: str
-    gold: str
-    id: str | None = None
-    instructions: str | None = None
-    instructions_column: str | None = None
-    options: Sequence[str] | Mapping[str, str] | None = None
-    options_column: str | None = None
-    metadata: tuple[str, ...] = field(default_factory=tuple)
-
-    def __post_init__(self) -> None:
-        if self.qtype not in QUESTION_TYPES:
-            raise ValueError(f"question type must be one of {QUESTION_TYPES}")
-        if self.instructions is not None and self.instructions_column is not None:
-            raise ValueError("set instructions or instructions_column, not both")
-        if self.options is not None and self.options_column is not None:
-            raise ValueError("set options or options_column, not both")
-        if self.qtype != "noul" and self.options is None and self.options_column is None:
-            raise ValueError(f"{self.qtype} questions need options or options_column")
-
-    def columns(self) -> list[str]:
-        optional = (self.id, self.instructions_column, self.options_column)
-        return list(dict.fromkeys([self.state, self.gold, *(c for c in optional if c), *self.metadata]))
+FIELDS = ("state", "gold", "id", "instructions", "options")
+"""What a user's columns can stand for. A value is a column's name or an expression (a literal, say)."""
+TEXT_FORMATS = {".jsonl": "jsonl", ".ndjson": "jsonl", ".csv": "csv"}
 
 
 def coerce_gold(qtype: str, value: Column) -> Column:
@@ -214,54 +208,68 @@ def coerce_gold(qtype: str, value: Column) -> Column:
     return F.when(low.isin("true", "yes", "1"), "true").when(low.isin("false", "no", "0"), "false")
 
 
-def _mapped_options(mapping: ColumnMapping) -> Column:
-    if mapping.options_column is not None:
-        text = F.col(mapping.options_column)
-        if mapping.qtype == "score":
-            return Q.level_options(F.from_json(text, "array<string>"))
-        pairs = F.map_entries(F.from_json(text, "map<string,string>"))
-        keyed = F.transform(pairs, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("text")))
-        return F.coalesce(Q.named_options(F.from_json(text, "array<string>")), keyed)
-    if isinstance(mapping.options, Mapping):
-        return F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("text")) for k, v in mapping.options.items()])
-    if mapping.options is not None:
-        values = F.array(*[F.lit(o) for o in mapping.options])
-        return Q.level_options(values) if mapping.qtype == "score" else Q.named_options(values)
-    return Q.noul_options()
-
-
-def mapped_items(rows: DataFrame, mapping: ColumnMapping, name: str) -> tuple[DataFrame, DataFrame]:
-    """(items, rejected): rejected rows have gold that does not fit or no state or id."""
-    chosen = require_columns(rows, mapping.columns(), name)
-    row_id = F.col(mapping.id).cast("string") if mapping.id else (F.monotonically_increasing_id() + 1).cast("string")
-    instructions = (
-        F.col(mapping.instructions_column) if mapping.instructions_column else F.lit(mapping.instructions)
-    )
+def options_of(qtype: str, value: Column) -> Column:
+    """Options from an ARRAY<STRING>, or from text: a JSON list, or a JSON object of keys."""
+    listed = Q.level_options if qtype == "score" else Q.named_options
+    texts = F.from_json(value.cast("string"), "array<string>")
+    entries = F.transform(F.map_entries(F.from_json(value.cast("string"), "map<string,string>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("text")))
+    return listed(texts) if qtype == "score" else F.coalesce(listed(texts), entries)
+
+
+def listed_options(qtype: str, texts: Sequence[str]) -> Column:
+    """The same options for every row."""
+    values = F.array(*[F.lit(t) for t in texts])
+    return Q.level_options(values) if qtype == "score" else Q.named_options(values)
+
+
+def mapped_items(rows: DataFrame, name: str, qtype: str, fields: Mapping[str, str | Column], keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(items, rejected) of a user's table by what its columns stand for (:data:`FIELDS`).
+
+    Rejected rows have gold that does not fit, no state, no id, or an id that another row has
+    (``problem`` says which). Without an id, rows are named by a hash of their content, so ids do not
+    depend on how a table is partitioned.
+    """
+    if qtype not in QUESTION_TYPES:
+        raise SourceError(f"{name}: {qtype!r} is no question type; there are {QUESTION_TYPES}")
+    needed = {"state", "gold", *(["options"] if qtype != "noul" else [])}
+    if not needed <= set(fields) <= set(FIELDS):
+        raise SourceError(f"{name}: {qtype} items need {sorted(needed)} and can have {FIELDS}; given are {sorted(fields)}")
+    chosen = require_columns(rows, [*[c for c in fields.values() if isinstance(c, str)], *keep], name)
+    of = {k: F.col(f"`{v}`") if isinstance(v, str) else v for k, v in fields.items()}
+    content = F.substring(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in chosen.columns])), 256), 1, 16)
+    options = Q.noul_options() if "options" not in fields else options_of(qtype, of["options"]) if isinstance(fields["options"], str) else of["options"]
     items = make_item(
-        chosen, name, question_id=row_id, state=F.col(mapping.state).cast("string"), qtype=mapping.qtype,
-        instructions=instructions, options=_mapped_options(mapping),
-        gold=coerce_gold(mapping.qtype, F.col(mapping.gold)), stratum=F.lit(""), keep=mapping.metadata,
+        chosen, name, question_id=F.coalesce(of["id"].cast("string"), F.lit("")) if "id" in of else content,
+        state=of["state"].cast("string"), qtype=qtype, instructions=of.get("instructions", F.lit(None)), options=options,
+        gold=coerce_gold(qtype, of["gold"]), stratum=F.lit(""), keep=keep,
     )
+    repeated = items.groupBy("question_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    counted = items.join(repeated, "question_id", "left")
     keys = Q.answer_keys(F.col("qtype"), F.col("options"))
-    fits = F.coalesce(
-        F.array_contains(keys, F.col("gold")) & (F.col("question_id") != "") & F.col("state").isNotNull(), F.lit(False)
+    problem = (
+        F.when(F.col("question_id") == "", "no id")
+        .when(F.col("state").isNull(), "no state")
+        .when(~F.coalesce(F.array_contains(keys, F.col("gold")), F.lit(False)), "gold")
+        .when(F.col("_n") > 1, "duplicate id")
     )
-    return items.where(fits), items.where(~fits)
+    judged = counted.select(*items.columns, problem.alias("problem"))
+    return judged.where(F.col("problem").isNull()).drop("problem"), judged.where(F.col("problem").isNotNull())
 
 
-def custom_file(spark: SparkSession, name: str, path: str, mapping: ColumnMapping, format: str | None = None) -> tuple[DataFrame, DataFrame]:
+def custom_file(
+    spark: SparkSession, name: str, path: str, qtype: str, fields: Mapping[str, str | Column], keep: Sequence[str] = (), format: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(items, rejected) of a user's JSON-lines or CSV file."""
-    suffix = format or {".jsonl": "jsonl", ".ndjson": "jsonl", ".csv": "csv"}.get(os.path.splitext(path)[1].lower())
-    if suffix is None:
-        raise SourceError(f"cannot infer the format of {path}; pass format='jsonl' or 'csv'")
-    if suffix == "csv":
-        rows, _ = csv_records(spark, path, mapping.columns(), [mapping.state])
+    kind = format or TEXT_FORMATS.get(os.path.splitext(path)[1].lower())
+    read = list(dict.fromkeys([*[c for c in fields.values() if isinstance(c, str)], *keep]))
+    required = [fields[f] for f in ("state", "gold") if isinstance(fields.get(f), str)]
+    if kind == "csv":
+        rows, _ = csv_records(spark, path, read, required[:1])
+    elif kind == "jsonl":
+        rows, _ = jsonl_records(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in read]), required)
     else:
-        from pyspark.sql import types as T
-
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in mapping.columns()])
-        rows, _ = jsonl_records(spark, path, schema, [mapping.state, mapping.gold])
-    return mapped_items(rows, mapping, name)
+        raise SourceError(f"{path}: say whether its format is 'jsonl' or 'csv'")
+    return mapped_items(rows, name, qtype, fields, keep)
 
 
 # --- registry --------------------------------------------------------------------------------------

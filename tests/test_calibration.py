@@ -151,7 +151,22 @@ def test_fold_assignment_keeps_questions_together(spark):
 
 
 def test_unknown_arms_are_refused():
-    with pytest.raises(ValueError, match="unknown calibrator"):
-        X.Arm.parse("magic@global")
-    with pytest.raises(ValueError, match="unknown scope"):
-        X.Arm.parse("platt@planet")
+    assert X.read_arms(["platt", "vector@benchmark"]) == [("platt", "global"), ("vector", "benchmark")]
+    for name in ("magic@global", "platt@planet"):
+        with pytest.raises(ValueError, match="no such arms"):
+            X.read_arms([name])
+
+
+def test_vector_scaling_over_unequal_numbers_of_keys(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        k = 3 if i % 2 else 5
+        p = rng.dirichlet(np.ones(k))
+        rows.append(("s", f"b{i % 2}", f"k{k}", f"i{i}", f"q{i}", i % 5, p.tolist(), int(rng.choice(k, p=p))))
+    items = spark.createDataFrame(rows, "system string, benchmark string, signature string, item_id string, question_id string, fold int, probs array<double>, gold_idx int")
+    got, _ = X.crossfit(items, ["vector@global", "vector@signature"])
+    out = got.collect()
+    assert len(out) == 600
+    for r in out:
+        assert len(r["probs"]) == (3 if int(r["item_id"][1:]) % 2 else 5) and abs(sum(r["probs"]) - 1) < 1e-9 and all(x is not None for x in r["probs"])

@@ -118,11 +118,20 @@ def test_parameters_round_trip(spark, tmp_path):
 def test_custom_files_and_registry(spark, tmp_path):
     f = tmp_path / "mine.jsonl"
     f.write_text('{"text": "a", "gold": "yes", "id": "1"}\n{"text": "b", "gold": "perhaps", "id": "2"}\n')
-    mapping = ds.ColumnMapping("noul", state="text", gold="gold", id="id", instructions="Is it?")
-    items, rejected = ds.custom_file(spark, "mine", str(f), mapping)
-    assert [(r["item_id"], r["gold"]) for r in items.collect()] == [("mine:1", "true")] and rejected.count() == 1
-    with pytest.raises(ValueError, match="not both"):
-        ds.ColumnMapping("noul", state="s", gold="g", instructions="x", instructions_column="y")
+    fields = {"state": "text", "gold": "gold", "id": "id", "instructions": F.lit("Is it?")}
+    items, rejected = ds.custom_file(spark, "mine", str(f), "noul", fields)
+    assert [(r["item_id"], r["gold"]) for r in items.collect()] == [("mine:1", "true")]
+    assert [(r["item_id"], r["problem"]) for r in rejected.collect()] == [("mine:2", "gold")]
+    with pytest.raises(ds.SourceError, match="need"):
+        ds.custom_file(spark, "mine", str(f), "choice", fields)
+    rows = spark.createDataFrame([("x", "A", "1"), ("y", "B", "1"), ("z", "C", None), (None, "A", "4"), ("w", "Q", "5"), ("v", "B", "6")], "text string, gold string, id string")
+    choice = {"state": "text", "gold": "gold", "id": "id", "options": ds.listed_options("choice", ["A", "B", "C"])}
+    good, bad = ds.mapped_items(rows, "m", "choice", choice)
+    assert [r["question_id"] for r in good.collect()] == ["6"]
+    assert sorted((r["question_id"], r["problem"]) for r in bad.collect()) == [("", "no id"), ("1", "duplicate id"), ("1", "duplicate id"), ("4", "no state"), ("5", "gold")]
+    unnamed = {k: v for k, v in choice.items() if k != "id"}
+    ids = lambda df: {r["question_id"] for r in ds.mapped_items(df, "m", "choice", unnamed)[0].collect()}
+    assert len(ids(rows)) == 4 and ids(rows) == ids(rows.repartition(3, "text"))
     ds.register_benchmark("mine", qtype="noul", license="mine", splits={"test": "all"})(lambda s: items.union(items))
     ds.register_benchmark("wrong", qtype="choice", license="mine", splits={"test": "all"})(lambda s: items.withColumn("item_id", F.lit("w")))
     _, problems = ds.load_benchmarks(spark, ["mine", "wrong"])
@@ -130,6 +139,38 @@ def test_custom_files_and_registry(spark, tmp_path):
     assert [b.name for b in ds.list_benchmarks()] == ["mine", "wrong"]
 
 
+def test_class_names_come_from_the_footer(spark, tmp_path):
+    import json
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from plumbline.sources.readers import class_names
+
+    held = json.dumps({"info": {"features": {"label": {"names": ["no", "yes"]}, "twice": {"names": ["x", "x"]}}}})
+    pq.write_table(pa.table({"label": [0, 1]}).replace_schema_metadata({"huggingface": held}), tmp_path / "t.parquet")
+    pq.write_table(pa.table({"label": [0, 1]}), tmp_path / "bare.parquet")
+    assert class_names(spark, str(tmp_path / "t.parquet"), "label") == ["no", "yes"]
+    for file, column in (("t.parquet", "twice"), ("t.parquet", "other"), ("bare.parquet", "label")):
+        with pytest.raises(ds.SourceError):
+            class_names(spark, str(tmp_path / file), column)
+
+
+def test_bad_rows_are_reported(spark):
+    rows = spark.createDataFrame([("q1", "t", ["a", "b"], 1, "B"), ("q2", "t", ["a", "b"], 1, "A"), ("q3", "t", ["a", "b"], 2, "C")], "question_id string, question string, options array<string>, answer_index int, answer string")
+    items = ds.multiple_choice(rows, "m")
+    assert items.count() == 3 and {r["question_id"] for r in ds.item_violations(items).collect()} == {"q2", "q3"}
+    arc = spark.createDataFrame([("a", "t", (["x", "y"], ["1", "2"]), "2"), ("b", "t", (["x", "y"], ["1", "2"]), "7")], "id string, question string, choices struct<text: array<string>, label: array<string>>, answerKey string")
+    assert {r["question_id"]: r["gold"] for r in ds.labelled_choice(arc, "m").collect()} == {"a": "B", "b": None}
+    labels = spark.createDataFrame([("1", "t", 0), ("2", "t", 9), ("3", "t", 1)], "row string, text string, label int")
+    named = ds.classification(labels, "m", "text", "label", ["x", "y"], "?", ["y"])
+    assert {r["question_id"]: r["gold"] for r in named.collect()} == {"1": "x", "2": None}
+    bank = rows.withColumnsRenamed({"answer_index": "gold_index", "answer": "subject"})
+    assert ds.too_short(bank, 3).count() == 3 and ds.question_bank(bank, "m", n_permutations=2).count() == 6
+    with pytest.raises(Exception, match="fewer than 3 options"):
+        ds.question_bank(bank, "m", n_permutations=3).collect()
+
+
 def test_markdown(spark):
     df = spark.createDataFrame([("b", 0.5, None), ("a", 0.25, 1.0)], "name string, acc double, mae double")
     text = wr.markdown_table(df, [("name", "Name", ""), ("acc", "Accuracy", ".3f"), ("mae", "MAE", ".1f")], ["name"])
