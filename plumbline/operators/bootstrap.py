@@ -158,17 +158,18 @@ def bootstrap_intervals(
     seed: int | str = 0,
     level: float = 0.95,
 ) -> DataFrame:
-    """Mean of each value with its percentile interval per group."""
+    """Mean of each value with its interval per group: BCa from :data:`BCA_MIN_CLUSTERS` clusters,
+    percentile below."""
     groups = list(groups)
     if not groups:
         whole = df.withColumn("_all", F.lit(1))
         return bootstrap_intervals(whole, ["_all"], cluster, values, n_resamples, seed, level).drop("_all")
     sums = bootstrap_sums(df, groups, cluster, values, n_resamples, seed)
-    bounds = percentile_intervals(replicate_means(sums, values), groups, values, level)
+    bounds = intervals(df, replicate_means(sums, values), groups, cluster, values, level)
     points = df.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(F.col(v).cast("double")).alias(v) for v in values]
     )
-    return points.join(bounds, groups)
+    return points.join(bounds.drop("n_clusters", "method"), groups)
 
 
 def excludes_zero(low: Column, high: Column) -> Column:
@@ -230,43 +231,62 @@ def _array_quantile(values: Column, level: Column) -> Column:
     return F.get(values, low) * (1 - part) + F.get(values, high) * part
 
 
-def bca_intervals(
+def intervals(
     df: DataFrame,
+    means: DataFrame,
     groups: Sequence[str],
     cluster: Sequence[str],
-    value: str,
-    n_resamples: int = DEFAULT_RESAMPLES,
-    seed: int | str = 0,
+    values: Sequence[str],
     level: float = 0.95,
     min_clusters: int = BCA_MIN_CLUSTERS,
 ) -> DataFrame:
-    """Mean of ``value`` per group with a bias-corrected accelerated interval, or the percentile
-    interval below ``min_clusters`` clusters; a bootstrap without spread gives the estimate."""
+    """(groups, n_clusters, method, low_<value>, high_<value>) from the replicate ``means`` of
+    ``df``: bias-corrected accelerated intervals for groups with at least ``min_clusters`` clusters,
+    percentile intervals otherwise; replicates without spread give the estimate. All values go
+    through one jackknife pass."""
     groups = list(groups)
+    keys = [*groups, "metric"]
     alpha = (1.0 - level) / 2.0
-    means = replicate_means(
-        bootstrap_sums(df, groups, cluster, [value], n_resamples, seed), [value]
-    )
-    points = jackknife_moments(df, groups, cluster, value)
-    # At most n_resamples values per group: a constant bound.
-    drawn = means.groupBy(*groups).agg(F.sort_array(F.collect_list(f"m_{value}")).alias("_boot"))
+    long = df.select(*dict.fromkeys([*groups, *cluster]), F.inline(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])))
+    points = jackknife_moments(long, keys, cluster, "value")
+    drawn = means.select(*groups, F.inline(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(f"m_{v}").alias("m")) for v in values])))
+    # At most n_resamples values per group and metric: a constant bound.
+    drawn = drawn.groupBy(*keys).agg(F.sort_array(F.collect_list("m")).alias("_boot"))
 
     @F.pandas_udf("low double, high double")
     def levels(fraction: pd.Series, n: pd.Series, accel: pd.Series) -> pd.DataFrame:
         return _bca_levels(fraction, n, accel, alpha)
 
     below = F.size(F.filter("_boot", lambda x: x < F.col("estimate"))) / F.size("_boot")
-    joined = points.join(drawn, groups).withColumn("_fraction", below)
+    joined = points.join(drawn, keys).where(F.size("_boot") > 0).withColumn("_fraction", below)
     use_bca = F.col("n_clusters") >= min_clusters
     joined = joined.withColumn("_levels", levels("_fraction", F.size("_boot").cast("double"), "acceleration"))
-    low_level = F.when(use_bca, F.col("_levels.low")).otherwise(F.lit(alpha))
-    high_level = F.when(use_bca, F.col("_levels.high")).otherwise(F.lit(1.0 - alpha))
+    at = {"low": F.when(use_bca, F.col("_levels.low")).otherwise(F.lit(alpha)), "high": F.when(use_bca, F.col("_levels.high")).otherwise(F.lit(1.0 - alpha))}
     flat = F.array_max("_boot") == F.array_min("_boot")
-    return joined.select(
-        *groups, "estimate",
-        F.when(flat, F.col("estimate")).otherwise(_array_quantile(F.col("_boot"), low_level)).alias("low"),
-        F.when(flat, F.col("estimate")).otherwise(_array_quantile(F.col("_boot"), high_level)).alias("high"),
-        "n_clusters", F.when(use_bca, "bca").otherwise("percentile").alias("method"), "acceleration",
+    ends = joined.withColumns({k: F.when(flat, F.col("estimate")).otherwise(_array_quantile(F.col("_boot"), v)) for k, v in at.items()})
+    named = [F.max(F.when(F.col("metric") == v, F.col(k))).alias(f"{k}_{v}") for v in values for k in ("low", "high")]
+    return ends.groupBy(*groups).agg(
+        F.max("n_clusters").alias("n_clusters"), F.when(F.max("n_clusters") >= min_clusters, "bca").otherwise("percentile").alias("method"), *named
+    )
+
+
+def bca_intervals(
+    df: DataFrame,
+    groups: Sequence[str],
+    cluster: Sequence[str],
+    value: str,
+    n_resamples: int = DEFAULT_RESAMPLES,
+    seed: int | str = 0,
+    level: float = 0.95,
+    min_clusters: int = BCA_MIN_CLUSTERS,
+) -> DataFrame:
+    """Mean of ``value`` per group with the interval of :func:`intervals`, its method and the
+    acceleration."""
+    means = replicate_means(bootstrap_sums(df, groups, cluster, [value], n_resamples, seed), [value])
+    ends = intervals(df, means, groups, cluster, [value], level, min_clusters)
+    moments = jackknife_moments(df, groups, cluster, value).drop("n_clusters")
+    return ends.join(moments, list(groups)).select(
+        *groups, "estimate", F.col(f"low_{value}").alias("low"), F.col(f"high_{value}").alias("high"), "n_clusters", "method", "acceleration"
     )
 
 

@@ -130,20 +130,22 @@ def exact_quantiles(
     rows = df.where(F.col(value).isNotNull()).select(*groups, value)
     if not groups:
         rows, groups = rows.withColumn("_all", F.lit(1)), ["_all"]
-    ranked = with_rank(rows, groups, [value], "_rank", "_size")
+    # One row per different value, so ties of any number are one row of the sort.
+    counts = rows.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = with_prefix_sums(counts, groups, [value], ["_n"])
+    size, last = F.col("total__n"), F.col("cum__n")
+    holds = lambda rank: (rank > last - F.col("_n")) & (rank <= last)
     out = []
     for name, level in probs.items():
         if method == "linear":
-            at = (F.col("_size") - 1) * F.lit(level)
+            at = (size - 1) * F.lit(level)
             low = F.floor(at) + 1
-            high = F.least(low + 1, F.col("_size"))
             part = at - F.floor(at)
-            picked = F.when(F.col("_rank") == low, F.col(value) * (1 - part) + F.when(high == low, F.col(value) * part).otherwise(F.lit(0.0)))
-            picked = picked.when(F.col("_rank") == high, F.col(value) * part)
-            out.append(F.sum(picked).alias(name))
+            share = F.when(holds(low), 1 - part).otherwise(F.lit(0.0)) + F.when(holds(F.least(low + 1, size)), part).otherwise(F.lit(0.0))
+            out.append(F.sum(F.when(share > 0, F.col(value) * share)).alias(name))
         else:
-            target = F.greatest(F.lit(1), F.ceil(F.round(F.col("_size") * F.lit(level), 9)))
-            out.append(F.max(F.when(F.col("_rank") == target, F.col(value))).alias(name))
+            target = F.greatest(F.lit(1), F.ceil(F.round(size * F.lit(level), 9)))
+            out.append(F.max(F.when(holds(target), F.col(value))).alias(name))
     return ranked.groupBy(*groups).agg(*out).drop("_all")
 
 

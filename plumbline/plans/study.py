@@ -90,7 +90,7 @@ def compare(
         F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(v) for v in ("accuracy_a", "accuracy_b", *values)]
     )
     per = (
-        points.join(B.percentile_intervals(means, ["benchmark"], values), "benchmark")
+        points.join(B.intervals(d, means, ["benchmark"], items, values).drop("n_clusters"), "benchmark")
         .join(B.mcnemar(d, ["benchmark"], "correct_a", "correct_b"), "benchmark")
     )
     macro_bounds = B.percentile_intervals(

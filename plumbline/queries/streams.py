@@ -64,15 +64,14 @@ def streamed_latest_records(spark, sf):
 @query(
     "streamed_progress",
     f"""SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS day, system_id, {n('count(*)', 'n_called')}, {n('count(*) FILTER (WHERE NOT ok)', 'n_errors')}, {n('count(*) FILTER (WHERE cached)', 'n_cache_hits')}, {r('sum(cost_usd)', 'spent_usd')}
-    FROM records WHERE time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM records) GROUP BY 1, 2""",
+    FROM records GROUP BY 1, 2""",
     ("records",),
 )
 def streamed_progress(spark, sf):
-    """Calls, errors, cache hits and spend per day: every window the watermark has closed."""
+    """Calls, errors, cache hits and spend per day: every window, open ones and late rows included."""
     base = scratch(spark)
-    live = S.live_progress(log_stream(spark, sf), "1 day")
-    S.ingest(live, f"{base}/out", f"{base}/state").awaitTermination()
-    out = spark.read.parquet(f"{base}/out")
+    S.keep_progress(log_stream(spark, sf), f"{base}/out", f"{base}/state", "1 day").awaitTermination()
+    out = S.merged_progress(spark, f"{base}/out")
     return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "system_id", "n_called", "n_errors", "n_cache_hits", "spent_usd")
 
 
@@ -80,5 +79,5 @@ def streamed_progress(spark, sf):
 def budget_watch(spark, sf):
     """Running spend against a budget."""
     base = scratch(spark)
-    S.watch_budget(log_stream(spark, sf), 0.5, f"{base}/spent", f"{base}/state").awaitTermination()
+    S.within_budget(S.watch_budget(log_stream(spark, sf), 0.5, f"{base}/spent", f"{base}/state"))
     return S.over_budget(spark, f"{base}/spent")

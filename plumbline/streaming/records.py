@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -77,12 +78,9 @@ def compact(spark: SparkSession, table: str, target: str, keys: Sequence[str] =
     merged_latest(spark, table, keys).write.mode("overwrite").parquet(f"{target}/batch=0")
 
 
-def live_progress(stream: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Answered, errors, cache hits and spend per system and event-time window; a window closes
-    ``delay`` after its end."""
+def _progress(rows: DataFrame, window: str) -> DataFrame:
     return (
-        stream.withWatermark("ts", delay)
-        .groupBy(F.window("ts", window), "system_id")
+        rows.groupBy(F.window("ts", window), "system_id")
         .agg(
             F.count(F.lit(1)).alias("n_called"), F.count_if(~F.col("ok")).alias("n_errors"),
             F.count_if(F.coalesce("cached", F.lit(False))).alias("n_cache_hits"),
@@ -92,14 +90,46 @@ def live_progress(stream: DataFrame, window: str = "1 hour", delay: str = "10 mi
     )
 
 
+def live_progress(stream: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Answered, errors, cache hits and spend per system and event-time window, for sinks that need
+    windows to be final: a window closes ``delay`` after its end, and what comes later is lost.
+    :func:`keep_progress` loses nothing."""
+    return _progress(stream.withWatermark("ts", delay), window)
+
+
+def keep_progress(stream: DataFrame, table: str, checkpoint: str, window: str = "1 hour") -> StreamingQuery:
+    """Write each micro-batch's counts per system and window as one increment (replaced when the batch
+    is replayed). Open windows and rows of any lateness are in :func:`merged_progress` at once."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _progress(batch, window).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    return (
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def merged_progress(spark: SparkSession, table: str) -> DataFrame:
+    """The increments added up."""
+    counts = ("n_called", "n_errors", "n_cache_hits", "spent_usd")
+    return spark.read.parquet(table).groupBy("window_start", "system_id").agg(*[F.sum(c).alias(c) for c in counts])
+
+
+BUDGET_SPENT = "the budget is spent"
+
+
 def watch_budget(stream: DataFrame, budget_usd: float, spent_path: str, checkpoint: str) -> StreamingQuery:
-    """Record each micro-batch's spend under ``spent_path``; :func:`over_budget` sums it. One row
-    per batch, replaced on replay."""
+    """Record each micro-batch's spend under ``spent_path``, one row per batch, replaced on replay. The
+    batch that reaches the budget ends the query (:data:`BUDGET_SPENT`), so no later batch is read;
+    :func:`within_budget` waits for either end."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("spent_usd")).withColumn(
             "budget_usd", F.lit(budget_usd)
         ).write.mode("overwrite").parquet(f"{spent_path}/batch={batch_id}")
+        if over_budget(batch.sparkSession, spent_path).first()["stop"]:
+            raise RuntimeError(BUDGET_SPENT)
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -107,6 +137,17 @@ def watch_budget(stream: DataFrame, budget_usd: float, spent_path: str, checkpoi
     )
 
 
+def within_budget(query: StreamingQuery) -> bool:
+    """Wait for a query of :func:`watch_budget`; False when the budget ended it."""
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as error:
+        if BUDGET_SPENT not in str(error):
+            raise
+        return False
+    return True
+
+
 def over_budget(spark: SparkSession, spent_path: str) -> DataFrame:
     """(spent_usd, budget_usd, stop)."""
     return spark.read.parquet(spent_path).agg(

@@ -56,6 +56,17 @@ def test_bca_reduces_to_percentile_below_the_threshold(spark):
     assert bca["method"] == "bca" and bca["low"] < bca["estimate"] < bca["high"]
 
 
+def test_bca_is_the_default_from_500_clusters(spark):
+    small, large = paired(spark, 499), paired(spark, 500)
+    run = lambda df: B.bootstrap_intervals(df, ["benchmark"], ["benchmark", "item_id"], ["d"], 400).first()
+    direct = B.bca_intervals(large, ["benchmark"], ["benchmark", "item_id"], "d", 400, min_clusters=10).first()
+    got = run(large)
+    assert direct["n_clusters"] >= 500 and (got["low_d"], got["high_d"]) == (direct["low"], direct["high"])
+    percentile = B.bca_intervals(small, ["benchmark"], ["benchmark", "item_id"], "d", 400, min_clusters=10**9).first()
+    few = run(small.limit(499))
+    assert percentile["method"] == "percentile" and few["low_d"] <= few["d"] <= few["high_d"]
+
+
 @pytest.mark.parametrize(("a", "b", "p"), [(1, 5, 14 / 64), (3, 3, 1.0), (0, 0, 1.0), (0, 10, 2 / 1024)])
 def test_mcnemar(spark, a, b, p):
     rows = [("g", True, False)] * a + [("g", False, True)] * b + [("g", True, True)] * 4

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import hashlib
 import json
 
@@ -217,10 +218,26 @@ def test_stream_resumes_exactly_once_and_success_wins(spark, tmp_path):
     assert ST.merged_latest(spark, f"{base}/compact").count() == 2
 
 
-def test_budget_stop(spark, tmp_path):
+def test_a_budget_stops_the_stream(spark, tmp_path):
     log = tmp_path / "log"
     log.mkdir()
-    write_lines(log / "1.jsonl", [record("i1", cost=3.0), record("i2", cost=4.0)])
-    ST.watch_budget(stream_log(spark, str(log)), 5.0, f"{tmp_path}/spent", f"{tmp_path}/c").awaitTermination()
-    got = ST.over_budget(spark, f"{tmp_path}/spent").first()
+    for k, cost in enumerate((3.0, 4.0, 100.0)):
+        write_lines(log / f"{k}.jsonl", [record(f"i{k}", cost=cost)])
+        os.utime(log / f"{k}.jsonl", (1_000 + k, 1_000 + k))
+    watch = lambda limit, name: ST.within_budget(ST.watch_budget(stream_log(spark, str(log)), limit, f"{tmp_path}/{name}", f"{tmp_path}/c-{name}"))
+    assert watch(5.0, "small") is False
+    got = ST.over_budget(spark, f"{tmp_path}/small").first()
     assert got["spent_usd"] == 7.0 and got["stop"]
+    assert watch(500.0, "large") is True and ST.over_budget(spark, f"{tmp_path}/large").first()["spent_usd"] == 107.0
+
+
+def test_progress_counts_open_windows_and_late_rows(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    times = ("2026-01-03T00:00:01Z", "2026-01-01T00:00:01Z", "2026-01-03T00:00:05Z")
+    for k, ts in enumerate(times):
+        write_lines(log / f"{k}.jsonl", [record(f"i{k}", cost=1.0, ts=ts)])
+        os.utime(log / f"{k}.jsonl", (1_000 + k, 1_000 + k))
+    ST.keep_progress(stream_log(spark, str(log)), f"{tmp_path}/out", f"{tmp_path}/c", "1 day").awaitTermination()
+    got = {str(r["window_start"])[:10]: (r["n_called"], r["spent_usd"]) for r in ST.merged_progress(spark, f"{tmp_path}/out").collect()}
+    assert got == {"2026-01-01": (1, 1.0), "2026-01-03": (2, 2.0)}
