@@ -9,8 +9,8 @@ SEPARATOR = "\x1f"
 
 
 def keyed_hash(*parts: Column | str | int) -> Column:
-    """Hex SHA-256 of the parts joined by the unit separator."""
-    columns = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    """Hex SHA-256 of the parts joined by the unit separator; a NULL part keeps its place."""
+    columns = [F.coalesce(p.cast("string"), F.lit("\x00")) if isinstance(p, Column) else F.lit(str(p)) for p in parts]
     return F.sha2(F.concat_ws(SEPARATOR, *columns), 256)
 
 

@@ -24,8 +24,11 @@ def with_scores(df: DataFrame) -> DataFrame:
     Needs ``qtype`` (choice / score / noul), ``probs`` (key order; yes-no: [P(yes), P(no)]),
     ``gold_idx``, ``choice_idx`` (the returned choice), ``score`` (expected level) and ``idk_idx``.
     Adds correct, p_gold, nll, brier, confidence, abstained, abs_error, within_one. Choice answers
-    are judged by the returned choice, levels by the most likely level, yes-no at 0.5.
+    are judged by the returned choice, levels by the most likely level, yes-no at 0.5. An answer
+    without a choice is wrong; without gold nothing is scored (correct, p_gold, nll and brier are
+    NULL), so every measure leaves the same rows out.
     """
+    asked = F.col("gold_idx").isNotNull()
     is_noul, is_score = F.col("qtype") == "noul", F.col("qtype") == "score"
     yes = F.get("probs", F.lit(0))
     probs = F.when(is_noul, F.col("probs")).otherwise(V.normalize(F.col("probs")))
@@ -37,12 +40,12 @@ def with_scores(df: DataFrame) -> DataFrame:
     return (
         df.withColumn("_probs", probs)
         .withColumn("_predicted", predicted)
-        .withColumn("p_gold", V.at(F.col("_probs"), F.col("gold_idx")))
+        .withColumn("p_gold", F.when(asked, V.at(F.col("_probs"), F.col("gold_idx"))))
         .withColumns(
             {
-                "correct": F.col("_predicted") == F.col("gold_idx"),
-                "nll": nll(F.col("p_gold")),
-                "brier": F.when(
+                "correct": F.when(asked, F.coalesce(F.col("_predicted") == F.col("gold_idx"), F.lit(False))),
+                "nll": F.when(asked, nll(F.col("p_gold"))),
+                "brier": F.when(~asked, F.lit(None)).when(
                     is_noul, 2.0 * (1.0 - F.col("p_gold")) * (1.0 - F.col("p_gold"))
                 ).otherwise(brier(F.col("_probs"), F.col("p_gold"))),
                 "confidence": V.at(F.col("_probs"), F.col("_predicted")),

@@ -8,6 +8,7 @@ Parameter tables are checkpointed between iterations; rows never leave the execu
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -84,7 +85,8 @@ def _iterate(
     tolerance: float,
 ) -> DataFrame:
     """Advance ``state`` (one row per fit, with a ``moved`` column) until no fit moves. ``step``
-    gets the state and whether its measured size allows a broadcast."""
+    gets the state and whether its measured size allows a broadcast. Fits that still move after
+    ``max_iterations`` are named in a warning."""
     measure = lambda s: s.agg(F.count(F.lit(1)), F.sum(row_bytes(s)), F.max("moved")).first()
     state = checkpoint(state)
     rows, size, moved = measure(state)
@@ -94,6 +96,9 @@ def _iterate(
         rows, size, moved = measure(state)
         if moved is None or moved < tolerance:
             break
+    else:
+        still = state.where(F.col("moved") >= tolerance).count()
+        warnings.warn(f"{still} of {rows} fits had not settled after {max_iterations} rounds", stacklevel=3)
     return state
 
 

@@ -23,10 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of an input with fewer splits than cores dealt over the cores (a small file has one
+    """Rows of an input with fewer files than shuffle partitions dealt over those (a small file has one
     row group, so one task would do all the work); larger inputs stay as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts) if len(df.inputFiles()) < parts else df
 
 
 def _rounded(p):
