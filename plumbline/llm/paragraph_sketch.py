@@ -5,13 +5,14 @@ digest. A sketch has three tables; a digest falls into one cell of each, and a c
 digests it has, their XOR and the XOR of their check values. Subtracting two sketches cancels what
 the texts share; cells left with one digest give it away, and taking it out of its other cells
 (peeling) frees the next, until the digests that differ are known. When peeling gets stuck the
-pair is sketched larger, in shards of at most 64 digests. Everything is built-in column functions.
+pair is sketched four times as large. Long texts are sketched in shards of about 48 digests, so the
+work on a text grows with its length. Cells are grouped sums over exploded digests, peeling works
+on one shard's array of cells; everything is built-in column functions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,11 +21,13 @@ from pyspark.sql import functions as F
 PARAGRAPH_END = "\n|(?<=[.!?;:|])\\s"
 BASE = 8
 """Cells in each of the three tables of the published fingerprint."""
-SHARD = 64
-"""Digests of a text in a shard at most, about."""
-BUCKET_ROWS, MOST_BUCKETS = 500, 4096
+SHARD = 48
+"""Digests of a text in a shard at most, on average."""
+BUCKET_ROWS, MOST_CUTS, MOST_PARTS = 500, 4096, 16
 UNLIKE = 0.85
 """Share of all digests that must be estimated to differ for a pair not to be sketched larger."""
+SHARP = 16
+"""Cells of a table from which that estimate is sharp enough to go by."""
 _STEPS = [1 << k for k in range(30, -1, -1)]
 
 
@@ -49,89 +52,62 @@ def digests(text: Column) -> Column:
     return let(hashed, numbered)
 
 
-def _cell(x: Column, table: int | Column, size: Column) -> Column:
-    """Cell of a digest within a table: tables use different bits."""
-    shift = table * 18 if isinstance(table, int) else (table * 18).cast("int")
-    return F.shiftrightunsigned(x, shift).bitwiseAND(size - 1) if isinstance(shift, int) else F.call_function("shiftrightunsigned", x, shift).bitwiseAND(size - 1)
+def places(x: Column, size: Column) -> list[Column]:
+    """The cell of a digest in each of the three tables of ``size`` (a power of two) cells."""
+    mask = size - 1
+    return [F.shiftrightunsigned(x, 18 * t).bitwiseAND(mask) + size * t for t in range(3)]
 
 
-def _sums(held: Column) -> tuple[Column, Column]:
-    xor = F.aggregate(held, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
-    check = F.aggregate(held, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(F.xxhash64(x)))
-    return xor, check
+def base_sketch(s: Column) -> Column:
+    """Cells (n, x) of the published fingerprint, in order."""
 
+    def cell(t: int, j: int) -> Column:
+        held = F.filter(s, lambda x: F.shiftrightunsigned(x, 18 * t).bitwiseAND(F.lit(BASE - 1).cast("bigint")) == F.lit(j).cast("bigint"))
+        xor = lambda f: F.aggregate(f, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
+        return let(held, lambda f: F.struct(F.size(f).alias("n"), xor(f).alias("x")))
 
-def sketch(s: Column, size: Column) -> Column:
-    """Cells (n, x, k) of the digests ``s``: three tables of ``size`` (a power of two) cells in a
-    row."""
-
-    def table(t: int) -> Column:
-        def cell(j: Column) -> Column:
-            held = F.filter(s, lambda x: _cell(x, t, size) == j)
-            return let(held, lambda f: F.struct(F.size(f).alias("n"), _sums(f)[0].alias("x"), _sums(f)[1].alias("k")))
-
-        return F.transform(F.sequence(F.lit(0).cast("bigint"), size - 1), cell)
-
-    return F.concat(table(0), table(1), table(2))
-
-
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(
-        a, b, lambda p, q: F.struct((p["n"] - q["n"]).alias("n"), p["x"].bitwiseXOR(q["x"]).alias("x"), p["k"].bitwiseXOR(q["k"]).alias("k"))
-    )
-
-
-def _blank(c: Column) -> Column:
-    return (c["n"] == 0) & (c["x"] == 0) & (c["k"] == 0)
+    return F.array(*[cell(t, j) for t in range(3) for j in range(BASE)])
 
 
 def peel(cells: Column, size: Column) -> Column:
-    """Digests (x, and n: 1 of the first text only, -1 of the second) that a difference of sketches
-    gives back, or NULL where it does not come apart whole. Each round takes out all that stand
-    alone; a round that finds none ends it."""
+    """Digests that the cells (c, n, x, k: none blank) of a difference of sketches give back, or NULL
+    where it does not come apart whole. Each round takes out all that stand alone; a round that
+    finds none ends it."""
 
     def round_(state: Column, _: Column) -> Column:
         alone = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["x"]) == c["k"]))
-        found = F.array_distinct(F.transform(alone, lambda c: F.struct(c["x"].alias("x"), c["n"].alias("n"))))
-
-        def taken(f: Column) -> Column:
-            def less(c: Column, j: Column) -> Column:
-                t = F.floor(j / size)
-                mine = F.filter(f, lambda d: _cell(d["x"], t, size) == j - t * size)
-                return F.when(_blank(c), c).otherwise(
-                    let(
-                        mine,
-                        lambda m: F.struct(
-                            (c["n"] - F.aggregate(m, F.lit(0), lambda a, d: a + d["n"])).alias("n"),
-                            c["x"].bitwiseXOR(_sums(F.transform(m, lambda d: d["x"]))[0]).alias("x"),
-                            c["k"].bitwiseXOR(_sums(F.transform(m, lambda d: d["x"]))[1]).alias("k"),
-                        ),
-                    )
-                )
-
-            return F.struct(
-                F.transform(state["cells"], less).alias("cells"), F.concat(state["found"], f).alias("found"), F.lit(True).alias("on")
-            )
+        named = F.transform(alone, lambda c: F.struct(c["x"].alias("x"), c["n"].alias("n"), F.array(*places(c["x"], size)).alias("at")))
+
+        def taken(found: Column) -> Column:
+            touched = F.flatten(F.transform(found, lambda f: f["at"]))
+
+            def less(c: Column, hit: Column) -> Column:
+                mine = F.filter(found, lambda f: F.array_contains(f["at"], c["c"]))
+                start = F.struct(c["n"].alias("n"), c["x"].alias("x"), c["k"].alias("k"))
+                off = lambda a, f: F.struct((a["n"] - f["n"]).alias("n"), a["x"].bitwiseXOR(f["x"]).alias("x"), a["k"].bitwiseXOR(F.xxhash64(f["x"])).alias("k"))
+                rest = F.aggregate(mine, start, off, lambda a: F.struct(c["c"].alias("c"), a["n"].alias("n"), a["x"].alias("x"), a["k"].alias("k")))
+                return F.when(F.array_contains(hit, c["c"]), rest).otherwise(c)
+
+            left = let(touched, lambda hit: F.transform(state["cells"], lambda c: less(c, hit)))
+            kept = F.filter(left, lambda c: (c["n"] != 0) | (c["x"] != 0) | (c["k"] != 0))
+            return F.struct(kept.alias("cells"), (state["found"] + F.size(found)).alias("found"), F.lit(True).alias("on"))
 
         stop = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("on"))
-        return F.when(~state["on"], state).otherwise(let(found, lambda f: F.when(F.size(f) > 0, taken(f)).otherwise(stop)))
+        return F.when(~state["on"], state).otherwise(let(F.array_distinct(named), lambda f: F.when(F.size(f) > 0, taken(f)).otherwise(stop)))
 
-    none = F.expr("cast(array() as array<struct<x: bigint, n: int>>)")
-    start = F.struct(cells.alias("cells"), none.alias("found"), F.lit(True).alias("on"))
-    rounds = F.sequence(F.lit(1), F.lit(40))
-    return let(F.aggregate(rounds, start, round_), lambda s: F.when(F.forall(s["cells"], _blank), s["found"]))
+    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(True).alias("on"))
+    return let(F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, round_), lambda s: F.when(F.size(s["cells"]) == 0, s["found"]))
 
 
-def _estimate(cells: Column, size: Column, total: Column) -> Column:
-    """How many digests differ, from the share of cells that are not blank (at most ``total``)."""
-    blank = F.size(F.filter(cells, _blank))
-    share = F.greatest(blank.cast("double"), F.lit(0.5)) / (size * 3)
-    return F.least(-F.log(share) * size, total.cast("double"))
+def estimated(cells: Column, size: Column, total: Column) -> Column:
+    """How many digests differ, from the share of cells that are blank (at most ``total``)."""
+    blank = F.greatest(size * 3.0 - F.size(cells), F.lit(0.5))
+    return F.least(-F.log(blank / (size * 3.0)) * size, total.cast("double"))
 
 
 def _power_of_two(n: Column) -> Column:
     """The smallest power of two of at least ``n``."""
-    return F.expr("1L").cast("bigint") * F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n.cast("double"), F.lit(1.0))))).cast("bigint")
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n.cast("double"), F.lit(1.0))))).cast("bigint")
 
 
 def bound(df: DataFrame, **columns: Column) -> DataFrame:
@@ -141,46 +117,58 @@ def bound(df: DataFrame, **columns: Column) -> DataFrame:
     return held.select(*df.columns, *[F.col("_bound")[n].alias(n) for n in columns])
 
 
-def shards_of(which: int, a: Column, b: Column) -> Column:
-    """The digests of two texts in matching shards (which, a, b, m), m the size to begin with."""
-    count = _power_of_two(F.greatest(F.size(a), F.size(b)) / SHARD)
-
-    def shard(j: Column, n: Column) -> Column:
-        part = lambda s: F.filter(s, lambda x: F.shiftrightunsigned(x, 54).bitwiseAND(n - 1) == j)
-        sized = lambda p, q: _power_of_two(F.greatest(F.greatest(F.size(p), F.size(q)) / 2, F.lit(4)))
-        return let(part(a), lambda p: let(part(b), lambda q: F.struct(F.lit(which).alias("which"), p.alias("a"), q.alias("b"), sized(p, q).alias("m"))))
-
-    return let(count, lambda n: F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda j: shard(j, n)))
-
-
-def _cells(grown: int, p: Column) -> Column:
-    """Difference of the sketches of a pair that is still open."""
-    size = p["w"]["m"] * grown
-    none = F.expr("cast(array() as array<struct<n: int, x: bigint, k: bigint>>)")
-    return F.when(p["s"]["open"], subtract(sketch(p["w"]["a"], size), sketch(p["w"]["b"], size))).otherwise(none)
+LEVELS = (1, 4)
+"""Sizes at which a pair is sketched, as multiples of the first."""
+_FAR = 1 << 24
 
 
-def _state(grown: int, last: bool, p: Column) -> Column:
-    """d, how many digests of a pair differ, and whether it is to be sketched larger."""
-    size, total = p["w"]["m"] * grown, F.size(p["w"]["a"]) + F.size(p["w"]["b"])
-    peeled = F.coalesce(F.size(peel(p["c"], size)).cast("double"), F.lit(-1.0))
-    guess = _estimate(p["c"], size, total)
-    unsolved = F.struct(guess.alias("d"), (F.lit(not last) & (guess <= total * UNLIKE)).alias("open"))
-    solved = lambda d: F.struct(d.alias("d"), F.lit(False).alias("open"))
-    return F.when(~p["s"]["open"], p["s"]).otherwise(let(peeled, lambda d: F.when(d >= 0, solved(d)).otherwise(unsolved)))
+def compared(lines: DataFrame, payload: list[str]) -> DataFrame:
+    """``payload`` with likeness_e and likeness_n of the digests h to eh and to nh of each row of
+    ``lines``, which are dealt by ``b``.
 
-
-def with_differing(df: DataFrame, work: str, out: str) -> DataFrame:
-    """``df`` with, for each entry of the array ``work``, how many digests differ: peeled at three
-    growing sizes; estimated where next to nothing is shared, or in the last resort."""
-    df = bound(df, _state=F.transform(work, lambda w: F.struct(F.lit(-1.0).alias("d"), F.lit(True).alias("open"))))
-    for attempt in range(3):
-        paired = F.arrays_zip(F.col(work).alias("w"), F.col("_state").alias("s"))
-        df = bound(df, _cells=F.transform(paired, partial(_cells, 1 << attempt)))
-        tried = F.arrays_zip(F.col(work).alias("w"), F.col("_state").alias("s"), F.col("_cells").alias("c"))
-        step = partial(_state, 1 << attempt, attempt == 2)
-        df = bound(df, _next=F.transform(tried, step)).drop("_state", "_cells").withColumnRenamed("_next", "_state")
-    return df.withColumnRenamed("_state", out)
+    Sketches of both pairs are taken by one grouping over exploded digests (sign 1 for the first
+    text, -1 for the second, which is the difference of their sketches), peeled shard by shard at
+    the first size, where that fails at the next, and estimated where next to nothing is shared or
+    in the last resort. All groups lie within a row's bucket, so nothing is shuffled again.
+    """
+    ne, nn = F.greatest(F.size("h"), F.size("eh")), F.greatest(F.size("h"), F.size("nh"))
+    shards = lambda n: F.least(_power_of_two(n / SHARD), F.lit(1024).cast("bigint"))
+    first = lambda n, s: F.when(s == 1, F.greatest(_power_of_two(n / 2), F.lit(4).cast("bigint"))).otherwise(F.lit(32).cast("bigint"))
+    held = bound(lines.withColumn("rid", F.monotonically_increasing_id()), se=shards(ne), sn=shards(nn), payload=F.struct(*payload, (F.size("h") + F.size("eh")).alias("te"), (F.size("h") + F.size("nh")).alias("tn")))
+    held = held.withColumns({"me": first(ne, F.col("se")), "mn": first(nn, F.col("sn")), "p1": F.size("h"), "p2": F.size("h") + F.size("eh"), "p3": F.size("h") * 2 + F.size("eh")})
+    everything = F.concat("h", "eh", "h", "nh", F.array(F.lit(0).cast("bigint")))
+    last = F.size("h") * 2 + F.size("eh") + F.size("nh")
+    ids = ["b", "rid", "payload", "se", "sn", "me", "mn", "p1", "p2", "p3"]
+    rows = held.select(*ids, last.alias("p4"), F.posexplode(everything).alias("pos", "x"))
+    pair = F.when(F.col("pos") < F.col("p2"), 0).when(F.col("pos") < F.col("p4"), 1).otherwise(2)
+    sign = F.when((F.col("pos") < F.col("p1")) | ((F.col("pos") >= F.col("p2")) & (F.col("pos") < F.col("p3"))), 1).otherwise(-1)
+    own_shards, own_size = F.when(pair == 0, F.col("se")).otherwise(F.col("sn")), F.when(pair == 0, F.col("me")).otherwise(F.col("mn"))
+    rows = rows.select(
+        "b", "rid", "x", pair.alias("pair"), sign.alias("sign"), own_size.alias("m"), F.shiftrightunsigned("x", 54).bitwiseAND(own_shards - 1).alias("shard"),
+        F.when(pair == 2, F.col("payload")).alias("payload"),
+    )
+    cells = [p + _FAR * k for k, grown in enumerate(LEVELS) for p in places(F.col("x"), F.col("m") * grown)]
+    each = rows.withColumn("c", F.explode(F.when(F.col("pair") < 2, F.array(*cells)).otherwise(F.array(F.lit(-1).cast("bigint")))))
+    keys = ["b", "rid", "pair", "shard", "m", "payload"]
+    xor = lambda c: F.bit_xor(c)
+    summed = each.groupBy(*keys, "c").agg(F.sum("sign").cast("int").alias("n"), xor("x").alias("x"), xor(F.xxhash64("x")).alias("k"), F.count(F.lit(1)).alias("held"))
+    blank = (F.col("n") == 0) & (F.col("x") == 0) & (F.col("k") == 0) & (F.col("pair") < 2)
+    one = F.when(~blank, F.struct("c", "n", "x", "k"))
+    # One entry per cell of a shard: at most 15 times its digests. Each digest is in three cells of a level.
+    shard = summed.groupBy(*keys).agg(F.collect_list(one).alias("cells"), F.sum(F.when(F.col("c") < _FAR, F.col("held"))).alias("held"))
+    total = F.when(F.col("pair") < 2, F.floor(F.col("held") / 3))
+    level = lambda k: F.transform(
+        F.filter("cells", lambda c: (c["c"] >= _FAR * k) & (c["c"] < _FAR * (k + 1))), lambda c: F.struct((c["c"] - _FAR * k).alias("c"), c["n"].alias("n"), c["x"].alias("x"), c["k"].alias("k"))
+    )
+    shard = bound(shard.where("pair < 2 or payload is not null"), total=total, small=level(0))
+    shard = bound(shard, guess=estimated(F.col("small"), F.col("m"), F.col("total")), d=F.when(F.col("pair") < 2, peel(F.col("small"), F.col("m"))))
+    hopeless = (F.col("guess") > F.col("total") * UNLIKE) & (F.col("m") >= SHARP)
+    again = F.when((F.col("pair") < 2) & F.col("d").isNull() & ~hopeless, peel(level(1), F.col("m") * LEVELS[1]))
+    solved = bound(shard, again=again).withColumn("differ", F.coalesce(F.col("d").cast("double"), F.col("again").cast("double"), F.col("guess")))
+    side = lambda k: F.coalesce(F.sum(F.when(F.col("pair") == k, F.col("differ"))), F.lit(0.0))
+    joined = solved.groupBy("b", "rid").agg(side(0).alias("e"), side(1).alias("n"), F.first("payload", ignorenulls=True).alias("p"))
+    like = lambda d, t: F.greatest(F.lit(0.0), 1.0 - F.col(d) / F.col("p")[t])
+    return joined.select(*[F.col("p")[c].alias(c) for c in payload], like("e", "te").alias("near_edited"), like("n", "tn").alias("near_next"))
 
 
 def written(cells: Column, count: Column) -> Column:
@@ -189,15 +177,16 @@ def written(cells: Column, count: Column) -> Column:
 
 
 def with_next(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, text, h) in descending key (NULL last, ties by a hash of the text) with text
-    and h of the row that follows, for the last those of the first.
+    """``rows`` (key, text, h) in descending key (NULL last, ties by a hash of the text) with their
+    bucket b and next_text and nh, the text and h of the row that follows (for the last, of the first).
 
     Rows are dealt into buckets of neighbouring keys with about equally many rows; the first row of
     each bucket also goes to the bucket before it, so no window spans more than a bucket.
     """
-    n = rows.count()
-    buckets = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
-    cuts = rows.approxQuantile("key", [k / buckets for k in range(1, buckets)], 0.1 / buckets) if buckets > 1 and n else []
+    n, low, high = rows.agg(F.count(F.lit(1)), F.min("key"), F.max("key")).first()
+    buckets = max(1, min(MOST_CUTS, -(-n // BUCKET_ROWS)))
+    parts = max(1, min(MOST_PARTS, -(-n // (BUCKET_ROWS * buckets))))
+    cuts = rows.approxQuantile("key", [k / buckets for k in range(1, buckets)], 0.1 / buckets) if buckets > 1 and low is not None else []
     cuts = sorted({int(c) for c in cuts})
     bucket = F.lit(0)
     if cuts:
@@ -205,9 +194,14 @@ def with_next(rows: DataFrame) -> DataFrame:
         held = F.lit(cuts).cast("array<bigint>")
         below = lambda at, step: F.when((at + step <= len(cuts)) & (F.get(held, at + step - 1) <= F.col("key")), at + step).otherwise(at)
         bucket = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), below)
-    placed = rows.withColumn("b", F.when(F.col("key").isNull(), F.lit(-1)).otherwise(bucket)).withColumn("tie", F.xxhash64("text"))
+    if parts > 1:  # a bucket between two cuts in even steps of the key
+        ends = F.lit([low, *cuts, high]).cast("array<double>")
+        at = let(bucket, lambda c: F.struct(c.alias("c"), F.get(ends, c).alias("lo"), F.get(ends, c + 1).alias("hi")))
+        step = lambda v: F.floor((F.col("key").cast("double") - v["lo"]) / F.greatest(v["hi"] - v["lo"], F.lit(1.0)) * parts)
+        bucket = let(at, lambda v: v["c"].cast("bigint") * parts + F.least(F.greatest(step(v), F.lit(0)), F.lit(parts - 1)))
+    placed = rows.withColumn("b", F.when(F.col("key").isNull(), F.lit(-1)).otherwise(bucket).cast("bigint")).withColumn("tie", F.xxhash64("text"))
     order = F.struct(F.col("key").isNull().alias("late"), F.bitwise_not("key").alias("down"), "tie")
-    heads = placed.groupBy("b").agg(F.min(order).alias("head"))  # at most MOST_BUCKETS + 1 rows
+    heads = placed.groupBy("b").agg(F.min(order).alias("head"))  # at most MOST_CUTS * MOST_PARTS + 1 narrow rows
     line = Window.orderBy("b")
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sent = heads.withColumn("to", F.coalesce(F.lead("b").over(line), F.first("b").over(whole)))
@@ -216,9 +210,11 @@ def with_next(rows: DataFrame) -> DataFrame:
     copies = F.when(is_head, F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("ahead")), F.struct(F.col("to").alias("b"), F.lit(1).alias("ahead"))))
     copies = copies.otherwise(F.array(F.struct(F.col("b").alias("b"), F.lit(0).alias("ahead"))))
     dealt = joined.select("key", "text", "h", "tie", F.explode(copies).alias("c")).select("key", "text", "h", "tie", "c.b", "c.ahead")
+    # As many partitions as buckets: what a task sums up and peels stays small.
+    dealt = dealt.repartition(buckets * parts, "b")
     bucket_order = Window.partitionBy("b").orderBy("ahead", F.col("key").desc_nulls_last(), "tie")
     out = dealt.withColumns({"next_text": F.lead("text").over(bucket_order), "next_h": F.lead("h").over(bucket_order)})
-    return out.where(F.col("ahead") == 0).select("key", "text", "h", "next_text", "next_h")
+    return out.where(F.col("ahead") == 0).select("b", "key", "text", "h", "next_text", F.col("next_h").alias("nh"))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -234,26 +230,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - third), F.substring(F.col("next_text"), F.lit(1), third))
     lines = bound(paired.withColumn("n_chars", F.length("text").cast("bigint")), edited=edited).drop("text", "next_text")
-    lines = bound(lines, eh=digests(F.col("edited")))
-    base = F.lit(BASE).cast("bigint")
-    lines = bound(lines, s=sketch(F.col("h"), base), es=sketch(F.col("eh"), base), ns=sketch(F.col("next_h"), base))
-    small = lambda other: F.coalesce(F.size(peel(subtract(F.col("s"), F.col(other)), base)).cast("double"), F.lit(-1.0))
-    lines = bound(lines, small_e=small("es"), small_n=small("ns"))
-    none = F.expr("cast(array() as array<struct<which: int, a: array<bigint>, b: array<bigint>, m: bigint>>)")
-    larger = lambda which, found, other: F.when(F.col(found) < 0, shards_of(which, F.col("h"), F.col(other))).otherwise(none)
-    lines = with_differing(bound(lines, work=F.concat(larger(0, "small_e", "eh"), larger(1, "small_n", "next_h"))), "work", "solved")
-
-    def likeness(which: int, found: str, other: str) -> Column:
-        mine = F.filter(F.arrays_zip("work", "solved"), lambda p: p["work"]["which"] == which)
-        differ = F.when(F.col(found) >= 0, F.col(found)).otherwise(F.aggregate(mine, F.lit(0.0), lambda x, p: x + p["solved"]["d"]))
-        return F.lit(1.0) - differ / (F.size("h") + F.size(other))
-
-    return lines.select(
-        F.col("key").alias(key),
-        "n_chars",
-        F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        written(F.col("s"), F.size("h")).alias("fingerprint"),
-        written(F.col("es"), F.size("eh")).alias("edited_fingerprint"),
-        likeness(0, "small_e", "eh").alias("near_edited"),
-        likeness(1, "small_n", "next_h").alias("near_next"),
-    )
+    lines = bound(lines.withColumn("edited_sha256", F.sha2("edited", 256)), eh=digests(F.col("edited"))).drop("edited")
+    marks = {"fingerprint": written(base_sketch(F.col("h")), F.size("h")), "edited_fingerprint": written(base_sketch(F.col("eh")), F.size("eh"))}
+    payload = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"]
+    return compared(bound(lines, **marks), payload).withColumnRenamed("key", key)
