@@ -140,13 +140,10 @@ def percentile_intervals(
     """``low_<value>``/``high_<value>`` over replicates. A group holds ``n_resamples`` rows, a
     constant, so the exact aggregate is bounded."""
     alpha = (1.0 - level) / 2.0
-    aggs = []
-    for v in values:
-        aggs += [
-            F.percentile(F.col(f"m_{v}"), F.lit(alpha)).alias(f"low_{v}"),
-            F.percentile(F.col(f"m_{v}"), F.lit(1.0 - alpha)).alias(f"high_{v}"),
-        ]
-    return replicates.groupBy(*groups).agg(*aggs)
+    both = F.array(F.lit(alpha), F.lit(1.0 - alpha))
+    ends = replicates.groupBy(*groups).agg(*[F.percentile(F.col(f"m_{v}"), both).alias(f"_q_{v}") for v in values])
+    named = [F.col(f"_q_{v}")[k].alias(f"{end}_{v}") for v in values for k, end in enumerate(("low", "high"))]
+    return ends.select(*groups, *named)
 
 
 def bootstrap_intervals(
