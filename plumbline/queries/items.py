@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import questions as Q
-from plumbline.functions.hashing import keyed_hash
 from plumbline.operators import calibration as C
 from plumbline.operators import sampling as P
 from plumbline.operators.logprobs import capacity, label_dimension
 from plumbline.operators.summaries import display_order, drop_excluded
 from plumbline.queries import derived as D
-from plumbline.queries.registry import n, query, r
+from plumbline.queries.registry import n, query
 from plumbline.sources import datasets as ds
 from plumbline.sources.readers import list_column
 from plumbline.sources.writers import table_digest
@@ -486,6 +485,19 @@ def exact_fraction(spark, sf):
     return P.fraction_exact(D.noul_preds(spark, sf).select("item_id"), 0.013, "item_id")
 
 
+@query(
+    "question_strata",
+    f"""SELECT question_id, stratum, {n('count(*)', 'n')} FROM (SELECT coalesce(CASE WHEN doc_id % 2 = 0 THEN (doc_id // 4)::VARCHAR END, 'd' || doc_id) AS question_id,
+      coalesce(CASE WHEN doc_id % 3 = 0 THEN lang END, CASE WHEN doc_id % 3 = 1 THEN source END, '') AS stratum FROM documents) GROUP BY 1, 2""",
+)
+def question_strata(spark, sf):
+    """Question ids and strata of items whose metadata may lack either."""
+    i = F.col("doc_id")
+    qid = P.question_id(F.when(i % 2 == 0, F.floor(i / 4).cast("string")), F.concat(F.lit("d"), i.cast("string")))
+    group = P.stratum(F.when(i % 3 == 0, F.col("lang")), F.when(i % 3 == 1, F.col("source")))
+    return D.table(spark, sf, "documents").groupBy(qid.alias("question_id"), group.alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("first_items", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50")
 def first_items(spark, sf):
     return P.first_n(D.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], 50)
