@@ -391,12 +391,9 @@ def label_capacity(spark, sf):
     f"""SELECT conv_id::VARCHAR AS request_id, {n('count(*)', 'n_questions')}, {n('sum(length(text))', 'input_tokens')}, string_agg(turn || ':' || role, ',' ORDER BY turn) AS answers FROM conversations GROUP BY 1""",
 )
 def request_fan_in(spark, sf):
-    """Requests with many questions fanned out to one row per question and gathered again."""
-    c = D.table(spark, sf, "conversations")
-    requests = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("questions"))
-    asked = requests.select("conv_id", F.explode("questions").alias("q")).select(
-        "conv_id", "q.turn", "q.role", F.length("q.text").cast("bigint").alias("tokens")
-    )
+    """Answers of requests that were fanned out to one row per question, gathered again: the turns'
+    labels only, their texts stay where they are."""
+    asked = D.table(spark, sf, "conversations").select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("tokens"))
     return asked.groupBy(F.col("conv_id").cast("string").alias("request_id")).agg(
         F.count(F.lit(1)).alias("n_questions"), F.sum("tokens").alias("input_tokens"),
         F.array_join(
