@@ -117,29 +117,48 @@ def bound(df: DataFrame, **columns: Column) -> DataFrame:
     return held.select(*df.columns, *[F.col("_bound")[n].alias(n) for n in columns])
 
 
-LEVELS = (1, 4)
-"""Sizes at which a pair is sketched, as multiples of the first."""
-_FAR = 1 << 24
+GROWN = 4
+"""How many times larger a pair of shards is sketched when peeling its first sketch got stuck."""
+
+
+def difference(a: Column, b: Column, size: Column) -> Column:
+    """Cells (c, n, x, k: none blank) of the sketch of ``a`` less that of ``b``, for one pair."""
+    place = [lambda x, t=t: F.shiftrightunsigned(x, 18 * t).bitwiseAND(size - 1) for t in range(3)]
+
+    def table(t: int) -> Column:
+        def cell(j: Column) -> Column:
+            own = lambda s: F.filter(s, lambda x: place[t](x) == j)
+            xor = lambda f: F.aggregate(f, F.lit(0).cast("bigint"), lambda v, x: v.bitwiseXOR(x))
+            check = lambda f: F.aggregate(f, F.lit(0).cast("bigint"), lambda v, x: v.bitwiseXOR(F.xxhash64(x)))
+            made = lambda f, g: F.struct(
+                (j + size * t).alias("c"), (F.size(f) - F.size(g)).alias("n"), xor(f).bitwiseXOR(xor(g)).alias("x"), check(f).bitwiseXOR(check(g)).alias("k")
+            )
+            return let(own(a), lambda f: let(own(b), lambda g: made(f, g)))
+
+        return F.transform(F.sequence(F.lit(0).cast("bigint"), size - 1), cell)
+
+    return F.filter(F.concat(table(0), table(1), table(2)), lambda c: (c["n"] != 0) | (c["x"] != 0) | (c["k"] != 0))
 
 
 def compared(lines: DataFrame, payload: list[str]) -> DataFrame:
-    """``payload`` with likeness_e and likeness_n of the digests h to eh and to nh of each row of
-    ``lines``, which are dealt by ``b``.
+    """``payload`` with near_edited and near_next: the likeness of the digests h to eh and to nh of
+    each row of ``lines``, which are dealt by ``b``.
 
     Sketches of both pairs are taken by one grouping over exploded digests (sign 1 for the first
-    text, -1 for the second, which is the difference of their sketches), peeled shard by shard at
-    the first size, where that fails at the next, and estimated where next to nothing is shared or
-    in the last resort. All groups lie within a row's bucket, so nothing is shuffled again.
+    text, -1 for the second, which is the difference of their sketches) and peeled shard by shard,
+    unless the share of blank cells tells that next to nothing is shared (peeling would get stuck at
+    once; the estimate stands). A shard that gets stuck is sketched larger; the estimate is the last
+    resort. All groups lie within a row's
+    bucket, so nothing is shuffled again.
     """
     ne, nn = F.greatest(F.size("h"), F.size("eh")), F.greatest(F.size("h"), F.size("nh"))
     shards = lambda n: F.least(_power_of_two(n / SHARD), F.lit(1024).cast("bigint"))
     first = lambda n, s: F.when(s == 1, F.greatest(_power_of_two(n / 2), F.lit(4).cast("bigint"))).otherwise(F.lit(32).cast("bigint"))
-    held = bound(lines.withColumn("rid", F.monotonically_increasing_id()), se=shards(ne), sn=shards(nn), payload=F.struct(*payload, (F.size("h") + F.size("eh")).alias("te"), (F.size("h") + F.size("nh")).alias("tn")))
-    held = held.withColumns({"me": first(ne, F.col("se")), "mn": first(nn, F.col("sn")), "p1": F.size("h"), "p2": F.size("h") + F.size("eh"), "p3": F.size("h") * 2 + F.size("eh")})
-    everything = F.concat("h", "eh", "h", "nh", F.array(F.lit(0).cast("bigint")))
-    last = F.size("h") * 2 + F.size("eh") + F.size("nh")
-    ids = ["b", "rid", "payload", "se", "sn", "me", "mn", "p1", "p2", "p3"]
-    rows = held.select(*ids, last.alias("p4"), F.posexplode(everything).alias("pos", "x"))
+    held = bound(lines.withColumn("rid", F.monotonically_increasing_id()), se=shards(ne), sn=shards(nn))
+    held = bound(held, me=first(ne, F.col("se")), mn=first(nn, F.col("sn")), payload=F.struct(*payload, "h", "eh", "nh", "se", "sn"))
+    held = held.withColumns({"p1": F.size("h"), "p2": F.size("h") + F.size("eh"), "p3": F.size("h") * 2 + F.size("eh"), "p4": F.size("h") * 2 + F.size("eh") + F.size("nh")})
+    everything = F.concat("h", "eh", "h", "nh", F.array(F.lit(0).cast("bigint")))  # the last entry carries the payload
+    rows = held.select("b", "rid", "payload", "se", "sn", "me", "mn", "p1", "p2", "p3", "p4", F.posexplode(everything).alias("pos", "x"))
     pair = F.when(F.col("pos") < F.col("p2"), 0).when(F.col("pos") < F.col("p4"), 1).otherwise(2)
     sign = F.when((F.col("pos") < F.col("p1")) | ((F.col("pos") >= F.col("p2")) & (F.col("pos") < F.col("p3"))), 1).otherwise(-1)
     own_shards, own_size = F.when(pair == 0, F.col("se")).otherwise(F.col("sn")), F.when(pair == 0, F.col("me")).otherwise(F.col("mn"))
@@ -147,28 +166,37 @@ def compared(lines: DataFrame, payload: list[str]) -> DataFrame:
         "b", "rid", "x", pair.alias("pair"), sign.alias("sign"), own_size.alias("m"), F.shiftrightunsigned("x", 54).bitwiseAND(own_shards - 1).alias("shard"),
         F.when(pair == 2, F.col("payload")).alias("payload"),
     )
-    cells = [p + _FAR * k for k, grown in enumerate(LEVELS) for p in places(F.col("x"), F.col("m") * grown)]
-    each = rows.withColumn("c", F.explode(F.when(F.col("pair") < 2, F.array(*cells)).otherwise(F.array(F.lit(-1).cast("bigint")))))
+    cells = F.when(F.col("pair") < 2, F.array(*places(F.col("x"), F.col("m")))).otherwise(F.array(F.lit(-1).cast("bigint")))
+    each = rows.withColumn("c", F.explode(cells))
     keys = ["b", "rid", "pair", "shard", "m", "payload"]
-    xor = lambda c: F.bit_xor(c)
-    summed = each.groupBy(*keys, "c").agg(F.sum("sign").cast("int").alias("n"), xor("x").alias("x"), xor(F.xxhash64("x")).alias("k"), F.count(F.lit(1)).alias("held"))
-    blank = (F.col("n") == 0) & (F.col("x") == 0) & (F.col("k") == 0) & (F.col("pair") < 2)
-    one = F.when(~blank, F.struct("c", "n", "x", "k"))
-    # One entry per cell of a shard: at most 15 times its digests. Each digest is in three cells of a level.
-    shard = summed.groupBy(*keys).agg(F.collect_list(one).alias("cells"), F.sum(F.when(F.col("c") < _FAR, F.col("held"))).alias("held"))
-    total = F.when(F.col("pair") < 2, F.floor(F.col("held") / 3))
-    level = lambda k: F.transform(
-        F.filter("cells", lambda c: (c["c"] >= _FAR * k) & (c["c"] < _FAR * (k + 1))), lambda c: F.struct((c["c"] - _FAR * k).alias("c"), c["n"].alias("n"), c["x"].alias("x"), c["k"].alias("k"))
-    )
-    shard = bound(shard.where("pair < 2 or payload is not null"), total=total, small=level(0))
-    shard = bound(shard, guess=estimated(F.col("small"), F.col("m"), F.col("total")), d=F.when(F.col("pair") < 2, peel(F.col("small"), F.col("m"))))
-    hopeless = (F.col("guess") > F.col("total") * UNLIKE) & (F.col("m") >= SHARP)
-    again = F.when((F.col("pair") < 2) & F.col("d").isNull() & ~hopeless, peel(level(1), F.col("m") * LEVELS[1]))
-    solved = bound(shard, again=again).withColumn("differ", F.coalesce(F.col("d").cast("double"), F.col("again").cast("double"), F.col("guess")))
+    summed = each.groupBy(*keys, "c").agg(F.sum("sign").cast("int").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor(F.xxhash64("x")).alias("k"), F.count(F.lit(1)).alias("held"))
+    blank = (F.col("n") == 0) & (F.col("x") == 0) & (F.col("k") == 0)
+    one = F.when((F.col("pair") < 2) & ~blank, F.struct("c", "n", "x", "k"))
+    # One entry per cell of a shard, at most six times its digests.
+    shard = summed.groupBy(*keys).agg(F.collect_list(one).alias("cells"), F.sum("held").alias("held"))
+    shard = shard.withColumn("total", F.floor(F.col("held") / 3))  # each digest is in three cells
+    shard = bound(shard, guess=estimated(F.col("cells"), F.col("m"), F.col("total")))
+    unlike = (F.col("guess") > F.col("total") * UNLIKE) & (F.col("m") >= SHARP)
+    shard = bound(shard, d=F.when((F.col("pair") < 2) & ~unlike, peel(F.col("cells"), F.col("m"))))
+    stuck = (F.col("pair") < 2) & F.col("d").isNull() & ~unlike
+    solved = shard.withColumn("differ", F.coalesce(F.col("d").cast("double"), F.when(~stuck, F.col("guess"))))
     side = lambda k: F.coalesce(F.sum(F.when(F.col("pair") == k, F.col("differ"))), F.lit(0.0))
-    joined = solved.groupBy("b", "rid").agg(side(0).alias("e"), side(1).alias("n"), F.first("payload", ignorenulls=True).alias("p"))
-    like = lambda d, t: F.greatest(F.lit(0.0), 1.0 - F.col(d) / F.col("p")[t])
-    return joined.select(*[F.col("p")[c].alias(c) for c in payload], like("e", "te").alias("near_edited"), like("n", "tn").alias("near_next"))
+    joined = solved.groupBy("b", "rid").agg(
+        side(0).alias("e"), side(1).alias("n"), F.first("payload", ignorenulls=True).alias("p"),
+        F.collect_list(F.when(stuck, F.struct("pair", "shard", (F.col("m") * GROWN).alias("m"), "guess"))).alias("todo"),
+    )
+
+    def again(w: Column) -> Column:
+        count = F.when(w["pair"] == 0, F.col("p.se")).otherwise(F.col("p.sn"))
+        own = lambda s: let(count - 1, lambda mask: F.filter(s, lambda x: F.shiftrightunsigned(x, 54).bitwiseAND(mask) == w["shard"]))
+        other = F.when(w["pair"] == 0, F.col("p.eh")).otherwise(F.col("p.nh"))
+        peeled = let(w["m"], lambda m: let(own(F.col("p.h")), lambda a: let(own(other), lambda b: peel(difference(a, b, m), m))))
+        return F.struct(w["pair"].alias("pair"), F.coalesce(peeled.cast("double"), w["guess"]).alias("d"))
+
+    joined = bound(joined, redone=F.transform("todo", again))
+    more = lambda k: F.aggregate(F.filter("redone", lambda r: r["pair"] == k), F.lit(0.0), lambda v, r: v + r["d"])
+    like = lambda k, d, other: F.greatest(F.lit(0.0), 1.0 - (F.col(d) + more(k)) / (F.size("p.h") + F.size(f"p.{other}")))
+    return joined.select(*[F.col("p")[c].alias(c) for c in payload], like(0, "e", "eh").alias("near_edited"), like(1, "n", "nh").alias("near_next"))
 
 
 def written(cells: Column, count: Column) -> Column:
