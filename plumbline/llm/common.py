@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.session import checkpoint
 
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 23
 """Characters of text that a Python pass keeps unpacked at once (one longer text is kept alone)."""
 
 
@@ -40,6 +40,30 @@ def text_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[
             yield keys[at - len(held) : at], held
 
 
+BATCH_ROWS = 2_000
+"""Rows of an Arrow batch at most: a batch is held several times over on its way through Python."""
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session set to Arrow batches of at most :data:`BATCH_ROWS` rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+def hash_sample(rows: DataFrame, bound: int, *columns: str) -> DataFrame:
+    """At most ``bound`` rows, those with the smallest hashes of ``columns``. A threshold that about
+    twice as many rows meet comes first, so that tasks pass on few."""
+    n = rows.count()
+    top = 1 << 30
+    mix = F.pmod(F.xxhash64(*columns), F.lit(top))
+    met = rows.withColumn("_mix", mix)
+    if n > 2 * bound:
+        met = met.where(F.col("_mix") <= int(top * 2 * bound / n))
+    return met.orderBy("_mix", *columns).limit(bound).drop("_mix")
+
+
 def map_texts(rows: DataFrame, work: Callable[[list, list[str]], list], schema: T.StructType) -> DataFrame:
     """``work(keys, texts)`` over all rows of :func:`narrow`; it returns one list per column."""
     arrow = to_arrow_schema(schema)
@@ -48,7 +72,29 @@ def map_texts(rows: DataFrame, work: Callable[[list, list[str]], list], schema:
         for keys, texts in text_chunks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(work(keys, texts), arrow)], schema=arrow)
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
+
+
+class RecentWords:
+    """What a worker remembers of words: the newest ``limit`` or so and those used since they were
+    put aside, twice ``limit`` (and the words at hand) at most."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def absent(self, words: Iterable[str]) -> list[str]:
+        """The words not remembered; those that are move to the newest."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        out = []
+        for w in words:
+            if w not in self.young:
+                known = self.old.get(w)
+                if known is None:
+                    out.append(w)
+                else:
+                    self.young[w] = known
+        return out
 
 
 def schema_of(ddl: str) -> T.StructType:

@@ -9,10 +9,12 @@ row that can take a piece in logarithmic time.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from plumbline.llm.common import narrow, schema_of, text_chunks
+from plumbline.llm.common import RecentWords, narrow, schema_of, small_batches, text_chunks
 from plumbline.session import checkpoint
 
-CACHE_WORDS = 600_000
-"""Words whose ids a worker keeps."""
+CACHE_WORDS = 250_000
+"""Words whose ids a worker keeps (twice as many at most)."""
+TOGETHER = 256
+"""Texts or words given to the library at once."""
 GROUP_PIECES = 4096
 """Pieces of a group on average."""
 GROUP_SEQUENCES = 1 << 31
@@ -41,9 +45,10 @@ WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{
 class WordTokenizer:
     """Ids (little-endian unsigned 32-bit) by the ``tokenizers`` library. Where its file splits at
     white space and lower-cases, texts of usual characters are looked up by white-space-separated
-    part, the library being asked for new words only; other texts go to the library whole."""
+    part, each different part once a batch, the library being asked for new words only; other texts go to the library whole."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -56,31 +61,29 @@ class WordTokenizer:
         # Fixed value: the pattern that WORDS stands for.
         known = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and splits[:1] == [known]
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = RecentWords(CACHE_WORDS)
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        """Ids of each text as it stands, :data:`TOGETHER` texts at a time (the library's encodings take
+        many times the room of their ids)."""
+        out: list[bytes] = []
+        for a in range(0, len(texts), TOGETHER):
+            encoded = self.library.encode_batch_fast(texts[a : a + TOGETHER], add_special_tokens=False)
+            out += [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        return out
 
-    def _new_parts(self, parts: list[str]) -> None:
+    def _ids_of_parts(self, parts: list[str]) -> list[bytes]:
         cut = [WORDS.findall(p.lower()) for p in parts]
-        new = list({w for words in cut for w in words if w not in self.words})
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words, new = {}, list({w for words in cut for w in words})
-        self.words.update(zip(new, self.whole(new)))
-        get = self.words.__getitem__
-        self.parts.update((p, b"".join(map(get, words))) for p, words in zip(parts, cut))
+        new = self.words.absent(set(chain.from_iterable(cut)))
+        self.words.young.update(zip(new, self.whole(new)))
+        get = self.words.young.__getitem__
+        return [get(w[0]) if len(w) == 1 else b"".join(map(get, w)) for w in cut]
 
     def _by_part(self, texts: pa.Array) -> list[bytes]:
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        fresh = [p for p in distinct if p not in self.parts]
-        if len(self.parts) + len(fresh) > CACHE_WORDS:
-            self.parts, fresh = {}, distinct
-        self._new_parts(fresh)
-        known = list(map(self.parts.__getitem__, distinct))
-        sizes = np.array([len(b) // 4 for b in known], np.int64)
+        known = self._ids_of_parts(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
         starts, pool = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(known), "<u4")
         part = coded.indices.to_numpy()
         counts = sizes[part]
@@ -170,7 +173,7 @@ def packed_tokens(df: DataFrame, tokenizer_path: str, capacity: int = 4096, end_
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
     # A narrow table: its numbers of rows stay as they are when an executor is lost.
-    pieces = checkpoint(narrow(df, key, text).mapInArrow(cut, cut_schema)).withColumn("row", F.monotonically_increasing_id())
+    pieces = checkpoint(small_batches(narrow(df, key, text)).mapInArrow(cut, cut_schema)).withColumn("row", F.monotonically_increasing_id())
     groups = max(1, -(-pieces.count() // GROUP_PIECES))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:

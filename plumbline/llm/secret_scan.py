@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from plumbline.llm.common import map_texts, narrow, schema_of, text_chunks
+from plumbline.llm.common import map_texts, narrow, schema_of, small_batches, text_chunks
 
 # The three kinds of base secrets, in the order in which they are listed.
 KINDS = ("assign", "access", "hex")
@@ -126,7 +126,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
         yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(cell, pa.int32()), pa.array(totals[kind, cell])], schema=arrow)
 
     totals = np.zeros((2, (EDGE + 1) ** 2), np.int64)
-    for r in picked.mapInArrow(count, schema).groupBy("kind", "cell").agg(F.sum("n").alias("n")).collect():  # at most two tables
+    for r in small_batches(picked).mapInArrow(count, schema).groupBy("kind", "cell").agg(F.sum("n").alias("n")).collect():  # at most two tables
         totals[r["kind"], r["cell"]] = r["n"]
     return RandomStrings.of(totals[0] + drawn_counts(), totals[1])
 
@@ -212,4 +212,4 @@ def without_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                     columns[size] = pa.array(sizes, arrow[size].type)
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
