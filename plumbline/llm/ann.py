@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import hash_sample
 from plumbline.session import checkpoint
 
 BITS, TABLES = 64, 4
@@ -167,7 +168,7 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vec
     """
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where(usable(F.col("v")))
     rows = rows.withColumn("mark", F.xxhash64("v"))
-    sample = [np.array(r["v"]) for r in rows.orderBy(F.xxhash64("id", "mark"), "id", "mark").limit(SAMPLE_ROWS).collect()]  # bounded
+    sample = [np.array(r["v"]) for r in hash_sample(rows, SAMPLE_ROWS, "id", "mark").collect()]  # bounded
     coders = {}
     for dim in {len(v) for v in sample}:
         held = np.array([v for v in sample if len(v) == dim])

@@ -17,11 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import text_chunks
+from plumbline.llm.common import hash_sample, small_batches, text_chunks
 
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 12_000
 """Labelled rows that a fit reads at most: those with the smallest hashes."""
 
+PENALTIES, SLACK = (0.03, 0.01, 0.003, 0.001), 0.02
+"""L1 penalties tried, and the mean log-loss by which a larger one may be worse."""
+
 STATISTICS = (
     "chars", "words", "lines", "word_length", "line_length", "upper", "digits", "symbols", "stops", "spaces", "wide",
     "distinct_words", "distinct_lines", "short_words", "wordless", "capital_words", "commonest",
@@ -71,7 +74,7 @@ def with_statistics(df: DataFrame, text: str = "text", name: str = "statistics")
             struct = pa.StructArray.from_arrays([pa.array(values[:, k]) for k in range(len(STATISTICS))], list(STATISTICS))
             yield pa.RecordBatch.from_arrays([*batch.columns, struct], [*batch.schema.names, name])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -163,15 +166,25 @@ def grow_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, se
 
 
 def fit_lasso(h: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[float, np.ndarray]:
-    """Logistic weights of standardised 0/1 columns under an L1 penalty, by accelerated proximal
-    gradient steps; the intercept is not penalised."""
-    mean, spread = h.mean(axis=0), np.maximum(h.std(axis=0), 0.05)
-    s = np.column_stack([np.ones(len(h)), (h - mean) / spread])
-    rate = 4 * len(s) / max(1e-9, np.linalg.norm(s, 2) ** 2)
-    w = v = np.zeros(s.shape[1])
+    """Logistic weights of standardised 0/1 columns (float32) under an L1 penalty, by accelerated
+    proximal gradient steps; the intercept is not penalised. The standardised columns are never laid
+    out: products with them come from ``h`` itself."""
+    n = len(h)
+    mean = h.mean(axis=0, dtype=np.float64)
+    spread = np.maximum(np.sqrt(mean * (1 - mean)), 0.05)
+    times = lambda v: v[0] + h @ (v[1:] / spread).astype(np.float32) - float(mean @ (v[1:] / spread))
+    back = lambda r: np.concatenate([[r.sum()], (r.astype(np.float32) @ h - mean * r.sum()) / spread])
+    v = np.ones(h.shape[1] + 1)
+    largest = 1.0
+    for _ in range(30):  # the largest eigenvalue, for the step length
+        v /= np.linalg.norm(v)
+        v = back(times(v)) / n
+        largest = np.linalg.norm(v)
+    rate = 4 / (1.1 * max(largest, 1.0))
+    w = v = np.zeros(h.shape[1] + 1)
     t = 1.0
     for _ in range(steps):
-        slope = s.T @ (1 / (1 + np.exp(-np.clip(s @ v, -30, 30))) - y) / len(s)
+        slope = back(1 / (1 + np.exp(-np.clip(times(v), -30, 30))) - y) / n
         new = v - rate * slope
         new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - rate * penalty, 0)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -181,7 +194,8 @@ def fit_lasso(h: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) ->
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 7) -> RuleModel:
-    """The ensemble; its penalty is chosen on a fifth of the rows. Without two classes the score is
+    """The ensemble; its penalty is the largest that comes close to the best on a fifth of the rows, so
+    that few rules are kept. Without two classes the score is
     the smoothed share of label 1."""
     share = (y.sum() + 1.0) / (len(y) + 2.0)
     if len(y) < 20 or y.min() == y.max():
@@ -189,16 +203,17 @@ def fit_rules(x: np.ndarray, y: np.ndarray, seed: int = 7) -> RuleModel:
     rules = grow_rules(x, y, seed=seed)
     if not rules:
         return RuleModel(float(np.log(share / (1 - share))), (), ())
-    h = np.column_stack([r.holds(x) for r in rules]).astype(np.float64)
+    h = np.empty((len(x), len(rules)), np.float32)
+    for k, r in enumerate(rules):
+        h[:, k] = r.holds(x)
     test = np.random.default_rng(seed).random(len(y)) < 0.2
-    best = (np.inf, 0.0)
-    for penalty in (0.03, 0.01, 0.003, 0.001):
+    losses = {}
+    for penalty in PENALTIES:
         b, w = fit_lasso(h[~test], y[~test], penalty, 200)
         p = np.clip(1 / (1 + np.exp(-np.clip(b + h[test] @ w, -30, 30))), 1e-6, 1 - 1e-6)
-        loss = -(y[test] * np.log(p) + (1 - y[test]) * np.log(1 - p)).mean() if test.any() else 0.0
-        if loss < best[0]:
-            best = (loss, penalty)
-    b, w = fit_lasso(h, y, best[1])
+        losses[penalty] = -(y[test] * np.log(p) + (1 - y[test]) * np.log(1 - p)).mean() if test.any() else 0.0
+    chosen = max(k for k, loss in losses.items() if loss <= min(losses.values()) + SLACK)
+    b, w = fit_lasso(h, y, chosen)
     kept = np.flatnonzero(np.abs(w) > 1e-6)
     return RuleModel(b, tuple(rules[k] for k in kept), tuple(float(w[k]) for k in kept))
 
@@ -214,17 +229,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", ke
     than 0 and 1 and NULL keys are passed over."""
     known = labels.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{label}`").cast("int").alias("y"))
     known = known.where(F.col("key").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("key")))
-    hashed = known.withColumn("mix", F.xxhash64("key", F.lit(11))).orderBy("mix", "key", "y").limit(bound)
+    hashed = hash_sample(known, bound, "key", "y")
     # At most ``bound`` rows of three numbers, so the broadcast is bounded.
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text")).join(F.broadcast(hashed), "key")
-    sampled = with_statistics(rows.select("mix", "key", "y", F.coalesce("text", F.lit("")).alias("text")), "text").drop("text")
-    return sampled.orderBy("mix", "key", "y", "statistics").limit(bound).select("y", "statistics")
+    sampled = with_statistics(rows.select("key", "y", F.coalesce("text", F.lit("")).alias("text")), "text").drop("text")
+    return sampled.orderBy("key", "y", "statistics").limit(bound).select("y", "statistics")
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", bound: int = SAMPLE_ROWS) -> RuleModel:
-    rows = training_rows(docs, labels, label, key, text, bound).collect()  # bounded
-    x = np.array([[r["statistics"][s] for s in STATISTICS] for r in rows], np.float64).reshape(len(rows), len(STATISTICS))
-    return fit_rules(x, np.array([r["y"] for r in rows], np.float64))
+    rows = training_rows(docs, labels, label, key, text, bound)
+    held = rows.select("y", *[F.col("statistics")[s].alias(s) for s in STATISTICS]).toArrow()  # bounded
+    x = np.column_stack([held.column(s).to_numpy() for s in STATISTICS])
+    return fit_rules(x, held.column("y").to_numpy().astype(np.float64))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text") -> DataFrame:
