@@ -145,10 +145,9 @@ def compared(lines: DataFrame, payload: list[str]) -> DataFrame:
     each row of ``lines``, which are dealt by ``b``.
 
     Sketches of both pairs are taken by one grouping over exploded digests (sign 1 for the first
-    text, -1 for the second, which is the difference of their sketches) and peeled shard by shard,
-    unless the share of blank cells tells that next to nothing is shared (peeling would get stuck at
-    once; the estimate stands). A shard that gets stuck is sketched larger; the estimate is the last
-    resort. All groups lie within a row's
+    text, -1 for the second, which is the difference of their sketches) and peeled shard by shard.
+    A shard that gets stuck is sketched larger, unless the share of blank cells tells that next to
+    nothing is shared; that share's estimate also is the last resort. All groups lie within a row's
     bucket, so nothing is shuffled again.
     """
     ne, nn = F.greatest(F.size("h"), F.size("eh")), F.greatest(F.size("h"), F.size("nh"))
@@ -177,7 +176,7 @@ def compared(lines: DataFrame, payload: list[str]) -> DataFrame:
     shard = shard.withColumn("total", F.floor(F.col("held") / 3))  # each digest is in three cells
     shard = bound(shard, guess=estimated(F.col("cells"), F.col("m"), F.col("total")))
     unlike = (F.col("guess") > F.col("total") * UNLIKE) & (F.col("m") >= SHARP)
-    shard = bound(shard, d=F.when((F.col("pair") < 2) & ~unlike, peel(F.col("cells"), F.col("m"))))
+    shard = bound(shard, d=F.when(F.col("pair") < 2, peel(F.col("cells"), F.col("m"))))
     stuck = (F.col("pair") < 2) & F.col("d").isNull() & ~unlike
     solved = shard.withColumn("differ", F.coalesce(F.col("d").cast("double"), F.when(~stuck, F.col("guess"))))
     side = lambda k: F.coalesce(F.sum(F.when(F.col("pair") == k, F.col("differ"))), F.lit(0.0))
