@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from plumbline.llm.common import RecentWords, narrow, schema_of, small_batches, text_chunks
 from plumbline.session import checkpoint
 
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 """Words whose ids a worker keeps (twice as many at most)."""
 TOGETHER = 256
 """Texts or words given to the library at once."""
