@@ -307,13 +307,12 @@ def random_orders(free: Column, n: int, *keys: Column | str) -> Column:
     """The identity and ``n - 1`` other orders of the free positions, all different (all orders, where
     there are fewer). The orders of f positions are numbered from 0 (the identity) to f! - 1; the
     numbers taken are evenly apart from a hashed place on, so none repeats and none is tried twice.
-    Of more than 18 free positions, whose orders outnumber a BIGINT, a hashed 18 move."""
+    More than 18 free positions, whose orders outnumber a BIGINT, are shuffled by a hash for each order;
+    one order more is drawn than asked for, so that a repeat can be left out."""
     from plumbline.functions.hashing import hash_int, keyed_hash
     from plumbline.functions.vectors import let
 
     identity = F.transform(free, lambda f, i: i)
-    hashed = F.array_sort(F.transform(free_slots(free), lambda s: F.struct(keyed_hash(*keys, "slot", s).alias("h"), s.alias("s"))))
-    moving = F.array_sort(F.transform(F.slice(hashed, 1, 18), lambda x: x["s"]))
     counts = F.array(*[F.lit(factorial(k)).cast("bigint") for k in range(19)])
     whole = lambda a, b: F.call_function("div", a, b)
 
@@ -343,4 +342,13 @@ def random_orders(free: Column, n: int, *keys: Column | str) -> Column:
         draw = lambda k: order(m, 1 + F.pmod(place + k * apart, more))
         return F.when(taken < 1, F.slice(F.array(identity), 1, 0)).otherwise(F.transform(F.sequence(F.lit(0).cast("bigint"), taken - 1), draw))
 
-    return F.slice(F.concat(F.array(identity), let(moving, others)), 1, n)
+    def shuffled(m: Column) -> Column:
+        def draw(k: Column) -> Column:
+            hashed = F.array_sort(F.transform(m, lambda s: F.struct(keyed_hash(*keys, "order", k, s).alias("h"), s.alias("s"))))
+            at = lambda i: F.array_position(m, i).cast("int")
+            return let(hashed, lambda o: F.transform(free, lambda _, i: F.when(at(i) > 0, F.get(o, at(i) - 1)["s"]).otherwise(i)))
+
+        return F.transform(F.sequence(F.lit(1), F.lit(n)), draw)
+
+    drawn = let(free_slots(free), lambda m: F.when(F.size(m) > 18, shuffled(m)).otherwise(others(m)))
+    return F.slice(F.array_distinct(F.concat(F.array(identity), drawn)), 1, n)

@@ -105,6 +105,14 @@ def test_random_orders_are_all_different(spark):
         assert size < 6 or n > 100 or orders[0]["o"] != orders[1]["o"]
 
 
+def test_random_orders_move_every_position(spark):
+    for size in (19, 32, 77):
+        free = F.array_append(F.array_repeat(F.lit(True), size), F.lit(False))
+        orders = [list(o) for o in spark.range(1).select(Q.random_orders(free, 12, F.lit("seed"), F.col("id")).alias("o")).first()["o"]]
+        assert len({tuple(o) for o in orders}) == 12 and all(sorted(o) == list(range(size + 1)) and o[size] == size for o in orders)
+        assert orders[0] == list(range(size + 1)) and all(any(o[i] != i for o in orders) for i in range(size))
+
+
 def topk(spark, rows):
     return spark.createDataFrame([("r", i + 1, t, float(lp)) for i, (t, lp) in enumerate(rows)], "request_id string, rank int, token string, logprob double")
 
