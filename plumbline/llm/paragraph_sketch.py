@@ -5,7 +5,7 @@ digest. A sketch has three tables; a digest falls into one cell of each, and a c
 digests it has, their XOR and the XOR of their check values. Subtracting two sketches cancels what
 the texts share; cells left with one digest give it away, and taking it out of its other cells
 (peeling) frees the next, until the digests that differ are known. When peeling gets stuck the
-pair is sketched four times as large. Long texts are sketched in shards of about 48 digests, so the
+pair is sketched four times as large, again and again until it peels. Long texts are sketched in shards of about 48 digests, so the
 work on a text grows with its length. Cells are grouped sums over exploded digests, peeling works
 on one shard's array of cells; everything is built-in column functions.
 """
@@ -24,10 +24,6 @@ BASE = 8
 SHARD = 48
 """Digests of a text in a shard at most, on average."""
 BUCKET_ROWS, MOST_CUTS, MOST_PARTS = 500, 4096, 16
-UNLIKE = 0.85
-"""Share of all digests that must be estimated to differ for a pair not to be sketched larger."""
-SHARP = 16
-"""Cells of a table from which that estimate is sharp enough to go by."""
 _STEPS = [1 << k for k in range(30, -1, -1)]
 
 
@@ -47,7 +43,7 @@ def digests(text: Column) -> Column:
             return F.aggregate(F.array(*[F.lit(k) for k in _STEPS]), i, back)
 
         repeat = lambda x, i: F.when((i > 0) & (F.get(s, i - 1) == x), F.xxhash64(x, i - first_of_run(x, i))).otherwise(x)
-        return F.transform(s, repeat)
+        return F.array_sort(F.transform(s, repeat))
 
     return let(hashed, numbered)
 
@@ -69,42 +65,58 @@ def base_sketch(s: Column) -> Column:
     return F.array(*[cell(t, j) for t in range(3) for j in range(BASE)])
 
 
+def merged(entries: Column) -> Column:
+    """Entries (c, n, x, k) summed up to one for each cell c, in order of c."""
+    low = (1 << 32) - 1
+
+    def runs(v: Column) -> Column:
+        e, s = v["e"], v["s"]  # s: cell and place in e of each entry, sorted
+        begins = F.filter(F.transform(s, lambda _, i: i), lambda i: (i == 0) | (F.shiftright(F.get(s, i), 32) != F.shiftright(F.get(s, i - 1), 32)))
+        entry = lambda i: F.get(e, F.get(s, i).bitwiseAND(F.lit(low)).cast("int"))
+        both = lambda u, w: F.struct(w["c"].alias("c"), (u["n"] + w["n"]).alias("n"), u["x"].bitwiseXOR(w["x"]).alias("x"), u["k"].bitwiseXOR(w["k"]).alias("k"))
+
+        def run(at: Column, end: Column) -> Column:
+            first = entry(at)
+            more = lambda z: F.aggregate(F.transform(F.sequence(at + 1, z - 1), entry), first, both)
+            return let(end, lambda z: F.when(z == at + 1, first).otherwise(more(z)))
+
+        return let(begins, lambda r: F.transform(r, lambda at, i: run(at, F.coalesce(F.get(r, i + 1), F.size(s)))))
+
+    keyed = lambda e: F.sort_array(F.transform(e, lambda c, i: F.shiftleft(c["c"], 32) + i))
+    return let(let(entries, lambda e: F.struct(e.alias("e"), keyed(e).alias("s"))), runs)
+
+
+def entries(s: Column, n: int, size: Column) -> Column:
+    """The three entries (c, n, x, k) of each digest in ``s``."""
+    own = lambda x: F.array(*[F.struct(c.alias("c"), F.lit(n).alias("n"), x.alias("x"), F.xxhash64(x).alias("k")) for c in places(x, size)])
+    return F.flatten(F.transform(s, own))
+
+
+def filled(cells: Column) -> Column:
+    return F.filter(cells, lambda c: (c["n"] != 0) | (c["x"] != 0) | (c["k"] != 0))
+
+
 def peel(cells: Column, size: Column) -> Column:
-    """Digests that the cells (c, n, x, k: none blank) of a difference of sketches give back, or NULL
-    where it does not come apart whole. Each round takes out all that stand alone; a round that
+    """How many digests the cells (c, n, x, k: none blank) of a difference of sketches give back, or
+    NULL where it does not come apart whole. Each round takes out all that stand alone; a round that
     finds none ends it."""
 
     def round_(state: Column, _: Column) -> Column:
         alone = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (F.xxhash64(c["x"]) == c["k"]))
-        named = F.transform(alone, lambda c: F.struct(c["x"].alias("x"), c["n"].alias("n"), F.array(*places(c["x"], size)).alias("at")))
-
-        def taken(found: Column) -> Column:
-            touched = F.flatten(F.transform(found, lambda f: f["at"]))
+        named = lambda f, n: F.array_distinct(F.transform(F.filter(f, lambda c: c["n"] == n), lambda c: c["x"]))
 
-            def less(c: Column, hit: Column) -> Column:
-                mine = F.filter(found, lambda f: F.array_contains(f["at"], c["c"]))
-                start = F.struct(c["n"].alias("n"), c["x"].alias("x"), c["k"].alias("k"))
-                off = lambda a, f: F.struct((a["n"] - f["n"]).alias("n"), a["x"].bitwiseXOR(f["x"]).alias("x"), a["k"].bitwiseXOR(F.xxhash64(f["x"])).alias("k"))
-                rest = F.aggregate(mine, start, off, lambda a: F.struct(c["c"].alias("c"), a["n"].alias("n"), a["x"].alias("x"), a["k"].alias("k")))
-                return F.when(F.array_contains(hit, c["c"]), rest).otherwise(c)
-
-            left = let(touched, lambda hit: F.transform(state["cells"], lambda c: less(c, hit)))
-            kept = F.filter(left, lambda c: (c["n"] != 0) | (c["x"] != 0) | (c["k"] != 0))
-            return F.struct(kept.alias("cells"), (state["found"] + F.size(found)).alias("found"), F.lit(True).alias("on"))
+        def taken(f: Column) -> Column:
+            left = filled(merged(F.concat(state["cells"], entries(f["more"], -1, size), entries(f["less"], 1, size))))
+            return F.struct(left.alias("cells"), (state["found"] + F.size(f["more"]) + F.size(f["less"])).alias("found"), F.lit(True).alias("on"))
 
         stop = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("on"))
-        return F.when(~state["on"], state).otherwise(let(F.array_distinct(named), lambda f: F.when(F.size(f) > 0, taken(f)).otherwise(stop)))
+        both = let(alone, lambda f: F.struct(named(f, 1).alias("more"), named(f, -1).alias("less")))
+        return F.when(~state["on"], state).otherwise(let(both, lambda f: F.when(F.size(f["more"]) + F.size(f["less"]) > 0, taken(f)).otherwise(stop)))
 
     start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(True).alias("on"))
     return let(F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, round_), lambda s: F.when(F.size(s["cells"]) == 0, s["found"]))
 
 
-def estimated(cells: Column, size: Column, total: Column) -> Column:
-    """How many digests differ, from the share of cells that are blank (at most ``total``)."""
-    blank = F.greatest(size * 3.0 - F.size(cells), F.lit(0.5))
-    return F.least(-F.log(blank / (size * 3.0)) * size, total.cast("double"))
-
-
 def _power_of_two(n: Column) -> Column:
     """The smallest power of two of at least ``n``."""
     return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n.cast("double"), F.lit(1.0))))).cast("bigint")
@@ -117,27 +129,45 @@ def bound(df: DataFrame, **columns: Column) -> DataFrame:
     return held.select(*df.columns, *[F.col("_bound")[n].alias(n) for n in columns])
 
 
-GROWN = 4
-"""How many times larger a pair of shards is sketched when peeling its first sketch got stuck."""
+GROWN, MOST_CELLS = 4, 1 << 18
+"""How many times larger a pair of shards is sketched each time peeling got stuck, and the cells of
+a table that all bits of a digest tell apart."""
+_GROWTHS = 9
 
 
 def difference(a: Column, b: Column, size: Column) -> Column:
     """Cells (c, n, x, k: none blank) of the sketch of ``a`` less that of ``b``, for one pair."""
-    place = [lambda x, t=t: F.shiftrightunsigned(x, 18 * t).bitwiseAND(size - 1) for t in range(3)]
+    return filled(merged(F.concat(entries(a, 1, size), entries(b, -1, size))))
+
+
+def shard_bits(n: Column) -> Column:
+    """A text of ``n`` digests has two to this power shards, at most 1,024."""
+    return F.least(F.ceil(F.log2(F.greatest(n / SHARD, F.lit(1.0)))), F.lit(10)).cast("int")
+
+
+def shard_of(x: Column, bits: Column) -> Column:
+    """The shard of a digest among ``2 ** bits``: its first bits, so a shard is a range of digests."""
+    return F.when(bits == 0, F.lit(0).cast("bigint")).otherwise(F.call_function("shiftright", x, 64 - bits))
+
+
+def held_by(s: Column, shard: Column, bits: Column) -> Column:
+    """The digests of a shard, found in the sorted ``s`` by halving."""
+    below = lambda v: lambda at, step: F.when((at + step <= F.size(s)) & (shard_of(F.get(s, at + step - 1), bits) < v), at + step).otherwise(at)
+    first = lambda v: F.aggregate(F.array(*[F.lit(k) for k in _STEPS]), F.lit(0), below(v))
+    within = lambda r: F.transform(F.sequence(r["lo"], r["hi"] - 1), lambda i: F.get(s, i))
+    return let(F.struct(first(shard).alias("lo"), first(shard + 1).alias("hi")), lambda r: F.when(r["hi"] > r["lo"], within(r)).otherwise(F.array().cast("array<bigint>")))
+
 
-    def table(t: int) -> Column:
-        def cell(j: Column) -> Column:
-            own = lambda s: F.filter(s, lambda x: place[t](x) == j)
-            xor = lambda f: F.aggregate(f, F.lit(0).cast("bigint"), lambda v, x: v.bitwiseXOR(x))
-            check = lambda f: F.aggregate(f, F.lit(0).cast("bigint"), lambda v, x: v.bitwiseXOR(F.xxhash64(x)))
-            made = lambda f, g: F.struct(
-                (j + size * t).alias("c"), (F.size(f) - F.size(g)).alias("n"), xor(f).bitwiseXOR(xor(g)).alias("x"), check(f).bitwiseXOR(check(g)).alias("k")
-            )
-            return let(own(a), lambda f: let(own(b), lambda g: made(f, g)))
+def peeled_larger(a: Column, b: Column, size: Column) -> Column:
+    """How many digests differ between ``a`` and ``b``, whose sketches of ``size`` cells a table got
+    stuck: sketched ever larger until they peel."""
 
-        return F.transform(F.sequence(F.lit(0).cast("bigint"), size - 1), cell)
+    def larger(state: Column, _: Column) -> Column:
+        size = F.least(state["m"] * GROWN, F.lit(MOST_CELLS).cast("bigint"))
+        return F.when(state["d"].isNotNull(), state).otherwise(let(size, lambda m: F.struct(m.alias("m"), peel(difference(a, b, m), m).alias("d"))))
 
-    return F.filter(F.concat(table(0), table(1), table(2)), lambda c: (c["n"] != 0) | (c["x"] != 0) | (c["k"] != 0))
+    start = F.struct(size.alias("m"), F.lit(None).cast("int").alias("d"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_GROWTHS)), start, larger, lambda s: s["d"])
 
 
 def compared(lines: DataFrame, payload: list[str]) -> DataFrame:
@@ -146,54 +176,47 @@ def compared(lines: DataFrame, payload: list[str]) -> DataFrame:
 
     Sketches of both pairs are taken by one grouping over exploded digests (sign 1 for the first
     text, -1 for the second, which is the difference of their sketches) and peeled shard by shard.
-    A shard that gets stuck is sketched larger, unless the share of blank cells tells that next to
-    nothing is shared; that share's estimate also is the last resort. All groups lie within a row's
+    Every shard that gets stuck is sketched larger until it peels. All groups lie within a row's
     bucket, so nothing is shuffled again.
     """
     ne, nn = F.greatest(F.size("h"), F.size("eh")), F.greatest(F.size("h"), F.size("nh"))
-    shards = lambda n: F.least(_power_of_two(n / SHARD), F.lit(1024).cast("bigint"))
-    first = lambda n, s: F.when(s == 1, F.greatest(_power_of_two(n / 2), F.lit(4).cast("bigint"))).otherwise(F.lit(32).cast("bigint"))
-    held = bound(lines.withColumn("rid", F.monotonically_increasing_id()), se=shards(ne), sn=shards(nn))
+    first = lambda n, s: F.when(s == 0, F.greatest(_power_of_two(n), F.lit(4).cast("bigint"))).otherwise(F.lit(64).cast("bigint"))
+    held = bound(lines.withColumn("rid", F.monotonically_increasing_id()), se=shard_bits(ne), sn=shard_bits(nn))
     held = bound(held, me=first(ne, F.col("se")), mn=first(nn, F.col("sn")), payload=F.struct(*payload, "h", "eh", "nh", "se", "sn"))
     held = held.withColumns({"p1": F.size("h"), "p2": F.size("h") + F.size("eh"), "p3": F.size("h") * 2 + F.size("eh"), "p4": F.size("h") * 2 + F.size("eh") + F.size("nh")})
     everything = F.concat("h", "eh", "h", "nh", F.array(F.lit(0).cast("bigint")))  # the last entry carries the payload
     rows = held.select("b", "rid", "payload", "se", "sn", "me", "mn", "p1", "p2", "p3", "p4", F.posexplode(everything).alias("pos", "x"))
     pair = F.when(F.col("pos") < F.col("p2"), 0).when(F.col("pos") < F.col("p4"), 1).otherwise(2)
     sign = F.when((F.col("pos") < F.col("p1")) | ((F.col("pos") >= F.col("p2")) & (F.col("pos") < F.col("p3"))), 1).otherwise(-1)
-    own_shards, own_size = F.when(pair == 0, F.col("se")).otherwise(F.col("sn")), F.when(pair == 0, F.col("me")).otherwise(F.col("mn"))
+    own_bits, own_size = F.when(pair == 0, F.col("se")).otherwise(F.col("sn")), F.when(pair == 0, F.col("me")).otherwise(F.col("mn"))
     rows = rows.select(
-        "b", "rid", "x", pair.alias("pair"), sign.alias("sign"), own_size.alias("m"), F.shiftrightunsigned("x", 54).bitwiseAND(own_shards - 1).alias("shard"),
+        "b", "rid", "x", pair.alias("pair"), sign.alias("sign"), own_size.alias("m"), shard_of(F.col("x"), own_bits).alias("shard"),
         F.when(pair == 2, F.col("payload")).alias("payload"),
     )
     cells = F.when(F.col("pair") < 2, F.array(*places(F.col("x"), F.col("m")))).otherwise(F.array(F.lit(-1).cast("bigint")))
     each = rows.withColumn("c", F.explode(cells))
     keys = ["b", "rid", "pair", "shard", "m", "payload"]
-    summed = each.groupBy(*keys, "c").agg(F.sum("sign").cast("int").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor(F.xxhash64("x")).alias("k"), F.count(F.lit(1)).alias("held"))
+    summed = each.groupBy(*keys, "c").agg(F.sum("sign").cast("int").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor(F.xxhash64("x")).alias("k"))
     blank = (F.col("n") == 0) & (F.col("x") == 0) & (F.col("k") == 0)
     one = F.when((F.col("pair") < 2) & ~blank, F.struct("c", "n", "x", "k"))
     # One entry per cell of a shard, at most six times its digests.
-    shard = summed.groupBy(*keys).agg(F.collect_list(one).alias("cells"), F.sum("held").alias("held"))
-    shard = shard.withColumn("total", F.floor(F.col("held") / 3))  # each digest is in three cells
-    shard = bound(shard, guess=estimated(F.col("cells"), F.col("m"), F.col("total")))
-    unlike = (F.col("guess") > F.col("total") * UNLIKE) & (F.col("m") >= SHARP)
+    shard = summed.groupBy(*keys).agg(F.collect_list(one).alias("cells"))
     shard = bound(shard, d=F.when(F.col("pair") < 2, peel(F.col("cells"), F.col("m"))))
-    stuck = (F.col("pair") < 2) & F.col("d").isNull() & ~unlike
-    solved = shard.withColumn("differ", F.coalesce(F.col("d").cast("double"), F.when(~stuck, F.col("guess"))))
-    side = lambda k: F.coalesce(F.sum(F.when(F.col("pair") == k, F.col("differ"))), F.lit(0.0))
-    joined = solved.groupBy("b", "rid").agg(
+    stuck = (F.col("pair") < 2) & F.col("d").isNull()
+    side = lambda k: F.coalesce(F.sum(F.when(F.col("pair") == k, F.col("d"))), F.lit(0))
+    joined = shard.groupBy("b", "rid").agg(
         side(0).alias("e"), side(1).alias("n"), F.first("payload", ignorenulls=True).alias("p"),
-        F.collect_list(F.when(stuck, F.struct("pair", "shard", (F.col("m") * GROWN).alias("m"), "guess"))).alias("todo"),
+        F.collect_list(F.when(stuck, F.struct("pair", "shard", "m"))).alias("todo"),
     )
 
     def again(w: Column) -> Column:
-        count = F.when(w["pair"] == 0, F.col("p.se")).otherwise(F.col("p.sn"))
-        own = lambda s: let(count - 1, lambda mask: F.filter(s, lambda x: F.shiftrightunsigned(x, 54).bitwiseAND(mask) == w["shard"]))
-        other = F.when(w["pair"] == 0, F.col("p.eh")).otherwise(F.col("p.nh"))
-        peeled = let(w["m"], lambda m: let(own(F.col("p.h")), lambda a: let(own(other), lambda b: peel(difference(a, b, m), m))))
-        return F.struct(w["pair"].alias("pair"), F.coalesce(peeled.cast("double"), w["guess"]).alias("d"))
+        own = lambda s, count: held_by(s, w["shard"], count)
+        count, other = (F.when(w["pair"] == 0, F.col(f"p.{e}")).otherwise(F.col(f"p.{n}")) for e, n in (("se", "sn"), ("eh", "nh")))
+        solved = let(count, lambda c: let(own(F.col("p.h"), c), lambda a: let(let(other, lambda o: own(o, c)), lambda b: peeled_larger(a, b, w["m"]))))
+        return F.struct(w["pair"].alias("pair"), solved.alias("d"))
 
     joined = bound(joined, redone=F.transform("todo", again))
-    more = lambda k: F.aggregate(F.filter("redone", lambda r: r["pair"] == k), F.lit(0.0), lambda v, r: v + r["d"])
+    more = lambda k: F.aggregate(F.filter("redone", lambda r: r["pair"] == k), F.lit(0).cast("bigint"), lambda v, r: v + r["d"])
     like = lambda k, d, other: F.greatest(F.lit(0.0), 1.0 - (F.col(d) + more(k)) / (F.size("p.h") + F.size(f"p.{other}")))
     return joined.select(*[F.col("p")[c].alias(c) for c in payload], like(0, "e", "eh").alias("near_edited"), like(1, "n", "nh").alias("near_next"))
 

@@ -13,6 +13,8 @@ import pytest
 import xxhash
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from plumbline.llm import paragraph_sketch, quality_rules, secret_scan, simhash
 from tests.llm.helpers import documents, edge_texts, rows
 
@@ -101,6 +103,33 @@ def test_sketches_of_ties_nulls_and_few_rows(spark):
     assert len(got) == 1300 and all(0 <= r["near_next"] <= 1 for r in got)
 
 
+def test_sketches_of_hardly_like_texts_are_peeled(spark):
+    for size, same in ((31, 6), (46, 5)):
+        texts = ["\n".join([f"all {k}" for k in range(same)] + [f"{doc} has {k}" for k in range(size - same)]) for doc in range(30)]
+        got = rows(paragraph_sketch.fingerprints(documents(spark, texts)))
+        assert [r["near_next"] for r in got] == pytest.approx([same / size] * 30, abs=1e-12)
+
+
+def test_sketches_of_hardly_like_texts_are_peeled(spark):
+    for size, same in ((31, 6), (46, 5)):
+        texts = ["\n".join([f"all {k}" for k in range(same)] + [f"{doc} has {k}" for k in range(size - same)]) for doc in range(30)]
+        got = rows(paragraph_sketch.fingerprints(documents(spark, texts)))
+        assert [r["near_next"] for r in got] == pytest.approx([same / size] * 30, abs=1e-12)
+
+
+def test_sketches_of_long_texts_have_small_shards(spark):
+    drawn = random.Random(3)
+    h = sorted(drawn.randrange(-(2**63), 2**63) for _ in range(2000))
+    row = spark.createDataFrame([(h, 4)], "h array<bigint>, bits int").select(
+        F.transform(F.sequence(F.lit(-8), F.lit(7)), lambda k: paragraph_sketch.held_by(F.col("h"), k.cast("bigint"), F.col("bits"))).alias("held"), "h",
+        paragraph_sketch.peeled_larger(F.col("h"), F.array().cast("array<bigint>"), F.lit(32).cast("bigint")).alias("d"),
+        *[paragraph_sketch.shard_bits(F.lit(n)).alias(f"of_{n}") for n in (48, 49, 600_000, 50_000_000)],
+    ).first()
+    assert [x for part in row["held"] for x in part] == row["h"] and max(map(len, row["held"])) < 200
+    assert row["d"] == 2000
+    assert [row[f"of_{n}"] for n in (48, 49, 600_000, 50_000_000)] == [0, 1, 14, 20]
+
+
 def fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([" ".join(words)] if words else [])
