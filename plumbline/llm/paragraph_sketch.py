@@ -141,8 +141,8 @@ def difference(a: Column, b: Column, size: Column) -> Column:
 
 
 def shard_bits(n: Column) -> Column:
-    """A text of ``n`` digests has two to this power shards, at most 1,024."""
-    return F.least(F.ceil(F.log2(F.greatest(n / SHARD, F.lit(1.0)))), F.lit(10)).cast("int")
+    """A text of ``n`` digests has two to this power shards."""
+    return F.ceil(F.log2(F.greatest(n / SHARD, F.lit(1.0)))).cast("int")
 
 
 def shard_of(x: Column, bits: Column) -> Column:

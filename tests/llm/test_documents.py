@@ -110,13 +110,6 @@ def test_sketches_of_hardly_like_texts_are_peeled(spark):
         assert [r["near_next"] for r in got] == pytest.approx([same / size] * 30, abs=1e-12)
 
 
-def test_sketches_of_hardly_like_texts_are_peeled(spark):
-    for size, same in ((31, 6), (46, 5)):
-        texts = ["\n".join([f"all {k}" for k in range(same)] + [f"{doc} has {k}" for k in range(size - same)]) for doc in range(30)]
-        got = rows(paragraph_sketch.fingerprints(documents(spark, texts)))
-        assert [r["near_next"] for r in got] == pytest.approx([same / size] * 30, abs=1e-12)
-
-
 def test_sketches_of_long_texts_have_small_shards(spark):
     drawn = random.Random(3)
     h = sorted(drawn.randrange(-(2**63), 2**63) for _ in range(2000))
