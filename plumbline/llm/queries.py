@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, bpe, chat_format, html_extract, packing, paragraph_sketch, quality_rules, secret_scan, simhash, token_counts
+from plumbline.llm import ann, bpe, chat_format, html_extract, packing, paragraph_sketch, periodic_runs, quality_rules, secret_scan, simhash, spelling, token_counts, warc
 from plumbline.llm.common import table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -61,8 +61,39 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of all words, of which every 97th of a document loses a letter."""
+    return spelling.variant_groups(table(spark, sf_dir, "documents"), drop_every=97)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.capture_histories(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP12_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT page_id, payload_bytes, h,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST((3 - i % 4) * 5 AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+    max(page_id) OVER (PARTITION BY h) AS keep
+  FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN keep IS NOT NULL AND page_id IS DISTINCT FROM keep THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN keep IS NOT NULL AND page_id IS DISTINCT FROM keep THEN keep END AS refers_to
+FROM d
+"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all texts, every tenth of which repeats its words from some place on."""
+    return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.with_repeats(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_format, op2_secret_scan, op3_paragraph_sketch, op4_nearest, op5_bpe_codec, op6_html_extract, op7_packing, op8_token_counts, op9_simhash, op10_quality)
+    for f in (op1_chat_format, op2_secret_scan, op3_paragraph_sketch, op4_nearest, op5_bpe_codec, op6_html_extract, op7_packing, op8_token_counts, op9_simhash, op10_quality, op11_spelling, op12_warc, op13_periodic_runs)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_warc": OP12_SQL}
