@@ -11,6 +11,7 @@ from math import factorial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed texts and keys of the data model.
 IDK_TEXT = "I don't know"
@@ -204,6 +205,78 @@ def present(options: Column, order: Column) -> Column:
 
 # --- prompts -----------------------------------------------------------------------------------
 
+# How a JSON string writes the characters it cannot hold as they are.
+JSON_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+JSON_ESCAPES |= {chr(c): f"\\u{c:04x}" for c in range(32) if chr(c) not in JSON_ESCAPES}
+
+
+def json_string(text: Column) -> Column:
+    """A JSON string literal; characters beyond ASCII stay as they are."""
+    escaped = text
+    for char, written in JSON_ESCAPES.items():
+        escaped = F.replace(escaped, F.lit(char), F.lit(written))
+    return F.concat(F.lit('"'), F.when(text.rlike(r'[\x00-\x1F"\\]'), escaped).otherwise(text), F.lit('"'))
+
+
+def json_number(value: Column) -> Column:
+    """A double in the shortest digits that read back as it: plain from 1e-4 to 1e16, else with an
+    exponent of two digits or more; whole numbers end in ``.0``."""
+    text = F.lit(None).cast("string")
+    for digits in (14, 15, 16):
+        written = F.format_string(f"%.{digits}e", value)
+        text = F.coalesce(text, F.when((written.try_cast("double") == value) | F.lit(digits == 16), written))
+    parts = F.split(F.regexp_replace(text, "^-", ""), "e")
+    significant = F.regexp_replace(F.replace(F.get(parts, F.lit(0)), F.lit("."), F.lit("")), "(?<=.)0+$", "")
+    point = F.get(parts, F.lit(1)).cast("int") + 1  # the value is 0.<significant> * 10^point
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-point, F.lit(0))), significant)
+    large = F.when(F.length(significant) <= point, F.concat(F.rpad(significant, point, "0"), F.lit(".0"))).otherwise(
+        F.concat(F.left(significant, point), F.lit("."), F.substring(significant, point + 1, F.length(significant)))
+    )
+    first, others = F.left(significant, F.lit(1)), F.substring(significant, 2, 400)
+    power = point - 1
+    sign = F.when(power < 0, "-").otherwise("+")
+    scientific = F.concat(
+        first, F.when(others == "", "").otherwise(F.concat(F.lit("."), others)), F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), "0")
+    )
+    plain = F.when(value == 0, F.lit("0.0")).when((point > 16) | (point < -3), scientific).when(point <= 0, small).otherwise(large)
+    signed = F.concat(F.when(text.startswith("-"), "-").otherwise(""), plain)
+    return F.when(F.isnan(value), F.lit("NaN")).when(F.abs(value) == float("inf"), F.when(value > 0, "Infinity").otherwise("-Infinity")).otherwise(signed)
+
+
+def json_text(value: Column, kind: T.DataType, indent: int = 0) -> Column:
+    """``value`` as indented JSON (two spaces a level), by its data type ``kind``: structs and maps are
+    objects with their fields or entries in order, arrays are lists, what is neither text, number nor
+    truth value is written as a string, and NULL is ``null``."""
+    inner, outer = "\n" + "  " * (indent + 1), "\n" + "  " * indent
+
+    def block(entries: Column, opening: str, closing: str) -> Column:
+        return F.when(F.size(entries) == 0, F.lit(opening + closing)).otherwise(
+            F.concat(F.lit(opening + inner), F.array_join(entries, "," + inner), F.lit(outer + closing))
+        )
+
+    if isinstance(kind, T.StructType):
+        fields = [F.concat(json_string(F.lit(f.name)), F.lit(": "), json_text(value[f.name], f.dataType, indent + 1)) for f in kind.fields]
+        written = block(F.array(*fields) if fields else F.array().cast("array<string>"), "{", "}")
+    elif isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.concat(json_string(e["key"].cast("string")), F.lit(": "), json_text(e["value"], kind.valueType, indent + 1)))
+        written = block(entries, "{", "}")
+    elif isinstance(kind, T.ArrayType):
+        written = block(F.transform(value, lambda x: json_text(x, kind.elementType, indent + 1)), "[", "]")
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        written = json_number(value.cast("double"))
+    elif isinstance(kind, (T.IntegralType, T.DecimalType, T.BooleanType)):
+        written = value.cast("string")
+    else:
+        written = json_string(value.cast("string"))
+    return F.coalesce(written, F.lit("null"))
+
+
+def render_value(value: Column, kind: T.DataType) -> Column:
+    """A state, instruction or description as prompt text: strings as they are, anything structured as
+    :func:`json_text`; NULL stays NULL (it is left out of a prompt)."""
+    return value if isinstance(kind, T.StringType) else F.when(value.isNotNull(), json_text(value, kind))
+
+
 
 def _question_block(qtype: Column, instructions: Column, options: Column, scheme: Column) -> Column:
     described = lambda o: F.coalesce(F.concat(F.lit(": "), o["text"]), F.lit(""))
@@ -262,7 +335,8 @@ def render_prompt(
     layout: str = "state_first",
     prefill: bool = True,
 ) -> Column:
-    """Chat messages ``ARRAY<STRUCT<role, content>>`` asking the question about ``state``."""
+    """Chat messages ``ARRAY<STRUCT<role, content>>`` asking the question about ``state`` (texts: see
+    :func:`render_value` for structured ones)."""
     if layout not in ("state_first", "question_first"):
         raise ValueError(f"unknown layout {layout!r}")
     block = _question_block(qtype, instructions, options, scheme)

@@ -144,7 +144,7 @@ def price_of(systems: DataFrame, prices: DataFrame) -> DataFrame:
 
 def paired_distribution_summary(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Agreement, KL (mean, median, p95, max), TV and |dp(gold)| of paired answers ``probs_a``,
-    ``probs_b``, ``gold_idx``."""
+    ``probs_b``, ``gold_idx``; with MAPs ``raw_a`` and ``raw_b`` also the :func:`raw_comparison`."""
     from plumbline.functions import vectors as V
     from plumbline.operators.ranking import exact_quantiles
 
@@ -160,15 +160,47 @@ def paired_distribution_summary(pairs: DataFrame, keys: Sequence[str]) -> DataFr
         F.count(F.lit(1)).alias("n"), F.avg("agree").alias("agreement"), F.avg("kl").alias("kl_mean"),
         F.max("kl").alias("kl_max"), F.avg("tv").alias("tv_mean"), F.avg("dp").alias("abs_d_p_gold"),
     )
-    return means.join(exact_quantiles(rows, keys, "kl", {"kl_median": 0.5, "kl_p95": 0.95}), keys)
+    out = means.join(exact_quantiles(rows, keys, "kl", {"kl_median": 0.5, "kl_p95": 0.95}), keys)
+    return out.join(raw_comparison(pairs, keys), keys) if {"raw_a", "raw_b"} <= set(pairs.columns) else out
+
+
+def raw_comparison(pairs: DataFrame, keys: Sequence[str], a: str = "raw_a", b: str = "raw_b") -> DataFrame:
+    """Two reads' raw label logprobs, MAPs that list some labels each, merged label by label: per group
+    the mean absolute difference where both are finite, and how many labels are finite in both, listed
+    by one side only, or listed by both with a non-finite one (``n_nonfinite`` is all that are not
+    finite in both). ``d_mass`` and ``abs_d_mass``: mean difference of the listed probability."""
+    from plumbline.functions import vectors as V
+
+    def finite(x: Column) -> Column:
+        return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+    def mass(name: str) -> Column:
+        return V.vsum(F.transform(F.filter(F.map_values(name), lambda x: ~F.isnan(x) & (x < float("inf"))), lambda x: F.exp(x)))
+
+    labels = F.array_distinct(F.concat(F.map_keys(a), F.map_keys(b)))
+    merged = F.transform(labels, lambda k: F.struct(F.try_element_at(a, k).alias("x"), F.try_element_at(b, k).alias("y"), F.array_contains(F.map_keys(a), k).alias("in_a"), F.array_contains(F.map_keys(b), k).alias("in_b")))
+    both = lambda m: finite(m["x"]) & finite(m["y"])
+    one = lambda m: m["in_a"] != m["in_b"]
+    rows = pairs.withColumn("_m", merged).select(
+        *keys,
+        F.size(F.filter("_m", both)).alias("_finite"), F.size(F.filter("_m", one)).alias("_one"),
+        F.size(F.filter("_m", lambda m: ~one(m) & ~both(m))).alias("_other"),
+        V.vsum(F.transform(F.filter("_m", both), lambda m: F.abs(m["y"] - m["x"]))).alias("_sum"), (mass(b) - mass(a)).alias("_d"),
+    )
+    return rows.groupBy(*keys).agg(
+        F.try_divide(F.sum("_sum"), F.sum("_finite")).alias("raw_mae"), F.sum("_finite").alias("n_finite"), F.sum("_one").alias("n_one_sided"),
+        F.sum("_other").alias("n_infinite"), F.sum(F.col("_one") + F.col("_other")).alias("n_nonfinite"), F.avg("_d").alias("d_mass"), F.avg(F.abs("_d")).alias("abs_d_mass"),
+    )
 
 
 def answer_deltas(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per-type deltas of paired answers (``qtype``, ``probs_a/b``, ``score_a/b``)."""
+    """Per-type deltas of paired answers (``qtype``, ``probs_a/b``, ``score_a/b``). Choices agree if the
+    returned ones (``choice_a/b``) are the same; without those columns, if the likeliest are."""
     from plumbline.functions import vectors as V
 
     tv = V.total_variation(F.col("probs_a"), F.col("probs_b"))
-    same = V.argmax(F.col("probs_a")) == V.argmax(F.col("probs_b"))
+    returned = {"choice_a", "choice_b"} <= set(pairs.columns)
+    same = F.col("choice_a").eqNullSafe(F.col("choice_b")) if returned else V.argmax(F.col("probs_a")) == V.argmax(F.col("probs_b"))
     d_score = F.abs(F.col("score_b") - F.col("score_a"))
     d_noul = F.abs(F.get("probs_b", F.lit(0)) - F.get("probs_a", F.lit(0)))
 

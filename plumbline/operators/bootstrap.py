@@ -176,35 +176,73 @@ def excludes_zero(low: Column, high: Column) -> Column:
 # --- BCa -----------------------------------------------------------------------------------------
 
 
-def jackknife_moments(
-    df: DataFrame, groups: Sequence[str], cluster: Sequence[str], value: str
+def cluster_sums(df: DataFrame, keys: Sequence[str], cluster: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Per key and cluster: rows ``_n`` and sums ``_s_<value>``."""
+    both = list(dict.fromkeys([*keys, *cluster]))
+    return df.groupBy(*both).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(v).cast("double")).alias(f"_s_{v}") for v in values])
+
+
+def paired_sums(
+    sums: DataFrame, fixed: Sequence[str], varied: str, base: str, cluster: Sequence[str], values: Sequence[str]
 ) -> DataFrame:
-    """Per group: number of clusters, mean, and the acceleration from leave-one-cluster-out means."""
+    """:func:`cluster_sums` of every series of ``varied`` less those of the series ``base`` in the same
+    cluster (all series have the same rows of a cluster). A cluster's series meet in one window, which
+    holds one row for each of them."""
+    own = Window.partitionBy(*dict.fromkeys([*fixed, *cluster]))
+    is_base = F.col(varied) == base
+    less = {f"_s_{v}": F.col(f"_s_{v}") - F.max(F.when(is_base, F.col(f"_s_{v}"))).over(own) for v in values}
+    return sums.withColumns(less).where(~is_base)
+
+
+def stratum_moments(sums: DataFrame, groups: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Per group of :func:`cluster_sums`: n_clusters and for each value its mean (``estimate_<v>``) and
+    the sums of squares and cubes of how far the mean of the leave-one-cluster-out means lies above
+    each of them (``second_<v>``, ``third_<v>``)."""
     groups = list(groups)
-    keys = list(dict.fromkeys([*groups, *cluster]))
-    per = df.groupBy(*keys).agg(
-        F.sum(F.col(value).cast("double")).alias("_s"), F.count(F.lit(1)).alias("_n")
-    )
-    totals = per.groupBy(*groups).agg(
-        F.sum("_s").alias("_sum"), F.sum("_n").alias("_size"), F.count(F.lit(1)).alias("n_clusters")
+    totals = sums.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n_clusters"), F.sum("_n").alias("_size"), *[F.sum(f"_s_{v}").alias(f"_sum_{v}") for v in values]
     )
-    left_out = F.try_divide(F.col("_sum") - F.col("_s"), F.col("_size") - F.col("_n"))
+    rest = F.col("_size") - F.col("_n")
     # Moments about the estimate keep the cubes free of cancellation.
-    dev = per.join(lookup(totals), groups).withColumn("_d", left_out - F.col("_sum") / F.col("_size"))
-    moments = dev.groupBy(*groups).agg(
-        F.first("n_clusters").alias("n_clusters"),
-        (F.first("_sum") / F.first("_size")).alias("estimate"),
-        F.avg("_d").alias("_m1"),
-        F.avg(F.col("_d") * F.col("_d")).alias("_m2"),
-        F.avg(F.col("_d") * F.col("_d") * F.col("_d")).alias("_m3"),
+    away = {f"_d_{v}": F.try_divide(F.col(f"_sum_{v}") - F.col(f"_s_{v}"), rest) - F.col(f"_sum_{v}") / F.col("_size") for v in values}
+    powers = [F.avg(F.pow(f"_d_{v}", F.lit(k))).alias(f"_m{k}_{v}") for v in values for k in (1, 2, 3)]
+    firsts = [F.first(F.col(f"_sum_{v}") / F.col("_size")).alias(f"estimate_{v}") for v in values]
+    moments = sums.join(lookup(totals), groups).withColumns(away).groupBy(*groups).agg(F.first("n_clusters").alias("n_clusters"), *firsts, *powers)
+    out = []
+    for v in values:
+        m1, m2, m3 = (F.coalesce(F.col(f"_m{k}_{v}"), F.lit(0.0)) for k in (1, 2, 3))
+        out += [
+            F.col(f"estimate_{v}"),
+            (F.col("n_clusters") * F.greatest(m2 - m1 * m1, F.lit(0.0))).alias(f"second_{v}"),
+            (F.col("n_clusters") * -(m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1)).alias(f"third_{v}"),
+        ]
+    return moments.select(*groups, "n_clusters", *out)
+
+
+def macro_moments(moments: DataFrame, groups: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """:func:`stratum_moments` of the average over strata (benchmarks). Leaving out a cluster moves
+    its own stratum only, by a share of one in the number of strata k: squares add up over k^2, cubes
+    over k^3."""
+    k = F.count(F.lit(1)).cast("double")
+    columns = []
+    for v in values:
+        columns += [F.avg(f"estimate_{v}").alias(f"estimate_{v}"), (F.sum(f"second_{v}") / (k * k)).alias(f"second_{v}"), (F.sum(f"third_{v}") / (k * k * k)).alias(f"third_{v}")]
+    return moments.groupBy(*groups).agg(F.sum("n_clusters").alias("n_clusters"), *columns)
+
+
+def acceleration(second: Column, third: Column) -> Column:
+    scale = 6.0 * F.pow(second, F.lit(1.5))
+    return F.when(scale > 0, third / scale).otherwise(F.lit(0.0))
+
+
+def jackknife_moments(
+    df: DataFrame, groups: Sequence[str], cluster: Sequence[str], value: str
+) -> DataFrame:
+    """Per group: number of clusters, mean, and the acceleration from leave-one-cluster-out means."""
+    moments = stratum_moments(cluster_sums(df, groups, cluster, [value]), groups, [value])
+    return moments.select(
+        *groups, "n_clusters", F.col(f"estimate_{value}").alias("estimate"), acceleration(F.col(f"second_{value}"), F.col(f"third_{value}")).alias("acceleration")
     )
-    m1, m2, m3, n = F.col("_m1"), F.col("_m2"), F.col("_m3"), F.col("n_clusters")
-    second = n * (m2 - m1 * m1)
-    third = n * -(m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1)
-    scale = 6.0 * F.pow(F.greatest(second, F.lit(0.0)), F.lit(1.5))
-    return moments.withColumn(
-        "acceleration", F.when(scale > 0, third / scale).otherwise(F.lit(0.0))
-    ).drop("_m1", "_m2", "_m3")
 
 
 def _bca_levels(fraction: pd.Series, n: pd.Series, accel: pd.Series, alpha: float) -> pd.DataFrame:
@@ -237,15 +275,31 @@ def intervals(
     level: float = 0.95,
     min_clusters: int = BCA_MIN_CLUSTERS,
 ) -> DataFrame:
-    """(groups, n_clusters, method, low_<value>, high_<value>) from the replicate ``means`` of
-    ``df``: bias-corrected accelerated intervals for groups with at least ``min_clusters`` clusters,
-    percentile intervals otherwise; replicates without spread give the estimate. All values go
-    through one jackknife pass."""
+    """:func:`bounds` of the means of ``df`` from their replicates ``means``."""
+    moments = stratum_moments(cluster_sums(df, groups, cluster, values), groups, values)
+    return bounds(moments, means, groups, values, level, min_clusters)
+
+
+def bounds(
+    moments: DataFrame,
+    means: DataFrame,
+    groups: Sequence[str],
+    values: Sequence[str],
+    level: float = 0.95,
+    min_clusters: int = BCA_MIN_CLUSTERS,
+) -> DataFrame:
+    """(groups, n_clusters, method, low_<value>, high_<value>) from :func:`stratum_moments` (or
+    :func:`macro_moments`) and the replicates ``m_<value>``: bias-corrected accelerated intervals for
+    groups with at least ``min_clusters`` clusters, percentile intervals otherwise; replicates without
+    spread give the estimate."""
     groups = list(groups)
     keys = [*groups, "metric"]
     alpha = (1.0 - level) / 2.0
-    long = df.select(*dict.fromkeys([*groups, *cluster]), F.inline(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])))
-    points = jackknife_moments(long, keys, cluster, "value")
+    each = [
+        F.struct(F.lit(v).alias("metric"), F.col(f"estimate_{v}").alias("estimate"), acceleration(F.col(f"second_{v}"), F.col(f"third_{v}")).alias("acceleration"))
+        for v in values
+    ]
+    points = moments.select(*groups, "n_clusters", F.inline(F.array(*each)))
     drawn = means.select(*groups, F.inline(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(f"m_{v}").alias("m")) for v in values])))
     # At most n_resamples values per group and metric: a constant bound.
     drawn = drawn.groupBy(*keys).agg(F.sort_array(F.collect_list("m")).alias("_boot"))
@@ -305,20 +359,21 @@ def macro_intervals(
     n_resamples: int = DEFAULT_RESAMPLES,
     seed: int | str = 0,
     level: float = 0.95,
+    min_clusters: int = BCA_MIN_CLUSTERS,
 ) -> DataFrame:
-    """Equal-weight mean over benchmarks with a stratified percentile interval."""
+    """Equal-weight mean over benchmarks with a stratified interval: BCa from ``min_clusters`` clusters
+    in all, percentile below."""
     groups = list(groups)
     if not groups:
         whole = df.withColumn("_all", F.lit(1))
-        return macro_intervals(whole, ["_all"], cluster, values, n_resamples, seed, level).drop("_all")
-    sums = bootstrap_sums(df, [*groups, "benchmark"], cluster, values, n_resamples, seed)
-    macro = macro_replicates(replicate_means(sums, values), groups, values)
-    per = df.groupBy(*groups, "benchmark").agg(*[F.avg(F.col(v).cast("double")).alias(v) for v in values])
-    points = per.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n_benchmarks"), *[F.avg(v).alias(v) for v in values]
-    )
-    bounds = percentile_intervals(macro, groups, values, level)
-    return points.join(bounds, groups)
+        return macro_intervals(whole, ["_all"], cluster, values, n_resamples, seed, level, min_clusters).drop("_all")
+    each = [*groups, "benchmark"]
+    macro = macro_replicates(replicate_means(bootstrap_sums(df, each, cluster, values, n_resamples, seed), values), groups, values)
+    strata = checkpoint(stratum_moments(cluster_sums(df, each, cluster, values), each, values))
+    moments = macro_moments(strata, groups, values)
+    ends = bounds(moments, macro, groups, values, level, min_clusters).drop("n_clusters", "method")
+    points = strata.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_benchmarks"), *[F.avg(f"estimate_{v}").alias(v) for v in values])
+    return points.join(ends, groups)
 
 
 def replicate_deltas(
@@ -368,6 +423,62 @@ def mcnemar(pairs: DataFrame, groups: Sequence[str], a: str, b: str) -> DataFram
 # --- calibration error per replicate -----------------------------------------------------------------
 
 
+CHUNK_ROWS, CHUNK_REPLICATES = 1024, 256
+"""Rows and replicates whose weights a task draws at once."""
+
+
+def _weight_blocks(a: np.ndarray, b: np.ndarray, n_resamples: int) -> Iterator[tuple[slice, np.ndarray]]:
+    for r in range(0, n_resamples, CHUNK_REPLICATES):
+        size = min(CHUNK_REPLICATES, n_resamples - r)
+        yield slice(r, r + size), replicate_weights(a, b, r, size)
+
+
+def _sums_up_to(w: np.ndarray, value: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """(replicate, edge, column) sums of ``value`` over each replicate's copies before each edge."""
+    size, n = w.shape
+    reach = np.cumsum(w, axis=1)
+    apart = 2.0 ** np.ceil(np.log2(reach.max() + 2.0)) * np.arange(size)[:, None]  # rows one after another
+    at = np.searchsorted((reach + apart).ravel(), (edges + apart).ravel(), side="right").reshape(edges.shape) - n * np.arange(size)[:, None]
+    row = np.arange(size)[:, None]
+    before = np.concatenate([np.zeros((size, 1)), reach], axis=1)[row, at]
+    out = np.empty((*edges.shape, value.shape[1]))
+    inside = np.minimum(at, n - 1)
+    for k in range(value.shape[1]):
+        run = np.concatenate([np.zeros((size, 1)), np.cumsum(w * value[:, k], axis=1)], axis=1)
+        out[:, :, k] = run[row, at] + np.where(at < n, edges - before, 0.0) * value[inside, k]
+    return out
+
+
+class _Bins:
+    """Per replicate and bin: the weight of a range's rows, and their weighted confidence and hits.
+    Rows come in order and in chunks. A chunk that lies within one bin adds its totals there; only in
+    the replicates whose bin edges fall inside it are its rows divided."""
+
+    def __init__(self, before: np.ndarray, total: np.ndarray, bins: int):
+        base, extra = np.divmod(total, bins)
+        k = np.arange(1, bins + 1)
+        self.upper = base[:, None] * k + np.minimum(k, extra[:, None])  # where each bin ends
+        self.at, self.bins = before.copy(), bins
+        self.sums = np.zeros((len(before), bins, 3))
+
+    def add(self, conf: np.ndarray, hit: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        value = np.stack([conf, hit, np.ones(len(conf))], axis=1)
+        for rows, w in _weight_blocks(a, b, len(self.at)):
+            totals = w @ value
+            start = self.at[rows]
+            end = start + totals[:, 2]
+            upper = self.upper[rows]
+            first = np.minimum((upper <= start[:, None]).sum(axis=1), self.bins - 1)
+            whole = end <= upper[np.arange(len(upper)), first]
+            sums = self.sums[rows]
+            sums[np.flatnonzero(whole), first[whole]] += totals[whole]
+            cut = np.flatnonzero(~whole)
+            if len(cut):
+                edges = np.clip(upper[cut] - start[cut, None], 0.0, totals[cut, 2:])
+                sums[cut] += np.diff(_sums_up_to(w[cut], value, edges), axis=1, prepend=0.0)
+            self.at[rows] = end
+
+
 def ece_replicates(
     df: DataFrame,
     groups: Sequence[str],
@@ -382,79 +493,88 @@ def ece_replicates(
     """(groups, r, ece): equal-mass calibration error of every replicate's expanded sample.
 
     Rows are range-sorted by confidence once for all replicates. Each range reports its weight per
-    replicate; running totals over the ranges place every item's copies among the bin edges, and a
-    range adds up its own share of each bin. Items are never expanded, and a task holds one range.
+    replicate; running totals over the ranges say where in the expanded sample a range begins. Then
+    ranges are read once more, behind a row with those totals, and add up their share of each bin.
+    Items are never expanded; a task holds :data:`CHUNK_ROWS` rows and one figure per replicate and
+    bin, whatever the length of its range.
     """
     groups = list(groups)
     rows = with_seeds(df, cluster, seed).select(
-        *groups, F.col(conf).alias("_conf"), F.col(correct).cast("double").alias("_hit"),
+        *groups, F.col(conf).cast("double").alias("_conf"), F.col(correct).cast("double").alias("_hit"),
         tie_key(F.col(item)).alias("_tie"), "_a", "_b",
     )
     placed = sorted_once(rows, [*groups, "_conf", "_tie"])
     place = [*groups, "_part"]
-    key_fields = [placed.schema[c] for c in place]
-    weight_schema = T.StructType(
-        [*key_fields, T.StructField("r", T.IntegerType()), T.StructField("w", T.DoubleType())]
-    )
-    block = 64
-
-    def range_weights(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf["_a"].to_numpy(np.int64), pdf["_b"].to_numpy(np.int64)
-        w = np.empty(n_resamples)
-        for r in range(0, n_resamples, block):
-            size = min(block, n_resamples - r)
-            w[r : r + size] = replicate_weights(a, b, r, size).sum(axis=1)
-        out = pd.DataFrame({"r": np.arange(n_resamples, dtype=np.int32), "w": w})
-        for i, (name, value) in enumerate(zip(place, key, strict=True)):
+
+    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+        for pdf in batches:
+            for key, part in pdf.groupby(place, sort=False, dropna=False):
+                for i in range(0, len(part), CHUNK_ROWS):
+                    yield key, part.iloc[i : i + CHUNK_ROWS]
+
+    def keyed(key: tuple, columns: dict, names: Sequence[str]) -> pd.DataFrame:
+        out = pd.DataFrame(columns)
+        for i, (name, value) in enumerate(zip(names, key, strict=False)):
             out.insert(i, name, value)
         return out
 
-    weights = placed.groupBy(*place).applyInPandas(range_weights, weight_schema)
+    def range_weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total = None, np.zeros(n_resamples)
+        name = np.arange(n_resamples, dtype=np.int32)
+        for key, part in chunks(batches):
+            if now is not None and key != now:
+                yield keyed(now, {"r": name, "w": total}, place)
+                total = np.zeros(n_resamples)
+            now = key
+            for rows, w in _weight_blocks(part["_a"].to_numpy(np.int64), part["_b"].to_numpy(np.int64), n_resamples):
+                total[rows] += w.sum(axis=1)
+        if now is not None:
+            yield keyed(now, {"r": name, "w": total}, place)
+
+    fields = [placed.schema[c] for c in place]
+    weights = placed.mapInPandas(range_weights, T.StructType([*fields, T.StructField("r", T.IntegerType()), T.StructField("w", T.DoubleType())]))
+    weights = weights.groupBy(*place, "r").agg(F.sum("w").alias("w"))
     earlier = Window.partitionBy(*groups, "r").orderBy("_part")  # one row per range
-    offsets = checkpoint(
-        weights.withColumns(
-            {
-                "before": F.coalesce(
-                    F.sum("w").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)
-                ),
-                "total": F.sum("w").over(Window.partitionBy(*groups, "r")),
-            }
-        ).drop("w")
+    offsets = weights.withColumns(
+        {
+            "before": F.coalesce(F.sum("w").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
+            "total": F.sum("w").over(Window.partitionBy(*groups, "r")),
+        }
+    )
+    # One row per range, with n_resamples figures.
+    of_range = offsets.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("r", "before", "total"))).alias("_o"))
+    ahead = of_range.select(
+        *place, F.lit(-1).cast("bigint").alias("_pos"),
+        *[F.lit(None).cast(t).alias(c) for c, t in (("_conf", "double"), ("_hit", "double"), ("_a", "bigint"), ("_b", "bigint"))],
+        F.transform("_o", lambda o: o["before"]).alias("_before"), F.transform("_o", lambda o: o["total"]).alias("_total"),
     )
+    none = F.lit(None).cast("array<double>")
+    items = placed.select(*place, "_pos", "_conf", "_hit", "_a", "_b", none.alias("_before"), none.alias("_total"))
+
+    def range_bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, None
+
+        def told() -> pd.DataFrame:
+            r, k = np.nonzero(held.sums[:, :, 2])
+            c, h, w = held.sums[r, k].T
+            return keyed(now, {"r": r.astype(np.int32), "bin": k.astype(np.int32), "c": c, "h": h, "w": w}, groups)
+
+        for key, part in chunks(batches):
+            if key != now:
+                if now is not None:
+                    yield told()
+                now, held = key, _Bins(np.asarray(part["_before"].iloc[0], float), np.asarray(part["_total"].iloc[0], float), bins)
+                part = part.iloc[1:]
+            if len(part):
+                held.add(part["_conf"].to_numpy(), part["_hit"].to_numpy(), part["_a"].to_numpy(np.int64), part["_b"].to_numpy(np.int64))
+        if now is not None:
+            yield told()
+
     sums_schema = T.StructType(
         [placed.schema[c] for c in groups]
         + [T.StructField("r", T.IntegerType()), T.StructField("bin", T.IntegerType())]
         + [T.StructField(c, T.DoubleType()) for c in ("c", "h", "w")]
     )
-
-    def range_bins(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("_pos"), right.sort_values("r")
-        a, b = left["_a"].to_numpy(np.int64), left["_b"].to_numpy(np.int64)
-        value = np.stack([left["_conf"].to_numpy(), left["_hit"].to_numpy(), np.ones(len(left))])
-        before, total = right["before"].to_numpy(), right["total"].to_numpy()
-        parts = []
-        for r in range(0, n_resamples, block):
-            size = min(block, n_resamples - r)
-            w = replicate_weights(a, b, r, size)
-            end = before[r : r + size, None] + np.cumsum(w, axis=1)
-            start = end - w
-            base, extra = np.divmod(total[r : r + size], bins)
-            for k in range(bins):
-                low = base * k + np.minimum(k, extra)
-                high = base * (k + 1) + np.minimum(k + 1, extra)
-                share = np.clip(np.minimum(end, high[:, None]) - np.maximum(start, low[:, None]), 0.0, None)
-                c, h, n = (share @ v for v in value)
-                used = n > 0
-                parts.append(
-                    pd.DataFrame(
-                        {"r": (r + np.flatnonzero(used)).astype(np.int32), "bin": np.int32(k), "c": c[used], "h": h[used], "w": n[used]}
-                    )
-                )
-        out = pd.concat(parts)
-        for i, (name, v) in enumerate(zip(groups, key, strict=False)):
-            out.insert(i, name, v)
-        return out
-
-    partial_bins = placed.groupBy(*place).cogroup(offsets.groupBy(*place)).applyInPandas(range_bins, sums_schema)
-    per_bin = partial_bins.groupBy(*groups, "r", "bin").agg(*[F.sum(x).alias(x) for x in ("c", "h", "w")])
+    streamed = items.unionByName(ahead).repartition(*place).sortWithinPartitions(*place, "_pos")
+    per_bin = streamed.mapInPandas(range_bins, sums_schema).groupBy(*groups, "r", "bin").agg(*[F.sum(x).alias(x) for x in ("c", "h", "w")])
     return per_bin.groupBy(*groups, "r").agg((F.sum(F.abs(F.col("h") - F.col("c"))) / F.sum("w")).alias("ece"))

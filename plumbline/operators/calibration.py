@@ -85,8 +85,8 @@ def _iterate(
     tolerance: float,
 ) -> DataFrame:
     """Advance ``state`` (one row per fit, with a ``moved`` column) until no fit moves. ``step``
-    gets the state and whether its measured size allows a broadcast. Fits that still move after
-    ``max_iterations`` are named in a warning."""
+    gets the state and whether its measured size allows a broadcast. ``converged`` says of each fit
+    whether it had settled within ``max_iterations``; those that had not are counted in a warning."""
     measure = lambda s: s.agg(F.count(F.lit(1)), F.sum(row_bytes(s)), F.max("moved")).first()
     state = checkpoint(state)
     rows, size, moved = measure(state)
@@ -99,7 +99,7 @@ def _iterate(
     else:
         still = state.where(F.col("moved") >= tolerance).count()
         warnings.warn(f"{still} of {rows} fits had not settled after {max_iterations} rounds", stacklevel=3)
-    return state
+    return state.withColumn("converged", F.col("moved") < tolerance)
 
 
 def _targets(n_folds: int | None) -> list[int]:
@@ -247,7 +247,7 @@ def fit_temperature(
 
     state = _iterate(start, step, 40, NEWTON_TOLERANCE)
     data.unpersist()
-    return state.select(*on, "n_train", (1.0 / F.get("theta", F.lit(0))).alias("temperature"))
+    return state.select(*on, "n_train", (1.0 / F.get("theta", F.lit(0))).alias("temperature"), "converged")
 
 
 # --- Platt -----------------------------------------------------------------------------------------
@@ -320,7 +320,7 @@ def fit_platt(rows: DataFrame, keys: Sequence[str], n_folds: int | None = DEFAUL
 
     state = _iterate(start, step, 40, NEWTON_TOLERANCE)
     training.unpersist()
-    return state.select(*on, "n_train", "a", "b")
+    return state.select(*on, "n_train", "a", "b", "converged")
 
 
 # --- vector scaling ----------------------------------------------------------------------------------
@@ -396,7 +396,7 @@ def fit_vector(
     bias = F.slice("theta", F.lit(2), F.size("theta") - 1)
     return state.select(
         *on, "n_train", (1.0 / F.get("theta", F.lit(0))).alias("temperature"),
-        V.let(V.vsum(bias) / F.size(bias), lambda m: F.transform(bias, lambda x: x - m)).alias("bias"),
+        V.let(V.vsum(bias) / F.size(bias), lambda m: F.transform(bias, lambda x: x - m)).alias("bias"), "converged",
     )
 
 

@@ -117,7 +117,8 @@ def timed() -> Column:
 
 
 def throughput(invocations: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Items sent per second of summed wall time over the timed invocations."""
+    """Items sent per second of summed wall time over the timed invocations; with ``concurrency``, also
+    the different in-flight limits they ran at."""
     seconds = seconds_between(F.col("started"), F.col("finished"))
     return (
         invocations.where(timed())
@@ -125,6 +126,7 @@ def throughput(invocations: DataFrame, groups: Sequence[str]) -> DataFrame:
         .agg(
             F.sum(F.col("n_called") - F.col("n_cache_hits")).alias("throughput_items"),
             F.sum(seconds).alias("wall_seconds"),
+            *([F.sort_array(F.collect_set("concurrency")).alias("in_flight")] if "concurrency" in invocations.columns else []),
         )
         .withColumn("items_per_second", F.try_divide("throughput_items", "wall_seconds"))
     )
@@ -168,6 +170,7 @@ def usage_stats(costed: DataFrame, groups: Sequence[str] = ("system_id", "benchm
         F.count_if("price_mismatch").alias("n_price_mismatch"),
         F.count_if(F.coalesce("cached", F.lit(False))).alias("n_response_cache_hits"),
         F.count_if(F.coalesce("correct", F.lit(False))).alias("n_correct"),
+        *([F.sum("backend_calls").alias("backend_calls"), F.count("backend_calls").alias("n_diagnostics")] if "backend_calls" in costed.columns else []),
     )
 
 
@@ -180,6 +183,7 @@ def with_ratios(stats: DataFrame) -> DataFrame:
             "mean_cached_tokens": F.try_divide("cached_tokens", "n_cached_reported"),
             "cost_per_1k_items": F.try_divide("cost_usd", "n_items") * 1000.0,
             "cost_per_correct": F.try_divide("cost_usd", "n_correct"),
+            **({"calls_per_item": F.try_divide("backend_calls", "n_diagnostics")} if "backend_calls" in stats.columns else {}),
         }
     )
 

@@ -134,8 +134,9 @@ def crossfit(
 
     ``items``: keys, benchmark, signature, item_id, question_id, fold, probs (normalised),
     gold_idx. Returns (keys, benchmark, item_id, question_id, gold_idx, arm, probs) and
-    (keys, arm, target, grp, n_train, fallback, temperature). A group with fewer than ``min_group``
-    training rows uses the temperature fitted on all rows of its training folds.
+    (keys, arm, target, grp, n_train, fallback, temperature, converged: NULL where a fit is not
+    iterative). A group with fewer than ``min_group`` training rows uses the temperature fitted on all
+    rows of its training folds.
     """
     keys = list(keys)
     logits = items.withColumn("z", V.centered(V.probs_to_logits(F.col("probs"), floor)))
@@ -151,7 +152,7 @@ def crossfit(
         rows = logits.select(*keys, "fold", "z", "gold_idx", F.inline(scoped))
         temperatures = C.fit_temperature(rows, [*keys, "scope", "grp"], n_folds)
         fallback = temperatures.where("scope = 'global'").select(
-            *keys, F.col("target").alias("fold"), F.col("temperature").alias("_t_all")
+            *keys, F.col("target").alias("fold"), F.col("temperature").alias("_t_all"), F.col("converged").alias("_c_all")
         )
     outputs, fits_out = [], []
     for name, scope in parsed:
@@ -166,19 +167,20 @@ def crossfit(
                 fits = temperatures.where(F.col("scope") == scope).drop("scope")
             else:
                 fits = calibrator.fit(rows, on, n_folds)
-            usable = fits.where(F.col("n_train") >= min_group)
+            usable = fits.where(F.col("n_train") >= min_group).drop("converged")
             applied = calibrator.join(
                 grouped, usable.withColumnRenamed("target", "fold"), [*on, "fold"]
-            ).join(broadcast_if_small(fallback), [*keys, "fold"], "left")
+            ).join(broadcast_if_small(fallback.drop("_c_all")), [*keys, "fold"], "left")
             fitted = F.col("n_train").isNotNull()
             base = V.softmax(F.transform("z", lambda x: x / F.col("_t_all")))
             out = applied.withColumn(
                 "_p", F.when(fitted, calibrator.transform(F.col("z"))).otherwise(base)
             )
             own = F.col("temperature") if "temperature" in calibrator.params else F.lit(None).cast("double")
+            settled = F.col("converged") if "converged" in fits.columns else F.lit(None).cast("boolean")
             present = grouped.select(*on, F.col("fold").alias("target")).distinct()
             summary = (
-                present.join(fits.groupBy(*on, "target").agg(F.max("n_train").alias("n_train"), F.max(own).alias("_t")), [*on, "target"], "left")
+                present.join(fits.groupBy(*on, "target").agg(F.max("n_train").alias("n_train"), F.max(own).alias("_t"), F.min(settled).alias("_c")), [*on, "target"], "left")
                 .join(fallback.withColumnRenamed("fold", "target"), [*keys, "target"], "left")
             )
             short = F.coalesce(F.col("n_train"), F.lit(0)) < min_group
@@ -187,6 +189,7 @@ def crossfit(
                     *keys, F.lit(label).alias("arm"), "target", "grp",
                     F.coalesce("n_train", F.lit(0)).alias("n_train"), short.alias("fallback"),
                     F.when(short, F.col("_t_all")).otherwise(F.col("_t")).alias("temperature"),
+                    F.when(short, F.col("_c_all")).otherwise(F.col("_c")).alias("converged"),
                 )
             )
         outputs.append(out.select(*carried, F.lit(label).alias("arm"), F.col("_p").alias("probs")))
@@ -222,13 +225,83 @@ def fit_registry(
     fits = calibrator.fit(rows, ["grp"], None).where(F.col("n_train") >= min_group)
     exact = fits.select(
         *identity, F.col("grp").alias("signature"), F.lit(name).alias("name"), "n_train",
-        *calibrator.params, *(["cell"] if name == "isotonic" else []),
+        *calibrator.params, *(["cell"] if name == "isotonic" else []), *(["converged"] if "converged" in fits.columns else []),
     )
     overall = C.fit_temperature(rows.withColumn("grp", F.lit("all")), ["grp"], None)
     fallbacks = overall.select(*identity[1:], F.lit("temperature").alias("name"), "n_train", "temperature")
     return exact, fallbacks
 
 
+REGISTRY_KEY = ("backend", "model", "template_id", "signature")
+PARAMETERS = {
+    "temperature": "double", "bias": "array<double>", "a": "double", "b": "double", "edges": "array<double>", "values": "array<double>",
+}
+"""Columns of a registry: what any calibrator may need, NULL where another does not. Segments of
+isotonic maps are a table of their own, one row per confidence cell."""
+
+
+def registry_tables(fits: Sequence[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(entries, segments) of one registry, from what :func:`fit_registry` gave for several
+    calibrators: one row per key with the calibrator's name and its parameters, and (key, cell,
+    segments) of the isotonic ones. A key that is registered twice is an error."""
+    entries, segments = None, None
+    for fit in fits:
+        own = [F.col(c) if c in fit.columns else F.lit(None).cast(t).alias(c) for c, t in PARAMETERS.items()]
+        rows = fit.select(*REGISTRY_KEY, "name", "n_train", *own)
+        if "cell" in fit.columns:
+            rows = rows.distinct()
+            cells = fit.select(*REGISTRY_KEY, "cell", "segments")
+            segments = cells if segments is None else segments.unionByName(cells)
+        entries = rows if entries is None else entries.unionByName(rows)
+    if entries is None:
+        raise ValueError("a registry needs at least one fit")
+    if segments is None:
+        piece = "array<struct<x0: double, y0: double, x1: double, y1: double>>"
+        segments = entries.where("false").select(*REGISTRY_KEY, F.lit(0).alias("cell"), F.lit(None).cast(piece).alias("segments"))
+    entries = checkpoint(entries)
+    twice = entries.groupBy(*REGISTRY_KEY).count().where("count > 1").limit(1).collect()  # one row
+    if twice:
+        raise ValueError(f"registered more than once: {[twice[0][k] for k in REGISTRY_KEY]}")
+    unknown = [r["name"] for r in entries.select("name").distinct().limit(len(CALIBRATORS) + 1).collect() if r["name"] not in CALIBRATORS]
+    if unknown:
+        raise ValueError(f"no such calibrators: {unknown}")
+    return entries, segments
+
+
+def apply_registry(
+    requests: DataFrame, entries: DataFrame, segments: DataFrame, fallbacks: DataFrame, floor: float = V.PROB_FLOOR
+) -> DataFrame:
+    """Requests (registry key, probs, ...) with ``calibrated`` probabilities and ``calibrator``, as
+    ``<name>:<source>``: each row is transformed by the calibrator registered for its key, else by its
+    (model, template) fallback temperature, else not at all (its renormalised probabilities).
+
+    Which calibrator applies is decided row by row, from one lookup of the key; isotonic keys then find
+    the segments of their row's confidence cell by equality, not by comparing with every segment.
+    """
+    for taken in ("z", "cell", "segments", "calibrated", "calibrator", "name", *PARAMETERS):
+        if taken in requests.columns:
+            raise ValueError(f"requests have a column {taken!r}")
+    logits = requests.withColumn("z", V.centered(V.probs_to_logits(F.col("probs"), floor)))
+    own = logits.join(lookup(entries.select(*REGISTRY_KEY, "name", *PARAMETERS)), list(REGISTRY_KEY), "left")
+    celled = own.withColumn("cell", F.when(F.col("name") == Isotonic.name, C._cell(F.array_max(V.softmax(F.col("z"))))))
+    found = celled.join(lookup(segments), [*REGISTRY_KEY, "cell"], "left")
+    general = fallbacks.select("model", "template_id", F.col("temperature").alias("_fallback"))
+    found = found.join(lookup(general), ["model", "template_id"], "left")
+    z = F.col("z")
+    calibrated = None
+    for name, calibrator in CALIBRATORS.items():
+        chosen = F.when(F.col("name") == name, calibrator.transform(z)) if calibrated is None else calibrated.when(F.col("name") == name, calibrator.transform(z))
+        calibrated = chosen
+    by_fallback = V.softmax(F.transform(z, lambda x: x / F.col("_fallback")))
+    calibrated = calibrated.when(F.col("_fallback").isNotNull(), by_fallback).otherwise(V.normalize("probs"))
+    source = (
+        F.when(F.col("name").isNotNull(), F.concat("name", F.lit(":exact")))
+        .when(F.col("_fallback").isNotNull(), F.lit("temperature:temperature_fallback"))
+        .otherwise(F.lit("identity:identity"))
+    )
+    return found.withColumn("calibrated", calibrated).withColumn("calibrator", source).select(*requests.columns, "calibrated", "calibrator")
+
+
 def resolve_temperature(
     requests: DataFrame, exact: DataFrame, fallbacks: DataFrame
 ) -> DataFrame:

@@ -233,6 +233,16 @@ def debias_offline(
     return divided.drop("prior")
 
 
+def _own_keys(items: DataFrame, other: DataFrame, key: str, owners: tuple[str, ...] = ("system", "benchmark")) -> list[str]:
+    """``key`` and those of ``owners`` that items have: the other table must name them too, so what
+    belongs to one system is never used for another."""
+    keys = [*[c for c in owners if c in items.columns], key]
+    lacking = [k for k in keys if k not in other.columns]
+    if lacking:
+        raise ValueError(f"items have {lacking}, what they are debiased with has not")
+    return keys
+
+
 # --- debiasers as values (extension point) --------------------------------------------------------
 #
 # A debiaser is a frozen dataclass: its fields are its options, ``apply`` its DataFrame transform.
@@ -240,8 +250,8 @@ def debias_offline(
 
 @dataclass(frozen=True)
 class PermutationAverage:
-    """Answer with the average presentation; questions with fewer than two or more than
-    ``max_options`` free options keep their own answer (with a warning in the latter case)."""
+    """Answer with the average presentation of the same system's item; questions with fewer than two
+    or more than ``max_options`` free options keep their own answer (with a warning in the latter case)."""
 
     kind: str = "cyclic"
     n: int | None = None
@@ -255,13 +265,14 @@ class PermutationAverage:
         return random_orders(free, self.n or 2, F.lit(self.seed), *keys)
 
     def apply(self, items: DataFrame, shown: DataFrame) -> DataFrame:
-        averaged = average_presentations(shown, ["item_id"]).withColumnRenamed("probs", "_averaged")
+        item = _own_keys(items, shown, "item_id")
+        averaged = average_presentations(shown, item).withColumnRenamed("probs", "_averaged")
         n_free = F.size(F.filter("free", lambda f: f))
         over = F.lit(False) if self.max_options is None else n_free > self.max_options
         applies = (n_free >= 2) & ~over
         warning = F.when(over, F.format_string("permutation: %d free options > max_options=%d", n_free, F.lit(self.max_options or 0)))
         return (
-            items.join(averaged, "item_id", "left")
+            items.join(averaged, item, "left")
             .withColumn("debiased", F.when(applies, F.coalesce("_averaged", "probs")).otherwise(F.col("probs")))
             .withColumn("warning", warning)
             .drop("_averaged")
@@ -270,17 +281,18 @@ class PermutationAverage:
 
 @dataclass(frozen=True)
 class StoredPrior:
-    """Divide each question by the stored prior of its key, with a warning where there is none.
+    """Divide each question by the prior stored for its key (and system), with a warning where there is none.
     Priors of fewer than ``min_count`` questions do not count."""
 
     min_count: int = 1
 
     def apply(self, items: DataFrame, priors: DataFrame) -> DataFrame:
         n_free = F.size(F.filter("free", lambda f: f))
+        keys = _own_keys(items, priors, "prior_key", ("system",))
         known = priors if "n" not in priors.columns else priors.where(F.col("n") >= self.min_count)
         prior = F.when(n_free >= 2, F.col("prior"))
         return (
-            items.join(lookup(known.select("prior_key", "prior")), "prior_key", "left")
+            items.join(lookup(known.select(*keys, "prior")), keys, "left")
             .withColumn("debiased", divide_by_prior(F.col("probs"), prior, F.col("free")))
             .withColumn(
                 "warning",
@@ -304,18 +316,20 @@ class PermutedPrior(StoredPrior):
 
 @dataclass(frozen=True)
 class ContextualPrior:
-    """Divide by the mean answer to ``content_free`` states, estimated once per distinct question.
+    """Divide by the mean answer to ``content_free`` states, estimated once per distinct question (of
+    each system by itself, where items name one).
 
-    ``answers``: question_hash, free, probs of each content-free answer.
+    ``answers``: question_hash, free, probs of each content-free answer (and system).
     """
 
     content_free: tuple[str, ...] = ("N/A", "", "[MASK]")
 
     def apply(self, items: DataFrame, answers: DataFrame) -> DataFrame:
-        priors = batch_priors(answers, ["question_hash"])
+        keys = _own_keys(items, answers, "question_hash", ("system",))
+        priors = batch_priors(answers, keys)
         n_free = F.size(F.filter("free", lambda f: f))
         return (
-            items.join(lookup(priors.select("question_hash", "prior")), "question_hash", "left")
+            items.join(lookup(priors.select(*keys, "prior")), keys, "left")
             .withColumn(
                 "debiased", divide_by_prior(F.col("probs"), F.when(n_free >= 2, F.col("prior")), F.col("free"))
             )

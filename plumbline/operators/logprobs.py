@@ -203,6 +203,10 @@ def sequence_scores(sequences: DataFrame, mode: str = "sum", null: DataFrame | N
 # --- token trie ----------------------------------------------------------------------------------
 
 
+STEP_SLICES = 64
+"""Slices that the requests of one label set are dealt to."""
+
+
 def trie_read(
     labels: DataFrame, branches: DataFrame, tau: float = 1e-4
 ) -> DataFrame:
@@ -245,9 +249,12 @@ def trie_read(
         *asked, "label", "s.node", "s.child", "s.depth"
     )
     ways = steps.groupBy(*asked, "node").agg((F.count_distinct("child") == 1).alias("_only"))
-    steps = steps.join(ways, [*asked, "node"]).withColumn("_all", F.lit(0))
-    requests = branches.select("request_id", *asked).distinct().withColumn("_all", F.lit(0))
-    grid = requests.join(lookup(steps), [*asked, "_all"]).drop("_all")
+    # Every request walks all steps of its labels. The steps are there once for each slice of the
+    # requests, so neither one label set nor one question's requests meet under a single key.
+    slices = F.explode(F.sequence(F.lit(0), F.lit(STEP_SLICES - 1))).alias("_slice")
+    steps = steps.join(ways, [*asked, "node"]).select("*", slices)
+    requests = branches.select("request_id", *asked).distinct().withColumn("_slice", F.pmod(F.xxhash64("request_id"), F.lit(STEP_SLICES)).cast("int"))
+    grid = requests.join(lookup(steps), [*asked, "_slice"]).drop("_slice")
     walked = grid.join(conditionals, ["request_id", "node", "child"], "left").join(
         reads.select("request_id", "node", "_bound"), ["request_id", "node"], "left"
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import broadcast_if_small
+
 RECORD_KEYS = ("system_id", "benchmark", "item_id")
 
 
@@ -89,6 +91,40 @@ def protocol_violations(latest: DataFrame, declared: DataFrame | None = None) ->
     return rows.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
+def protocol_breaches(latest: DataFrame, items: DataFrame, settings: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """(system_id, benchmark, reason, n) of every way a run breaks the protocol: split items without a
+    record (``missing``), records outside the split (``foreign``), failures that are not declared
+    (``unanswered``), answers that took other than one call (``calls``), and a benchmark run with other
+    settings than most of the system's (``settings``; n is how many settings differ).
+
+    ``items``: benchmark, item_id of the split. ``settings``: system_id, benchmark, name, value, one row
+    for each setting of a run. Settings shared by the most benchmarks count as the system's (ties: the
+    first value in order).
+    """
+    keys = ["benchmark", "item_id"]
+    systems = latest.select("system_id").distinct()
+    # Every system is asked every item of the split: its runs are few, and checked before a broadcast.
+    tried = latest.groupBy("system_id", "benchmark").agg(F.count(F.lit(1)).alias("n_records"))
+    inside = latest.join(items.select(*keys), keys, "left_semi").groupBy("system_id", "benchmark").agg(F.count(F.lit(1)).alias("n_inside"))
+    size = items.groupBy("benchmark").agg(F.count(F.lit(1)).alias("n_items"))
+    asked = size.join(broadcast_if_small(systems.withColumn("_all", F.lit(1))), F.lit(1) == F.col("_all")).drop("_all")
+    counts = asked.join(tried, ["system_id", "benchmark"], "full").join(inside, ["system_id", "benchmark"], "left")
+    known = F.coalesce("n_inside", F.lit(0))
+    parts = [
+        counts.select("system_id", "benchmark", F.lit("missing").alias("reason"), (F.coalesce("n_items", F.lit(0)) - known).alias("n")),
+        counts.select("system_id", "benchmark", F.lit("foreign").alias("reason"), (F.coalesce("n_records", F.lit(0)) - known).alias("n")),
+        protocol_violations(latest, declared).groupBy("system_id", "benchmark", "reason").agg(F.count(F.lit(1)).alias("n")),
+    ]
+    shared = settings.groupBy("system_id", "name", "value").agg(F.count(F.lit(1)).alias("_k"))
+    usual = shared.groupBy("system_id", "name").agg(F.min_by("value", F.struct((-F.col("_k")).alias("k"), F.coalesce("value", F.lit("")).alias("v"))).alias("_usual"))
+    differing = settings.join(usual, ["system_id", "name"]).where(~F.col("value").eqNullSafe(F.col("_usual")))
+    parts.append(differing.groupBy("system_id", "benchmark").agg(F.count(F.lit(1)).alias("n")).select("system_id", "benchmark", F.lit("settings").alias("reason"), "n"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.where("n > 0")
+
+
 def answer_type_error(asked: Column, answered: Column) -> Column:
     """Error struct of an answer whose type is not the question's, NULL when it matches."""
     return F.when(

@@ -21,7 +21,7 @@ from plumbline.operators import debias as P
 from plumbline.operators import records as R
 from plumbline.operators import summaries as S
 from plumbline.session import cached, checkpoint
-from plumbline.sources.writers import markdown_table, write_study
+from plumbline.sources.writers import interval_text, markdown_table, write_study
 
 METRICS = ("accuracy", "nll", "brier")
 CLUSTER = ("benchmark", "question_id")
@@ -68,10 +68,13 @@ def summary_markdown(summary: DataFrame) -> str:
 
 
 def compare(
-    answers: DataFrame, a: str, b: str, n_resamples: int = B.DEFAULT_RESAMPLES, seed: int = 0
+    answers: DataFrame, a: str, b: str, n_resamples: int = B.DEFAULT_RESAMPLES, seed: int = 0,
+    benchmarks: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``a - b`` on the items both answered: accuracy, NLL and Brier differences with intervals and
-    the exact McNemar test per benchmark, and their macro averages."""
+    """``a - b`` on the items both answered (of ``benchmarks`` if given): accuracy, NLL and Brier
+    differences with intervals and the exact McNemar test per benchmark, and their macro averages."""
+    if benchmarks is not None:
+        answers = answers.where(F.col("benchmark").isin(list(benchmarks)))
     conflicts = A.shared_items(answers.where(F.col("system").isin(a, b)), 2).where("disagrees")
     if conflicts.limit(1).count():
         raise ValueError("the runs disagree on keys or gold of shared items")
@@ -86,16 +89,18 @@ def compare(
     )
     values, items = ["d_accuracy", "d_nll", "d_brier"], ["benchmark", "item_id"]
     means = checkpoint(B.replicate_means(B.bootstrap_sums(d, ["benchmark"], items, values, n_resamples, seed), values))
+    moments = checkpoint(B.stratum_moments(B.cluster_sums(d, ["benchmark"], items, values), ["benchmark"], values))
     points = d.groupBy("benchmark").agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(v) for v in ("accuracy_a", "accuracy_b", *values)]
     )
     per = (
-        points.join(B.intervals(d, means, ["benchmark"], items, values).drop("n_clusters"), "benchmark")
+        points.join(B.bounds(moments, means, ["benchmark"], values).drop("n_clusters"), "benchmark")
         .join(B.mcnemar(d, ["benchmark"], "correct_a", "correct_b"), "benchmark")
     )
-    macro_bounds = B.percentile_intervals(
-        B.macro_replicates(means.withColumn("_all", F.lit(1)), ["_all"], values), ["_all"], values
-    )
+    whole = lambda df: df.withColumn("_all", F.lit(1))
+    macro_bounds = B.bounds(
+        B.macro_moments(whole(moments), ["_all"], values), B.macro_replicates(whole(means), ["_all"], values), ["_all"], values
+    ).drop("n_clusters")
     macro = (
         points.agg(F.lit(1).alias("_all"), F.sum("n").alias("n"), *[F.avg(v).alias(v) for v in ("accuracy_a", "accuracy_b", *values)])
         .join(macro_bounds, "_all").drop("_all").withColumn("benchmark", F.lit(MACRO))
@@ -124,7 +129,7 @@ def run_statistics(
     )
     machine = K.machine_seconds(invocations, keys).unionByName(
         K.machine_seconds(invocations, ["system_id"]).withColumn("benchmark", F.lit(None).cast("string"))
-    ).withColumn("machine_usd", K.machine_cost(F.col("gpu_seconds"), K.machine_rate(usd_per_hour)))
+    ).withColumns({"machine_usd": K.machine_cost(F.col("gpu_seconds"), K.machine_rate(usd_per_hour)), "gpu_hours": F.col("gpu_seconds") / 3600.0})
     latency = S.latency_percentiles(costed.where("ok"), keys).unionByName(
         S.latency_percentiles(costed.where("ok"), ["system_id"]).withColumn("benchmark", F.lit(None).cast("string"))
     )
@@ -137,6 +142,35 @@ def run_statistics(
     return table
 
 
+def comparison_markdown(comparison: DataFrame) -> str:
+    """:func:`compare` as a table: one row per benchmark, the macro average last."""
+    rows = comparison.select(
+        "benchmark", "n", "accuracy_a", "accuracy_b",
+        *[interval_text(F.col(f"d_{m}"), F.col(f"low_d_{m}"), F.col(f"high_d_{m}"), signed=True).alias(m) for m in METRICS],
+        F.when(F.col("only_a").isNotNull(), F.concat_ws("/", F.col("only_a").cast("string"), F.col("only_b").cast("string"))).alias("discordant"), "p_value",
+    )
+    columns = [
+        ("benchmark", "Benchmark", ""), ("n", "Items", ",d"), ("accuracy_a", "Acc. A", ".4f"), ("accuracy_b", "Acc. B", ".4f"), ("accuracy", "Δ accuracy", ""),
+        ("nll", "Δ NLL", ""), ("brier", "Δ Brier", ""), ("discordant", "only A/B", ""), ("p_value", "McNemar p", ".4f"),
+    ]
+    return markdown_table(rows, columns, [(F.col("benchmark") == MACRO).cast("int"), *S.display_order(F.col("benchmark"))])
+
+
+def statistics_markdown(statistics: DataFrame) -> str:
+    """:func:`run_statistics` as a table: one row per system and benchmark, the pooled row (all
+    benchmarks) last."""
+    rows = statistics.withColumn("_pooled", F.col("benchmark").isNull()).withColumn("benchmark", F.coalesce("benchmark", F.lit("all, macro acc.")))
+    if "in_flight" in rows.columns:
+        rows = rows.withColumn("in_flight", F.array_join(F.transform("in_flight", lambda c: c.cast("string")), "/"))
+    columns = [
+        ("system_id", "System", ""), ("benchmark", "Benchmark", ""), ("n_items", "Items", ",d"), ("accuracy", "Acc.", ".4f"), ("mean_input_tokens", "In tok/item", ",.1f"),
+        ("mean_output_tokens", "Out tok/item", ",.1f"), ("input_tokens", "In tok total", ",d"), ("output_tokens", "Out tok total", ",d"), ("mean_cached_tokens", "Cached tok/item", ",.1f"),
+        ("calls_per_item", "Calls/item", ".2f"), ("latency_p50_ms", "p50 ms", ",.0f"), ("latency_p95_ms", "p95 ms", ",.0f"), ("items_per_second", "q/s", ".2f"), ("in_flight", "In flight", ""),
+        ("gpu_hours", "GPU-h", ".2f"), ("cost_usd", "Cost $", ".2f"), ("cost_per_1k_items", "$ / 1k items", ".3f"), ("cost_per_correct", "$ / correct", ".5f"),
+    ]
+    return markdown_table(rows, [c for c in columns if c[0] in rows.columns], ["system_id", "_pooled", *S.display_order(F.col("benchmark"))])
+
+
 @dataclass
 class Study:
     """Tables of a calibration study."""
@@ -207,39 +241,56 @@ def calibration_study(
     ).withColumn("benchmark", F.lit(MACRO))
     all_points = checkpoint(points.unionByName(macro_points))
     means = B.replicate_means(B.bootstrap_sums(scored, series, CLUSTER, METRICS, n_resamples, seed), METRICS)
-    macro_means = B.macro_replicates(means, ["system", "arm"], METRICS).withColumn("benchmark", F.lit(MACRO))
-    kept = ["system", "arm", "benchmark", "r", *[f"m_{m}" for m in METRICS]]
+    errors = B.ece_replicates(scored, series, CLUSTER, n_resamples, bins, seed).withColumnRenamed("ece", "m_ece")
+    means = checkpoint(means.join(errors, [*series, "r"], "left"))
+    every = (*METRICS, "ece")
+    macro_means = B.macro_replicates(means, ["system", "arm"], every).withColumn("benchmark", F.lit(MACRO))
+    kept = ["system", "arm", "benchmark", "r", *[f"m_{m}" for m in every]]
     replicates = checkpoint(means.select(*kept).unionByName(macro_means.select(*kept)))
-    estimates = all_points.join(B.percentile_intervals(replicates, series, METRICS), series)
-    deltas = _deltas(replicates, all_points, X.RAW, "arm", ["system", "benchmark"], "raw")
+    sums = checkpoint(B.cluster_sums(scored, series, CLUSTER, METRICS))
+    estimates = all_points.join(_ends(replicates, sums, ["system", "arm"]), series)
+    deltas = _deltas(replicates, sums, all_points, X.RAW, "arm", ["system"], "raw")
     if reference is not None:
-        deltas = deltas.unionByName(
-            _deltas(replicates, all_points, reference, "system", ["arm", "benchmark"], "reference")
-        )
+        deltas = deltas.unionByName(_deltas(replicates, sums, all_points, reference, "system", ["arm"], "reference"))
     for method in debias:
         plain = F.regexp_replace("system", f"\\+{method}$", "")
         sided = lambda df, p=plain: df.withColumn("variant", F.when(F.col("system") == p, "plain").otherwise("debiased")).withColumn("system", p)
-        undebiased = _deltas(sided(replicates), sided(all_points), "plain", "variant", ["system", "arm", "benchmark"], "undebiased")
+        undebiased = _deltas(sided(replicates), sided(sums), sided(all_points), "plain", "variant", ["system", "arm"], "undebiased")
         deltas = deltas.unionByName(undebiased.withColumn("system", F.concat_ws("+", "system", F.lit(method))).select(*deltas.columns))
     scored.unpersist()
     base.unpersist()
     return Study(predictions, estimates, deltas, reliability, fits)
 
 
+def _ends(replicates: DataFrame, sums: DataFrame, groups: Sequence[str], paired: tuple[str, str] | None = None) -> DataFrame:
+    """Intervals per (groups, benchmark), macro included: BCa for means, with leave-one-cluster-out
+    means of each benchmark (``paired``: of differences to the base series), percentiles for the
+    calibration error, which is no mean."""
+    each = [*groups, "benchmark"]
+    if paired is not None:
+        varied, base = paired
+        sums = B.paired_sums(sums, [g for g in each if g != varied], varied, base, CLUSTER, METRICS)
+    strata = B.stratum_moments(sums, each, METRICS)
+    macro = B.macro_moments(strata, groups, METRICS).withColumn("benchmark", F.lit(MACRO))
+    moments = strata.unionByName(macro)
+    return B.bounds(moments, replicates, each, METRICS).join(B.percentile_intervals(replicates, each, ["ece"]), each)
+
+
 def _deltas(
-    replicates: DataFrame, points: DataFrame, base: str, varied: str, fixed: Sequence[str], against: str
+    replicates: DataFrame, sums: DataFrame, points: DataFrame, base: str, varied: str, fixed: Sequence[str], against: str
 ) -> DataFrame:
     """Series minus the ``base`` value of ``varied`` with intervals on shared resamples."""
-    keys = list(dict.fromkeys([*fixed, varied]))
-    drawn = B.replicate_deltas(replicates, fixed, varied, base, METRICS)
-    bounds = B.percentile_intervals(drawn, keys, METRICS)
     metrics = (*METRICS, "ece")
-    ref = points.where(F.col(varied) == base).select(*fixed, *[F.col(m).alias(f"_{m}") for m in metrics])
-    own = points.where(F.col(varied) != base).join(ref, list(fixed)).select(
+    groups = [*fixed, varied]
+    keys = [*fixed, "benchmark", varied]
+    drawn = B.replicate_deltas(replicates, [*fixed, "benchmark"], varied, base, metrics)
+    ends = _ends(drawn, sums, groups, (varied, base))
+    ref = points.where(F.col(varied) == base).select(*fixed, "benchmark", *[F.col(m).alias(f"_{m}") for m in metrics])
+    own = points.where(F.col(varied) != base).join(ref, [*fixed, "benchmark"]).select(
         *keys, *[(F.col(m) - F.col(f"_{m}")).alias(f"d_{m}") for m in metrics]
     )
-    flags = {f"{m}_excludes_zero": B.excludes_zero(F.col(f"low_{m}"), F.col(f"high_{m}")) for m in METRICS}
-    return own.join(bounds, keys).withColumns(flags).withColumn("against", F.lit(against))
+    flags = {f"{m}_excludes_zero": B.excludes_zero(F.col(f"low_{m}"), F.col(f"high_{m}")) for m in metrics}
+    return own.join(ends, keys).withColumns(flags).withColumn("against", F.lit(against))
 
 
 def view_summary(study: Study, benchmarks: Sequence[str], stats: DataFrame | None = None) -> DataFrame:

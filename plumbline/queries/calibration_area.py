@@ -185,15 +185,14 @@ def crossfit_arms(spark, sf):
 
 @query(
     "fit_records",
-    f"""WITH c AS (SELECT system, benchmark AS grp, question_id::BIGINT % 5 AS fold FROM metrics WHERE benchmark <> 'b3' OR item_id::BIGINT % 8 = 6)
-    SELECT system, 'temperature@benchmark' AS arm, grp, {n('target', 'target')}, {n('count(*) FILTER (WHERE fold <> target)', 'n_train')}, count(*) FILTER (WHERE fold <> target) < 70 AS fallback FROM c, (SELECT unnest(range(0, 5)) AS target)
+    f"""WITH c AS (SELECT system, benchmark AS grp, question_id::BIGINT % 5 AS fold FROM metrics)
+    SELECT system, 'temperature@benchmark' AS arm, grp, {n('target', 'target')}, {n('count(*) FILTER (WHERE fold <> target)', 'n_train')}, count(*) FILTER (WHERE fold <> target) < 100 AS fallback FROM c, (SELECT unnest(range(0, 5)) AS target)
     GROUP BY 1, 3, 4 HAVING count(*) FILTER (WHERE fold = target) > 0""",
     ("metrics",),
 )
 def fit_records(spark, sf):
     """Which fits had enough rows and which fell back to the fold's global temperature."""
-    items = cal_items(spark, sf).where((F.col("benchmark") != "b3") | (F.col("item_id").cast("bigint") % 8 == 6))
-    _, fits = X.crossfit(items, ["temperature@benchmark"], min_group=70)
+    _, fits = X.crossfit(cal_items(spark, sf), ["temperature@benchmark"], min_group=100)
     return fits.select("system", "arm", "grp", "target", "n_train", "fallback")
 
 
@@ -222,12 +221,75 @@ def registry_resolution(spark, sf):
 
 @query(
     "deployment_registry",
-    f"SELECT 'choice:10:' || (item_id::BIGINT % 2) AS signature, {n('count(*)', 'n_train')} FROM metrics WHERE system = 'a' GROUP BY 1 HAVING count(*) >= 30", ("metrics",),
+    f"""WITH s AS (SELECT system || ':' || (item_id::BIGINT % 2) AS grp, gold_idx, list_transform(probs, lambda x: ln(greatest(1e-4, least(1.0, x)))) AS z FROM metrics),
+    train AS (SELECT grp AS system, 0 AS target, z, gold_idx FROM s UNION ALL SELECT 'all', 0, z, gold_idx FROM s), {_TEMPERATURE}, c AS (SELECT system, count(*) AS k FROM train GROUP BY 1)
+    SELECT system AS signature, {n('k', 'n_train')}, round(exp(g), 3) + 0.0::DOUBLE AS temperature FROM l4 JOIN c USING (system) WHERE k >= 30 OR system = 'all'""",
+    ("metrics",),
 )
 def deployment_registry(spark, sf):
-    """Signatures with enough items for a calibrator of their own."""
-    exact, _ = X.fit_registry(cal_items(spark, sf).where("system = 'a'"), "api", "m", "t")
-    return exact.select("signature", "n_train")
+    """Temperatures of the signatures with enough items, and of all items (signature ``all``, the
+    fallback); three decimals."""
+    signature = F.concat_ws(":", "system", (F.col("item_id").cast("bigint") % 2).cast("string"))
+    exact, fallbacks = X.fit_registry(cal_items(spark, sf).withColumn("signature", signature), "api", "m", "t")
+    rows_ = exact.select("signature", "n_train", "temperature").unionByName(fallbacks.select(F.lit("all").alias("signature"), "n_train", "temperature"))
+    return rows_.withColumn("temperature", F.round("temperature", 3))
+
+
+# Fixed values of the registry below: one signature for each calibrator, and a fallback.
+_T, _BIAS, _A, _B = 1.7, [0.3, -0.1, 0.2, 0.0, -0.4, 0.1, 0.0, 0.25, -0.35, 0.0], 0.8, -0.2
+_EDGES, _VALUES = [0.2, 0.35, 0.6], [0.15, 0.3, 0.5, 0.8]
+_BLOCKS = [(0.15, 0.3, 0.2), (0.34, 0.5, 0.4), (0.55, 0.9, 0.7)]
+_FALLBACK = 2.5
+
+
+def registry_parts(spark):
+    """(fits, fallbacks): what fits of five calibrators would have left for five signatures."""
+    key = "'api' AS backend, 'm' AS model, 't' AS template_id"
+    listed = lambda xs: "array(" + ", ".join(f"{x}D" for x in xs) + ")"
+    one = lambda sig, name, params: spark.sql(f"SELECT {key}, 's{sig}' AS signature, '{name}' AS name, 100 AS n_train, {params}")
+    blocks = spark.createDataFrame([("s4", C.ALL_ROWS, *b) for b in _BLOCKS], "signature string, target int, low double, high double, value double")
+    cells = C.isotonic_lookup(blocks, ["signature"]).selectExpr(
+        "'api' AS backend", "'m' AS model", "'t' AS template_id", "signature", "'isotonic' AS name", "100 AS n_train", "cell", "segments"
+    )
+    fits = [
+        one(0, "temperature", f"{_T}D AS temperature"), one(1, "vector", f"{_T}D AS temperature, {listed(_BIAS)} AS bias"), one(2, "platt", f"{_A}D AS a, {_B}D AS b"),
+        one(3, "histogram", f"{listed(_EDGES)} AS edges, {listed(_VALUES)} AS values"), cells,
+    ]
+    return fits, spark.sql(f"SELECT 'm' AS model, 't' AS template_id, 'temperature' AS name, 9 AS n_train, {_FALLBACK}D AS temperature")
+
+
+_POINTS = [(0.0, _BLOCKS[0][2]), *[(x, v) for low, high, v in _BLOCKS for x in (low, high)], (1.0, _BLOCKS[-1][2])]
+_ISOTONIC = "CASE " + " ".join(f"WHEN conf <= {x1} THEN {y0} + ({y1} - {y0}) * (conf - {x0}) / ({x1} - {x0})" for (x0, y0), (x1, y1) in zip(_POINTS, _POINTS[1:])) + " END"
+_TOTAL = "list_reduce({0}, lambda a, y: a + y)"
+
+
+@query(
+    "registry_applied",
+    f"""WITH req AS (SELECT system, item_id, probs, 's' || item_id::BIGINT % 6 AS signature, CASE WHEN item_id::BIGINT % 11 = 0 THEN 'u' ELSE 't' END AS template_id FROM metrics),
+    q AS (SELECT *, list_transform(probs, lambda x: ln(greatest(1e-4, least(1.0, x)))) AS z, CASE WHEN template_id = 't' THEN signature ELSE 'none' END AS s FROM req),
+    e AS (SELECT *, list_transform(z, lambda x: exp(x - list_max(z))) AS ex FROM q), p0 AS (SELECT *, list_transform(ex, lambda x: x / {_TOTAL.format('ex')}) AS p FROM e),
+    p1 AS (SELECT *, list_max(p) AS conf, list_position(p, list_max(p)) AS top FROM p0),
+    c AS (SELECT *, CASE s WHEN 's2' THEN 1 / (1 + exp(-({_A} * greatest(-30, least(30, ln(conf) - ln(1 - conf))) + {_B}))) WHEN 's3' THEN {_VALUES}[1 + (conf > {_EDGES[0]})::INTEGER + (conf > {_EDGES[1]})::INTEGER + (conf > {_EDGES[2]})::INTEGER]
+      WHEN 's4' THEN {_ISOTONIC} END AS told, list_transform(p, lambda x, i: CASE WHEN i = top THEN 0 ELSE x END) AS o FROM p1),
+    d AS (SELECT *, greatest(told, list_max(o) / (list_max(o) + {_TOTAL.format('o')})) AS kept,
+      list_transform(z, lambda x, i: exp(CASE s WHEN 's0' THEN x / {_T} WHEN 's1' THEN x / {_T} + {_BIAS}[i] ELSE x / {_FALLBACK} END)) AS w FROM c),
+    f AS (SELECT *, CASE WHEN s = 'none' THEN list_transform(probs, lambda x: x / {_TOTAL.format('probs')}) WHEN s IN ('s2', 's3', 's4') THEN list_transform(o, lambda x, i: CASE WHEN i = top THEN kept ELSE x / {_TOTAL.format('o')} * (1 - kept) END)
+      ELSE list_transform(w, lambda x: x / {_TOTAL.format('w')}) END AS calibrated,
+      CASE s WHEN 'none' THEN 'identity:identity' WHEN 's0' THEN 'temperature:exact' WHEN 's1' THEN 'vector:exact' WHEN 's2' THEN 'platt:exact' WHEN 's3' THEN 'histogram:exact' WHEN 's4' THEN 'isotonic:exact' ELSE 'temperature:temperature_fallback' END AS calibrator FROM d)
+    SELECT system, item_id, calibrator, {n('unnest(range(0, 10))', 'pos')}, round(unnest(calibrated), 6) + 0.0::DOUBLE AS p FROM f""",
+    ("metrics",),
+)
+def registry_applied(spark, sf):
+    """Every answer calibrated by what its signature has registered: temperature, vector scaling,
+    Platt, histogram or isotonic, else the fallback temperature, else nothing."""
+    i = F.col("item_id").cast("bigint")
+    requests = normalised(spark, sf).select(
+        "system", "item_id", "probs", F.lit("api").alias("backend"), F.lit("m").alias("model"),
+        F.when(i % 11 == 0, "u").otherwise("t").alias("template_id"), F.concat(F.lit("s"), (i % 6).cast("string")).alias("signature"),
+    )
+    fits, fallbacks = registry_parts(spark)
+    out = X.apply_registry(requests, *X.registry_tables(fits), fallbacks)
+    return out.select("system", "item_id", "calibrator", F.posexplode("calibrated").alias("pos", "p"))
 
 
 def _power_level(k: int, step: float) -> str:

@@ -1,4 +1,4 @@
-"""Position priors and debiased answers."""
+"""Position priors and debiased answers of every system, each by itself."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from plumbline.queries import derived as D
 from plumbline.queries.registry import n, query, r
 from plumbline.queries.scoring import normalised
 
+ITEM = ["system", "item_id"]
 _LONG = "long AS (SELECT *, unnest(ord) AS opt, unnest(shown_probs) AS p, unnest(range(0, 10)) AS pos FROM presentations)"
 
 
@@ -27,136 +28,145 @@ def with_gaps(spark, sf):
 
 
 _GAPS = "gaps AS (SELECT * FROM presentations WHERE NOT (item_id::BIGINT % 6 = 0 AND shift = 3))"
+_FULL = "full_ AS (SELECT system, item_id FROM gaps GROUP BY 1, 2 HAVING count(*) = 10)"
+_LONG_GAPS = _LONG.replace("FROM presentations", "FROM gaps")
+
+
+def _shares(of: str = "w") -> str:
+    return r(f"{of} / sum({of}) OVER (PARTITION BY system, item_id)", "p")
 
 
 @query(
     "averaged_presentations",
-    f"""WITH {_LONG}, m AS (SELECT item_id, opt, avg(p) AS p FROM long GROUP BY 1, 2) SELECT item_id, {n('opt', 'opt')}, {r('p / sum(p) OVER (PARTITION BY item_id)', 'p')} FROM m""",
+    f"""WITH {_LONG}, m AS (SELECT system, item_id, opt, avg(p) AS p FROM long GROUP BY 1, 2, 3) SELECT system, item_id, {n('opt', 'opt')}, {_shares('p')} FROM m""",
     ("presentations",),
 )
 def averaged_presentations(spark, sf):
-    averaged = B.average_presentations(shown(spark, sf), ["item_id"])
-    return averaged.select("item_id", F.posexplode("probs").alias("opt", "p"))
+    averaged = B.average_presentations(shown(spark, sf), ITEM)
+    return averaged.select(*ITEM, F.posexplode("probs").alias("opt", "p"))
 
 
-@query(
-    "full_cycles", "SELECT item_id, count(*) = 10 AS full FROM (SELECT * FROM presentations WHERE NOT (item_id::BIGINT % 6 = 0 AND shift = 3)) GROUP BY 1", ("presentations",),
-)
+@query("full_cycles", f"WITH {_GAPS} SELECT system, item_id, count(*) = 10 AS full FROM gaps GROUP BY 1, 2", ("presentations",))
 def full_cycles(spark, sf):
-    return B.full_cycles(with_gaps(spark, sf), ["item_id"])
+    return B.full_cycles(with_gaps(spark, sf), ITEM)
 
 
-_ITEM_PRIOR = "ip AS (SELECT item_id, prior_key, pos, w / sum(w) OVER (PARTITION BY item_id) AS prior FROM (SELECT item_id, prior_key, pos, exp(avg(ln(greatest(p, 1e-6)))) AS w FROM long GROUP BY 1, 2, 3))"
+_ITEM_PRIOR = """ip AS (SELECT system, item_id, prior_key, pos, w / sum(w) OVER (PARTITION BY system, item_id) AS prior FROM (
+  SELECT system, item_id, prior_key, pos, exp(avg(ln(greatest(p, 1e-6)))) AS w FROM long GROUP BY 1, 2, 3, 4))"""
 
 
-@query("item_priors", f"WITH {_LONG}, {_ITEM_PRIOR} SELECT item_id, {n('pos', 'pos')}, {r('prior', 'prior')} FROM ip", ("presentations",))
+@query("item_priors", f"WITH {_LONG}, {_ITEM_PRIOR} SELECT system, item_id, {n('pos', 'pos')}, {r('prior', 'prior')} FROM ip", ("presentations",))
 def item_priors(spark, sf):
-    return B.item_priors(shown(spark, sf), ["item_id"])
+    return B.item_priors(shown(spark, sf), ITEM)
 
 
 @query(
     "pride_priors",
-    f"""WITH {_GAPS}, {_LONG.replace('FROM presentations', 'FROM gaps')}, {_ITEM_PRIOR}, full_ AS (SELECT item_id FROM gaps GROUP BY 1 HAVING count(*) = 10),
-    m AS (SELECT prior_key, pos, avg(prior) AS v, count(*) AS c FROM ip JOIN full_ USING (item_id) GROUP BY 1, 2)
-    SELECT prior_key, {n('pos', 'pos')}, {r('v / sum(v) OVER (PARTITION BY prior_key)', 'prior')}, {n('c', 'n')} FROM m""",
+    f"""WITH {_GAPS}, {_LONG_GAPS}, {_ITEM_PRIOR}, {_FULL},
+    m AS (SELECT system, prior_key, pos, avg(prior) AS v, count(*) AS c FROM ip JOIN full_ USING (system, item_id) GROUP BY 1, 2, 3)
+    SELECT system, prior_key, {n('pos', 'pos')}, {r('v / sum(v) OVER (PARTITION BY system, prior_key)', 'prior')}, {n('c', 'n')} FROM m""",
     ("presentations",),
 )
 def pride_priors(spark, sf):
     """Position priors of the questions shown in a full cycle."""
-    priors = B.pride_priors(with_gaps(spark, sf), ["item_id", "prior_key"])
-    return priors.select("prior_key", F.posexplode("prior").alias("pos", "prior"), "n")
-
-
-_KEY = "'choice:10:' || (item_id::BIGINT % 2)"
+    priors = B.pride_priors(with_gaps(spark, sf), [*ITEM, "prior_key"], ["system", "prior_key"])
+    return priors.select("system", "prior_key", F.posexplode("prior").alias("pos", "prior"), "n")
 
 
 def keyed_items(spark, sf):
-    """Raw answers of system a with prior key, fold and free positions."""
+    """Raw answers of both systems with prior key, fold and free positions."""
     i = F.col("item_id").cast("bigint")
-    return normalised(spark, sf).where("system = 'a'").select(
-        "item_id", "benchmark", "gold_idx", F.col("probs").alias("raw"), "probs",
+    return normalised(spark, sf).select(
+        *ITEM, "benchmark", "gold_idx", F.col("probs").alias("raw"), "probs",
         F.concat(F.lit("choice:10:"), (i % 2).cast("string")).alias("prior_key"),
         (F.col("question_id").cast("bigint") % 5).cast("int").alias("fold"), free_column().alias("free"),
     )
 
 
-_ITEMS = f"items AS (SELECT item_id, probs, {_KEY} AS prior_key, question_id::BIGINT % 5 AS fold FROM metrics WHERE system = 'a'), il AS (SELECT *, unnest(probs) AS p, unnest(range(0, 10)) AS pos FROM items)"
+_KEY = "'choice:10:' || (item_id::BIGINT % 2)"
+_ITEMS = f"items AS (SELECT system, item_id, probs, {_KEY} AS prior_key, question_id::BIGINT % 5 AS fold FROM metrics), il AS (SELECT *, unnest(probs) AS p, unnest(range(0, 10)) AS pos FROM items)"
 
 
 @query(
     "batch_priors",
-    f"""WITH {_ITEMS}, m AS (SELECT prior_key, pos, avg(p) AS v, count(*) AS c FROM il GROUP BY 1, 2) SELECT prior_key, {n('pos', 'pos')}, {r('v / sum(v) OVER (PARTITION BY prior_key)', 'prior')}, {n('c', 'n')} FROM m""",
+    f"""WITH {_ITEMS}, m AS (SELECT system, prior_key, pos, avg(p) AS v, count(*) AS c FROM il GROUP BY 1, 2, 3)
+    SELECT system, prior_key, {n('pos', 'pos')}, {r('v / sum(v) OVER (PARTITION BY system, prior_key)', 'prior')}, {n('c', 'n')} FROM m""",
     ("metrics",),
 )
 def batch_priors(spark, sf):
-    return B.batch_priors(keyed_items(spark, sf), min_count=B.MIN_BATCH).select("prior_key", F.posexplode("prior").alias("pos", "prior"), "n")
+    priors = B.batch_priors(keyed_items(spark, sf), ["system", "prior_key"], min_count=B.MIN_BATCH)
+    return priors.select("system", "prior_key", F.posexplode("prior").alias("pos", "prior"), "n")
 
 
-_OOF = "oof AS (SELECT prior_key, f AS fold, pos, avg(v) AS m FROM src, (SELECT unnest(range(0, 5)) AS f) WHERE fold <> f GROUP BY 1, 2, 3)"
+_OOF = "oof AS (SELECT system, prior_key, f AS fold, pos, avg(v) AS m FROM src, (SELECT unnest(range(0, 5)) AS f) WHERE fold <> f GROUP BY 1, 2, 3, 4)"
+_DIVIDED = "JOIN oof USING (system, prior_key, fold, pos)"
 
 
-@query(
-    "batch_debiased",
-    f"""WITH {_ITEMS}, src AS (SELECT prior_key, fold, pos, p AS v FROM il), {_OOF}, d AS (SELECT item_id, pos, p / m AS w FROM il JOIN oof USING (prior_key, fold, pos))
-    SELECT item_id, {n('pos', 'pos')}, {r('w / sum(w) OVER (PARTITION BY item_id)', 'p')} FROM d""",
-    ("metrics",),
-)
+def _batch_sql(keys: str) -> str:
+    return f"""WITH {_ITEMS}, src AS (SELECT system, prior_key, fold, pos, p AS v FROM il), {_OOF}, d AS (SELECT system, item_id, pos, p / m AS w FROM il {_DIVIDED})
+    SELECT {keys}, {n('pos', 'pos')}, {_shares()} FROM d"""
+
+
+@query("batch_debiased", _batch_sql("system, item_id"), ("metrics",))
 def batch_debiased(spark, sf):
     """Answers divided by the mean answer of the other folds."""
-    return B.debias_offline(keyed_items(spark, sf), "batch").select("item_id", F.posexplode("debiased").alias("pos", "p"))
+    return B.debias_offline(keyed_items(spark, sf), "batch").select(*ITEM, F.posexplode("debiased").alias("pos", "p"))
 
 
-@query(
-    "pride_debiased",
-    f"""WITH {_ITEMS}, {_GAPS}, {_LONG.replace('FROM presentations', 'FROM gaps')}, {_ITEM_PRIOR}, full_ AS (SELECT item_id FROM gaps GROUP BY 1 HAVING count(*) = 10),
-    src AS (SELECT i.prior_key, i.fold, ip.pos, ip.prior AS v FROM ip JOIN full_ USING (item_id) JOIN items i USING (item_id)), {_OOF},
-    div AS (SELECT item_id, pos, p / m AS w FROM il JOIN oof USING (prior_key, fold, pos) WHERE item_id NOT IN (SELECT item_id FROM full_)),
-    av AS (SELECT item_id, opt AS pos, avg(p) AS w FROM long JOIN full_ USING (item_id) GROUP BY 1, 2), u AS (SELECT * FROM div UNION ALL SELECT * FROM av)
-    SELECT item_id, {n('pos', 'pos')}, {r('w / sum(w) OVER (PARTITION BY item_id)', 'p')} FROM u""",
-    ("metrics", "presentations"),
-)
+_PRIDE = f"""WITH {_ITEMS}, {_GAPS}, {_LONG_GAPS}, {_ITEM_PRIOR}, {_FULL},
+    src AS (SELECT i.system, i.prior_key, i.fold, ip.pos, ip.prior AS v FROM ip JOIN full_ USING (system, item_id) JOIN items i USING (system, item_id)), {_OOF},
+    div AS (SELECT system, item_id, pos, p / m AS w FROM il {_DIVIDED} WHERE (system, item_id) NOT IN (SELECT (system, item_id) FROM full_)),
+    av AS (SELECT system, item_id, opt AS pos, avg(p) AS w FROM long JOIN full_ USING (system, item_id) GROUP BY 1, 2, 3), u AS (SELECT * FROM div UNION ALL SELECT * FROM av)
+    SELECT system, item_id, {n('pos', 'pos')}, {_shares()} FROM u"""
+
+
+@query("pride_debiased", _PRIDE, ("metrics", "presentations"))
 def pride_debiased(spark, sf):
     """Answers divided by the other folds' permutation priors; fully permuted questions answer with
     their average."""
     out = B.debias_offline(keyed_items(spark, sf), "pride", with_gaps(spark, sf))
-    return out.select("item_id", F.posexplode("debiased").alias("pos", "p"))
+    return out.select(*ITEM, F.posexplode("debiased").alias("pos", "p"))
 
 
 @query(
     "prior_with_fixed_option",
-    f"""WITH {_ITEMS}, m AS (SELECT prior_key, pos, avg(p) AS v FROM il WHERE pos < 9 GROUP BY 1, 2), q AS (SELECT *, ln(greatest(v / sum(v) OVER (PARTITION BY prior_key), 1e-6)) AS lp FROM m),
-    c AS (SELECT prior_key, pos, lp - avg(lp) OVER (PARTITION BY prior_key) AS shift FROM q), d AS (SELECT item_id, il.pos, p * exp(-coalesce(shift, 0)) AS w FROM il LEFT JOIN c ON c.prior_key = il.prior_key AND c.pos = il.pos)
-    SELECT item_id, {n('pos', 'pos')}, {r('w / sum(w) OVER (PARTITION BY item_id)', 'p')} FROM d""",
+    f"""WITH {_ITEMS}, m AS (SELECT system, prior_key, pos, avg(p) AS v FROM il WHERE pos < 9 GROUP BY 1, 2, 3), q AS (SELECT *, ln(greatest(v / sum(v) OVER (PARTITION BY system, prior_key), 1e-6)) AS lp FROM m),
+    c AS (SELECT system, prior_key, pos, lp - avg(lp) OVER (PARTITION BY system, prior_key) AS shift FROM q),
+    d AS (SELECT il.system, item_id, il.pos, p * exp(-coalesce(shift, 0)) AS w FROM il LEFT JOIN c ON c.system = il.system AND c.prior_key = il.prior_key AND c.pos = il.pos)
+    SELECT system, item_id, {n('pos', 'pos')}, {_shares()} FROM d""",
     ("metrics",),
 )
 def prior_with_fixed_option(spark, sf):
     """A prior over nine free positions; the fixed last option keeps its weight."""
     free = F.concat(F.array_repeat(F.lit(True), F.lit(9)), F.array(F.lit(False)))
     items = keyed_items(spark, sf).withColumn("free", free)
-    priors = B.batch_priors(items)
+    priors = B.batch_priors(items, ["system", "prior_key"])
     out = B.make_debiaser("batch").apply(items, priors)
-    return out.select("item_id", F.posexplode("debiased").alias("pos", "p"))
+    return out.select(*ITEM, F.posexplode("debiased").alias("pos", "p"))
 
 
 @query(
     "prior_lookup",
-    f"""WITH {_ITEMS}, m AS (SELECT prior_key, pos, avg(p) AS v FROM il WHERE prior_key = 'choice:10:1' GROUP BY 1, 2), d AS (SELECT item_id, il.pos, p / coalesce(v, 0.1) AS w, v IS NULL AS none_ FROM il LEFT JOIN m ON m.prior_key = il.prior_key AND m.pos = il.pos)
-    SELECT item_id, {n('pos', 'pos')}, {r('w / sum(w) OVER (PARTITION BY item_id)', 'p')}, CASE WHEN none_ THEN 'batch: no prior for choice:10:0' END AS warning FROM d""",
+    f"""WITH {_ITEMS}, m AS (SELECT system, prior_key, pos, avg(p) AS v FROM il WHERE prior_key = 'choice:10:1' GROUP BY 1, 2, 3),
+    d AS (SELECT il.system, item_id, il.pos, p / coalesce(v, 0.1) AS w, v IS NULL AS none_ FROM il LEFT JOIN m ON m.system = il.system AND m.prior_key = il.prior_key AND m.pos = il.pos)
+    SELECT system, item_id, {n('pos', 'pos')}, {_shares()}, CASE WHEN none_ THEN 'batch: no prior for choice:10:0' END AS warning FROM d""",
     ("metrics",),
 )
 def prior_lookup(spark, sf):
-    """Stored priors applied by key; keys without one keep their answer and are warned about."""
+    """Stored priors applied by system and key; keys without one keep their answer and are warned
+    about."""
     items = keyed_items(spark, sf)
-    priors = B.batch_priors(items.where("prior_key = 'choice:10:1'"))
+    priors = B.batch_priors(items.where("prior_key = 'choice:10:1'"), ["system", "prior_key"])
     out = B.make_debiaser("batch").apply(items, priors)
-    return out.select("item_id", F.posexplode(V.normalize("debiased")).alias("pos", "p"), "warning")
+    return out.select(*ITEM, F.posexplode(V.normalize("debiased")).alias("pos", "p"), "warning")
 
 
 @query(
     "permutation_policy",
-    f"""WITH {_LONG}, items AS (SELECT item_id, probs, item_id::BIGINT % 4 AS k FROM metrics WHERE system = 'a'), av AS (SELECT item_id, opt AS pos, avg(p) AS p FROM long GROUP BY 1, 2),
-    an AS (SELECT item_id, pos, p / sum(p) OVER (PARTITION BY item_id) AS p FROM av), il AS (SELECT *, unnest(probs) AS own, unnest(range(0, 10)) AS pos FROM items)
-    SELECT il.item_id, {n('il.pos', 'pos')}, {r('CASE WHEN k = 0 THEN own WHEN k = 1 THEN own ELSE an.p END', 'p')}, CASE WHEN k = 1 THEN 'permutation: 10 free options > max_options=8' END AS warning FROM il JOIN an ON an.item_id = il.item_id AND an.pos = il.pos""",
+    f"""WITH {_LONG}, items AS (SELECT system, item_id, probs, item_id::BIGINT % 4 AS k FROM metrics), av AS (SELECT system, item_id, opt AS pos, avg(p) AS p FROM long GROUP BY 1, 2, 3),
+    an AS (SELECT system, item_id, pos, p / sum(p) OVER (PARTITION BY system, item_id) AS p FROM av), il AS (SELECT *, unnest(probs) AS own, unnest(range(0, 10)) AS pos FROM items)
+    SELECT system, item_id, {n('pos', 'pos')}, {r('CASE WHEN k = 0 THEN own WHEN k = 1 THEN own ELSE an.p END', 'p')}, CASE WHEN k = 1 THEN 'permutation: 10 free options > max_options=8' END AS warning
+    FROM il JOIN an USING (system, item_id, pos)""",
     ("metrics", "presentations"),
 )
 def permutation_policy(spark, sf):
@@ -167,69 +177,35 @@ def permutation_policy(spark, sf):
     )
     items = keyed_items(spark, sf).withColumn("free", free)
     out = B.make_debiaser("permutation", max_options="8").apply(items, shown(spark, sf))
-    return out.select("item_id", F.posexplode("debiased").alias("pos", "p"), "warning")
+    return out.select(*ITEM, F.posexplode("debiased").alias("pos", "p"), "warning")
 
 
 @query(
     "contextual_debiased",
-    f"""WITH cf AS (SELECT question_id, pos, avg(p) AS m FROM (SELECT question_id, unnest(probs) AS p, unnest(range(0, 10)) AS pos FROM metrics WHERE system = 'b') GROUP BY 1, 2),
-    d AS (SELECT item_id, pos, p / greatest(m, 1e-6) AS w FROM (SELECT item_id, question_id, unnest(probs) AS p, unnest(range(0, 10)) AS pos FROM metrics WHERE system = 'a') JOIN cf USING (question_id, pos))
-    SELECT item_id, {n('pos', 'pos')}, {r('w / sum(w) OVER (PARTITION BY item_id)', 'p')} FROM d""",
+    f"""WITH l AS (SELECT system, item_id, question_id, unnest(probs) AS p, unnest(range(0, 10)) AS pos FROM metrics),
+    cf AS (SELECT CASE system WHEN 'a' THEN 'b' ELSE 'a' END AS system, question_id, pos, avg(p) AS m FROM l GROUP BY 1, 2, 3),
+    d AS (SELECT system, item_id, pos, p / greatest(m, 1e-6) AS w FROM l JOIN cf USING (system, question_id, pos))
+    SELECT system, item_id, {n('pos', 'pos')}, {_shares()} FROM d""",
     ("metrics",),
 )
 def contextual_debiased(spark, sf):
-    """Answers divided by the mean answer to content-free states of the same question."""
+    """Answers divided by the same system's mean answer to content-free states of the question (the
+    other system's answers stand in for those)."""
     p = normalised(spark, sf).withColumn("free", free_column()).withColumnRenamed("question_id", "question_hash")
-    out = B.make_debiaser("contextual").apply(p.where("system = 'a'"), p.where("system = 'b'").select("question_hash", "free", "probs"))
-    return out.select("item_id", F.posexplode("debiased").alias("pos", "p"))
-
-
-def both_systems(spark, sf):
-    """Raw answers of both systems with prior key, fold and free positions."""
-    i = F.col("item_id").cast("bigint")
-    return normalised(spark, sf).select(
-        "system", "benchmark", "item_id", F.col("probs").alias("raw"),
-        F.concat(F.lit("choice:10:"), (i % 2).cast("string")).alias("prior_key"),
-        (F.col("question_id").cast("bigint") % 5).cast("int").alias("fold"), free_column().alias("free"),
-    )
-
+    answers = p.select(F.when(F.col("system") == "a", "b").otherwise("a").alias("system"), "question_hash", "free", "probs")
+    out = B.make_debiaser("contextual").apply(p, answers)
+    return out.select(*ITEM, F.posexplode("debiased").alias("pos", "p"))
 
-def both_shown(spark, sf):
-    """The presentations with gaps, as both systems' (b's with positions weighted anew)."""
-    a = with_gaps(spark, sf).withColumn("system", F.lit("a"))
-    weighted = F.transform("shown_probs", lambda x, i: x * (i + 1))
-    return a.unionByName(a.withColumn("system", F.lit("b")).withColumn("shown_probs", V.normalize(weighted)))
 
-
-_BOTH = f"items AS (SELECT system, item_id, probs, {_KEY} AS prior_key, question_id::BIGINT % 5 AS fold FROM metrics), il AS (SELECT *, unnest(probs) AS p, unnest(range(0, 10)) AS pos FROM items)"
-_BOTH_OOF = "oof AS (SELECT system, prior_key, f AS fold, pos, avg(v) AS m FROM src, (SELECT unnest(range(0, 5)) AS f) WHERE fold <> f GROUP BY 1, 2, 3, 4)"
-
-
-@query(
-    "batch_debiased_systems",
-    f"""WITH {_BOTH}, src AS (SELECT system, prior_key, fold, pos, p AS v FROM il), {_BOTH_OOF}, d AS (SELECT system, item_id, pos, p / m AS w FROM il JOIN oof USING (system, prior_key, fold, pos))
-    SELECT system, item_id, {n('pos', 'pos')}, {r('w / sum(w) OVER (PARTITION BY system, item_id)', 'p')} FROM d""",
-    ("metrics",),
-)
+@query("batch_debiased_systems", _batch_sql("system, benchmark, item_id").replace("probs, 'choice", "benchmark, probs, 'choice").replace("d AS (SELECT system, item_id", "d AS (SELECT system, benchmark, item_id"), ("metrics",))
 def batch_debiased_systems(spark, sf):
     """Both systems' answers, each divided by its own mean answer of the other folds."""
-    return B.debias_offline(both_systems(spark, sf), "batch").select("system", "item_id", F.posexplode("debiased").alias("pos", "p"))
+    return B.debias_offline(keyed_items(spark, sf), "batch").select("system", "benchmark", "item_id", F.posexplode("debiased").alias("pos", "p"))
 
 
-@query(
-    "pride_debiased_systems",
-    f"""WITH {_BOTH}, {_GAPS}, wt AS (SELECT 'a' AS system, item_id, prior_key, ord, shown_probs FROM gaps UNION ALL
-      SELECT 'b', item_id, prior_key, ord, list_transform(w, lambda x: x / list_reduce(w, lambda a, y: a + y)) FROM (SELECT *, list_transform(shown_probs, lambda x, i: x * i) AS w FROM gaps)),
-    long AS (SELECT *, unnest(ord) AS opt, unnest(shown_probs) AS p, unnest(range(0, 10)) AS pos FROM wt),
-    ip AS (SELECT system, item_id, prior_key, pos, w / sum(w) OVER (PARTITION BY system, item_id) AS prior FROM (SELECT system, item_id, prior_key, pos, exp(avg(ln(greatest(p, 1e-6)))) AS w FROM long GROUP BY 1, 2, 3, 4)),
-    full_ AS (SELECT item_id FROM gaps GROUP BY 1 HAVING count(*) = 10),
-    src AS (SELECT i.system, i.prior_key, i.fold, ip.pos, ip.prior AS v FROM ip JOIN full_ USING (item_id) JOIN items i USING (system, item_id)), {_BOTH_OOF},
-    div AS (SELECT system, item_id, pos, p / m AS w FROM il JOIN oof USING (system, prior_key, fold, pos) WHERE item_id NOT IN (SELECT item_id FROM full_)),
-    av AS (SELECT system, item_id, opt AS pos, avg(p) AS w FROM long JOIN full_ USING (item_id) GROUP BY 1, 2, 3), u AS (SELECT * FROM div UNION ALL SELECT * FROM av)
-    SELECT system, item_id, {n('pos', 'pos')}, {r('w / sum(w) OVER (PARTITION BY system, item_id)', 'p')} FROM u""",
-    ("metrics", "presentations"),
-)
+@query("pride_debiased_systems", _PRIDE, ("metrics", "presentations"))
 def pride_debiased_systems(spark, sf):
-    """Both systems' answers, each divided by its own permutation priors of the other folds."""
-    out = B.debias_offline(both_systems(spark, sf), "pride", both_shown(spark, sf))
-    return out.select("system", "item_id", F.posexplode("debiased").alias("pos", "p"))
+    """Both systems' answers, each divided by its own permutation priors of the other folds; what a
+    system gets does not depend on the others."""
+    out = [B.debias_offline(keyed_items(spark, sf).where(F.col("system") == s), "pride", with_gaps(spark, sf)) for s in ("a", "b")]
+    return out[0].unionByName(out[1]).select(*ITEM, F.posexplode("debiased").alias("pos", "p"))

@@ -181,13 +181,13 @@ def token_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = F.transform("embedding", lambda x: 8.0 * x.cast("double"))
     listed = F.sort_array(
         F.transform(
-            F.slice(V.log_softmax(z), 1, 40),
+            V.log_softmax(z),
             lambda lp, i: F.struct((-F.round(lp, 9)).alias("neg"), i.alias("dim")),
         )
     )
     ranked = e.select(F.col("vec_id").cast("string").alias("request_id"), F.posexplode(F.slice(listed, 1, 15)))
     label = letter((F.col("col.dim") % 10).cast("int"))
-    bare = (F.col("col.dim") < 10) | F.col("col.dim").between(20, 29)
+    bare = F.col("col.dim") % 20 < 10
     return ranked.select(
         "request_id",
         (F.col("pos") + 1).alias("rank"),
@@ -197,20 +197,20 @@ def token_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def presentations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ten cyclic presentations of system a's answers under a fixed position prior."""
+    """All ten cyclic presentations of both systems' answers, each under a position prior of its own."""
     prior = F.array(*[F.lit(x) for x in POSITION_PRIOR])
-    p = preds(spark, sf_dir).where("system = 'a'")
-    shown = p.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    turned = F.when(F.col("system") == "a", 0).otherwise(3)
+    shown = preds(spark, sf_dir).withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(9))))
     order = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: ((i + F.col("shift")) % 10).cast("int"))
     weighted = F.transform(
         F.col("order"),
-        lambda j, i: F.greatest(F.get("probs", j), F.lit(1e-6)) * F.get(prior, i),
+        lambda j, i: F.greatest(F.get("probs", j), F.lit(1e-6)) * F.get(prior, (i + turned) % 10),
     )
     return (
         shown.withColumn("order", order)
         .withColumn("shown_probs", V.normalize(weighted))
         .select(
-            "benchmark", "item_id", "question_id", "stratum", "gold_idx", "shift", "order",
+            "system", "benchmark", "item_id", "question_id", "stratum", "gold_idx", "shift", "order",
             "shown_probs",
             F.concat(F.lit("choice:10:"), (F.col("item_id").cast("bigint") % 2).cast("string")).alias("prior_key"),
         )
@@ -330,28 +330,28 @@ SQL: dict[str, str] = {
   FROM documents
 """,
     "token_topk": """
-  SELECT request_id, rank, CASE WHEN dim < 10 OR dim BETWEEN 20 AND 29 THEN label ELSE ' ' || label END AS token,
+  SELECT request_id, rank, CASE WHEN dim % 20 < 10 THEN label ELSE ' ' || label END AS token,
          logprob
   FROM (
     SELECT vec_id::VARCHAR AS request_id, dim, chr((65 + dim % 10)::INTEGER) AS label, round(z - lse, 9) AS logprob,
            row_number() OVER (PARTITION BY vec_id ORDER BY round(z - lse, 9) DESC, dim) AS rank
     FROM (
-      SELECT vec_id, unnest(range(0, 40)) AS dim, unnest(list_transform(embedding[1:40], lambda x: 8.0::DOUBLE * x::DOUBLE)) AS z,
+      SELECT vec_id, unnest(range(0, 64)) AS dim, unnest(list_transform(embedding, lambda x: 8.0::DOUBLE * x::DOUBLE)) AS z,
              8.0::DOUBLE * list_max(embedding)::DOUBLE + ln(list_reduce(list_transform(embedding,
                lambda x: exp(8.0::DOUBLE * x::DOUBLE - 8.0::DOUBLE * list_max(embedding)::DOUBLE)), lambda a, y: a + y)) AS lse
       FROM embeddings))
   WHERE rank <= 15
 """,
     "presentations": """
-  SELECT benchmark, item_id, question_id, stratum, gold_idx, shift, ord,
+  SELECT system, benchmark, item_id, question_id, stratum, gold_idx, shift, ord,
          list_transform(w, lambda x: x / list_reduce(w, lambda a, y: a + y)) AS shown_probs,
          'choice:10:' || (item_id::BIGINT % 2) AS prior_key
   FROM (
     SELECT *, list_transform(range(0, 10), lambda i: greatest(probs[1 + ord[i + 1]], 1e-6)
-             * ([0.19, 0.07, 0.13, 0.05, 0.11, 0.09, 0.1, 0.08, 0.12, 0.06]::DOUBLE[])[i + 1]) AS w
+             * ([0.19, 0.07, 0.13, 0.05, 0.11, 0.09, 0.1, 0.08, 0.12, 0.06]::DOUBLE[])[1 + (i + CASE system WHEN 'a' THEN 0 ELSE 3 END) % 10]) AS w
     FROM (
       SELECT p.*, s.shift, list_transform(range(0, 10), lambda i: (i + s.shift) % 10) AS ord
-      FROM preds p, (SELECT unnest(range(0, 10)) AS shift) s WHERE p.system = 'a'))
+      FROM preds p, (SELECT unnest(range(0, 10)) AS shift) s))
 """,
     "mcq_rows": """
   SELECT p_partkey::VARCHAR AS question_id, 'Which value describes part ' || p_partkey || '?' AS question,

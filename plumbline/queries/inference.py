@@ -10,7 +10,7 @@ from plumbline.operators import bootstrap as B
 from plumbline.queries import derived as D
 from plumbline.queries.registry import n, query, r
 
-RESAMPLES = 200
+RESAMPLES = B.DEFAULT_RESAMPLES
 CLUSTER = ("benchmark", "question_id")
 _M = B.MODULUS
 _WEIGHT = "(" + " + ".join(f"(u >= {s})::INTEGER" for s in B.POISSON_STEPS) + ")"
@@ -28,6 +28,60 @@ def resample_sql(source: str, groups: str, values: tuple[str, ...], resamples: i
         FROM {source} GROUP BY {groups}, benchmark, question_id), (SELECT unnest(range(0, {resamples})) AS r)) GROUP BY {groups}, r"""
 
 
+def _phi(x: str) -> str:
+    """The normal distribution function of a SQL expression between -8 and 8, by its power series."""
+    term = f"CASE WHEN abs({x}) < 1e-12 THEN 0.0::DOUBLE ELSE exp((2 * i + 1) * ln(abs({x})) - ((i + 1) * ln(2.0) + lgamma(i + 1.5) - 0.5 * ln(pi()))) END"
+    return f"(0.5 + sign({x}) * exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda i: {term})))"
+
+
+_STEPS = "[0.0::DOUBLE, " + ", ".join(f"{4 / 2**k!r}::DOUBLE" for k in range(56)) + "]"
+_Z = -1.959963984540054
+
+
+def moments_sql(source: str, groups: str, values: tuple[str, ...], cluster: str = "question_id") -> str:
+    """(groups, k, e<i>, q<i>, c<i>): clusters, means, and sums of squares and cubes of how far the mean
+    of the leave-one-cluster-out means lies above each of them."""
+    i_, over = range(len(values)), f"OVER (PARTITION BY {groups})"
+    own = ", ".join(f"sum(({v})::DOUBLE) AS s{i}" for i, v in enumerate(values))
+    whole = ", ".join(f"sum(s{i}) {over} AS all_{i}" for i in i_)
+    left = ", ".join(f"all_{i} / all_n AS e{i}, (all_{i} - s{i}) / nullif(all_n - own_n, 0) AS j{i}" for i in i_)
+    away = ", ".join(f"avg(j{i}) {over} - j{i} AS d{i}" for i in i_)
+    sums = ", ".join(f"any_value(e{i}) AS e{i}, coalesce(sum(d{i} * d{i}), 0) AS q{i}, coalesce(sum(d{i} * d{i} * d{i}), 0) AS c{i}" for i in i_)
+    return f"""SELECT {groups}, count(*) AS k, {sums} FROM (SELECT *, {away} FROM (SELECT *, {left} FROM (SELECT *, sum(own_n) {over} AS all_n, {whole} FROM (
+      SELECT {groups}, {cluster}, count(*)::DOUBLE AS own_n, {own} FROM {source} GROUP BY {groups}, {cluster})))) GROUP BY {groups}"""
+
+
+def macro_moments_sql(moments: str, keys: str, n_values: int) -> str:
+    """The moments of the average over benchmarks."""
+    sums = ", ".join(f"avg(e{i}) AS e{i}, sum(q{i}) / power(count(*), 2) AS q{i}, sum(c{i}) / power(count(*), 3) AS c{i}" for i in range(n_values))
+    return f"SELECT {keys + ',' if keys else ''} sum(k) AS k, {sums} FROM {moments} {'GROUP BY ' + keys if keys else ''}"
+
+
+def ends_sql(replicates: str, moments: str, groups: str, n_values: int, min_clusters: int = B.BCA_MIN_CLUSTERS) -> str:
+    """(groups, e<i>, l<i>, h<i>): means and both interval ends from replicates m<i>: BCa from
+    ``min_clusters`` clusters, percentiles below."""
+    i_ = range(n_values)
+    lists = ", ".join(f"list_sort(list(m{i}) FILTER (WHERE m{i} IS NOT NULL)) AS b{i}" for i in i_)
+    shares = ", ".join(f"greatest(0.5 / len(b{i}), least(1 - 0.5 / len(b{i}), len(list_filter(b{i}, lambda x: x < e{i}))::DOUBLE / len(b{i}))) AS f{i}" for i in i_)
+    accelerations = ", ".join(f"CASE WHEN q{i} > 0 THEN c{i} / (6 * power(q{i}, 1.5)) ELSE 0 END AS a{i}" for i in i_)
+    starts = ", ".join(f"list_reduce({_STEPS}, lambda x, s: x + CASE WHEN {_phi('x')} < f{i} THEN s ELSE -s END) AS z{i}" for i in i_)
+    inner = lambda i, z: f"greatest(-8.0, least(8.0, z{i} + (z{i} + {z}) / (1 - a{i} * (z{i} + {z}))))"
+    points = ", ".join(f"{inner(i, _Z)} AS x{i}, {inner(i, -_Z)} AS y{i}" for i in i_)
+    levels = ", ".join(f"CASE WHEN k >= {min_clusters} THEN {_phi(f'x{i}')} ELSE 0.025 END * (len(b{i}) - 1) AS u{i}, CASE WHEN k >= {min_clusters} THEN {_phi(f'y{i}')} ELSE 0.975 END * (len(b{i}) - 1) AS v{i}" for i in i_)
+    at = lambda i, u: f"CASE WHEN b{i}[1] = b{i}[-1] THEN e{i} ELSE b{i}[1 + floor({u}{i})::BIGINT] * (1 - {u}{i} + floor({u}{i})) + b{i}[least(2 + floor({u}{i})::BIGINT, len(b{i}))] * ({u}{i} - floor({u}{i})) END"
+    out = ", ".join(f"e{i}, {at(i, 'u')} AS l{i}, {at(i, 'v')} AS h{i}" for i in i_)
+    joined = f"(SELECT {groups}, {lists} FROM {replicates} GROUP BY {groups}) JOIN (SELECT * FROM {moments}) USING ({groups})" if groups else f"(SELECT {lists} FROM {replicates}), {moments}"
+    return f"""SELECT {groups + ',' if groups else ''} {out} FROM (SELECT *, {levels} FROM (SELECT *, {points} FROM (SELECT *, {starts} FROM (SELECT *, {shares}, {accelerations} FROM {joined}))))"""
+
+
+def _ends(names: tuple[str, ...]) -> str:
+    return ", ".join(r(f"e{i}", v) + ", " + r(f"l{i}", "low_" + v) + ", " + r(f"h{i}", "high_" + v) for i, v in enumerate(names))
+
+
+def _drawn(n_values: int) -> str:
+    return ", ".join(f"s{i} / w AS m{i}" for i in range(n_values))
+
+
 def scored(spark, sf):
     return with_scores(D.preds(spark, sf))
 
@@ -51,22 +105,21 @@ VALUES = ("d_accuracy", "d_nll", "d_brier")
 
 @query(
     "bootstrap_sums",
-    f"""SELECT system, benchmark, r::BIGINT AS r, {r('w', 'w')}, {r('s0', 's_correct')} FROM ({resample_sql('noul', 'system, benchmark', ('correct',), 40)})""".replace(
+    f"""SELECT system, benchmark, r::BIGINT AS r, {r('w', 'w')}, {r('s0', 's_correct')} FROM ({resample_sql('noul', 'system, benchmark', ('correct',))})""".replace(
         "FROM noul ", "FROM (SELECT *, probs[1 + gold_idx] >= 0.5 AND (gold_idx = 0 OR probs[1] < 0.5) AS correct FROM noul_preds) "
     ),
     ("noul_preds",),
 )
 def bootstrap_sums(spark, sf):
-    """Weighted sums of forty hashed resamples of line-item clusters."""
+    """Weighted sums of all hashed resamples of line-item clusters."""
     rows = with_scores(D.noul_preds(spark, sf))
-    return B.bootstrap_sums(rows, ["system", "benchmark"], CLUSTER, ["correct"], 40)
+    return B.bootstrap_sums(rows, ["system", "benchmark"], CLUSTER, ["correct"], RESAMPLES)
 
 
 @query(
     "paired_bootstrap",
-    f"""WITH {_PAIRS}, b AS ({resample_sql('pairs', 'benchmark', VALUES)}), p AS (SELECT benchmark, count(*) AS n, avg(d_accuracy) AS d0, avg(d_nll) AS d1, avg(d_brier) AS d2 FROM pairs GROUP BY 1)
-    SELECT benchmark, {n('any_value(n)', 'n')}, {', '.join(r(f'any_value(d{i})', v) + ', ' + r(f'quantile_cont(s{i} / w, 0.025)', 'low_' + v) + ', ' + r(f'quantile_cont(s{i} / w, 0.975)', 'high_' + v) for i, v in enumerate(VALUES))}
-    FROM b JOIN p USING (benchmark) WHERE w > 0 GROUP BY 1""",
+    f"""WITH {_PAIRS}, b AS (SELECT benchmark, {_drawn(3)} FROM ({resample_sql('pairs', 'benchmark', VALUES)}) WHERE w > 0), mo AS ({moments_sql('pairs', 'benchmark', VALUES)}), c AS (SELECT benchmark, count(*) AS n FROM pairs GROUP BY 1)
+    SELECT benchmark, {n('n', 'n')}, {_ends(VALUES)} FROM ({ends_sql('b', 'mo', 'benchmark', 3)}) JOIN c USING (benchmark)""",
     ("scored_choice",),
 )
 def paired_bootstrap(spark, sf):
@@ -74,12 +127,15 @@ def paired_bootstrap(spark, sf):
     return B.bootstrap_intervals(pairs(spark, sf), ["benchmark"], CLUSTER, VALUES, RESAMPLES)
 
 
+_SCORES = ("correct", "nll", "brier")
+
+
 @query(
     "macro_intervals",
-    f"""WITH b AS ({resample_sql('scored_choice', 'system, benchmark', ('correct', 'nll', 'brier'))}), m AS (SELECT system, r, avg(s0 / w) AS m0, avg(s1 / w) AS m1, avg(s2 / w) AS m2 FROM b GROUP BY 1, 2),
-    p AS (SELECT system, count(*) AS k, avg(c) AS p0, avg(l) AS p1, avg(q) AS p2 FROM (SELECT system, benchmark, avg(correct::INTEGER) AS c, avg(nll) AS l, avg(brier) AS q FROM scored_choice GROUP BY 1, 2) GROUP BY 1)
-    SELECT system, {n('any_value(k)', 'n_benchmarks')}, {', '.join(r(f'any_value(p{i})', v) + ', ' + r(f'quantile_cont(m{i}, 0.025)', 'low_' + v) + ', ' + r(f'quantile_cont(m{i}, 0.975)', 'high_' + v) for i, v in enumerate(('correct', 'nll', 'brier')))}
-    FROM m JOIN p USING (system) GROUP BY 1""",
+    f"""WITH src AS (SELECT system, benchmark, question_id, correct::INTEGER AS correct, nll, brier FROM scored_choice), b AS ({resample_sql('src', 'system, benchmark', _SCORES)}),
+    m AS (SELECT system, r, avg(s0 / w) AS m0, avg(s1 / w) AS m1, avg(s2 / w) AS m2 FROM b WHERE w > 0 GROUP BY 1, 2),
+    mo AS ({moments_sql('src', 'system, benchmark', _SCORES)}), ma AS ({macro_moments_sql('mo', 'system', 3)}), p AS (SELECT system, count(*) AS n_benchmarks FROM mo GROUP BY 1)
+    SELECT system, {n('n_benchmarks', 'n_benchmarks')}, {_ends(_SCORES)} FROM ({ends_sql('m', 'ma', 'system', 3)}) JOIN p USING (system)""",
     ("scored_choice",),
 )
 def macro_intervals(spark, sf):
@@ -131,11 +187,18 @@ def jackknife_acceleration(spark, sf):
     )
 
 
-@query("bca_intervals")
+@query(
+    "bca_intervals",
+    f"""WITH src AS (SELECT system, benchmark, question_id, (probs[1 + gold_idx] >= 0.5 AND (gold_idx = 0 OR probs[1] < 0.5))::INTEGER AS correct FROM noul_preds),
+    b AS (SELECT system, benchmark, s0 / w AS m0 FROM ({resample_sql('src', 'system, benchmark', ('correct',))}) WHERE w > 0), mo AS ({moments_sql('src', 'system, benchmark', ('correct',))})
+    SELECT system, benchmark, {r('x.e0', 'estimate')}, {r('l0', 'low')}, {r('h0', 'high')}, {n('k', 'n_clusters')}, CASE WHEN k >= {B.BCA_MIN_CLUSTERS} THEN 'bca' ELSE 'percentile' END AS method,
+      {r('CASE WHEN q0 > 0 THEN c0 / (6 * power(q0, 1.5)) ELSE 0 END', 'acceleration')} FROM ({ends_sql('b', 'mo', 'system, benchmark', 1)}) x JOIN mo USING (system, benchmark)""",
+    ("noul_preds",),
+)
 def bca_intervals(spark, sf):
-    """Bias-corrected accelerated intervals of the accuracy per benchmark (normal quantiles are not
-    SQL, so rows only)."""
-    return B.bca_intervals(scored(spark, sf), ["system", "benchmark"], CLUSTER, "correct", 500, min_clusters=50)
+    """Bias-corrected accelerated intervals of the accuracy, clustered by order."""
+    rows = with_scores(D.noul_preds(spark, sf))
+    return B.bca_intervals(rows, ["system", "benchmark"], CLUSTER, "correct", RESAMPLES)
 
 
 _LNFACT = "lgamma(x + 1)"
@@ -173,12 +236,12 @@ def group_influence(spark, sf):
 @query(
     "ece_replicates",
     f"""WITH c AS (SELECT *, ('0x' || substr(sha256(concat_ws(chr(31), '0', benchmark, question_id)), 1, 15))::BIGINT % {_M} AS a, ('0x' || substr(sha256(concat_ws(chr(31), '0', benchmark, question_id)), 16, 15))::BIGINT % {_M} AS b FROM scored_choice),
-    u AS (SELECT system, benchmark, item_id, confidence, correct, r, (a + r * b) % {_M} AS u FROM c, (SELECT unnest(range(0, 30)) AS r)),
+    u AS (SELECT system, benchmark, item_id, confidence, correct, r, (a + r * b) % {_M} AS u FROM c, (SELECT unnest(range(0, {RESAMPLES})) AS r)),
     e AS (SELECT system, benchmark, item_id, confidence, correct, r, unnest(range(0, {_WEIGHT})) AS copy FROM u),
     t AS (SELECT *, ntile(10) OVER (PARTITION BY system, benchmark, r ORDER BY confidence, ('0x' || substr(sha256(item_id), 1, 15))::BIGINT, copy) AS bin FROM e)
     SELECT system, benchmark, {n('r', 'r')}, {r('sum(abs(h - c)) / sum(k)', 'ece')} FROM (SELECT system, benchmark, r, bin, sum(confidence) AS c, sum(correct::INTEGER) AS h, count(*) AS k FROM t GROUP BY 1, 2, 3, 4) GROUP BY system, benchmark, r""",
     ("scored_choice",),
 )
 def ece_replicates(spark, sf):
-    """Calibration error of thirty hashed resamples, on the same resamples as the other metrics."""
-    return B.ece_replicates(scored(spark, sf), ["system", "benchmark"], CLUSTER, 30)
+    """Calibration error of every resample, on the same resamples as the other metrics."""
+    return B.ece_replicates(scored(spark, sf), ["system", "benchmark"], CLUSTER, RESAMPLES)

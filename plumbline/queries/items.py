@@ -340,6 +340,37 @@ def rendered_prompts(spark, sf):
     )
 
 
+@query(
+    "rendered_structured_prompts",
+    """WITH o AS (SELECT o_orderkey, o_orderpriority, o_comment, o_totalprice::DOUBLE AS price, o_shippriority, list(l_partkey ORDER BY l_linenumber, l_partkey) FILTER (WHERE l_linenumber IS NOT NULL) AS parts
+      FROM (SELECT o_orderkey, o_orderpriority, coalesce(o_orderstatus, '') || ' "quoted" \\ ' || chr(9) || o_clerk AS o_comment, o_totalprice, o_orderkey % 3 AS o_shippriority, o_clerk FROM orders_) LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+    t AS (SELECT *, '{' || chr(10) || '  "priority": "' || o_orderpriority || '",' || chr(10) || '  "note": "' || replace(replace(replace(o_comment, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(9), chr(92) || 't') || '",' || chr(10) ||
+      '  "share": ' || CASE o_shippriority WHEN 0 THEN '0.25' WHEN 1 THEN '1e-05' ELSE '2.0' END || ',' || chr(10) || '  "open": ' || CASE WHEN o_shippriority = 0 THEN 'true' ELSE 'false' END || ',' || chr(10) ||
+      '  "empty": null,' || chr(10) || '  "parts": ' || CASE WHEN parts IS NULL THEN '[]' ELSE '[' || chr(10) || array_to_string(list_transform(parts, lambda p: '    {' || chr(10) || '      "part": ' || p || chr(10) || '    }'), ',' || chr(10)) || chr(10) || '  ]' END || chr(10) || '}' AS state FROM o)
+    SELECT o_orderkey::VARCHAR AS item_id, 'State:' || chr(10) || state || chr(10) || chr(10) || 'Question:' || chr(10) || '[' || chr(10) || '  "How urgent?",' || chr(10) || '  "Answer briefly."' || chr(10) || ']' || chr(10) || chr(10) ||
+      'Levels:' || chr(10) || '0) low' || chr(10) || '1) high' || chr(10) || chr(10) || 'Respond with the digit only.' AS prompt FROM t""".replace("orders_", "(SELECT o_orderkey, o_orderpriority, o_orderstatus, o_totalprice, 'clerk ' || o_custkey AS o_clerk FROM orders)"),
+)
+def rendered_structured_prompts(spark, sf):
+    """Prompts about objects with nested lists, and with a list as instructions: written as JSON."""
+    orders = D.table(spark, sf, "orders")
+    lines = D.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
+    kind = F.col("o_orderkey") % 3
+    state = F.struct(
+        F.col("o_orderpriority").alias("priority"),
+        F.concat(F.coalesce("o_orderstatus", F.lit("")), F.lit(' "quoted" \\ \tclerk '), F.col("o_custkey").cast("string")).alias("note"),
+        F.when(kind == 0, 0.25).when(kind == 1, 1e-05).otherwise(2.0).alias("share"), (kind == 0).alias("open"), F.lit(None).cast("string").alias("empty"),
+        F.coalesce(F.transform("lines", lambda x: F.struct(x["l_partkey"].alias("part"))), F.expr("cast(array() as array<struct<part: bigint>>)")).alias("parts"),
+    )
+    rows = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").cast("string").alias("item_id"), state.alias("state"))
+    asked = F.array(F.lit("How urgent?"), F.lit("Answer briefly."))
+    rows = rows.withColumn("asked", asked)
+    messages = Q.render_prompt(
+        Q.render_value(F.col("state"), rows.schema["state"].dataType), F.lit("score"), Q.render_value(F.col("asked"), rows.schema["asked"].dataType),
+        Q.level_options(F.array(F.lit("low"), F.lit("high"))), F.lit("digits"),
+    )
+    return rows.select("item_id", F.get(messages, F.lit(0))["content"].alias("prompt"))
+
+
 @query(
     "rendered_level_prompts",
     f"""SELECT o_orderkey::VARCHAR AS item_id, 'Read the state in the next message, then answer.' || chr(10) || chr(10) || 'Question:' || chr(10) || 'How urgent?' || chr(10) || chr(10) || 'Levels:' || chr(10) ||

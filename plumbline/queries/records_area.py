@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import alignment as A
 from plumbline.operators import records as R
+from plumbline.functions import vectors as V
 from plumbline.queries import derived as D
 from plumbline.queries.registry import n, query, r
-from plumbline.sources import chatlog
+from plumbline.session import ensure_checkpoint_dir
+from plumbline.sources import chatlog, writers
 
 LATEST = """SELECT system_id, benchmark, item_id, arg_max(line_no, (ok::INTEGER, line_no)) AS line_no, arg_max(ok, (ok::INTEGER, line_no)) AS ok,
   arg_max(latency_ms, (ok::INTEGER, line_no)) AS latency_ms, arg_max(cost_usd, (ok::INTEGER, line_no)) AS cost_usd, arg_max(cached, (ok::INTEGER, line_no)) AS cached, count(*) AS n_attempts
@@ -287,6 +291,71 @@ def paired_items(spark, sf):
     return A.pair_systems(s, "a", "b", ["correct", "nll"])
 
 
+_SETTING = "CASE WHEN system_id = 's1' AND benchmark = 'b2' THEN 'hot' ELSE 'cold' END"
+
+
+@query(
+    "protocol_breaches",
+    f"""WITH l AS ({LATEST}), items AS (SELECT benchmark, item_id FROM ({_ITEMS}) WHERE item_id LIKE '%-2024-01-0%' OR item_id LIKE '%-2024-01-1%'), sz AS (SELECT benchmark, count(*) AS k FROM items GROUP BY 1),
+    c AS (SELECT s.system_id, sz.benchmark, sz.k, (SELECT count(*) FROM l JOIN items i ON i.benchmark = l.benchmark AND i.item_id = l.item_id WHERE l.system_id = s.system_id AND l.benchmark = sz.benchmark) AS inside,
+      (SELECT count(*) FROM l WHERE l.system_id = s.system_id AND l.benchmark = sz.benchmark) AS recs FROM (SELECT DISTINCT system_id FROM l) s, sz),
+    u AS (SELECT system_id, benchmark, 'missing' AS reason, k - inside AS n FROM c UNION ALL SELECT system_id, benchmark, 'foreign', recs - inside FROM c
+      UNION ALL SELECT system_id, benchmark, CASE WHEN NOT ok THEN 'unanswered' WHEN n_attempts <> 1 THEN 'calls' END AS reason, count(*) FROM l GROUP BY 1, 2, 3
+      UNION ALL SELECT DISTINCT system_id, benchmark, 'settings', 1 FROM l WHERE system_id = 's1' AND benchmark = 'b2')
+    SELECT system_id, benchmark, reason, {n('n', 'n')} FROM u WHERE reason IS NOT NULL AND n > 0""",
+    ("records",),
+)
+def protocol_breaches(spark, sf):
+    """Every way the runs break the protocol of a split of nineteen days: missing and foreign items,
+    failures, repeated calls, and a benchmark that was run with another setting."""
+    rows = latest(spark, sf).withColumnRenamed("n_attempts", "n_calls")
+    split = expected_items(spark, sf).where(F.col("item_id").like("%-2024-01-0%") | F.col("item_id").like("%-2024-01-1%"))
+    runs = rows.select("system_id", "benchmark").distinct()
+    odd = (F.col("system_id") == "s1") & (F.col("benchmark") == "b2")
+    settings = runs.select("system_id", "benchmark", F.lit("sampling").alias("name"), F.when(odd, "hot").otherwise("cold").alias("value"))
+    settings = settings.unionByName(runs.select("system_id", "benchmark", F.lit("top_k").alias("name"), F.lit("20").alias("value")))
+    return R.protocol_breaches(rows, split, settings)
+
+
+# --- manifests -------------------------------------------------------------------------------------
+
+
+def manifest_runs(spark, sf):
+    """What each system's runs look like after their invocations of even, then of all days."""
+    calls = D.invocations(spark, sf).withColumn("even", F.substring("day", 10, 1).cast("int") % 2 == 0)
+    call = F.struct(
+        F.col("started").alias("started_at"), F.col("finished").alias("finished_at"), F.when(F.col("finished").isNull(), "running").otherwise("finished").alias("status"),
+        F.col("concurrency").cast("int").alias("concurrency"), F.col("n_called").cast("bigint").alias("n_called"), F.lit(0).cast("bigint").alias("n_errors"),
+        F.col("n_cache_hits").cast("bigint").alias("n_cache_hits"), F.lit(0.0).alias("spent_usd"),
+    )
+    both = calls.withColumn("writer", F.explode(F.when(F.col("even"), F.array(F.lit("even"), F.lit("all"))).otherwise(F.array(F.lit("all")))))
+    runs = both.groupBy("writer", "system_id").agg(F.sort_array(F.collect_list(call)).alias("invocations"), F.sum("n_called").cast("bigint").alias("n_items"))
+    return runs.select(
+        "writer", "system_id", F.lit("b0.holdout").alias("run_key"), F.lit("b0").alias("benchmark"), F.lit("holdout").alias("split"), F.lit("complete").alias("status"),
+        "n_items", F.col("n_items").alias("n_ok"), F.lit(0).cast("bigint").alias("n_errors"), F.lit(0.0).alias("spent_usd"), "invocations",
+    )
+
+
+@query(
+    "committed_manifest",
+    f"""SELECT system_id, 'b0.holdout' AS run_key, {n('sum(n_called)', 'n_items')}, {n('count(*)', 'n_invocations')}, {n('count(*) FILTER (WHERE finished IS NOT NULL)', 'n_finished')}, {n('sum(n_called)', 'n_called')}, {n('2', 'version')} FROM invocations GROUP BY 1""",
+    ("invocations",),
+)
+def committed_manifest(spark, sf):
+    """A manifest that two writers published to and one of them again: every invocation once."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/manifest-{uuid.uuid4().hex}"
+    runs = manifest_runs(spark, sf)
+    for writer in ("even", "all", "even"):
+        version = writers.commit_manifest(runs.where(F.col("writer") == writer), folder)
+    held = writers.read_manifest(spark, folder)
+    total = lambda f: F.aggregate("invocations", F.lit(0).cast("bigint"), lambda a, i: a + i[f])
+    return held.select(
+        "system_id", "run_key", "n_items", F.size("invocations").alias("n_invocations"), F.size(F.filter("invocations", lambda i: i["finished_at"].isNotNull())).alias("n_finished"),
+        total("n_called").alias("n_called"), F.lit(version).cast("bigint").alias("version"),
+    )
+
+
 # --- logged payloads -------------------------------------------------------------------------------
 
 
@@ -344,6 +413,39 @@ def server_lines(spark, sf):
     return e.select(F.concat(F.lit("run"), (F.col("user_id") % 10).cast("string")).alias("file"), F.col("event_id").alias("line_no"), text.alias("value"))
 
 
+def kernel_log(spark, sf):
+    """Server lines with commands and kernel messages."""
+    e = D.table(spark, sf, "events")
+    head = "vllm-1  | (EngineCore pid=7) INFO 01-02 03:04:05 [linear.py:9] "
+    text = (
+        F.when(F.col("event_type") == "click", F.concat(F.lit(head + "Using Marlin kernel for layer "), (F.col("user_id") % 40).cast("string")))
+        .when(F.col("event_type") == "view", F.concat(F.lit("vllm-1  | vllm serve m --quantization awq --port "), F.col("event_id").cast("string")))
+        .when(F.col("event_type") == "error", F.concat(F.lit("vllm-1  | INFO 01-02 03:04:05 [core.py:5] Initializing a V1 LLM engine (v1) with config: quantization=fp"), (F.col("event_id") % 9).cast("string"), F.lit(", seed=0")))
+        .otherwise("vllm-1  | nothing to see")
+    )
+    return e.select(F.concat(F.lit("run"), (F.col("user_id") % 10).cast("string")).alias("file"), F.col("event_id").alias("line_no"), text.alias("value"))
+
+
+@query(
+    "server_log_texts",
+    """SELECT 'run' || (user_id % 10) AS file, arg_min('vllm serve m --quantization awq --port ' || event_id, event_id) FILTER (WHERE event_type = 'view') AS serve_command,
+      arg_min('fp' || (event_id % 9), event_id) FILTER (WHERE event_type = 'error') AS quantization FROM events GROUP BY 1""",
+)
+def server_log_texts(spark, sf):
+    """The first serve command and quantization that each server log states."""
+    return chatlog.log_texts(kernel_log(spark, sf))
+
+
+@query(
+    "server_log_kernels",
+    f"""WITH f AS (SELECT 'run' || (user_id % 10) AS file, 'Using Marlin kernel for layer ' || (user_id % 40) AS message, min(event_id) AS first_at FROM events WHERE event_type = 'click' GROUP BY 1, 2)
+    SELECT file, {n('k', 'rank')}, message FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY first_at) AS k FROM f) WHERE k <= 25""",
+)
+def server_log_kernels(spark, sf):
+    """The first different kernel messages of every server log, in order."""
+    return chatlog.kernel_lines(kernel_log(spark, sf))
+
+
 @query(
     "server_log_facts",
     f"""WITH l AS ({_LINES})
@@ -368,7 +470,7 @@ def server_log_warnings(spark, sf):
 def structured_payloads(spark, sf):
     """Structured replies ``{"answer":"<letter>"}`` whose value starts a token of its own, follows a
     token that ends in the quote, or never comes."""
-    p = D.preds(spark, sf).where("system = 'a'")
+    p = D.preds(spark, sf)
     i = F.col("item_id").cast("bigint")
     lp = lambda x: F.round(F.ln(F.greatest(x, F.lit(1e-6))), 9)
     value = F.get("keys", F.col("choice_idx"))
@@ -386,16 +488,18 @@ def structured_payloads(spark, sf):
     joined = F.array(only('{"'), only("answer"), token(F.concat(F.lit('":"'), value), chosen, merged), only('"}'))
     stuck = F.array(only("\n"), only("\n"))
     content = F.when(i % 10 == 9, stuck).when(i % 2 == 0, split).otherwise(joined)
-    body = F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("logprobs"))).alias("choices"))
-    return p.select(F.col("item_id").alias("request_id"), "benchmark", F.to_json(body).alias("payload"), F.col("keys").alias("values"))
+    usage = F.struct((i % 50 + 100).alias("prompt_tokens"), F.size(content).alias("completion_tokens"))
+    body = F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("logprobs"))).alias("choices"), usage.alias("usage"))
+    request = F.concat_ws(":", "system", "item_id").alias("request_id")
+    return p.select(request, "system", "benchmark", "item_id", F.to_json(body).alias("payload"), F.col("keys").alias("values"))
 
 
 @query(
     "structured_replies",
-    f"""WITH p AS (SELECT item_id, unnest(keys) AS value, unnest(list_transform(probs, lambda x: round(ln(greatest(x, 1e-6)), 9))) AS lp, unnest(range(0, 10)) AS pos, choice_idx FROM preds WHERE system = 'a'),
-    t AS (SELECT *, ln(sum(exp(lp)) OVER (PARTITION BY item_id)) AS total FROM p)
-    SELECT item_id AS request_id, value, {r('least(lp - CASE WHEN item_id::BIGINT % 2 = 1 THEN total ELSE 0 END, 0)', 'logprob')}, pos = choice_idx AS sampled, NULL::VARCHAR AS failure FROM t WHERE item_id::BIGINT % 10 <> 9
-    UNION ALL SELECT item_id, NULL, NULL, NULL, 'stuck' FROM preds WHERE system = 'a' AND item_id::BIGINT % 10 = 9""",
+    f"""WITH p AS (SELECT system, item_id, unnest(keys) AS value, unnest(list_transform(probs, lambda x: round(ln(greatest(x, 1e-6)), 9))) AS lp, unnest(range(0, 10)) AS pos, choice_idx FROM preds),
+    t AS (SELECT *, ln(sum(exp(lp)) OVER (PARTITION BY system, item_id)) AS total FROM p)
+    SELECT system || ':' || item_id AS request_id, value, {r('least(lp - CASE WHEN item_id::BIGINT % 2 = 1 THEN total ELSE 0 END, 0)', 'logprob')}, pos = choice_idx AS sampled, NULL::VARCHAR AS failure FROM t WHERE item_id::BIGINT % 10 <> 9
+    UNION ALL SELECT system || ':' || item_id, NULL, NULL, NULL, 'stuck' FROM preds WHERE item_id::BIGINT % 10 = 9""",
     ("preds",),
 )
 def structured_replies(spark, sf):
@@ -405,14 +509,33 @@ def structured_replies(spark, sf):
 
 @query(
     "structured_profile",
-    f"""WITH p AS (SELECT benchmark, item_id, list_reduce(list_transform(probs, lambda x: greatest(x, 1e-6)), lambda a, y: a + y) AS total, item_id::BIGINT AS i FROM preds WHERE system = 'a')
-    SELECT benchmark, {n('count(*)', 'n')}, {n('count(*) FILTER (WHERE i % 10 <> 9)', 'n_read')},
-      {r('avg(CASE WHEN i % 2 = 1 THEN 1 ELSE total END) FILTER (WHERE i % 10 <> 9)', 'mass_mean')}, {r('min(CASE WHEN i % 2 = 1 THEN 1 ELSE total END) FILTER (WHERE i % 10 <> 9)', 'mass_min')},
-      {r('avg(0) FILTER (WHERE i % 10 <> 9)', 'missing_per_item')}, CASE WHEN count(*) FILTER (WHERE i % 10 = 9) > 0 THEN 'stuck=' || count(*) FILTER (WHERE i % 10 = 9) END AS failures
-    FROM p GROUP BY 1""",
+    f"""WITH p AS (SELECT system, benchmark, item_id, probs, item_id::BIGINT AS i, list_transform(probs, lambda x: greatest(x, 1e-6)) AS q FROM preds),
+    e AS (SELECT *, list_reduce(q, lambda a, y: a + y) AS total, i % 10 <> 9 AS ok, list_position(q, list_max(q)) AS top,
+      CASE WHEN i % 4 = 3 THEN NULL WHEN i % 4 = 2 THEN 1 + i % 10 ELSE list_position(probs, list_max(probs)) END AS was FROM p),
+    b AS (SELECT system, benchmark, CASE WHEN i % 2 = 0 THEN 3 ELSE 2 END AS tok, count(*) AS k FROM e WHERE ok GROUP BY 1, 2, 3)
+    SELECT system, benchmark, {n('count(*)', 'n')}, {n('count(*) FILTER (WHERE ok)', 'n_read')},
+      {r('avg(CASE WHEN i % 2 = 1 THEN 1 ELSE total END) FILTER (WHERE ok)', 'mass_mean')}, {r('min(CASE WHEN i % 2 = 1 THEN 1 ELSE total END) FILTER (WHERE ok)', 'mass_min')},
+      {r('avg(0) FILTER (WHERE ok)', 'missing_per_item')}, {n('count(*) FILTER (WHERE ok AND i % 2 = 1)', 'n_merged')},
+      {n('count(*) FILTER (WHERE ok AND was IS NOT NULL)', 'n_compared')}, {n('count(*) FILTER (WHERE ok AND was = top)', 'n_agree')},
+      {r('1000 * avg((i % 50 + 100) * 1e-6 + (CASE WHEN i % 2 = 0 THEN 5 ELSE 4 END) * 4e-6) FILTER (WHERE ok)', 'usd_per_1k_items')},
+      {r('avg(CASE WHEN i % 2 = 0 THEN 5 ELSE 4 END) FILTER (WHERE ok)', 'completion_mean')},
+      CASE WHEN count(*) FILTER (WHERE NOT ok) > 0 THEN 'stuck=' || count(*) FILTER (WHERE NOT ok) END AS failures,
+      (SELECT string_agg(tok || '=' || k, ',' ORDER BY tok) FROM b WHERE b.system = e.system AND b.benchmark = e.benchmark) AS value_positions
+    FROM e GROUP BY system, benchmark""",
     ("preds",),
 )
 def structured_profile(spark, sf):
-    """Replies read, failures by reason and label mass per benchmark."""
+    """Replies read, failures by reason, label mass, the token a value starts in, agreement with an
+    older read of the same request and cost, per system and benchmark."""
     p = structured_payloads(spark, sf)
-    return chatlog.structured_profile(chatlog.structured_reads(p), p.select("request_id", "benchmark"), F.lit(10))
+    reads = chatlog.structured_reads(p)
+    i = F.col("item_id").cast("bigint")
+    older = D.preds(spark, sf).where(i % 4 != 3).select(
+        F.concat_ws(":", "system", "item_id").alias("request_id"), F.when(i % 4 == 2, F.get("keys", (i % 10).cast("int"))).otherwise(F.get("keys", V.argmax(F.col("probs")))).alias("value")
+    )
+    usage = chatlog.usage_rows(p)
+    costs = usage.select("request_id", "output_tokens", (F.col("input_tokens") * 1e-6 + F.col("output_tokens") * 4e-6).alias("cost_usd"))
+    profile = chatlog.structured_profile(
+        reads, p.select("request_id", "system", "benchmark"), F.lit(10), ["system", "benchmark"], chatlog.value_positions(p), older, costs
+    )
+    return profile.withColumnRenamed("completion_tokens_mean", "completion_mean").drop("completion_tokens_min", "completion_tokens_max")

@@ -55,16 +55,16 @@ def renormalized_probabilities(spark, sf):
 
 @query(
     "calibration_logits",
-    f"""SELECT item_id, pos, {r('ln(greatest(1e-4, least(1.0, p)))', 'logit')},
+    f"""SELECT system, item_id, pos, {r('ln(greatest(1e-4, least(1.0, p)))', 'logit')},
       {r('ln(greatest(1e-4, least(1.0, p))) - ln(list_reduce(list_transform(probs, lambda x: greatest(1e-4, least(1.0, x))), lambda a, y: a + y))', 'log_softmax')}
-    FROM (SELECT item_id, probs, unnest(probs) AS p, unnest(range(0, len(probs))) AS pos FROM preds WHERE system = 'a')""",
+    FROM (SELECT system, item_id, probs, unnest(probs) AS p, unnest(range(0, len(probs))) AS pos FROM preds)""",
     ("preds",),
 )
 def calibration_logits(spark, sf):
     z = V.probs_to_logits(F.col("probs"))
-    p = D.preds(spark, sf).where("system = 'a'")
-    return p.select("item_id", F.posexplode(F.arrays_zip(z.alias("z"), V.log_softmax(z).alias("l")))).select(
-        "item_id", "pos", F.col("col.z").alias("logit"), F.col("col.l").alias("log_softmax")
+    p = D.preds(spark, sf)
+    return p.select("system", "item_id", F.posexplode(F.arrays_zip(z.alias("z"), V.log_softmax(z).alias("l")))).select(
+        "system", "item_id", "pos", F.col("col.z").alias("logit"), F.col("col.l").alias("log_softmax")
     )
 
 
@@ -106,27 +106,27 @@ def answer_drift(spark, sf):
 
 @query(
     "repeat_stability",
-    f"""WITH base AS (SELECT benchmark, item_id, probs, len(probs) k FROM metrics WHERE system = 'a'),
+    f"""WITH base AS (SELECT system, benchmark, item_id, probs, len(probs) k FROM metrics),
     shaken AS (
-      SELECT benchmark, item_id, s AS sample, probs AS ref,
+      SELECT system, benchmark, item_id, s AS sample, probs AS ref,
              list_transform(probs, lambda x: (1 - 0.01 * s * (item_id::BIGINT % 7)) * x + 0.01 * s * (item_id::BIGINT % 7) / 10.0) AS p
       FROM base, (SELECT unnest([1, 2, 3]) AS s)),
     rows AS (
-      SELECT benchmark, 0.5 * list_reduce(list_transform(ref, lambda x, i: abs(x - p[i])), lambda a, y: a + y) AS tv,
+      SELECT system, benchmark, 0.5 * list_reduce(list_transform(ref, lambda x, i: abs(x - p[i])), lambda a, y: a + y) AS tv,
              list_position(ref, list_max(ref)) <> list_position(p, list_max(p)) AS flip
       FROM shaken)
-    SELECT benchmark, {n('count(*)', 'samples')}, {r('avg(tv)', 'tv_mean')}, {r('max(tv)', 'tv_max')},
+    SELECT system, benchmark, {n('count(*)', 'samples')}, {r('avg(tv)', 'tv_mean')}, {r('max(tv)', 'tv_max')},
       {r('avg((tv = 0)::INTEGER)', 'share_zero')}, {r('avg((tv < 0.01)::INTEGER)', 'share_below_001')},
       {n('count(*) FILTER (WHERE flip)', 'argmax_flips')}, {r('quantile_disc(tv, 0.95)', 'tv_p95')}
-    FROM rows GROUP BY 1""",
+    FROM rows GROUP BY 1, 2""",
     ("metrics",),
 )
 def repeat_stability(spark, sf):
-    base = normalised(spark, sf).where("system = 'a'").select("benchmark", "item_id", "probs")
+    base = normalised(spark, sf).select("system", "benchmark", "item_id", "probs")
     shaken = base.withColumn("sample", F.explode(F.array(*[F.lit(s) for s in (1, 2, 3)])))
     w = 0.01 * F.col("sample") * (F.col("item_id").cast("bigint") % 7)
     shaken = shaken.withColumn("probs", F.transform("probs", lambda x: (1 - w) * x + w / 10.0))
-    return A.repeat_stability(shaken, base, ["benchmark"])
+    return A.repeat_stability(shaken, base, ["system", "benchmark"])
 
 
 # --- validation ------------------------------------------------------------------------------------

@@ -9,34 +9,56 @@ from plumbline.plans import study as P
 from plumbline.queries import derived as D
 from plumbline.queries.calibration_area import cal_items
 from plumbline.queries.costs_area import prices
-from plumbline.queries.inference import RESAMPLES, resample_sql
+from plumbline.queries.inference import RESAMPLES, _ends, ends_sql, macro_moments_sql, moments_sql, resample_sql
 from plumbline.queries.registry import n, query, r
+from plumbline.queries.summaries import ece_sql
 
 
 
+_TAIL = "least(1, 2 * list_sum(list_transform(range(0, least(oa, ob) + 1), lambda i: exp(lgamma(oa + ob + 1) - lgamma(i + 1) - lgamma(oa + ob - i + 1) - (oa + ob) * ln(2.0)))))"
+_DELTAS = ("d_accuracy", "d_nll", "d_brier")
+_PER = f"""per AS (SELECT benchmark, e0, l0, h0, e1, l1, h1, e2, l2, h2 FROM ({ends_sql('bs', 'mo', 'benchmark', 3)}))"""
+
+
 @query(
     "system_comparison",
-    f"""WITH pr AS (SELECT a.benchmark, a.item_id AS question_id, a.correct::INTEGER - b.correct::INTEGER AS d0, a.nll - b.nll AS d1, a.brier - b.brier AS d2, a.correct AS ca, b.correct AS cb FROM scored_choice a JOIN scored_choice b ON a.item_id = b.item_id AND a.system = 'a' AND b.system = 'b'),
-    bs AS ({resample_sql('pr', 'benchmark', ('d0', 'd1', 'd2'))}), pt AS (SELECT benchmark, count(*) AS n, avg(ca::INTEGER) AS pa, avg(cb::INTEGER) AS pb, avg(d0) AS e0, avg(d1) AS e1, avg(d2) AS e2 FROM pr GROUP BY 1),
-    per AS (SELECT benchmark, any_value(n) AS n, any_value(pa) AS pa, any_value(pb) AS pb, any_value(e0) AS e0, quantile_cont(s0 / w, 0.025) AS l0, quantile_cont(s0 / w, 0.975) AS h0, any_value(e1) AS e1, quantile_cont(s1 / w, 0.025) AS l1, quantile_cont(s1 / w, 0.975) AS h1 FROM bs JOIN pt USING (benchmark) GROUP BY 1),
-    mr AS (SELECT r, avg(s0 / w) AS m0, avg(s1 / w) AS m1 FROM bs GROUP BY 1),
-    mac AS (SELECT 'macro' AS benchmark, (SELECT sum(n) FROM pt) AS n, (SELECT avg(pa) FROM pt) AS pa, (SELECT avg(pb) FROM pt) AS pb, (SELECT avg(e0) FROM pt) AS e0, quantile_cont(m0, 0.025) AS l0, quantile_cont(m0, 0.975) AS h0, (SELECT avg(e1) FROM pt) AS e1, quantile_cont(m1, 0.025) AS l1, quantile_cont(m1, 0.975) AS h1 FROM mr)
-    SELECT benchmark, {n('n', 'n')}, {r('pa', 'accuracy_a')}, {r('pb', 'accuracy_b')}, {r('e0', 'd_accuracy')}, {r('l0', 'low_d_accuracy')}, {r('h0', 'high_d_accuracy')}, {r('e1', 'd_nll')}, {r('l1', 'low_d_nll')}, {r('h1', 'high_d_nll')}
-    FROM (SELECT * FROM per UNION ALL SELECT * FROM mac)""",
+    f"""WITH pr AS (SELECT a.benchmark, a.item_id AS question_id, a.correct::INTEGER - b.correct::INTEGER AS d_accuracy, a.nll - b.nll AS d_nll, a.brier - b.brier AS d_brier, a.correct AS ca, b.correct AS cb
+      FROM scored_choice a JOIN scored_choice b ON a.item_id = b.item_id AND a.system = 'a' AND b.system = 'b'),
+    rs AS ({resample_sql('pr', 'benchmark', _DELTAS)}), bs AS (SELECT benchmark, r, s0 / w AS m0, s1 / w AS m1, s2 / w AS m2 FROM rs WHERE w > 0), mo AS ({moments_sql('pr', 'benchmark', _DELTAS)}), {_PER},
+    mr AS (SELECT r, avg(m0) AS m0, avg(m1) AS m1, avg(m2) AS m2 FROM bs GROUP BY 1), ma AS ({macro_moments_sql('mo', '', 3)}), mac AS (SELECT 'macro' AS benchmark, * FROM ({ends_sql('mr', 'ma', '', 3)})),
+    pt AS (SELECT benchmark, count(*) AS n, avg(ca::INTEGER) AS pa, avg(cb::INTEGER) AS pb, count(*) FILTER (WHERE ca AND NOT cb) AS oa, count(*) FILTER (WHERE cb AND NOT ca) AS ob FROM pr GROUP BY 1),
+    pts AS (SELECT *, CASE WHEN oa + ob = 0 THEN 1 ELSE {_TAIL} END AS p FROM pt UNION ALL SELECT 'macro', sum(n), avg(pa), avg(pb), NULL, NULL, NULL FROM pt)
+    SELECT benchmark, {n('n', 'n')}, {r('pa', 'accuracy_a')}, {r('pb', 'accuracy_b')}, {_ends(_DELTAS)}, {n('oa', 'only_a')}, {n('ob', 'only_b')}, {r('p', 'p_value')} FROM (SELECT * FROM per UNION ALL SELECT * FROM mac) JOIN pts USING (benchmark)""",
     ("scored_choice",),
 )
 def system_comparison(spark, sf):
-    """Two systems on shared items, per benchmark and macro."""
+    """Two systems on shared items, per benchmark and macro: differences with BCa intervals (from 500
+    items), and McNemar's test."""
     out = P.compare(D.preds(spark, sf), "a", "b", RESAMPLES)
-    return out.select(
-        "benchmark", "n", "accuracy_a", "accuracy_b", "d_accuracy", "low_d_accuracy", "high_d_accuracy", "d_nll", "low_d_nll", "high_d_nll"
-    )
+    ends = [f"{e}{v}" for v in _DELTAS for e in ("", "low_", "high_")]
+    return out.select("benchmark", "n", "accuracy_a", "accuracy_b", *ends, "only_a", "only_b", "p_value")
+
 
+_VALUES = ("accuracy", "nll", "brier")
 
-@query("answer_summary_with_intervals")
+
+@query(
+    "answer_summary_with_intervals",
+    f"""WITH src AS (SELECT system, benchmark, item_id AS question_id, correct::INTEGER AS accuracy, nll, brier, abstained, idk_idx, p_gold, abs_error, within_one FROM scored),
+    rs AS (SELECT system, benchmark, r, s0 / w AS m0, s1 / w AS m1, s2 / w AS m2 FROM ({resample_sql('src', 'system, benchmark', _VALUES)}) WHERE w > 0), mo AS ({moments_sql('src', 'system, benchmark', _VALUES)}),
+    per AS (SELECT * FROM ({ends_sql('rs', 'mo', 'system, benchmark', 3)})), mr AS (SELECT system, r, avg(m0) AS m0, avg(m1) AS m1, avg(m2) AS m2 FROM rs GROUP BY 1, 2), ma AS ({macro_moments_sql('mo', 'system', 3)}),
+    mac AS (SELECT * FROM ({ends_sql('mr', 'ma', 'system', 3)})),
+    pt AS (SELECT system, benchmark, count(*) AS n, CASE WHEN max(idk_idx) IS NOT NULL THEN avg(abstained::INTEGER) END AS idk_rate, avg(p_gold) AS mean_p_gold, avg(abs_error) AS mae, avg(within_one::INTEGER) AS within_one FROM src GROUP BY 1, 2),
+    ec AS ({ece_sql('scored')})
+    SELECT system, benchmark, {n('n', 'n')}, {r('e0', 'accuracy')}, {r('l0', 'accuracy_low')}, {r('h0', 'accuracy_high')}, {r('e1', 'nll')}, {r('e2', 'brier')}, {', '.join(r(c, c) for c in ('idk_rate', 'mean_p_gold', 'mae', 'within_one', 'ece'))}
+    FROM per JOIN pt USING (system, benchmark) JOIN ec USING (system, benchmark)
+    UNION ALL BY NAME SELECT system, 'macro' AS benchmark, {n('k', 'n')}, {r('e0', 'accuracy')}, {r('l0', 'accuracy_low')}, {r('h0', 'accuracy_high')}, {r('e1', 'nll')}, {r('e2', 'brier')} FROM mac JOIN (SELECT system, sum(n) AS k FROM pt GROUP BY 1) USING (system)""",
+    ("scored",),
+)
 def answer_summary_with_intervals(spark, sf):
     """Run summary with accuracy intervals and the macro row."""
-    return P.summarize(D.all_preds(spark, sf), n_resamples=RESAMPLES)
+    out = P.summarize(D.all_preds(spark, sf), n_resamples=RESAMPLES)
+    return out.select("system", "benchmark", "n", "accuracy", "accuracy_low", "accuracy_high", "nll", "brier", "idk_rate", "mean_p_gold", "mae", "within_one", "ece")
 
 
 @query(
@@ -66,18 +88,14 @@ def study_items(spark, sf):
 
 @query("calibration_study")
 def calibration_study(spark, sf):
-    """Estimates of the cross-fitted study: raw, identity, temperature and histogram arms."""
-    study = P.calibration_study(
-        study_items(spark, sf), ["identity@global", "temperature@signature", "histogram@signature"], reference="a", n_resamples=RESAMPLES
-    )
-    return study.estimates
+    """Estimates of the cross-fitted study: raw and every default arm."""
+    return P.calibration_study(study_items(spark, sf), reference="a", n_resamples=RESAMPLES).estimates
 
 
 @query("calibration_study_deltas")
 def calibration_study_deltas(spark, sf):
     """Differences of the study's arms to the raw answers and to the reference system."""
-    study = P.calibration_study(study_items(spark, sf), ["temperature@global"], reference="a", n_resamples=RESAMPLES)
-    return study.deltas
+    return P.calibration_study(study_items(spark, sf), reference="a", n_resamples=RESAMPLES).deltas
 
 
 @query(
@@ -87,5 +105,5 @@ def calibration_study_deltas(spark, sf):
 )
 def view_summary(spark, sf):
     """Raw macro quality of the study's systems over two of its benchmarks."""
-    study = P.calibration_study(study_items(spark, sf), ["identity@global"], n_resamples=20)
+    study = P.calibration_study(study_items(spark, sf), ["identity@global"], n_resamples=RESAMPLES)
     return P.view_summary(study, ["b0", "b1"]).where("arm = 'raw'").select("system", "n", "accuracy", "nll")

@@ -212,14 +212,28 @@ def as_returned_metrics(spark, sf):
     d AS (SELECT benchmark,
         greatest(0, list_reduce(list_transform(pa, lambda x, i: (x + 1e-12) / (1 + 10 * 1e-12) * (ln((x + 1e-12) / (1 + 10 * 1e-12)) - ln((pb[i] + 1e-12) / (1 + 10 * 1e-12)))), lambda s, y: s + y)) AS kl,
         0.5 * list_reduce(list_transform(pa, lambda x, i: abs(x - pb[i])), lambda s, y: s + y) AS tv,
-        (list_position(pa, list_max(pa)) = list_position(pb, list_max(pb)))::INTEGER AS agree, abs(pb[g + 1] - pa[g + 1]) AS dp FROM p)
-    SELECT benchmark, {n('count(*)', 'n')}, {r('avg(agree)', 'agreement')}, {r('avg(kl)', 'kl_mean')}, {r('max(kl)', 'kl_max')}, {r('avg(tv)', 'tv_mean')},
-      {r('avg(dp)', 'abs_d_p_gold')}, {r('quantile_cont(kl, 0.5)', 'kl_median')}, {r('quantile_cont(kl, 0.95)', 'kl_p95')} FROM d GROUP BY 1""",
+        (list_position(pa, list_max(pa)) = list_position(pb, list_max(pb)))::INTEGER AS agree, abs(pb[g + 1] - pa[g + 1]) AS dp FROM p),
+    e AS (SELECT *, [x[1] > 0.02 FOR x IN list_zip(pa, pb)] AS ha, [x[2] > 0.05 FOR x IN list_zip(pa, pb)] AS hb, [i % 10 = 3 FOR i IN range(0, 10)] AS cut FROM p),
+    u AS (SELECT benchmark, unnest(pa) AS x, unnest(pb) AS y, unnest(ha) AS ia, unnest(hb) AS ib, unnest(cut) AS inf_b FROM e),
+    w AS (SELECT benchmark, {r('avg(abs(ln(y) - ln(x))) FILTER (WHERE ia AND ib AND NOT inf_b)', 'raw_mae')}, {n('count(*) FILTER (WHERE ia AND ib AND NOT inf_b)', 'n_finite')}, {n('count(*) FILTER (WHERE ia <> ib)', 'n_one_sided')},
+      {n('count(*) FILTER (WHERE ia AND ib AND inf_b)', 'n_infinite')}, {n('count(*) FILTER (WHERE ia <> ib OR (ia AND ib AND inf_b))', 'n_nonfinite')} FROM u GROUP BY 1),
+    ms AS (SELECT benchmark, list_reduce(list_concat([0.0::DOUBLE], list_transform(pb, lambda y, i: CASE WHEN hb[i] AND NOT cut[i] THEN y ELSE 0 END)), lambda s, y: s + y) - list_reduce(list_concat([0.0::DOUBLE], list_transform(pa, lambda x, i: CASE WHEN ha[i] THEN x ELSE 0 END)), lambda s, y: s + y) AS dm FROM e),
+    mm AS (SELECT benchmark, {r('avg(dm)', 'd_mass')}, {r('avg(abs(dm))', 'abs_d_mass')} FROM ms GROUP BY 1)
+    SELECT * FROM (SELECT benchmark, {n('count(*)', 'n')}, {r('avg(agree)', 'agreement')}, {r('avg(kl)', 'kl_mean')}, {r('max(kl)', 'kl_max')}, {r('avg(tv)', 'tv_mean')},
+      {r('avg(dp)', 'abs_d_p_gold')}, {r('quantile_cont(kl, 0.5)', 'kl_median')}, {r('quantile_cont(kl, 0.95)', 'kl_p95')} FROM d GROUP BY 1) JOIN w USING (benchmark) JOIN mm USING (benchmark)""",
     ("metrics",),
 )
 def paired_distribution_summary(spark, sf):
-    pairs = A.pair_systems(normalised(spark, sf), "a", "b", ["probs", "gold_idx"]).withColumnRenamed("gold_idx_a", "gold_idx")
-    return A.paired_distribution_summary(pairs, ["benchmark"])
+    """Two systems' distributions on shared items, and their raw label logprobs: a lists labels above
+    0.02, b those above 0.05, with one label masked."""
+    pairs = A.pair_systems(normalised(spark, sf), "a", "b", ["probs", "gold_idx", "keys"]).withColumnRenamed("gold_idx_a", "gold_idx")
+
+    def listed(side: str, floor: float, masked: int):
+        entry = lambda p, i: F.struct(F.get("keys_a", i).alias("k"), F.when(i % 10 == masked, F.lit(float("-inf"))).otherwise(F.ln(p)).alias("lp"), p.alias("p"))
+        kept = F.filter(F.transform(f"probs_{side}", entry), lambda e: e["p"] > floor)
+        return F.map_from_arrays(F.transform(kept, lambda e: e["k"]), F.transform(kept, lambda e: e["lp"]))
+
+    return A.paired_distribution_summary(pairs.withColumns({"raw_a": listed("a", 0.02, -1), "raw_b": listed("b", 0.05, 3)}), ["benchmark"])
 
 
 @query(
@@ -251,25 +265,25 @@ def answer_deltas(spark, sf):
 
 @query(
     "grid_share",
-    f"""WITH x AS (SELECT benchmark, list_transform(probs, lambda p, i: CASE WHEN item_id::BIGINT % 3 = 0 THEN round(ln(p) * 8) / 8 ELSE ln(p) END) AS raw FROM preds WHERE system = 'a')
-    SELECT benchmark, {n('count(*)', 'n')}, {r('avg((list_bool_and(list_transform(raw, lambda v: abs((v - raw[1]) / 0.125 - round_even((v - raw[1]) / 0.125, 0)) * 0.125 < 2e-3)))::INTEGER)', 'grid_share')} FROM x GROUP BY 1""",
+    f"""WITH x AS (SELECT system, benchmark, list_transform(probs, lambda p, i: CASE WHEN item_id::BIGINT % 3 = 0 THEN round(ln(p) * 8) / 8 ELSE ln(p) END) AS raw FROM preds)
+    SELECT system, benchmark, {n('count(*)', 'n')}, {r('avg((list_bool_and(list_transform(raw, lambda v: abs((v - raw[1]) / 0.125 - round_even((v - raw[1]) / 0.125, 0)) * 0.125 < 2e-3)))::INTEGER)', 'grid_share')} FROM x GROUP BY 1, 2""",
     ("preds",),
 )
 def grid_share(spark, sf):
     """Share of answers whose label logprobs move on a grid of eighths."""
     third = F.col("item_id").cast("bigint") % 3 == 0
     raw = F.transform("probs", lambda p: F.when(third, F.round(F.ln(p) * 8) / 8).otherwise(F.ln(p)))
-    rows = D.preds(spark, sf).where("system = 'a'").withColumn("raw", raw)
-    return A.grid_share(rows, ["benchmark"], "raw", 0.125)
+    rows = D.preds(spark, sf).withColumn("raw", raw)
+    return A.grid_share(rows, ["system", "benchmark"], "raw", 0.125)
 
 
 @query(
     "api_read_completeness",
-    f"""WITH x AS (SELECT benchmark, probs, list_position(probs, list_max(probs)) AS top,
-        list_filter([1, 2, 3, 4, 5, 6, 7, 8, 9, 10], lambda i: probs[i] < 0.03 OR (item_id::BIGINT % 11 = 0 AND i = 1)) AS miss FROM preds WHERE system = 'a')
-    SELECT benchmark, {n('count(*)', 'n')}, {r('avg((len(miss) > 0)::INTEGER)', 'missing_label_share')},
+    f"""WITH x AS (SELECT system, benchmark, probs, list_position(probs, list_max(probs)) AS top,
+        list_filter([1, 2, 3, 4, 5, 6, 7, 8, 9, 10], lambda i: probs[i] < 0.03 OR (item_id::BIGINT % 11 = 0 AND i = 1)) AS miss FROM preds)
+    SELECT system, benchmark, {n('count(*)', 'n')}, {r('avg((len(miss) > 0)::INTEGER)', 'missing_label_share')},
       {r('min(coalesce(list_reduce(list_transform(probs, lambda p, i: CASE WHEN list_contains(miss, i) THEN 0 ELSE p END), lambda a, y: a + y), 0))', 'min_label_mass')},
-      {n('count(*) FILTER (WHERE list_contains(miss, top))', 'n_missing_top')} FROM x GROUP BY 1""",
+      {n('count(*) FILTER (WHERE list_contains(miss, top))', 'n_missing_top')} FROM x GROUP BY 1, 2""",
     ("preds",),
 )
 def api_read_completeness(spark, sf):
@@ -279,9 +293,9 @@ def api_read_completeness(spark, sf):
     missing = F.filter(
         F.transform("probs", lambda p, i: F.when((p < 0.03) | (eleventh & (i == 0)), i)), lambda i: i.isNotNull()
     )
-    rows = D.preds(spark, sf).where("system = 'a'").withColumn("miss", missing)
+    rows = D.preds(spark, sf).withColumn("miss", missing)
     mass = V.vsum(F.transform("probs", lambda p, i: F.when(F.array_contains(F.col("miss"), i), 0.0).otherwise(p)))
-    return rows.groupBy("benchmark").agg(
+    return rows.groupBy("system", "benchmark").agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.size("miss") > 0).cast("double")).alias("missing_label_share"),
         F.min(mass).alias("min_label_mass"),
         F.count_if(F.array_contains("miss", V.argmax(F.col("probs")))).alias("n_missing_top"),

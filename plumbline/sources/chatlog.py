@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import vectors as V
 from plumbline.operators.logprobs import MASKED_LOGPROB, clean_logprob
+from plumbline.operators.ranking import top_n_per_group
+from plumbline.sources.readers import line_order
 
 PAYLOAD_SCHEMA = (
     "choices array<struct<finish_reason:string,message:struct<content:string>,logprobs:struct<content:array<"
@@ -138,25 +142,65 @@ def structured_reads(payloads: DataFrame) -> DataFrame:
     return placed.withColumn("failure", failure).select("request_id", F.inline(F.when(F.col("failure").isNotNull(), failed).otherwise(read)))
 
 
-def structured_profile(reads: DataFrame, keys: DataFrame, n_labels: Column) -> DataFrame:
-    """Per group: replies, failures by reason, label mass and missing labels. ``keys``:
-    request_id and the group column ``benchmark``."""
+def value_positions(payloads: DataFrame) -> DataFrame:
+    """(request_id, value_token, merged): the 0-based token of a structured reply in which its value
+    starts (NULL if the opening never ends) and whether that token also ends the opening."""
+    reply = parsed(payloads.select("request_id", "payload")).select("request_id", F.col("_p.choices")[0]["logprobs"]["content"].alias("content"))
+    texts = F.transform("content", lambda t: t["token"])
+    opening = F.length(F.regexp_extract(F.array_join(texts, ""), "^" + VALUE_OPENING, 0))
+    lengths = F.transform("content", lambda t: F.length(t["token"]))
+    ends = F.transform(lengths, lambda n, i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda x, y: x + y))
+    placed = reply.withColumns({"opening": opening, "ends": ends})
+    at = F.size(F.filter("ends", lambda e: e <= F.col("opening")))  # tokens that lie wholly in the opening
+    found = (F.col("opening") > 0) & (at < F.size("content"))
+    before = F.when(at > 0, F.get("ends", at - 1)).otherwise(0)
+    return placed.select("request_id", F.when(found, at).alias("value_token"), F.when(found, before < F.col("opening")).alias("merged"))
+
+
+def structured_profile(
+    reads: DataFrame, keys: DataFrame, n_labels: Column, groups: Sequence[str] = ("benchmark",), positions: DataFrame | None = None,
+    older: DataFrame | None = None, costs: DataFrame | None = None,
+) -> DataFrame:
+    """Per group: replies, failures by reason, label mass and missing labels. ``keys``: request_id and
+    the ``groups`` columns. Further figures of replies that were read: with :func:`value_positions`, in
+    which tokens values start (``token=count``, by token) and how often the token also ends the opening;
+    with ``older`` (request_id, value: an earlier read's likeliest label) how many were compared and
+    agree on the likeliest value; with ``costs`` (request_id, output_tokens, cost_usd) tokens and the
+    cost of a thousand."""
+    groups = list(groups)
+    likeliest = F.min_by("value", F.struct((-F.col("logprob")).alias("p"), F.col("value").alias("v")))
     per = reads.groupBy("request_id").agg(
-        F.max("failure").alias("failure"), F.count("value").alias("n_values"),
-        F.sum(F.exp("logprob")).alias("mass"),
+        F.max("failure").alias("failure"), F.count("value").alias("n_values"), F.sum(F.exp("logprob")).alias("mass"), likeliest.alias("likeliest"),
     )
     joined = keys.join(per, "request_id")
     ok = F.col("failure").isNull()
-    reasons = (
-        joined.where(~ok).groupBy("benchmark", "failure").count().groupBy("benchmark")
-        .agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "failure", F.col("count").cast("string")))), ",").alias("failures"))
-    )
-    stats = joined.groupBy("benchmark").agg(
+
+    def counted(rows: DataFrame, what: str, name: str) -> DataFrame:
+        """Counts of each value of ``what`` as one text per group, by value."""
+        each = rows.groupBy(*groups, what).agg(F.count(F.lit(1)).alias("_k"))
+        listed = F.transform(F.sort_array(F.collect_list(F.struct(what, "_k"))), lambda x: F.concat_ws("=", x[what].cast("string"), x["_k"].cast("string")))
+        return each.groupBy(*groups).agg(F.array_join(listed, ",").alias(name))
+
+    more, texts = [], [counted(joined.where(~ok), "failure", "failures")]
+    if positions is not None:
+        joined = joined.join(positions, "request_id", "left")
+        more.append(F.count_if(ok & F.col("merged")).alias("n_merged"))
+        texts.append(counted(joined.where(ok & F.col("value_token").isNotNull()), "value_token", "value_positions"))
+    if older is not None:
+        joined = joined.join(older.select("request_id", F.col("value").alias("_older")), "request_id", "left")
+        more += [F.count_if(ok & F.col("_older").isNotNull()).alias("n_compared"), F.count_if(ok & (F.col("_older") == F.col("likeliest"))).alias("n_agree")]
+    if costs is not None:
+        joined = joined.join(costs.select("request_id", "output_tokens", "cost_usd"), "request_id", "left")
+        more.append((F.avg(F.when(ok, F.col("cost_usd"))) * 1000.0).alias("usd_per_1k_items"))
+        more += [f(F.when(ok, F.col("output_tokens"))).alias(f"completion_tokens_{k}") for k, f in (("mean", F.avg), ("min", F.min), ("max", F.max))]
+    stats = joined.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_read"),
         F.avg(F.when(ok, F.col("mass"))).alias("mass_mean"), F.min(F.when(ok, F.col("mass"))).alias("mass_min"),
-        F.avg(F.when(ok, n_labels - F.col("n_values"))).alias("missing_per_item"),
+        F.avg(F.when(ok, n_labels - F.col("n_values"))).alias("missing_per_item"), *more,
     )
-    return stats.join(reasons, "benchmark", "left")
+    for text in texts:
+        stats = stats.join(text, groups, "left")
+    return stats
 
 
 # --- server logs -----------------------------------------------------------------------------------
@@ -171,14 +215,29 @@ LOG_FACTS = {
 }
 
 
+LOG_TEXTS = {
+    "serve_command": r"^(vllm serve .*)$",
+    "quantization": r"^Initializing a V1 LLM engine .*\bquantization=([\w-]+)",
+}
+KERNEL_LINE = r"(?i)marlin|machete|cutlass|exllama|fp8|awq|wna16|w8a8|w4a16|quantiz|LinearKernel|kernel for"
+NOT_KERNEL_LINE = ("vllm serve", "Initializing a V1 LLM engine", "non-default args")
+LINE_HEAD = r"^\S+\s+\|\s(?:\(\w+ pid=\d+\)\s)?(?:(?:DEBUG|INFO|WARNING|ERROR|CRITICAL) \d\d-\d\d [\d:]+ \[[^\]]+\] )?"
+KERNEL_LINES, KERNEL_CHARS = 25, 400
+"""A log's kernel lines: the first so many different ones, cut to so many characters."""
+
+
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value) without HTTP access lines."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), "value"
-    )
+    """(file, line_no, value) without HTTP access lines; ``line_no`` orders the lines of a file however
+    the scan is split."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), line_order().alias("line_no"), "value")
     return lines.where(~F.col("value").contains('"GET /') & ~F.col("value").contains('"POST /'))
 
 
+def _message() -> Column:
+    """A line without the container's, process's and logger's heads."""
+    return F.trim(F.regexp_replace("value", LINE_HEAD, ""))
+
+
 def log_facts(lines: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
     """Per file, the first number each pattern finds."""
     aggs = []
@@ -189,6 +248,27 @@ def log_facts(lines: DataFrame, patterns: dict[str, str] | None = None) -> DataF
     return lines.groupBy("file").agg(*aggs)
 
 
+def log_texts(lines: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
+    """Per file, the first text each pattern finds in a line's message (NULL if none does)."""
+    messages = lines.withColumn("_message", _message())
+    aggs = []
+    for name, pattern in (patterns or LOG_TEXTS).items():
+        found = F.nullif(F.regexp_extract("_message", pattern, 1), F.lit(""))
+        aggs.append(F.min_by(found, F.when(found.isNotNull(), F.col("line_no"))).alias(name))
+    return messages.groupBy("file").agg(*aggs)
+
+
+def kernel_lines(lines: DataFrame) -> DataFrame:
+    """(file, rank, message): the different messages about kernels and quantization in the order of
+    their first lines. Repetitions are aggregated away before anything is ranked."""
+    messages = lines.select("file", "line_no", _message().alias("message")).where(F.col("message").rlike(KERNEL_LINE))
+    for head in NOT_KERNEL_LINE:
+        messages = messages.where(~F.col("message").startswith(head))
+    firsts = messages.groupBy("file", "message").agg(F.min("line_no").alias("line_no"))
+    ranked = top_n_per_group(firsts, ["file"], ["line_no"], KERNEL_LINES)
+    return ranked.select("file", "rank", F.left("message", F.lit(KERNEL_CHARS)).alias("message"))
+
+
 def log_warnings(lines: DataFrame) -> DataFrame:
     """Distinct warning and error messages per file with their counts."""
     level = F.regexp_extract("value", r"\b(WARNING|ERROR)\b", 1)

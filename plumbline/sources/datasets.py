@@ -227,7 +227,7 @@ def mapped_items(rows: DataFrame, name: str, qtype: str, fields: Mapping[str, st
 
     Rejected rows have gold that does not fit, no state, no id, or an id that another row has
     (``problem`` says which). Without an id, rows are named by a hash of their content, so ids do not
-    depend on how a table is partitioned.
+    depend on how a table is partitioned; equal rows are numbered (``<hash>``, ``<hash>-2``, ...).
     """
     if qtype not in QUESTION_TYPES:
         raise SourceError(f"{name}: {qtype!r} is no question type; there are {QUESTION_TYPES}")
@@ -237,6 +237,11 @@ def mapped_items(rows: DataFrame, name: str, qtype: str, fields: Mapping[str, st
     chosen = require_columns(rows, [*[c for c in fields.values() if isinstance(c, str)], *keep], name)
     of = {k: F.col(f"`{v}`") if isinstance(v, str) else v for k, v in fields.items()}
     content = F.substring(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in chosen.columns])), 256), 1, 16)
+    if "id" not in of:
+        # Equal rows need no order among themselves: each is one of their count.
+        counted_rows = chosen.withColumn("_content", content).groupBy("_content", *[f"`{c}`" for c in chosen.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+        chosen = counted_rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+        content = F.when(F.col("_copy") == 1, F.col("_content")).otherwise(F.concat_ws("-", "_content", F.col("_copy").cast("string")))
     options = Q.noul_options() if "options" not in fields else options_of(qtype, of["options"]) if isinstance(fields["options"], str) else of["options"]
     items = make_item(
         chosen, name, question_id=F.coalesce(of["id"].cast("string"), F.lit("")) if "id" in of else content,

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from uuid import uuid4
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.session import checkpoint
+
 DIGEST_BUCKETS = 4096
 
 
@@ -76,6 +80,87 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+# --- manifests -----------------------------------------------------------------------------------
+
+RUN_FIELDS = ("benchmark", "split", "status", "n_items", "n_ok", "n_errors", "spent_usd")
+CALL_FIELDS = ("started_at", "finished_at", "status", "concurrency", "n_called", "n_errors", "n_cache_hits", "spent_usd")
+MANIFEST_SCHEMA = (
+    "system_id string, run_key string, benchmark string, split string, status string, n_items bigint, n_ok bigint, n_errors bigint, spent_usd double, "
+    "invocations array<struct<started_at:timestamp,finished_at:timestamp,status:string,concurrency:int,n_called:bigint,n_errors:bigint,n_cache_hits:bigint,spent_usd:double>>"
+)
+COMMIT_TRIES = 20
+WHOLE_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+T_COLUMNS = ("system_id", "run_key", *RUN_FIELDS, "invocations")
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+
+
+def read_manifest(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """Run rows (:data:`MANIFEST_SCHEMA`) of the newest published version, or of ``version``; no rows
+    before the first."""
+    published = _versions(spark, folder)
+    if not published:
+        return spark.createDataFrame([], MANIFEST_SCHEMA)
+    return spark.read.schema(MANIFEST_SCHEMA).option("timestampFormat", WHOLE_TIME).json(f"{folder}/v{published[-1] if version is None else version}")
+
+
+def merged_manifest(known: DataFrame, more: DataFrame) -> DataFrame:
+    """Both manifests' runs, one row each: invocations are those of either, one for each start (a
+    finished one beats its running state), and the run's own figures come from whoever saw the newest
+    invocation (ties: more items answered). The merge does not depend on the order of its inputs, and
+    merging the same rows again changes nothing."""
+    keys = ["system_id", "run_key"]
+    both = known.select(*T_COLUMNS).unionByName(more.select(*T_COLUMNS))
+    newest = F.array_max(F.transform("invocations", lambda i: F.coalesce(i["started_at"], F.lit("1970-01-01").cast("timestamp"))))
+    figures = F.struct(*RUN_FIELDS)
+    own = both.groupBy(*keys).agg(F.max_by(figures, F.struct(newest.alias("seen"), F.col("n_ok"), F.col("n_items"), F.to_json(figures))).alias("_r"))
+    calls = both.select(*keys, F.inline("invocations"))
+    call = F.struct(*CALL_FIELDS)
+    state = F.struct(F.col("finished_at").isNotNull().alias("done"), F.col("finished_at"), F.col("n_called"), F.to_json(call).alias("text"))
+    one = calls.groupBy(*keys, "started_at").agg(F.max_by(call, state).alias("call"))
+    # A run's invocations are one list by the manifest's own format.
+    listed = one.groupBy(*keys).agg(F.sort_array(F.collect_list("call")).alias("invocations"))
+    none = F.expr("cast(array() as " + MANIFEST_SCHEMA.split("invocations ", 1)[1] + ")")
+    return own.join(listed, keys, "left").select(*keys, "_r.*", F.coalesce("invocations", none).alias("invocations"))
+
+
+def commit_manifest(runs: DataFrame, folder: str) -> int:
+    """Publishes ``runs`` merged into the manifest of ``folder`` and returns the version that holds them.
+
+    A version is written aside and published by one rename to a name that must not exist, so readers
+    see whole versions only. A writer that finds its version's name taken merges with what the other
+    one published and tries the next. Runs that change nothing (a replay) publish nothing.
+    """
+    spark = runs.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(folder).toUri(), conf) if "://" in folder else jvm.org.apache.hadoop.fs.FileContext.getFileContext(conf)
+    runs = checkpoint(runs.select(*T_COLUMNS))
+    for _ in range(COMMIT_TRIES):
+        version = (_versions(spark, folder) or [0])[-1]
+        known = read_manifest(spark, folder)
+        merged = checkpoint(merged_manifest(known, runs))
+        if version and table_digest(merged).first() == table_digest(merged_manifest(known, known.limit(0))).first():
+            return version
+        aside = f"{folder}/_aside-{uuid4().hex}"
+        merged.repartition("system_id").write.option("timestampFormat", WHOLE_TIME).json(aside)
+        try:
+            files.rename(path(aside), path(f"{folder}/v{version + 1}"), spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as error:
+            files.delete(path(aside), True)
+            if "already exists" not in str(error.java_exception).lower() and "alreadyexists" not in str(error.java_exception).lower():
+                raise
+            continue
+        return version + 1
+    raise RuntimeError(f"{folder}: {COMMIT_TRIES} versions in a row were published by others")
+
+
 def save_parameters(table: DataFrame, path: str) -> None:
     """Calibrators or priors as JSON rows (arrays and NULLs survive the round trip)."""
     table.write.mode("overwrite").json(path)
