@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,9 +38,10 @@ BAD = frozenset(
     "sharing sidebar side signup social sponsor sponsored subscribe tags toolbar topbar widget alert complementary contentinfo".split()
 )
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.DOTALL
-)
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_STOP = re.compile(r"[\"'>]")
+MAX_DEPTH = 512
+"""Nodes nested deeper are children of the ancestor at this depth, as in browsers."""
 _MARKS = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 _PIECES = re.compile(r"[a-z]+")
@@ -70,82 +72,162 @@ def attribute_marks(attributes: str) -> tuple[int, int]:
     return good, bad
 
 
+class Tags:
+    """Finds the tags of a source from left to right, in time linear in its length.
+
+    A tag ends at the first ``>`` outside quotes. Where there is none, or a quote stays open, the ``<``
+    is text, and reading goes on behind it. The stops (quotes and ends) that such a vain reading met are
+    kept: a later one that meets any of them ends there too, so no stretch is read in vain twice.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.vain = source, set()
+        self.last_end = source.rfind(">")
+        self.span = (0, -1, -1)  # the last stretch without a stop: where it was read from, its stop
+
+    def end(self, start: int) -> int:
+        """Index behind the tag whose attributes begin at ``start``, -1 if it does not end."""
+        source, met, at = self.source, [], start
+        first, stop = self.span[:2]
+        while at <= self.last_end:
+            if first <= at <= stop:
+                found = stop
+            else:
+                m = _STOP.search(source, at)
+                found = m.start() if m else -1
+                if at == start and m:
+                    self.span = (at, found, -1)
+            if found < 0 or found in self.vain:
+                break
+            if source[found] == ">":
+                return found + 1
+            met.append(found)
+            close = source.find(source[found], found + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.vain.update(met)
+        return -1
+
+    def __iter__(self):
+        """(where raw text before it begins and ends, name or None, is an end tag, attributes, behind)."""
+        source, at, end = self.source, 0, len(self.source)
+        raw = 0
+        while True:
+            i = source.find("<", at)
+            if i < 0:
+                return
+            after = source[i + 1 : i + 2]
+            if source.startswith("<!--", i):
+                close = source.find("-->", i + 4)
+                behind = end if close < 0 else close + 3
+                told = (raw, i, None, False, "", behind)
+            elif after in ("!", "?"):
+                close = source.find(">", i) if i < self.last_end else -1
+                if close < 0:
+                    at = i + 1
+                    continue
+                behind = close + 1
+                told = (raw, i, None, False, "", behind)
+            else:
+                m = _NAME.match(source, i) if i < self.last_end else None
+                behind = self.end(m.end()) if m else -1
+                if behind < 0:
+                    at = i + 1
+                    continue
+                told = (raw, i, m[1].lower(), after == "/", source[m.end() : behind - 1], behind)
+            skipped = yield told
+            raw = at = behind if skipped is None else skipped
+            if skipped is not None:
+                yield None  # the answer to send()
+
+
 def parse(source: str) -> Page:
-    """The nodes of a page. Anything is accepted: unknown, unclosed and misnested tags, tags cut off
-    at the end (kept as text), raw text that contains tags."""
+    """The nodes of a page, in time linear in its length. Anything is accepted: unknown, unclosed and
+    misnested tags, tags cut off at the end (kept as text), raw text that contains tags."""
     page = Page([""], [-1], [0], [0], [""], [0])
     tags, parents, good, bad, texts, blocks = page.tags, page.parents, page.good, page.bad, page.texts, page.blocks
-    stack, unseen, block = [0], 0, 0
+    stack, unseen, block, last_text = [0], 0, 0, 0
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open
+    outer = [0]  # places of open elements that do not flow inside a line
 
     def text(raw: str) -> None:
+        nonlocal last_text
+        last_text = len(tags)
         tags.append("#")
-        parents.append(stack[-1])
+        parents.append(stack[min(len(stack), MAX_DEPTH) - 1])
         good.append(0)
         bad.append(0)
         texts.append(html.unescape(raw) if "&" in raw else raw)
         blocks.append(block)
 
     def space() -> None:
-        """White space after the last text of the block."""
-        k = len(tags) - 1
-        while k > 0 and tags[k] in INLINE and blocks[k] == block:
-            k -= 1
-        if tags[k] == "#" and blocks[k] == block:
-            texts[k] += " "
+        """White space after the last text of the block (only tags inside the line follow it)."""
+        if last_text and blocks[last_text] == block and not texts[last_text].endswith(" "):
+            texts[last_text] += " "
 
     def pop() -> None:
         nonlocal unseen
-        unseen -= tags[stack.pop()] in UNSEEN
+        tag = tags[stack.pop()]
+        places[tag].pop()
+        if outer[-1] == len(stack):
+            outer.pop()
+        unseen -= tag in UNSEEN
 
-    at, end = 0, len(source)
-    while at < end:
-        m = _TAG.search(source, at)
-        raw = source[at : m.start() if m else end]
+    def innermost(names: Iterable[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
+    def content(raw: str) -> None:
         if raw and not unseen and not raw.isspace():
             text(raw)
         elif raw and not unseen:
             space()
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
+
+    behind, found = 0, iter(Tags(source))
+    for start, stop, tag, closing, attributes, behind in found:
+        content(source[start:stop])
+        if tag is None:
             continue
-        tag = m[2].lower()
         if tag not in INLINE:
             block += 1
         elif tag == "br":
             space()
-        if m[1]:
-            if any(tags[k] == tag for k in stack):
+        if closing:
+            if places.get(tag):
                 while tags[stack[-1]] != tag:
                     pop()
                 pop()
             continue
         if tag in CLOSES:
             ends, within = CLOSES[tag]
-            k = len(stack) - 1
-            while k > 0 and tags[stack[k]] not in within and tags[stack[k]] not in ends:
-                k -= 1
-            if k > 0 and tags[stack[k]] in ends:
+            k = innermost(ends)
+            if k > 0 and k > innermost(within):
+                while len(stack) > k:
+                    pop()
+        elif tag in CLOSE_P:
+            while tags[stack[outer[-1]]] == "p":
+                k = outer[-1]
                 while len(stack) > k:
                     pop()
-        elif tag in CLOSE_P and any(tags[k] == "p" for k in stack[-8:]):
-            while len(stack) > 1 and (tags[stack[-1]] == "p" or tags[stack[-1]] in INLINE):
-                pop()
         tags.append(tag)
-        parents.append(stack[-1])
-        g, b = attribute_marks(m[3])
+        parents.append(stack[min(len(stack), MAX_DEPTH) - 1])
+        g, b = attribute_marks(attributes)
         good.append(g)
         bad.append(b)
         texts.append("")
         blocks.append(block)
-        if tag in VOID or m[3].endswith("/") and tag not in CLOSE_P:
+        if tag in VOID or attributes.endswith("/") and tag not in CLOSE_P:
             continue
+        places.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            outer.append(len(stack))
         stack.append(len(tags) - 1)
         unseen += tag in UNSEEN
         if tag in RAW:
-            close = re.compile(f"</{re.escape(tag)}[\\s/>]", re.IGNORECASE).search(source, at)
-            at = close.start() if close else end
+            close = re.compile(f"</{re.escape(tag)}[\\s/>]", re.IGNORECASE).search(source, behind)
+            behind = close.start() if close else len(source)
+            found.send(behind)
+    content(source[behind:])
     return page
 
 
@@ -183,7 +265,7 @@ def node_features(pages: list[Page]) -> Nodes:
     good, bad = np.array(join("good"), float), np.array(join("bad"), float)
     group_of = {t: 1 << g for g in range(len(GROUPS)) for t in GROUPS[g]}
     groups = np.array([group_of.get(t, 0) for t in tags], np.int64)
-    kind = ((groups[:, None] >> np.arange(len(GROUPS))) & 1).astype(float)
+    kind = ((groups[:, None] >> np.arange(len(GROUPS))) & 1).astype(bool)
     is_text = np.array([t == "#" for t in tags])
     is_link = np.array([t == "a" for t in tags])
     depth = np.zeros(n, np.int64)
@@ -198,7 +280,7 @@ def node_features(pages: list[Page]) -> Nodes:
 
     chars = np.array([len(t) for t in texts], float)
     stops = np.array([t.count(".") + t.count(",") + t.count("!") + t.count("?") if t else 0 for t in texts], float)
-    sums = np.column_stack([chars, np.zeros(n), (~is_text).astype(float), stops, kind[:, 0], is_text.astype(float)])
+    sums = np.column_stack([chars, np.zeros(n), (~is_text).astype(float), stops, kind[:, 0].astype(float), is_text.astype(float)])
     for level in reversed(levels[1:]):
         sums[level, 1] = np.where(is_link[level], sums[level, 0], sums[level, 1])
         np.add.at(sums, parent[level], sums[level])
@@ -221,13 +303,18 @@ def node_features(pages: list[Page]) -> Nodes:
     before = np.cumsum(chars) - chars
     before -= before[first[owner]]
     text, up = np.maximum(sums[:, 0], 1.0), parent
-    columns = [
-        is_text, depth, np.log1p(sums[:, 0]), sums[:, 0] / total, sums[:, 1] / text, sums[:, 2] / text * 100, sums[:, 3] / text * 100,
-        np.log1p(siblings), place / np.maximum(siblings[up], 1), np.log1p(siblings[up]), np.log1p(sums[up, 0]), sums[:, 0] / np.maximum(sums[up, 0], 1.0),
-        sums[up, 1] / np.maximum(sums[up, 0], 1.0), sums[up, 4], sums[:, 4], sums[:, 0] / np.maximum(sums[:, 5], 1.0), before / total,
-        good, bad, nearest, any_bad, any_good, sums[up, 3] / np.maximum(sums[up, 0], 1.0) * 100,
-    ]
-    nodes.features = np.column_stack([*columns, kind, inside[:, 4], inside[:, 11]]).astype(np.float32)
+    columns = (  # one at a time: a page may have millions of nodes
+        lambda: is_text, lambda: depth, lambda: np.log1p(sums[:, 0]), lambda: sums[:, 0] / total, lambda: sums[:, 1] / text, lambda: sums[:, 2] / text * 100, lambda: sums[:, 3] / text * 100,
+        lambda: np.log1p(siblings), lambda: place / np.maximum(siblings[up], 1), lambda: np.log1p(siblings[up]), lambda: np.log1p(sums[up, 0]), lambda: sums[:, 0] / np.maximum(sums[up, 0], 1.0),
+        lambda: sums[up, 1] / np.maximum(sums[up, 0], 1.0), lambda: sums[up, 4], lambda: sums[:, 4], lambda: sums[:, 0] / np.maximum(sums[:, 5], 1.0), lambda: before / total,
+        lambda: good, lambda: bad, lambda: nearest, lambda: any_bad, lambda: any_good, lambda: sums[up, 3] / np.maximum(sums[up, 0], 1.0) * 100,
+    )
+    features = np.empty((n, FEATURES), np.float32)
+    for k, column in enumerate(columns):
+        features[:, k] = column()
+    features[:, FEATURES - len(GROUPS) - 2 : FEATURES - 2] = kind
+    features[:, FEATURES - 2], features[:, FEATURES - 1] = inside[:, 4], inside[:, 11]
+    nodes.features = features
     return nodes
 
 
