@@ -1,154 +1,185 @@
 """Nearest neighbours by multi-index hashing.
 
-Vectors become 64-bit codes (signs after a learned rotation), cut into four 16-bit substrings with
-one table each. By the pigeonhole principle every code within Hamming radius r = 4a + b lies within
-a of the query in one of the first b + 1 substrings or within a - 1 in one of the others; the
-buckets in those balls are probed, full distances verified, and the original vectors decide. Where
-fewer than k codes of a block are that near, the whole block is ranked. Queries and rows meet in
-blocks of bounded size, so a group of equal vectors is no hot key.
+Vectors become 256-bit codes (signs after learned rotations). A search takes in every row whose code
+lies within a Hamming radius of the query's; the radius is measured: it takes in 99 of 100 true
+neighbours of some rows, found among all rows. The codes are cut into sixteen 16-bit substrings with one
+table each. By the pigeonhole principle a code within radius r = 16 a + b lies within a of the query in
+one of the first b + 1 substrings or within a - 1 in one of the others, so only those balls are probed
+and whole codes verified. Tables are cut into cells by the first bits of their substring, which all
+queries share; queries go to the cells that their balls reach. Vectors are fetched for what is left, and
+exact cosines decide. Where the balls would reach more than all rows (the vectors are spread evenly, so
+neighbours' codes lie far apart), one table is read through instead of sixteen; its codes, 32 bytes
+each, are all that is compared there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import hash_sample
-from plumbline.session import checkpoint
+from plumbline.llm.common import hash_sample, schema_of, small_batches
+from plumbline.session import checkpoint, lookup
 
-BITS, TABLES = 64, 4
-WIDTH = BITS // TABLES
+PART, PARTS = 64, 4
+BITS = PART * PARTS
+WIDTH = 16
+TABLES = BITS // WIDTH
 SAMPLE_ROWS = 4_096
-"""Vectors that rotation and radius are fitted on: those with the smallest hashes."""
+"""Vectors that the rotations are fitted on: those with the smallest hashes."""
+MEASURED = 64
+"""Rows of the sample whose true neighbours set the radius."""
 COVERED = 0.99
-"""Share of the sample's true neighbours that the radius takes in."""
-DATA_BLOCK, QUERY_BLOCK, TOGETHER = 8_192, 8_192, 64
+"""Share of those neighbours that the radius takes in."""
+CELL_ROWS, QUERY_ROWS = 65_536, 65_536
+"""Codes and queries, about, that one task holds."""
+PAIRS_AT_ONCE = 1 << 22
+SPARE = 16
+"""Of queries with too few rows within the radius, each cell gives so many times k nearest codes."""
 
 
 @dataclass(frozen=True)
 class Coder:
-    """Projection of ``dim`` numbers to 64 signs, and the Hamming radius that is searched."""
+    """Projection of ``dim`` numbers to :data:`BITS` signs."""
 
     dim: int
     projection: np.ndarray
-    radius: int
 
     def codes(self, unit: np.ndarray) -> np.ndarray:
-        return np.packbits(unit @ self.projection > 0, axis=1).view(">u8").astype(np.uint64).ravel()
+        """(n, 4) words of 64 bits."""
+        return np.packbits(unit @ self.projection > 0, axis=1).view(">u8").astype(np.uint64).reshape(len(unit), PARTS)
 
 
-def fit_coder(sample: np.ndarray, k: int = 5, rounds: int = 30, seed: int = 3) -> Coder:
-    """Principal directions, rotated so that signs lose least (alternating least squares); fewer
-    than 64 dimensions are spread over 64 random directions first. ``sample``: unit vectors."""
+def fit_coder(dim: int, sample: np.ndarray, rounds: int = 30, seed: int = 3) -> Coder:
+    """Four rotations of 64 directions each, every one turned so that signs lose least (alternating
+    least squares from its own start). More than 64 dimensions are first cut to the principal ones (each
+    rotation has its own 64 of them, as far as there are), fewer are spread over 64 random directions.
+    ``sample``: unit vectors, possibly none."""
     rng = np.random.default_rng(seed)
-    dim = sample.shape[1]
-    if dim > BITS:
-        _, _, v = np.linalg.svd(sample, full_matrices=False)
-        basis = v[:BITS].T if len(v) >= BITS else np.linalg.qr(rng.normal(size=(dim, BITS)))[0]
-    elif dim == BITS:
-        basis = np.eye(dim)
-    else:
-        basis = rng.normal(size=(dim, BITS))
-    flat = sample @ basis
-    turn = np.linalg.qr(rng.normal(size=(BITS, BITS)))[0]
-    for _ in range(rounds):
-        u, _, v = np.linalg.svd(flat.T @ np.where(flat @ turn > 0, 1.0, -1.0))
-        turn = u @ v
-    coder = Coder(dim, basis @ turn, BITS)
-    queries = sample[: min(512, len(sample))]
-    scores = queries @ sample.T
-    scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
-    top = np.argsort(-scores, axis=1)[:, : min(k, max(0, len(sample) - 1))]
-    if not top.size:
-        return coder
-    codes = coder.codes(sample)
-    apart = np.bitwise_count(codes[: len(queries), None] ^ codes[top])
-    return Coder(dim, coder.projection, int(np.ceil(np.quantile(apart, COVERED))))
-
-
-def ball(radius: int) -> np.ndarray:
-    """All masks of a substring with at most ``radius`` bits set."""
-    return np.array([sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(WIDTH), n)], np.uint32)
-
-
-def ball_size(radius: int) -> int:
+    parts = []
+    axes = np.linalg.svd(sample, full_matrices=False)[2] if dim > PART and len(sample) else np.zeros((0, dim))
+    for part in range(PARTS):
+        own = axes[part * PART : (part + 1) * PART]
+        if dim > PART:
+            basis = own.T if len(own) == PART else np.linalg.qr(rng.normal(size=(dim, PART)))[0]
+        else:
+            basis = np.eye(dim) if dim == PART else rng.normal(size=(dim, PART))
+        turn = np.linalg.qr(rng.normal(size=(PART, PART)))[0]
+        flat = sample @ basis
+        for _ in range(rounds if len(sample) else 0):
+            u, _, v = np.linalg.svd(flat.T @ np.where(flat @ turn > 0, 1.0, -1.0))
+            turn = u @ v
+        parts.append(basis @ turn)
+    return Coder(dim, np.hstack(parts))
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of codes (last axis: words)."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def substring(codes: np.ndarray, table: int) -> np.ndarray:
+    word, place = divmod(table, PART // WIDTH)
+    return ((codes[..., word] >> np.uint64(WIDTH * place)) & np.uint64((1 << WIDTH) - 1)).astype(np.uint32)
+
+
+def ball(radius: int, width: int = WIDTH) -> np.ndarray:
+    """All masks of ``width`` bits with at most ``radius`` set."""
+    return np.array([sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(width), n)], np.uint32)
+
+
+def ball_size(radius: int, width: int = WIDTH) -> int:
     size, term = 0, 1
-    for n in range(radius + 1):
+    for n in range(min(radius, width) + 1):
         size += term
-        term = term * (WIDTH - n) // (n + 1)
+        term = term * (width - n) // (n + 1)
     return size
 
 
-class Index:
-    """The tables of one block of codes."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.tables = []
-        for t in range(TABLES):
-            part = ((codes >> np.uint64(WIDTH * t)) & np.uint64((1 << WIDTH) - 1)).astype(np.uint32)
-            order = np.argsort(part, kind="stable")
-            keys, starts = np.unique(part[order], return_index=True)
-            self.tables.append((keys, np.append(starts, len(codes)), order))
-
-    def within(self, query: np.uint64, radius: int, balls: dict[int, np.ndarray]) -> np.ndarray:
-        """Rows whose code is within ``radius`` of the query's, each once."""
-        found = np.zeros(len(self.codes), bool)
-        whole, rest = divmod(radius, TABLES)
-        for t, (keys, starts, order) in enumerate(self.tables):
-            reach = min(WIDTH, whole if t <= rest else whole - 1)
-            if reach < 0:
-                continue
-            part = np.uint32((int(query) >> (WIDTH * t)) & ((1 << WIDTH) - 1))
-            if reach not in balls and ball_size(reach) <= len(keys):
-                balls[reach] = ball(reach)
-            if ball_size(reach) <= len(keys):  # probe each value of the ball
-                probes = balls[reach] ^ part
-                at = np.minimum(np.searchsorted(keys, probes), len(keys) - 1)
-                hit = at[keys[at] == probes]
-            else:  # more values than buckets: the buckets in the ball are the same
-                hit = np.flatnonzero(np.bitwise_count(keys ^ part) <= reach)
-            sizes = starts[hit + 1] - starts[hit]
-            before = np.cumsum(sizes) - sizes
-            found[order[np.repeat(starts[hit] - before, sizes) + np.arange(sizes.sum())]] = True
-        rows = np.flatnonzero(found)
-        return rows[np.bitwise_count(self.codes[rows] ^ query) <= radius]
-
-
-def _matrix(vectors: pd.Series, dim: int) -> np.ndarray:
-    return np.array(vectors.tolist(), np.float64).reshape(len(vectors), dim)
-
-
-def search_block(queries: pd.DataFrame, rows: pd.DataFrame, coders: dict[int, Coder], k: int) -> pd.DataFrame:
-    """The ``k`` best rows of a block for each query of a block."""
-    out = []
-    balls: dict[int, np.ndarray] = {}
-    for dim, own in rows.groupby(rows["v"].map(len)):
-        asking = queries[queries["v"].map(len) == dim]
-        if not len(asking):
-            continue
-        data, ask = _matrix(own["v"], dim), _matrix(asking["v"], dim)
-        lengths, ask_lengths = np.sqrt((data * data).sum(axis=1)), np.sqrt((ask * ask).sum(axis=1))
-        ids = own["id"].to_numpy(dtype=object)
-        order_ids = np.array([np.iinfo(np.int64).max if i is None or i != i else int(i) for i in ids], np.int64)
-        coder = coders.get(dim)
-        if coder is not None:
-            index = Index(coder.codes(data / lengths[:, None]))
-            codes = coder.codes(ask / ask_lengths[:, None])
-        for n, (query_id, mark) in enumerate(zip(asking["id"], asking["mark"])):
-            near = np.arange(len(data)) if coder is None else index.within(codes[n], coder.radius, balls)
-            near = near[order_ids[near] != query_id]
-            if len(near) < k:
-                near = np.flatnonzero(order_ids != query_id)
-            scores = (data[near] * ask[n]).sum(axis=1) / (lengths[near] * ask_lengths[n])
-            best = np.lexsort((order_ids[near], -scores))[:k]
-            out += [(query_id, mark, None if ids[near[b]] is None or ids[near[b]] != ids[near[b]] else int(ids[near[b]]), float(scores[b])) for b in best]
-    return pd.DataFrame(out, columns=["query_id", "mark", "vec_id", "score"]).astype({"vec_id": "Int64"})
+def reaches(radius: int) -> list[int]:
+    """How far to look in each table for codes within ``radius`` (-1: not at all)."""
+    whole, rest = divmod(radius, TABLES)
+    return [min(WIDTH, whole if t <= rest else whole - 1) for t in range(TABLES)]
+
+
+def selective(radius: int) -> bool:
+    """Do the balls of all tables hold fewer entries than one table, were substrings spread evenly?"""
+    return sum(ball_size(r) for r in reaches(radius) if r >= 0) < 1 << WIDTH
+
+
+class Table:
+    """The entries of a cell of one table, filed by substring."""
+
+    def __init__(self, codes: np.ndarray, table: int):
+        self.codes, self.table = codes, table
+        part = substring(codes, table)
+        self.order = np.argsort(part, kind="stable")
+        self.keys, starts = np.unique(part[self.order], return_index=True)
+        self.starts = np.append(starts, len(codes))
+
+    def within(self, query: np.ndarray, radius: int, balls: dict[int, np.ndarray]) -> np.ndarray:
+        """Rows within ``radius`` of the query that no earlier table finds."""
+        reach = reaches(radius)
+        own = reach[self.table]
+        if own < 0 or not len(self.codes):
+            return np.zeros(0, np.int64)
+        part = substring(query, self.table)
+        if ball_size(own) <= len(self.keys):
+            if own not in balls:
+                balls[own] = ball(own)
+            probes = balls[own] ^ part
+            at = np.minimum(np.searchsorted(self.keys, probes), len(self.keys) - 1)
+            hit = at[self.keys[at] == probes]
+        else:  # more values than buckets: the buckets in the ball are the same
+            hit = np.flatnonzero(np.bitwise_count(self.keys ^ part) <= own)
+        sizes = self.starts[hit + 1] - self.starts[hit]
+        before = np.cumsum(sizes) - sizes
+        rows = self.order[np.repeat(self.starts[hit] - before, sizes) + np.arange(sizes.sum())]
+        rows = rows[apart(self.codes[rows], query) <= radius]
+        earlier = np.zeros(len(rows), bool)
+        for t in range(self.table):
+            if reach[t] >= 0:
+                earlier |= np.bitwise_count(substring(self.codes[rows], t) ^ substring(query, t)) <= reach[t]
+        return rows[~earlier]
+
+
+def _codes(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), PARTS)
+
+
+def search_cell(queries: pd.DataFrame, rows: pd.DataFrame, table: int, radius: int, nearest_codes: int | None) -> pd.DataFrame:
+    """(query_id, query_mark, id, mark) of the cell's rows within ``radius`` of its queries, or with
+    ``nearest_codes`` of so many nearest ones (and all as near as the last of them)."""
+    out: list[pd.DataFrame] = []
+    if len(queries) and len(rows):
+        codes, asking = _codes(rows["code"]), _codes(queries["code"])
+        found: list[tuple[int, np.ndarray]] = []
+        if table >= 0:
+            held, balls = Table(codes, table), {}
+            found = [(k, held.within(asking[k], radius, balls)) for k in range(len(asking))]
+        else:
+            step = max(1, PAIRS_AT_ONCE // max(1, len(codes)))
+            for a in range(0, len(asking), step):
+                far = apart(asking[a : a + step, None, :], codes[None])
+                if nearest_codes is not None and nearest_codes < len(codes):
+                    limit = np.partition(far, nearest_codes, axis=1)[:, nearest_codes : nearest_codes + 1]
+                else:
+                    limit = BITS if nearest_codes is not None else radius
+                q, r = np.nonzero(far <= limit)
+                found.append((-1, np.stack([q + a, r])))
+        if table >= 0:
+            q = np.repeat([k for k, _ in found], [len(r) for _, r in found])
+            r = np.concatenate([r for _, r in found])
+        else:
+            q, r = np.concatenate([f for _, f in found], axis=1)
+        out.append(pd.DataFrame({"query_id": queries["id"].to_numpy()[q], "query_mark": queries["mark"].to_numpy()[q], "id": rows["id"].array[r], "mark": rows["mark"].to_numpy()[r]}))
+    return out[0] if out else pd.DataFrame({"query_id": [], "query_mark": [], "id": [], "mark": []}).astype("Int64")
 
 
 def usable(vector: Column) -> Column:
@@ -157,6 +188,101 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _by_length(batch: pa.RecordBatch, place: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row numbers, vectors, unit vectors) of a batch's vectors of each length."""
+    column = batch.column(place)
+    sizes = np.diff(column.offsets.to_numpy())
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    for dim in np.unique(sizes):
+        at = np.flatnonzero(sizes == dim)
+        v = values[starts[at][:, None] + np.arange(dim)]
+        biggest = np.abs(v).max(axis=1, keepdims=True)
+        unit = v / biggest
+        yield at, v, unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+
+
+def with_codes(rows: DataFrame, coders: dict[int, Coder]) -> DataFrame:
+    """id, mark, dim, code of (id, mark, v)."""
+    schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("dim", pa.int32()), ("code", pa.binary())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spare: dict[int, Coder] = {}
+        for batch in batches:
+            dims, codes = np.zeros(batch.num_rows, np.int32), np.empty(batch.num_rows, object)
+            for at, v, unit in _by_length(batch, 2):
+                dim = v.shape[1]
+                coder = coders.get(dim) or spare.setdefault(dim, fit_coder(dim, np.zeros((0, dim))))
+                dims[at] = dim
+                codes[at] = [c.tobytes() for c in coder.codes(unit)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dims), pa.array(codes, pa.binary())], schema=schema)
+
+    return small_batches(rows.select("id", "mark", "v")).mapInArrow(work, "id bigint, mark bigint, dim int, code binary")
+
+
+def measured_radius(rows: DataFrame, coder: Coder, asking: list[tuple[int | None, np.ndarray]], k: int) -> int:
+    """The radius that takes in :data:`COVERED` of the true ``k`` nearest rows of ``asking`` (unit
+    vectors with their keys), found by reading all rows."""
+    ids = [i for i, _ in asking]
+    units = np.array([u for _, u in asking])
+    codes = coder.codes(units)
+    schema = pa.schema([("q", pa.int32()), ("score", pa.float64()), ("apart", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            for at, v, unit in _by_length(batch, 2):
+                if v.shape[1] != coder.dim:
+                    continue
+                scores = units @ unit.T
+                for q, own in enumerate(ids):
+                    scores[q, [j for j, i in enumerate(at) if keys[i] == own]] = -np.inf
+                best = np.argsort(-scores, axis=1)[:, :k]
+                far = apart(codes[:, None], coder.codes(unit)[best])
+                q = np.repeat(np.arange(len(units), dtype=np.int32), best.shape[1])
+                found = np.take_along_axis(scores, best, axis=1).ravel()
+                ok = found > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(found[ok]), pa.array(far.ravel()[ok])], schema=schema)
+
+    near = small_batches(rows.select("id", "mark", "v")).mapInArrow(work, "q int, score double, apart bigint")
+    top = Window.partitionBy("q").orderBy(F.col("score").desc(), "apart")
+    best = near.withColumn("n", F.row_number().over(top)).where(F.col("n") <= k).select("apart").collect()  # MEASURED * k rows
+    return int(np.ceil(np.quantile([r["apart"] for r in best], COVERED))) if best else BITS
+
+
+def cells(coded: DataFrame, asked: DataFrame, dim: int, radius: int, n_rows: int, n_asked: int, nearest_codes: int | None = None) -> DataFrame:
+    """(query_id, query_mark, id, mark): rows of length ``dim`` whose codes lie within ``radius`` of a
+    query's, each once; or of each cell the nearest."""
+    probing = nearest_codes is None and selective(radius)
+    reach = reaches(radius)
+    bits = max(0, min(WIDTH, int(np.ceil(np.log2(max(1, n_rows) / CELL_ROWS)))))
+    turns = max(1, -(-n_asked // QUERY_ROWS))
+    own, asking = coded.where(F.col("dim") == dim), asked.where(F.col("dim") == dim)
+    every = F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))
+    turn = F.pmod(F.xxhash64("id", "mark", F.lit(2)), F.lit(turns)).cast("int")
+    if probing:
+        searched = [t for t in range(TABLES) if reach[t] >= 0]
+        # A code's words are little-endian: substring t is bytes 2 t + 1 and 2 t of it.
+        value = lambda t: F.conv(F.hex(F.concat(F.substring("code", 2 * t + 2, 1), F.substring("code", 2 * t + 1, 1))), 16, 10).cast("int")
+        place = lambda t: F.shiftright(value(t), WIDTH - bits)
+        at = F.array(*[F.struct(F.lit(t).alias("t"), place(t).alias("g")) for t in searched])
+        own = own.withColumn("at", F.explode(at))
+        near = lambda t: F.transform(F.array(*[F.lit(int(m)) for m in ball(min(reach[t], bits), bits)]), lambda m: F.struct(F.lit(t).alias("t"), place(t).bitwiseXOR(m).alias("g")))
+        asking = asking.withColumn("at", F.explode(F.concat(*[near(t) for t in searched])))
+    else:
+        count = max(1, -(-n_rows // CELL_ROWS))
+        own = own.withColumn("at", F.struct(F.lit(-1).alias("t"), F.pmod(F.xxhash64("id", "mark", F.lit(1)), F.lit(count)).cast("int").alias("g")))
+        asking = asking.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda g: F.struct(F.lit(-1).alias("t"), g.alias("g")))))
+    fields = ["id", "mark", "code", F.col("at.t").alias("t"), F.col("at.g").alias("g")]
+    own, asking = own.select(*fields, every.alias("turn")), asking.select(*fields, turn.alias("turn"))
+
+    def cell(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        return search_cell(queries, rows, int(key[0]), radius, nearest_codes)
+
+    keys = ["t", "g", "turn"]
+    return asking.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(cell, "query_id bigint, query_mark bigint, id bigint, mark bigint")
+
+
 def nearest(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose key is divisible by ``every``, its ``k``
     nearest other rows by cosine, ties to the smaller key.
@@ -167,22 +293,44 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vec
     all returned, an empty table gives an empty one, further columns are left out.
     """
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where(usable(F.col("v")))
-    rows = rows.withColumn("mark", F.xxhash64("v"))
-    sample = [np.array(r["v"]) for r in hash_sample(rows, SAMPLE_ROWS, "id", "mark").collect()]  # bounded
-    coders = {}
-    for dim in {len(v) for v in sample}:
-        held = np.array([v for v in sample if len(v) == dim])
-        coders[dim] = fit_coder(held / np.sqrt((held * held).sum(axis=1))[:, None], k)
-    asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "mark"])
-    n_rows, n_asked = rows.count(), asked.count()
-    row_blocks, ask_blocks = max(1, -(-n_rows // DATA_BLOCK)), max(1, -(-n_asked // QUERY_BLOCK))
-    every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = rows.withColumn("rb", F.pmod(F.xxhash64("id", "mark", F.lit(1)), F.lit(row_blocks)).cast("int")).withColumn("qb", every_block(ask_blocks))
-    asking = asked.withColumn("qb", F.pmod(F.xxhash64("id", "mark", F.lit(2)), F.lit(ask_blocks)).cast("int")).withColumn("rb", every_block(row_blocks))
-
-    def cell(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        return search_block(queries, block, coders, k)
-
-    found = asking.groupBy("qb", "rb").cogroup(data.groupBy("qb", "rb")).applyInPandas(cell, "query_id bigint, mark bigint, vec_id bigint, score double")
-    best = Window.partitionBy("query_id", "mark").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
-    return checkpoint(found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # Equal rows are one, with their number.
+    rows = checkpoint(rows.withColumn("mark", F.xxhash64("v")).groupBy("id", "mark").agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("copies")))
+    sample = [(r["id"], np.array(r["v"])) for r in hash_sample(rows.select("id", "mark", "v"), SAMPLE_ROWS, "id", "mark").collect()]  # bounded
+    units: dict[int, list] = {}
+    for i, v in sample:
+        v = v / np.abs(v).max()
+        units.setdefault(len(v), []).append((i, v / np.sqrt((v * v).sum())))
+    coders = {dim: fit_coder(dim, np.array([u for _, u in held])) for dim, held in units.items()}
+    coded = checkpoint(with_codes(rows, coders))
+    asked = checkpoint(coded.where(F.col("id") % every == 0))
+    sizes = {r["dim"]: (r["n"], r["asked"]) for r in coded.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % every == 0).alias("asked")).collect()}  # one row a length
+    pairs = None
+    for dim, (n, n_asked) in sizes.items():
+        if not n_asked:
+            continue
+        radius = measured_radius(rows, coders[dim], units[dim][:MEASURED], k) if dim in coders else BITS
+        found = cells(coded, asked, dim, radius, n, n_asked)
+        pairs = found if pairs is None else pairs.unionByName(found)
+    if pairs is None:
+        return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    pairs = checkpoint(pairs.where(~F.col("id").eqNullSafe(F.col("query_id"))))
+    # Queries with too few rows that near look at the nearest codes of every cell.
+    enough = pairs.groupBy("query_id", "query_mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    short = checkpoint(asked.join(enough, (F.col("id") == F.col("query_id")) & (F.col("mark") == F.col("query_mark")), "left_anti"))
+    left = {r["dim"]: r["n"] for r in short.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if left:
+        chosen = [(F.col("query_id") == F.col("_q")) & (F.col("query_mark") == F.col("_m"))]
+        pairs = pairs.join(short.select(F.col("id").alias("_q"), F.col("mark").alias("_m")), chosen, "left_anti")
+        for dim, n_short in left.items():
+            wide = cells(coded, short, dim, BITS, sizes[dim][0], n_short, SPARE * k + 1)
+            pairs = pairs.unionByName(wide.where(~F.col("id").eqNullSafe(F.col("query_id"))))
+    queries = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("mark").alias("query_mark"), F.col("v").alias("_qv"))
+    own = rows.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("v").alias("_v"), "copies")
+    joined = pairs.join(own, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).join(lookup(queries), ["query_id", "query_mark"])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    score = dot("_v", "_qv") / (F.sqrt(dot("_v", "_v")) * F.sqrt(dot("_qv", "_qv")))
+    scored = joined.select("query_id", "query_mark", F.col("id").alias("vec_id"), score.alias("score"), "copies")
+    best = Window.partitionBy("query_id", "query_mark").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
+    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    each = top.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("copies", F.lit(k).cast("bigint")))))
+    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
