@@ -12,6 +12,7 @@ on one shard's array of cells; everything is built-in column functions.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -160,14 +161,17 @@ def held_by(s: Column, shard: Column, bits: Column) -> Column:
 
 def peeled_larger(a: Column, b: Column, size: Column) -> Column:
     """How many digests differ between ``a`` and ``b``, whose sketches of ``size`` cells a table got
-    stuck: sketched ever larger until they peel."""
+    stuck: sketched ever larger until they peel. Digests that no size tells apart (all three places of
+    two of them are the same) would never peel; where the largest sketch is stuck too, the digests
+    themselves are compared."""
 
     def larger(state: Column, _: Column) -> Column:
         size = F.least(state["m"] * GROWN, F.lit(MOST_CELLS).cast("bigint"))
         return F.when(state["d"].isNotNull(), state).otherwise(let(size, lambda m: F.struct(m.alias("m"), peel(difference(a, b, m), m).alias("d"))))
 
     start = F.struct(size.alias("m"), F.lit(None).cast("int").alias("d"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_GROWTHS)), start, larger, lambda s: s["d"])
+    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_GROWTHS)), start, larger, lambda s: F.coalesce(s["d"], exact))
 
 
 def compared(lines: DataFrame, payload: list[str]) -> DataFrame:
@@ -231,13 +235,19 @@ def with_next(rows: DataFrame) -> DataFrame:
     bucket b and next_text and nh, the text and h of the row that follows (for the last, of the first).
 
     Rows are dealt into buckets of neighbouring keys with about equally many rows; the first row of
-    each bucket also goes to the bucket before it, so no window spans more than a bucket.
+    each bucket also goes to the bucket before it, so no window spans more than a bucket. Keys that
+    hold several buckets' rows (they are several cuts at once), and rows without a key, are dealt on by
+    the hash that orders ties.
     """
-    n, low, high = rows.agg(F.count(F.lit(1)), F.min("key"), F.max("key")).first()
+    n, late, low, high = rows.agg(F.count(F.lit(1)), F.count_if(F.col("key").isNull()), F.min("key"), F.max("key")).first()
     buckets = max(1, min(MOST_CUTS, -(-n // BUCKET_ROWS)))
     parts = max(1, min(MOST_PARTS, -(-n // (BUCKET_ROWS * buckets))))
     cuts = rows.approxQuantile("key", [k / buckets for k in range(1, buckets)], 0.1 / buckets) if buckets > 1 and low is not None else []
-    cuts = sorted({int(c) for c in cuts})
+    times = Counter(int(c) for c in cuts)
+    several = {c: k * parts for c, k in times.items() if k > 1}
+    cuts = sorted(times)
+    late_slices = max(1, -(-late * buckets // max(1, n)) * parts)
+    width = max([late_slices, *several.values()]) + 1
     bucket = F.lit(0)
     if cuts:
         steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
@@ -250,6 +260,12 @@ def with_next(rows: DataFrame) -> DataFrame:
         step = lambda v: F.floor((F.col("key").cast("double") - v["lo"]) / F.greatest(v["hi"] - v["lo"], F.lit(1.0)) * parts)
         bucket = let(at, lambda v: v["c"].cast("bigint") * parts + F.least(F.greatest(step(v), F.lit(0)), F.lit(parts - 1)))
     placed = rows.withColumn("b", F.when(F.col("key").isNull(), F.lit(-1)).otherwise(bucket).cast("bigint")).withColumn("tie", F.xxhash64("text"))
+    # Rows of a key that is dealt on follow those of larger keys of their bucket, by their hash.
+    slices = F.when(F.col("key").isNull(), F.lit(late_slices))
+    if several:
+        slices = slices.otherwise(F.try_element_at(F.create_map(*[F.lit(x).cast("bigint") if k % 2 == 0 else F.lit(x) for k, x in enumerate(x for c in several.items() for x in c)]), F.col("key")))
+    own = F.shiftright((F.shiftright("tie", 48) + 32768) * slices, 16)
+    placed = placed.withColumn("b", F.col("b") * width + F.coalesce(width - 2 - own, F.lit(width - 1)))
     order = F.struct(F.col("key").isNull().alias("late"), F.bitwise_not("key").alias("down"), "tie")
     heads = placed.groupBy("b").agg(F.min(order).alias("head"))  # at most MOST_CUTS * MOST_PARTS + 1 narrow rows
     line = Window.orderBy("b")
