@@ -9,15 +9,19 @@ multiply into pairs.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import components, map_texts, narrow, schema_of
-from plumbline.session import checkpoint
+from plumbline.session import broadcast_if_small, checkpoint
 
 SEED = 42
+CROWD, PREFIX = 2_000, 16
+"""Fingerprints that may share a half before they are filed on by so many bits of the other."""
 SHINGLES = 1 << 16
 """Shingles whose bits are counted together."""
 
@@ -54,13 +58,32 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     if not 0 <= radius <= 3:
         raise ValueError("two halves probed within one bit find up to 3 differing bits")
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
-    halves = F.array(*[F.struct(F.lit(h).alias("half"), v.alias("value")) for h, v in ((0, low), (1, high))])
-    filed = distinct.select("fp", F.explode(halves).alias("at")).select("fp", "at.half", "at.value")
+    halves = F.array(*[F.struct(F.lit(h).alias("half"), v.alias("value"), o.alias("rest")) for h, v, o in ((0, low, high), (1, high, low))])
+    filed = distinct.select("fp", F.explode(halves).alias("at")).select("fp", "at.half", "at.value", "at.rest")
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit(1 << b).cast("bigint") for b in range(32)])
-    probes = filed.select(F.col("fp").alias("u"), "half", "value", F.explode(flips).alias("flip")).select("u", "half", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-    tables = filed.withColumnRenamed("fp", "v")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius
-    return probes.join(tables, ["half", "value"]).where((F.col("u") > F.col("v")) & near).select("u", "v").distinct()
+    # Halves that very many fingerprints share are filed on by the first bits of the other half: two
+    # fingerprints within the radius differ there in 3 bits at most, so a ball of prefixes is probed.
+    crowded = checkpoint(filed.groupBy("half", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("half", "value"))
+    some = not crowded.isEmpty()
+
+    def found(filed: DataFrame, keys: list[str], probes: DataFrame) -> DataFrame:
+        return probes.join(filed.select(F.col("fp").alias("v"), *keys), keys).where((F.col("u") > F.col("v")) & near).select("u", "v")
+
+    keys = ["half", "value"]
+    probes = filed.select(F.col("fp").alias("u"), "half", "rest", F.explode(flips).alias("flip"), "value")
+    probes = probes.withColumn("value", F.col("value").bitwiseXOR(F.col("flip")))
+    if not some:
+        return found(filed, keys, probes).distinct()
+    crowded = broadcast_if_small(crowded)
+    prefix = lambda rest: F.shiftrightunsigned(rest, 32 - PREFIX)
+    masks = F.array(*[F.lit(sum(1 << b for b in bits)).cast("bigint") for k in range(radius + 1) for bits in combinations(range(PREFIX), k)])
+    calm = found(filed.join(crowded, keys, "left_anti"), keys, probes.join(crowded, keys, "left_anti"))
+    hot = filed.join(crowded, keys, "left_semi").withColumn("prefix", prefix(F.col("rest")))
+    hot_probes = probes.join(crowded, keys, "left_semi").withColumn("mask", F.explode(masks))
+    # Flipping a bit of this half leaves fewer to differ in the other one.
+    hot_probes = hot_probes.where(F.bit_count("mask") + F.bit_count("flip") <= radius).withColumn("prefix", prefix(F.col("rest")).bitwiseXOR(F.col("mask")))
+    return calm.unionByName(found(hot, [*keys, "prefix"], hot_probes)).distinct()
 
 
 def classes(marked: DataFrame, radius: int = 3) -> DataFrame:
