@@ -103,6 +103,34 @@ def test_sketches_of_ties_nulls_and_few_rows(spark):
     assert len(got) == 1300 and all(0 <= r["near_next"] <= 1 for r in got)
 
 
+def test_rows_of_one_key_lie_in_several_buckets(spark):
+    """A third of the rows has one key, a third none: each goes on to the row that follows it."""
+    n = 6000
+    rows_ = spark.range(n).selectExpr("case id % 3 when 0 then 777 when 1 then null else id end key", "concat('t', id) text").withColumn("h", F.array(F.xxhash64("text")))
+    got = paragraph_sketch.with_next(rows_).collect()
+    assert len(got) == n and len({r["b"] for r in got if r["key"] == 777}) > 2 and len({r["b"] for r in got if r["key"] is None}) > 2
+    after = {r["text"]: r["next_text"] for r in got}
+    key, tie = {r["text"]: r["key"] for r in got}, {r["text"]: r["tie"] for r in rows_.withColumn("tie", F.xxhash64("text")).collect()}
+    order = sorted(after, key=lambda t: (key[t] is None, -(key[t] or 0), tie[t]))
+    assert [after[t] for t in order] == order[1:] + order[:1]
+
+
+def test_shards_that_never_peel_are_compared(spark):
+    """Digests with the same places in tables of any size, which no sketch tells apart."""
+    same = [k << 54 for k in range(3, 9)]
+    got = spark.createDataFrame([(sorted(same), sorted(same[:2] + [1]))], "a array<bigint>, b array<bigint>").select(
+        paragraph_sketch.peeled_larger(F.col("a"), F.col("b"), F.lit(1 << 16).cast("bigint")).alias("d")
+    ).first()
+    assert got["d"] == 5
+
+
+def test_a_pair_of_long_texts_has_exact_likenesses(spark):
+    long = "\n".join(f"paragraph {k}" for k in range(60_000))
+    other = "\n".join(f"paragraph {k}" for k in range(20_000, 80_000))
+    got = {r["doc_id"]: r for r in rows(paragraph_sketch.fingerprints(documents(spark, [long, other])))}
+    assert got[0]["near_next"] == got[1]["near_next"] == pytest.approx(40_000 / 60_000, abs=1e-12)
+
+
 def test_sketches_of_hardly_like_texts_are_peeled(spark):
     for size, same in ((31, 6), (46, 5)):
         texts = ["\n".join([f"all {k}" for k in range(same)] + [f"{doc} has {k}" for k in range(size - same)]) for doc in range(30)]
@@ -123,6 +151,20 @@ def test_sketches_of_long_texts_have_small_shards(spark):
     assert [row[f"of_{n}"] for n in (48, 49, 600_000, 50_000_000)] == [0, 1, 14, 20]
 
 
+def test_halves_that_many_fingerprints_share(spark, monkeypatch):
+    """A family whose fingerprints have one half in common is filed on by the other."""
+    rng = random.Random(6)
+    shared = rng.getrandbits(32) << 32
+    base = [shared | rng.getrandbits(32) for _ in range(300)]
+    prints = {x ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 2))) for x in base for _ in range(4)} | {rng.getrandbits(64) for _ in range(50)}
+    prints = sorted(x - (1 << 64) if x >> 63 else x for x in prints)
+    df = spark.createDataFrame([(x,) for x in prints], "fp bigint")
+    links = lambda: {(r["u"], r["v"]) for r in simhash.links(df).collect()}
+    calm = links()
+    monkeypatch.setattr(simhash, "CROWD", 20)
+    assert links() == calm == {(u, v) for u in prints for v in prints if u > v and bin((u ^ v) & (2**64 - 1)).count("1") <= 3}
+
+
 def fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([" ".join(words)] if words else [])

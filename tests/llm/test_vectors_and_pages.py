@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import html.parser
+import re
+import time
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -43,14 +48,42 @@ def test_neighbours(spark, dim):
     assert [got[100][n][0] for n in range(1, 6)] == [101, 102, 103, 104, 105]
 
 
-def test_every_code_within_the_radius_is_found():
+def test_every_code_within_the_radius_is_found_once():
     rng = np.random.default_rng(0)
-    codes = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
-    codes[:50] = codes[50] ^ (np.uint64(1) << rng.integers(0, 63, 50).astype(np.uint64))
-    index, balls = ann.Index(codes), {}
-    for radius in (0, 1, 3, 5, 8, 13, 26, 64):
-        for q in codes[:60:7]:
-            assert index.within(q, radius, balls).tolist() == np.flatnonzero(np.bitwise_count(codes ^ q) <= radius).tolist()
+    codes = rng.integers(0, 1 << 63, (3000, ann.PARTS), dtype=np.uint64)
+    codes[:50] = codes[50] ^ (np.uint64(1) << rng.integers(0, 63, (50, ann.PARTS)).astype(np.uint64))
+    tables, balls = [ann.Table(codes, t) for t in range(ann.TABLES)], {}
+    for radius in (0, 1, 3, 17, 40, 64, 110, 256):
+        for q in codes[:60:13]:
+            found = np.concatenate([t.within(q, radius, balls) for t in tables])
+            assert sorted(found.tolist()) == np.flatnonzero(ann.apart(codes, q) <= radius).tolist()
+
+
+@pytest.mark.parametrize("radius, probes", [(9, True), (35, True), (200, False)])
+def test_cells_hold_every_pair_within_the_radius_once(spark, monkeypatch, radius, probes):
+    monkeypatch.setattr(ann, "CELL_ROWS", 200)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 9)
+    rng = np.random.default_rng(radius)
+    centres = rng.integers(0, 1 << 63, (30, ann.PARTS), dtype=np.uint64)
+    codes = centres[np.arange(900) % 30]
+    for _ in range(radius // 2 + 1):
+        codes = codes ^ (np.uint64(1) << rng.integers(0, 64, (900, 1)).astype(np.uint64)) * (np.arange(ann.PARTS) == rng.integers(0, ann.PARTS, (900, 1))).astype(np.uint64)
+    coded = spark.createDataFrame([(k, k, 8, bytearray(c.tobytes())) for k, c in enumerate(codes)], "id bigint, mark bigint, dim int, code binary")
+    asked = coded.where("id % 25 = 0")
+    assert ann.selective(radius) is probes
+    got = sorted((r["query_id"], r["id"]) for r in ann.cells(coded, asked, 8, radius, 900, 36).collect())
+    want = [(q, int(i)) for q in range(0, 900, 25) for i in np.flatnonzero(ann.apart(codes, codes[q]) <= radius)]
+    assert got == sorted(want) and len(want) > 36
+
+
+def test_far_vectors_have_neighbours_too(spark):
+    """Rows that the measured radius does not reach find theirs among the nearest codes."""
+    rng = np.random.default_rng(9)
+    close = (np.ones(16) + 0.01 * rng.normal(size=(800, 16))).tolist()
+    lone = (rng.normal(size=(3, 16)) - 3).tolist()
+    df = spark.createDataFrame(list(enumerate(close + lone, start=1)) + [(1000, lone[0])], "vec_id bigint, embedding array<double>")
+    got = [r["vec_id"] for r in sorted(rows(ann.nearest(df)), key=lambda r: (r["query_id"], r["rank"])) if r["query_id"] == 1000]
+    assert got == [i for i, _ in brute(range(1, 804), close + lone, 1000, lone[0], 5)] and got[0] == 801
 
 
 def test_few_rows_and_none(spark):
@@ -107,3 +140,82 @@ def test_reader_forgives():
     page = dom.parse("<ul><li>a<li>b</ul><table><tr><td>1<td>2</table><p>x<div>y</div>z")
     texts = [(page.tags[page.parents[k]], page.texts[k]) for k in range(len(page.tags)) if page.tags[k] == "#"]
     assert texts == [("li", "a"), ("li", "b"), ("td", "1"), ("td", "2"), ("p", "x"), ("div", "y"), ("", "z")]
+
+
+@pytest.mark.parametrize(
+    "source, nodes",
+    [("<a " * 300_000, 2), ("<div>" * 60_000 + "</span>" * 60_000, 60_001), ('<a "' * 200_000 + ">", 2), ("<a \"'" * 200_000 + ">", 3), ("<!x " * 200_000, 2), ("<p>x" + "<b> " * 100_000, 100_003)],
+)
+def test_broken_pages_are_read_in_linear_time(source, nodes):
+    began = time.process_time()
+    page = dom.parse(source)
+    assert len(page.tags) == nodes and time.process_time() - began < 10
+    assert max(page.parents) < nodes
+
+
+def test_deep_and_long_pages_are_extracted():
+    model = html_extract.Extractor(1.0, ())  # keeps every node
+    deep = "<div>" * 50_000 + "deep" + "</div>" * 50_000
+    assert model.texts([deep, "<p>a</p>" * 100_000, "<p>b"]) == ["deep", "\n".join(["a"] * 100_000), "b"]
+
+
+def test_a_block_closes_its_paragraph_whatever_lies_between():
+    page = dom.parse("<p>" + "<b>" * 30 + "x<div>y</div>")
+    assert [page.tags[page.parents[k]] for k, t in enumerate(page.texts) if t == "y"] == ["div"] and page.tags[page.parents[page.tags.index("div")]] == ""
+    page = dom.parse("<i><p>x<p>y")
+    assert [page.tags[page.parents[k]] for k, t in enumerate(page.tags) if t == "p"] == ["i", "i"]
+
+
+class Reading(html.parser.HTMLParser):
+    """An independent reader: what lies in the article, outside what surrounds it."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.lines, self.text = [], [], ""
+
+    AROUND = ("nav", "aside", "footer", "header", "form", "script", "style")
+    BLOCKS = ("p", "div", "li", "ul", "h1", "h2", "h3", "article", "section", "blockquote", "main", "td", "tr", "table")
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.flush()
+        if tag == "br":
+            self.text += " "
+        elif tag not in dom.VOID:
+            if tag == "p" and self.open and self.open[-1][0] == "p":
+                self.open.pop()
+            marks = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()
+            self.open.append((tag, tag in self.AROUND or any(w in dom.BAD for w in re.findall("[a-z]+", marks)), tag in ("article", "main")))
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.flush()
+        if tag in [t for t, *_ in self.open]:
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if any(a for *_, a in self.open) and not any(around for _, around, _ in self.open):
+            self.text += data
+
+    def flush(self):
+        if line := " ".join(self.text.split()):
+            self.lines.append(line)
+        self.text = ""
+
+
+def test_given_pages_against_another_reader(spark):
+    """Pages whose article names itself: the words found are those of another reader's rule."""
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in rows(html_extract.extracted(table))}
+    shares = []
+    for r in table.collect():
+        reader = Reading()
+        reader.feed(r["html"] or "")
+        reader.close()
+        reader.flush()
+        want = Counter(" ".join(reader.lines).split())
+        if want:
+            mine = Counter(got[r["page_id"]].split())
+            shares.append(2 * sum((want & mine).values()) / (sum(want.values()) + sum(mine.values())))
+    assert len(shares) > 50 and np.mean(shares) > 0.95
