@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from plumbline.llm.bytebpe import NO_RANK, Vocabulary, unseen
-from plumbline.llm.common import map_texts, narrow, schema_of
+from plumbline.llm.common import CACHE_CHARS, map_texts, narrow, schema_of
 
 CACHE_WORDS = 300_000
 """Pre-tokens whose ids a worker keeps."""
@@ -128,7 +128,7 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.cache = {s: self.piece([i]) for s, i in self.vocabulary.special.items()}
+        self.cache, self.chars = {s: self.piece([i]) for s, i in self.vocabulary.special.items()}, 0
 
     def piece(self, ids: list[int]) -> Piece:
         return tuple(ids), ",".join(map(str, ids)), b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
@@ -154,9 +154,10 @@ class Codec:
         """Per text its encoded pre-tokens; their ids chained are the text's ids."""
         split = [self.vocabulary.pre_tokens(t) for t in texts]
         fresh = unseen(iter(split), self.cache)
-        if len(self.cache) + len(fresh) > CACHE_WORDS:
+        if len(self.cache) + len(fresh) > CACHE_WORDS or self.chars + sum(map(len, fresh)) > CACHE_CHARS:
             self.forget()
             fresh = unseen(iter(split), self.cache)
+        self.chars += sum(map(len, fresh))
         self.cache.update(zip(fresh, map(self.piece, self.ids_of(fresh))))
         get = self.cache.__getitem__
         return [list(map(get, words)) for words in split]

@@ -45,7 +45,8 @@ BATCH_ROWS = 2_000
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, its session set to Arrow batches of at most :data:`BATCH_ROWS` rows."""
+    """``df``, its session set to Arrow batches of at most :data:`BATCH_ROWS` rows. The setting stays: a
+    plan reads it when it runs, which is after this returns."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
@@ -75,17 +76,21 @@ def map_texts(rows: DataFrame, work: Callable[[list, list[str]], list], schema:
     return small_batches(rows).mapInArrow(run, schema)
 
 
+CACHE_CHARS = 1 << 23
+"""Characters of the words that a worker remembers, whatever their number (those at hand apart)."""
+
+
 class RecentWords:
-    """What a worker remembers of words: the newest ``limit`` or so and those used since they were
-    put aside, twice ``limit`` (and the words at hand) at most."""
+    """What a worker remembers of words: the newest ``limit`` or so, or :data:`CACHE_CHARS` of them, and
+    those used since they were put aside; twice that (and the words at hand) at most."""
 
     def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
+        self.limit, self.chars, self.young, self.old = limit, 0, {}, {}
 
     def absent(self, words: Iterable[str]) -> list[str]:
         """The words not remembered; those that are move to the newest."""
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
+        if len(self.young) > self.limit or self.chars > CACHE_CHARS:
+            self.chars, self.young, self.old = 0, {}, self.young
         out = []
         for w in words:
             if w not in self.young:
@@ -94,6 +99,7 @@ class RecentWords:
                     out.append(w)
                 else:
                     self.young[w] = known
+                self.chars += len(w)
         return out
 
 

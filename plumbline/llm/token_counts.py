@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from plumbline.llm.bytebpe import NO_RANK, Vocabulary, unseen
-from plumbline.llm.common import map_texts, narrow, schema_of
+from plumbline.llm.common import CACHE_CHARS, map_texts, narrow, schema_of
 
 CACHE_WORDS = 500_000
 """Pre-tokens whose counts a worker keeps."""
@@ -65,13 +65,15 @@ class Counter:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.cache: dict[str, int] = dict.fromkeys(self.vocabulary.special, 1)
+        self.chars = 0
 
     def count(self, texts: list[str]) -> list[int]:
         split = [self.vocabulary.pre_tokens(t) for t in texts]
         fresh = unseen(iter(split), self.cache)
-        if len(self.cache) + len(fresh) > CACHE_WORDS:
-            self.cache = dict.fromkeys(self.vocabulary.special, 1)
+        if len(self.cache) + len(fresh) > CACHE_WORDS or self.chars + sum(map(len, fresh)) > CACHE_CHARS:
+            self.cache, self.chars = dict.fromkeys(self.vocabulary.special, 1), 0
             fresh = unseen(iter(split), self.cache)
+        self.chars += sum(map(len, fresh))
         fresh.sort(key=len)
         at = 0
         while at < len(fresh):
