@@ -126,9 +126,29 @@ def isotonic_fits(spark, sf):
     return C.fit_isotonic(two, ["system"])
 
 
-@query("platt_fits")
+_PLATT_ROUNDS = 14
+
+
+def _platt_round(k: int) -> str:
+    """One damped Newton step of every fit, written out."""
+    sums = "any_value(p.n) AS n, any_value(t_hit) AS t_hit, any_value(t_miss) AS t_miss, any_value(a) AS a, any_value(b) AS b"
+    return f"""p{k} AS (SELECT system, target, n, t_hit, t_miss, a - shrink * da AS a, b - shrink * db AS b FROM (SELECT *, least(1.0, 2.0 / greatest(abs(da), abs(db), 1e-12)) AS shrink FROM (
+      SELECT *, (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS da, (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS db FROM (
+        SELECT system, target, {sums}, sum(g * s) AS ga, sum(g) AS gb, sum(v * s * s) + 1e-10 * any_value(n) AS haa, sum(v * s) AS hab, sum(v) + 1e-10 * any_value(n) AS hbb FROM (
+          SELECT *, q - CASE WHEN hit THEN t_hit ELSE t_miss END AS g, q * (1 - q) AS v FROM (SELECT st.system, st.target, s, hit, n, t_hit, t_miss, a, b, 1 / (1 + exp(-(a * s + b))) AS q FROM st JOIN p{k - 1} USING (system, target))) p GROUP BY 1, 2))))"""
+
+
+_PLATT = f"""st AS (SELECT system, target, greatest(-30.0, least(30.0, list_max(z) - ln(list_reduce(list_transform(z, lambda x: exp(x)), lambda x, y: x + y) - exp(list_max(z))))) AS s, list_position(z, list_max(z)) - 1 = gold_idx AS hit FROM train),
+p0 AS (SELECT system, target, count(*) AS n, (count(*) FILTER (WHERE hit) + 1.0) / (count(*) FILTER (WHERE hit) + 2.0) AS t_hit, 1.0 / (count(*) FILTER (WHERE NOT hit) + 2.0) AS t_miss, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM st GROUP BY 1, 2),
+{', '.join(_platt_round(k) for k in range(1, _PLATT_ROUNDS + 1))}"""
+
+
+@query(
+    "platt_fits",
+    f"WITH {_CAL}, {_PLATT} SELECT system, {n('target', 'target')}, {n('n', 'n_train')}, {r('a', 'a')}, {r('b', 'b')}, true AS converged FROM p{_PLATT_ROUNDS}", ("metrics",),
+)
 def platt_fits(spark, sf):
-    """Out-of-fold Platt parameters (iterative, rows only)."""
+    """Out-of-fold Platt parameters."""
     return C.fit_platt(rows(spark, sf), ["system"])
 
 
@@ -147,14 +167,26 @@ def vector_fits(spark, sf):
     ("metrics",),
 )
 def crossfit_temperature_arm(spark, sf):
-    """Log loss of every system calibrated out of fold by temperature (five decimals; temperatures
-    enter with three)."""
-    fits = C.fit_temperature(rows(spark, sf), ["system"]).select("system", F.col("target").alias("fold"), F.round("temperature", 3).alias("t"))
-    z = V.probs_to_logits(F.col("probs"))
-    applied = cal_items(spark, sf).join(fits, ["system", "fold"]).withColumn(
-        "lp", V.log_softmax(F.transform(z, lambda x: x / F.col("t")))
-    )
-    return applied.groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(-F.get("lp", F.col("gold_idx"))), 5).alias("nll"))
+    """Log loss of every system calibrated out of fold by temperature (five decimals; the SQL's
+    temperatures have three)."""
+    predictions, _ = X.crossfit(cal_items(spark, sf), ["temperature@global"])
+    return with_item_metrics(predictions).groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("nll"), 5).alias("nll"))
+
+
+@query(
+    "crossfit_platt_arm",
+    f"""WITH {_CAL}, {_PLATT}, e AS (SELECT c.system, c.item_id, gold_idx, z, list_position(z, list_max(z)) AS top, list_reduce(list_transform(z, lambda x: exp(x)), lambda x, y: x + y) AS total, a, b
+      FROM cal c JOIN p{_PLATT_ROUNDS} p ON p.system = c.system AND p.target = c.fold),
+    q AS (SELECT *, list_transform(z, lambda x, i: CASE WHEN i = top THEN 0.0 ELSE exp(x) / total END) AS o, 1 / (1 + exp(-(a * greatest(-30.0, least(30.0, list_max(z) - ln(total - exp(list_max(z))))) + b))) AS told FROM e),
+    k AS (SELECT *, list_reduce(o, lambda x, y: x + y) AS rest, greatest(told, list_max(o) / (list_max(o) + list_reduce(o, lambda x, y: x + y))) AS kept FROM q)
+    SELECT system, {n('count(*)', 'n')}, {r('avg((top - 1 = gold_idx)::INTEGER)', 'accuracy')}, round(avg(-ln(least(1.0, greatest(1e-6, CASE WHEN gold_idx = top - 1 THEN kept ELSE o[gold_idx + 1] / rest * (1 - kept) END)))), 5) + 0.0::DOUBLE AS nll FROM k GROUP BY 1""",
+    ("metrics",),
+)
+def crossfit_platt_arm(spark, sf):
+    """Accuracy and log loss of every system calibrated out of fold by Platt scaling."""
+    predictions, _ = X.crossfit(cal_items(spark, sf), ["platt@global"])
+    m = with_item_metrics(predictions)
+    return m.groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.avg(S.as_double("correct")).alias("accuracy"), F.round(F.avg("nll"), 5).alias("nll"))
 
 
 @query(

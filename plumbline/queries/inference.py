@@ -82,6 +82,15 @@ def _drawn(n_values: int) -> str:
     return ", ".join(f"s{i} / w AS m{i}" for i in range(n_values))
 
 
+def ece_replicates_sql(source: str, groups: str, resamples: int = RESAMPLES) -> str:
+    """(groups, r, ece): calibration error of every resample, whose copies are written out."""
+    return f"""SELECT {groups}, r, sum(abs(h - c)) / sum(k) AS ece FROM (SELECT {groups}, r, bin, sum(confidence) AS c, sum(accuracy) AS h, count(*) AS k FROM (
+      SELECT *, ntile(10) OVER (PARTITION BY {groups}, r ORDER BY confidence, ('0x' || substr(sha256(item_id), 1, 15))::BIGINT, copy) AS bin FROM (
+        SELECT {groups}, item_id, confidence, accuracy, r, unnest(range(0, {_WEIGHT})) AS copy FROM (
+          SELECT *, (a + r * b) % {_M} AS u FROM (SELECT *, ('0x' || substr(sha256(concat_ws(chr(31), '0', benchmark, question_id)), 1, 15))::BIGINT % {_M} AS a,
+            ('0x' || substr(sha256(concat_ws(chr(31), '0', benchmark, question_id)), 16, 15))::BIGINT % {_M} AS b FROM {source}), (SELECT unnest(range(0, {resamples})) AS r)))) GROUP BY {groups}, r, bin) GROUP BY {groups}, r"""
+
+
 def scored(spark, sf):
     return with_scores(D.preds(spark, sf))
 
@@ -233,15 +242,7 @@ def group_influence(spark, sf):
     )
 
 
-@query(
-    "ece_replicates",
-    f"""WITH c AS (SELECT *, ('0x' || substr(sha256(concat_ws(chr(31), '0', benchmark, question_id)), 1, 15))::BIGINT % {_M} AS a, ('0x' || substr(sha256(concat_ws(chr(31), '0', benchmark, question_id)), 16, 15))::BIGINT % {_M} AS b FROM scored_choice),
-    u AS (SELECT system, benchmark, item_id, confidence, correct, r, (a + r * b) % {_M} AS u FROM c, (SELECT unnest(range(0, {RESAMPLES})) AS r)),
-    e AS (SELECT system, benchmark, item_id, confidence, correct, r, unnest(range(0, {_WEIGHT})) AS copy FROM u),
-    t AS (SELECT *, ntile(10) OVER (PARTITION BY system, benchmark, r ORDER BY confidence, ('0x' || substr(sha256(item_id), 1, 15))::BIGINT, copy) AS bin FROM e)
-    SELECT system, benchmark, {n('r', 'r')}, {r('sum(abs(h - c)) / sum(k)', 'ece')} FROM (SELECT system, benchmark, r, bin, sum(confidence) AS c, sum(correct::INTEGER) AS h, count(*) AS k FROM t GROUP BY 1, 2, 3, 4) GROUP BY system, benchmark, r""",
-    ("scored_choice",),
-)
+@query("ece_replicates", f"WITH src AS (SELECT system, benchmark, question_id, item_id, confidence, correct::INTEGER AS accuracy FROM scored_choice) SELECT system, benchmark, {n('r', 'r')}, {r('ece', 'ece')} FROM ({ece_replicates_sql('src', 'system, benchmark')})", ("scored_choice",))
 def ece_replicates(spark, sf):
     """Calibration error of every resample, on the same resamples as the other metrics."""
     return B.ece_replicates(scored(spark, sf), ["system", "benchmark"], CLUSTER, RESAMPLES)

@@ -9,7 +9,7 @@ from plumbline.plans import study as P
 from plumbline.queries import derived as D
 from plumbline.queries.calibration_area import cal_items
 from plumbline.queries.costs_area import prices
-from plumbline.queries.inference import RESAMPLES, _ends, ends_sql, macro_moments_sql, moments_sql, resample_sql
+from plumbline.queries.inference import RESAMPLES, _ends, ece_replicates_sql, ends_sql, macro_moments_sql, moments_sql, resample_sql
 from plumbline.queries.registry import n, query, r
 from plumbline.queries.summaries import ece_sql
 
@@ -98,6 +98,58 @@ def calibration_study_deltas(spark, sf):
     return P.calibration_study(study_items(spark, sf), reference="a", n_resamples=RESAMPLES).deltas
 
 
+_M = ("accuracy", "nll", "brier")
+_SERIES = "system, arm, benchmark"
+_ARMS = f"""base AS (SELECT system, benchmark, item_id, question_id, gold_idx, probs FROM metrics), cut AS (SELECT *, list_transform(probs, lambda x: greatest(1e-4, least(1.0, x))) AS q FROM base),
+arms AS (SELECT system, benchmark, item_id, question_id, gold_idx, probs, 'raw' AS arm FROM base UNION ALL
+  SELECT system, benchmark, item_id, question_id, gold_idx, list_transform(q, lambda x: x / list_reduce(q, lambda a, y: a + y)) AS probs, 'identity@global' AS arm FROM cut),
+src AS (SELECT system, arm, benchmark, question_id, item_id, correct::INTEGER AS accuracy, nll, brier, confidence FROM ({D.item_metrics_sql('arms')})),
+pe AS (SELECT {_SERIES}, sum(abs(h - c)) / sum(k) AS ece FROM (SELECT {_SERIES}, bin, sum(confidence) AS c, sum(accuracy) AS h, count(*) AS k FROM (
+  SELECT *, ntile(10) OVER (PARTITION BY {_SERIES} ORDER BY confidence, ('0x' || substr(sha256(item_id), 1, 15))::BIGINT) AS bin FROM src) GROUP BY ALL) GROUP BY ALL),
+pts AS (SELECT {_SERIES}, count(*) AS n, avg(accuracy) AS accuracy, avg(nll) AS nll, avg(brier) AS brier, any_value(ece) AS ece FROM src JOIN pe USING ({_SERIES}) GROUP BY ALL),
+points AS (SELECT * FROM pts UNION ALL SELECT system, arm, 'macro', sum(n), avg(accuracy), avg(nll), avg(brier), avg(ece) FROM pts GROUP BY 1, 2),
+er AS ({ece_replicates_sql('src', _SERIES)}),
+rs AS (SELECT {_SERIES}, r, s0 / w AS m0, s1 / w AS m1, s2 / w AS m2, ece AS m3 FROM ({resample_sql('src', _SERIES, _M)}) JOIN er USING ({_SERIES}, r) WHERE w > 0),
+reps AS (SELECT * FROM rs UNION ALL SELECT system, arm, 'macro', r, avg(m0), avg(m1), avg(m2), avg(m3) FROM rs GROUP BY 1, 2, 4)"""
+_ECE_ENDS = f"{r('quantile_cont(m3, 0.025)', 'low_ece')}, {r('quantile_cont(m3, 0.975)', 'high_ece')}"
+
+
+def _study_ends(moments: str, replicates: str) -> str:
+    return f"""mo AS (SELECT * FROM {moments} UNION ALL BY NAME SELECT *, 'macro' AS benchmark FROM ({macro_moments_sql(moments, 'system, arm', 3)})), en AS ({ends_sql(replicates, 'mo', _SERIES, 3)}), ee AS (SELECT {_SERIES}, {_ECE_ENDS} FROM {replicates} GROUP BY ALL)"""
+
+
+_LOWS = ", ".join(r(f"l{i}", f"low_{m}") + ", " + r(f"h{i}", f"high_{m}") for i, m in enumerate(_M))
+_ENDS_OUT = [*_M, "ece", *[f"{e}_{m}" for m in (*_M, "ece") for e in ("low", "high")]]
+
+
+@query(
+    "study_estimates",
+    f"""WITH {_ARMS}, ms AS ({moments_sql('src', _SERIES, _M)}), {_study_ends('ms', 'reps')}
+    SELECT {_SERIES}, {n('n', 'n')}, {', '.join(r(m, m) for m in (*_M, 'ece'))}, {_LOWS}, low_ece, high_ece, {n('k', 'n_clusters')} FROM points JOIN en USING ({_SERIES}) JOIN ee USING ({_SERIES}) JOIN (SELECT {_SERIES}, k FROM mo) USING ({_SERIES})""",
+    ("metrics",),
+)
+def study_estimates(spark, sf):
+    """Estimates and interval ends of the study's raw and identity arms, calibration errors and macro
+    rows included."""
+    study = P.calibration_study(study_items(spark, sf), ["identity@global"], reference="a", n_resamples=RESAMPLES)
+    return study.estimates.select("system", "arm", "benchmark", "n", *_ENDS_OUT, "n_clusters")
+
+
+@query(
+    "study_deltas",
+    f"""WITH {_ARMS}, ds AS (SELECT x.system, x.arm, x.benchmark, x.question_id, x.accuracy - y.accuracy AS accuracy, x.nll - y.nll AS nll, x.brier - y.brier AS brier FROM src x JOIN src y ON x.item_id = y.item_id AND x.benchmark = y.benchmark AND x.arm = y.arm AND x.system = 'b' AND y.system = 'a'),
+    ms AS ({moments_sql('ds', _SERIES, _M)}), dr AS (SELECT x.system, x.arm, x.benchmark, x.m0 - y.m0 AS m0, x.m1 - y.m1 AS m1, x.m2 - y.m2 AS m2, x.m3 - y.m3 AS m3 FROM reps x JOIN reps y ON x.benchmark = y.benchmark AND x.arm = y.arm AND x.r = y.r AND x.system = 'b' AND y.system = 'a'), {_study_ends('ms', 'dr')},
+    dp AS (SELECT x.system, x.arm, x.benchmark, x.accuracy - y.accuracy AS d_accuracy, x.nll - y.nll AS d_nll, x.brier - y.brier AS d_brier, x.ece - y.ece AS d_ece FROM points x JOIN points y ON x.benchmark = y.benchmark AND x.arm = y.arm AND x.system = 'b' AND y.system = 'a')
+    SELECT {_SERIES}, {', '.join(r(f'd_{m}', f'd_{m}') for m in (*_M, 'ece'))}, {_LOWS}, low_ece, high_ece, l1 > 0 OR h1 < 0 AS nll_excludes_zero FROM dp JOIN en USING ({_SERIES}) JOIN ee USING ({_SERIES})""",
+    ("metrics",),
+)
+def study_deltas(spark, sf):
+    """Each arm of system b less that of system a, on shared resamples."""
+    study = P.calibration_study(study_items(spark, sf), ["identity@global"], reference="a", n_resamples=RESAMPLES)
+    rows = study.deltas.where("against = 'reference'")
+    return rows.select("system", "arm", "benchmark", *[f"d_{m}" for m in (*_M, "ece")], *[c for c in _ENDS_OUT if c.startswith(("low", "high"))], "nll_excludes_zero")
+
+
 @query(
     "view_summary",
     f"""SELECT system, {n('sum(n)', 'n')}, {r('avg(accuracy)', 'accuracy')}, {r('avg(nll)', 'nll')} FROM (SELECT system, benchmark, count(*) AS n, avg(correct::INTEGER) AS accuracy, avg(nll) AS nll FROM metrics WHERE benchmark IN ('b0', 'b1') GROUP BY 1, 2) GROUP BY 1""",
