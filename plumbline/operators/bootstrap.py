@@ -26,6 +26,8 @@ MODULUS = 2**31 - 1
 independent between clusters, pairwise independent between replicates."""
 DEFAULT_RESAMPLES = 10_000
 BCA_MIN_CLUSTERS = 500
+MOST_SUMS = 1 << 24
+"""Running sums (of all groups and replicates) that a task holds, but for one group's."""
 POISSON_STEPS = tuple(
     int(MODULUS * sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1))) for k in range(10)
 )
@@ -96,26 +98,35 @@ def bootstrap_sums(
     )
     block_rows, block_reps, width = 2048, 128, len(columns)
 
+    def told(totals: dict[tuple, np.ndarray]) -> Iterator[pd.DataFrame]:
+        for key, acc in totals.items():
+            for i, series_name in enumerate(key[-1].split("\n")):
+                out = pd.DataFrame(acc[:, i * width : (i + 1) * width], columns=columns)
+                out.insert(0, "r", np.arange(n_resamples, dtype=np.int32))
+                out.insert(0, "_name", series_name)
+                for j, (column, value) in enumerate(zip(shared, key, strict=False)):
+                    out.insert(j, column, value)
+                yield out
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[tuple, np.ndarray] = {}
         for pdf in batches:
             for key, part in pdf.groupby([*shared, "_series"], sort=False, dropna=False):
                 x = np.stack(part["_x"].to_numpy())
-                acc = totals.setdefault(key, np.zeros((n_resamples, x.shape[1])))
+                if key not in totals:
+                    # Sums add up however they are cut, so a task passes on what it holds and goes on.
+                    if totals and n_resamples * x.shape[1] + sum(acc.size for acc in totals.values()) > MOST_SUMS:
+                        yield from told(totals)
+                        totals = {}
+                    totals[key] = np.zeros((n_resamples, x.shape[1]))
+                acc = totals[key]
                 a, b = part["_a"].to_numpy(np.int64), part["_b"].to_numpy(np.int64)
                 for i in range(0, len(part), block_rows):
                     rows = slice(i, i + block_rows)
                     for r in range(0, n_resamples, block_reps):
                         size = min(block_reps, n_resamples - r)
                         acc[r : r + size] += replicate_weights(a[rows], b[rows], r, size) @ x[rows]
-        for key, acc in totals.items():
-            for i, series_name in enumerate(key[-1].split("\n")):
-                out = pd.DataFrame(acc[:, i * width : (i + 1) * width], columns=columns)
-                out.insert(0, "r", np.arange(n_resamples, dtype=np.int32))
-                out.insert(0, "_name", series_name)
-                for j, (column, value) in enumerate(zip(shared, key, strict=False)):
-                    out.insert(j, column, value)
-                yield out
+        yield from told(totals)
 
     partials = packed.mapInPandas(partial, schema).groupBy(*shared, "_name", "r").agg(
         *[F.sum(c).alias(c) for c in columns]

@@ -176,3 +176,31 @@ def test_a_key_is_registered_once(spark):
         X.registry_tables([fit, fit])
     with pytest.raises(ValueError, match="column 'z'"):
         X.apply_registry(spark.createDataFrame([("x", 1.0)], "backend string, z double"), fit, fit, fit)
+
+
+def test_sums_that_a_task_passes_on_early_add_up(spark, monkeypatch):
+    df = spark.createDataFrame(drawn(6, 90, 5), SCHEMA)
+    read = lambda: sorted(tuple(r) for r in B.bootstrap_sums(df, ["system", "benchmark"], CLUSTER, ["x"], 20).select("system", "benchmark", "r", F.round("s_x", 9), "w").collect())
+    whole = read()
+    monkeypatch.setattr(B, "MOST_SUMS", 1)
+    assert read() == whole and len(whole) == 2 * 5 * 20
+
+
+def test_statistics_as_a_table(spark):
+    from plumbline.operators import records as R
+    from plumbline.queries import derived as D
+    from plumbline.queries.costs_area import prices
+
+    sf = "/root/testdata/sf0.001"
+    latest = R.latest_records(D.records(spark, sf)).withColumns(
+        {"price_id": F.lit("en"), "cache_write_tokens": F.lit(0).cast("bigint"), "correct": F.col("ok"), "backend_calls": F.lit(2)}
+    )
+    calls = D.invocations(spark, sf).withColumn("benchmark", F.concat(F.lit("b"), (F.dayofmonth("started") % 4).cast("string")))
+    calls = calls.withColumn("system_id", F.concat(F.lit("s"), (F.length("system_id") % 3).cast("string")))
+    lines = P.statistics_markdown(P.run_statistics(latest, prices(spark), calls)).splitlines()
+    head = [c.strip() for c in lines[0].strip("| ").split("|")]
+    assert {"Calls/item", "GPU-h", "In flight", "$ / 1k items"} <= set(head)
+    cells = [[c.strip() for c in line.strip().strip("|").split("|")] for line in lines[2:]]
+    by = {(r[0], r[1]): dict(zip(head, r)) for r in cells}
+    assert [r[1] for r in cells if r[0] == "s0"] == ["b0", "b1", "b2", "b3", "all, macro acc."]
+    assert by["s0", "b1"]["Calls/item"] == "2.00" and by["s0", "b1"]["In flight"] == "16" and float(by["s0", "b1"]["GPU-h"]) > 0
