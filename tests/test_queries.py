@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHECKED = (
     "benchmark_summary", "ece_equal_mass", "latest_records", "question_bank", "split_halves", "fold_assignment", "token_costs",
-    "paired_bootstrap", "speed_quality_frontier", "batch_debiased", "first_token_read", "streamed_latest_records", "temperature_fits",
+    "paired_bootstrap", "speed_quality_frontier", "batch_debiased", "first_token_read", "streamed_latest_records", "temperature_fits", "registry_applied", "committed_manifest", "system_comparison",
 )
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -43,3 +43,22 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_without_the_text_operators(monkeypatch):
+    """What the text operators need may be missing: the other queries stay."""
+    import builtins
+    import sys
+
+    real = builtins.__import__
+
+    def lacking(name, *args, **kwargs):
+        if name.startswith("public_tokenizers"):
+            raise ModuleNotFoundError(name)
+        return real(name, *args, **kwargs)
+
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith(("plumbline.llm", "public_tokenizers"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setattr(builtins, "__import__", lacking)
+    assert len(entry.queries()) > 150 and not any(q.startswith("op") and q[2].isdigit() for q in entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
