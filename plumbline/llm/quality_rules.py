@@ -257,7 +257,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", k
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` that the classifier accepts (score of at least 0.5), all columns kept."""
+    """Rows of ``docs`` that the classifier accepts (score of at least 0.5), all columns kept.
+
+    NULL texts are scored as empty ones and NULL keys like any other (they have no label to learn from);
+    repeated rows stay or go together; an empty table gives an empty one; with fewer than 20 labels, or
+    labels of one kind, all rows have one score, (ones + 1) / (labels + 2), and stay or go together;
+    further columns, whatever their names, are carried along.
+    """
     name = "statistics"
     while name in docs.columns:
         name += "_"

@@ -188,7 +188,11 @@ def redact(text: str, spans: list[tuple[int, int, str]], put: str = "[SECRET]")
 
 def without_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
     """``docs`` with secrets replaced in the text and, where there is one, the column ``length``
-    set to the new number of code points; all other rows and columns stay as they are."""
+    set to the new number of code points; all other rows and columns stay as they are.
+
+    NULL texts and keys stay NULL, repeated rows are changed alike, an empty table gives an empty one,
+    and further columns, whatever their names, are carried along.
+    """
     model = learn(docs, key, text)
     at = docs.columns.index(text)
     size = docs.columns.index(length) if length in docs.columns else None

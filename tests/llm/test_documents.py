@@ -16,7 +16,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from plumbline.llm import paragraph_sketch, quality_rules, secret_scan, simhash
-from tests.llm.helpers import documents, edge_texts, rows
+from tests.llm.helpers import DOC, ODD, documents, edge_texts, rows
 
 TEXTS = edge_texts()
 SECRETS = [
@@ -299,3 +299,33 @@ def test_empty_tables_and_null_keys(spark, run):
     assert run(documents(spark, [])).count() == 0
     some = documents(spark, ["a b", None]).selectExpr("cast(null as bigint) doc_id", "text", "lang", "source", "n_chars")
     assert run(some.union(some)).count() == 4
+
+
+def odd_documents(spark):
+    """NULLs in every column, repeated rows, an empty and a very long text, columns that clash."""
+    long = " ".join(f"word{k % 97}" for k in range(60_000))
+    held = [(1, "password = hunter2hunter2 here", "en", "s", 30), (1, "password = hunter2hunter2 here", "en", "s", 30), (None, None, None, None, None), (None, "x", None, None, 1), (2, "", "en", None, 0), (3, long, "en", "s", len(long))]
+    return spark.createDataFrame([(*r, "k", 0.5, 7, "x", 3, "y") for r in held], f"{DOC}, {ODD}")
+
+
+def test_filters_of_odd_tables(spark):
+    docs = odd_documents(spark)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(4)], "doc_id bigint, quality int, toxic int")
+    none = labels.where("false")
+    for kept in (quality_rules.keep_good(docs, labels), quality_rules.keep_good(docs, none), secret_scan.without_secrets(docs)):
+        assert kept.schema.names == docs.schema.names and set(rows(kept.select("key"))[0].values()) == {"k"}
+    texts = Counter(r["text"] for r in rows(secret_scan.without_secrets(docs)))
+    assert texts[None] == 1 and texts[""] == 1 and sum("[SECRET]" in (t or "") for t in texts) == 1 and max(texts.values()) == 2
+    both = [r["doc_id"] for r in rows(quality_rules.keep_good(docs, labels))]
+    assert both.count(1) in (0, 2)
+    assert quality_rules.keep_good(docs.where("false"), labels).count() == secret_scan.without_secrets(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_pipeline_of_odd_tables(spark, tmp_path, empty):
+    docs = odd_documents(spark)
+    (docs.where("false") if empty else docs).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = rows(corpus_pipeline.run(spark, str(tmp_path)))
+    assert (not got) if empty else all(r["length"] > 0 for r in got)
+    assert len({(r["doc_id"], r["start"], r["doc_tokens"]) for r in got}) == len(got)
