@@ -8,8 +8,8 @@ one of the first b + 1 substrings or within a - 1 in one of the others, so only
 and whole codes verified. Tables are cut into cells by the first bits of their substring, which all
 queries share; queries go to the cells that their balls reach. Vectors are fetched for what is left, and
 exact cosines decide. Where the balls would reach more than all rows (the vectors are spread evenly, so
-neighbours' codes lie far apart), one table is read through instead of sixteen; its codes, 32 bytes
-each, are all that is compared there.
+neighbours' codes lie far apart), rows are dealt to cells once instead of to sixteen tables; a cell reads
+its codes through and ranks what lies within the radius itself, so no pair leaves it but the best.
 """
 
 from __future__ import annotations
@@ -38,8 +38,9 @@ MEASURED = 64
 COVERED = 0.99
 """Share of those neighbours that the radius takes in."""
 CELL_ROWS, QUERY_ROWS = 65_536, 65_536
-"""Codes and queries, about, that one task holds."""
-PAIRS_AT_ONCE = 1 << 22
+"""Codes and queries, about, that one task holds (fewer of long vectors)."""
+CELL_BYTES = 1 << 25
+PAIRS_AT_ONCE = 1 << 21
 SPARE = 16
 """Of queries with too few rows within the radius, each cell gives so many times k nearest codes."""
 
@@ -153,33 +154,52 @@ def _codes(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), PARTS)
 
 
-def search_cell(queries: pd.DataFrame, rows: pd.DataFrame, table: int, radius: int, nearest_codes: int | None) -> pd.DataFrame:
-    """(query_id, query_mark, id, mark) of the cell's rows within ``radius`` of its queries, or with
-    ``nearest_codes`` of so many nearest ones (and all as near as the last of them)."""
-    out: list[pd.DataFrame] = []
-    if len(queries) and len(rows):
-        codes, asking = _codes(rows["code"]), _codes(queries["code"])
-        found: list[tuple[int, np.ndarray]] = []
-        if table >= 0:
-            held, balls = Table(codes, table), {}
-            found = [(k, held.within(asking[k], radius, balls)) for k in range(len(asking))]
-        else:
-            step = max(1, PAIRS_AT_ONCE // max(1, len(codes)))
-            for a in range(0, len(asking), step):
-                far = apart(asking[a : a + step, None, :], codes[None])
-                if nearest_codes is not None and nearest_codes < len(codes):
-                    limit = np.partition(far, nearest_codes, axis=1)[:, nearest_codes : nearest_codes + 1]
-                else:
-                    limit = BITS if nearest_codes is not None else radius
-                q, r = np.nonzero(far <= limit)
-                found.append((-1, np.stack([q + a, r])))
-        if table >= 0:
-            q = np.repeat([k for k, _ in found], [len(r) for _, r in found])
-            r = np.concatenate([r for _, r in found])
-        else:
-            q, r = np.concatenate([f for _, f in found], axis=1)
-        out.append(pd.DataFrame({"query_id": queries["id"].to_numpy()[q], "query_mark": queries["mark"].to_numpy()[q], "id": rows["id"].array[r], "mark": rows["mark"].to_numpy()[r]}))
-    return out[0] if out else pd.DataFrame({"query_id": [], "query_mark": [], "id": [], "mark": []}).astype("Int64")
+def probed(queries: pd.DataFrame, rows: pd.DataFrame, table: int, radius: int) -> pd.DataFrame:
+    """(query_id, query_mark, id, mark) of a cell's entries within ``radius`` of its queries."""
+    if not len(queries) or not len(rows):
+        return pd.DataFrame({"query_id": [], "query_mark": [], "id": [], "mark": []}).astype("Int64")
+    held, balls, asking = Table(_codes(rows["code"]), table), {}, _codes(queries["code"])
+    found = [held.within(code, radius, balls) for code in asking]
+    q, r = np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate(found)
+    return pd.DataFrame({"query_id": queries["id"].array[q], "query_mark": queries["mark"].to_numpy()[q], "id": rows["id"].array[r], "mark": rows["mark"].to_numpy()[r]})
+
+
+def ranked(queries: pd.DataFrame, rows: pd.DataFrame, dim: int, radius: int, k: int, nearest_codes: int | None) -> pd.DataFrame:
+    """The ``k`` best of a cell's rows within ``radius`` of each of its queries (or of the
+    ``nearest_codes`` nearest codes and all as near as the last of them), with their cosines."""
+    columns = ["query_id", "query_mark", "vec_id", "score", "copies", "within"]
+    if not len(queries) or not len(rows):
+        return pd.DataFrame({c: [] for c in columns}).astype({c: float if c == "score" else "Int64" for c in columns})
+    codes, asking = _codes(rows["code"]), _codes(queries["code"])
+    vectors, ask = (np.frombuffer(b"".join(x["vec"])).reshape(len(x), dim) for x in (rows, queries))
+    lengths, ask_lengths = np.sqrt((vectors * vectors).sum(axis=1)), np.sqrt((ask * ask).sum(axis=1))
+    none = rows["id"].isna().to_numpy()
+    ids = rows["id"].fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
+    own = queries["id"].to_numpy(np.int64)
+    out = []
+    step, at_once = max(1, PAIRS_AT_ONCE // len(codes)), max(1, PAIRS_AT_ONCE // dim)
+    for a in range(0, len(asking), step):
+        far = apart(asking[a : a + step, None, :], codes[None])
+        limit = radius
+        if nearest_codes is not None:
+            limit = np.partition(far, nearest_codes, axis=1)[:, nearest_codes : nearest_codes + 1] if nearest_codes < len(codes) else BITS
+        q, r = np.nonzero(far <= limit)
+        q += a
+        other = none[r] | (ids[r] != own[q])
+        q, r = q[other], r[other]
+        scores = np.empty(len(q))
+        for b in range(0, len(q), at_once):
+            qq, rr = q[b : b + at_once], r[b : b + at_once]
+            scores[b : b + at_once] = (vectors[rr] * ask[qq]).sum(axis=1) / (lengths[rr] * ask_lengths[qq])
+        order = np.lexsort((ids[r], -scores, q))
+        q, r, scores = q[order], r[order], scores[order]
+        first = np.searchsorted(q, q)
+        best = np.arange(len(q)) - first < k
+        within = np.searchsorted(q, q, side="right") - first
+        out.append((q[best], r[best], scores[best], within[best]))
+    q, r, scores, within = (np.concatenate(c) for c in zip(*out))
+    found = (queries["id"].array[q], queries["mark"].to_numpy()[q], rows["id"].array[r], scores, rows["copies"].to_numpy()[r], within)
+    return pd.DataFrame(dict(zip(columns, found)))
 
 
 def usable(vector: Column) -> Column:
@@ -203,21 +223,22 @@ def _by_length(batch: pa.RecordBatch, place: int) -> Iterator[tuple[np.ndarray,
 
 
 def with_codes(rows: DataFrame, coders: dict[int, Coder]) -> DataFrame:
-    """id, mark, dim, code of (id, mark, v)."""
-    schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("dim", pa.int32()), ("code", pa.binary())])
+    """id, mark, copies, dim, code and vec (the vector's bytes) of (id, mark, copies, v)."""
+    schema = pa.schema([("id", pa.int64()), ("mark", pa.int64()), ("copies", pa.int64()), ("dim", pa.int32()), ("code", pa.binary()), ("vec", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spare: dict[int, Coder] = {}
         for batch in batches:
-            dims, codes = np.zeros(batch.num_rows, np.int32), np.empty(batch.num_rows, object)
-            for at, v, unit in _by_length(batch, 2):
+            dims, codes, raw = np.zeros(batch.num_rows, np.int32), np.empty(batch.num_rows, object), np.empty(batch.num_rows, object)
+            for at, v, unit in _by_length(batch, 3):
                 dim = v.shape[1]
                 coder = coders.get(dim) or spare.setdefault(dim, fit_coder(dim, np.zeros((0, dim))))
                 dims[at] = dim
-                codes[at] = [c.tobytes() for c in coder.codes(unit)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dims), pa.array(codes, pa.binary())], schema=schema)
+                codes[at], raw[at] = [c.tobytes() for c in coder.codes(unit)], [x.tobytes() for x in v]
+            own = [batch.column(0), batch.column(1), batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(dims), pa.array(codes, pa.binary()), pa.array(raw, pa.binary())], schema=schema)
 
-    return small_batches(rows.select("id", "mark", "v")).mapInArrow(work, "id bigint, mark bigint, dim int, code binary")
+    return small_batches(rows.select("id", "mark", "copies", "v")).mapInArrow(work, "id bigint, mark bigint, copies bigint, dim int, code binary, vec binary")
 
 
 def measured_radius(rows: DataFrame, coder: Coder, asking: list[tuple[int | None, np.ndarray]], k: int) -> int:
@@ -250,39 +271,49 @@ def measured_radius(rows: DataFrame, coder: Coder, asking: list[tuple[int | None
     return int(np.ceil(np.quantile([r["apart"] for r in best], COVERED))) if best else BITS
 
 
-def cells(coded: DataFrame, asked: DataFrame, dim: int, radius: int, n_rows: int, n_asked: int, nearest_codes: int | None = None) -> DataFrame:
+def probed_cells(coded: DataFrame, asked: DataFrame, dim: int, radius: int, n_rows: int, n_asked: int) -> DataFrame:
     """(query_id, query_mark, id, mark): rows of length ``dim`` whose codes lie within ``radius`` of a
-    query's, each once; or of each cell the nearest."""
-    probing = nearest_codes is None and selective(radius)
+    query's, each once."""
     reach = reaches(radius)
+    searched = [t for t in range(TABLES) if reach[t] >= 0]
     bits = max(0, min(WIDTH, int(np.ceil(np.log2(max(1, n_rows) / CELL_ROWS)))))
     turns = max(1, -(-n_asked // QUERY_ROWS))
-    own, asking = coded.where(F.col("dim") == dim), asked.where(F.col("dim") == dim)
-    every = F.explode(F.sequence(F.lit(0), F.lit(turns - 1)))
-    turn = F.pmod(F.xxhash64("id", "mark", F.lit(2)), F.lit(turns)).cast("int")
-    if probing:
-        searched = [t for t in range(TABLES) if reach[t] >= 0]
-        # A code's words are little-endian: substring t is bytes 2 t + 1 and 2 t of it.
-        value = lambda t: F.conv(F.hex(F.concat(F.substring("code", 2 * t + 2, 1), F.substring("code", 2 * t + 1, 1))), 16, 10).cast("int")
-        place = lambda t: F.shiftright(value(t), WIDTH - bits)
-        at = F.array(*[F.struct(F.lit(t).alias("t"), place(t).alias("g")) for t in searched])
-        own = own.withColumn("at", F.explode(at))
-        near = lambda t: F.transform(F.array(*[F.lit(int(m)) for m in ball(min(reach[t], bits), bits)]), lambda m: F.struct(F.lit(t).alias("t"), place(t).bitwiseXOR(m).alias("g")))
-        asking = asking.withColumn("at", F.explode(F.concat(*[near(t) for t in searched])))
-    else:
-        count = max(1, -(-n_rows // CELL_ROWS))
-        own = own.withColumn("at", F.struct(F.lit(-1).alias("t"), F.pmod(F.xxhash64("id", "mark", F.lit(1)), F.lit(count)).cast("int").alias("g")))
-        asking = asking.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda g: F.struct(F.lit(-1).alias("t"), g.alias("g")))))
+    # A code's words are little-endian: substring t is bytes 2 t + 1 and 2 t of it.
+    value = lambda t: F.conv(F.hex(F.concat(F.substring("code", 2 * t + 2, 1), F.substring("code", 2 * t + 1, 1))), 16, 10).cast("int")
+    place = lambda t: F.shiftright(value(t), WIDTH - bits)
+    near = lambda t: F.transform(F.array(*[F.lit(int(m)) for m in ball(min(reach[t], bits), bits)]), lambda m: F.struct(F.lit(t).alias("t"), place(t).bitwiseXOR(m).alias("g")))
     fields = ["id", "mark", "code", F.col("at.t").alias("t"), F.col("at.g").alias("g")]
-    own, asking = own.select(*fields, every.alias("turn")), asking.select(*fields, turn.alias("turn"))
+    own = coded.where(F.col("dim") == dim).withColumn("at", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), place(t).alias("g")) for t in searched])))
+    own = own.select(*fields, F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"))
+    asking = asked.where(F.col("dim") == dim).withColumn("at", F.explode(F.concat(*[near(t) for t in searched])))
+    asking = asking.select(*fields, F.pmod(F.xxhash64("id", "mark", F.lit(2)), F.lit(turns)).cast("int").alias("turn"))
 
     def cell(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        return search_cell(queries, rows, int(key[0]), radius, nearest_codes)
+        return probed(queries, rows, int(key[0]), radius)
 
     keys = ["t", "g", "turn"]
     return asking.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(cell, "query_id bigint, query_mark bigint, id bigint, mark bigint")
 
 
+FOUND = "query_id bigint, query_mark bigint, vec_id bigint, score double, copies bigint, within bigint"
+
+
+def read_cells(coded: DataFrame, asked: DataFrame, dim: int, radius: int, n_rows: int, n_asked: int, k: int, nearest_codes: int | None = None) -> DataFrame:
+    """:data:`FOUND`: each cell's ``k`` best rows for each query, and how many it ranked."""
+    held = max(1, min(CELL_ROWS, CELL_BYTES // (8 * dim)))
+    count, turns = max(1, -(-n_rows // held)), max(1, -(-n_asked // held))
+    slot = lambda seed, n: F.pmod(F.xxhash64("id", "mark", F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    fields = ["id", "mark", "copies", "code", "vec"]
+    own = coded.where(F.col("dim") == dim).select(*fields, slot(1, count).alias("g"), every(turns).alias("turn"))
+    asking = asked.where(F.col("dim") == dim).select(*fields, every(count).alias("g"), slot(2, turns).alias("turn"))
+
+    def cell(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        return ranked(queries, rows, dim, radius, k, nearest_codes)
+
+    return asking.groupBy("g", "turn").cogroup(own.groupBy("g", "turn")).applyInPandas(cell, FOUND)
+
+
 def nearest(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose key is divisible by ``every``, its ``k``
     nearest other rows by cosine, ties to the smaller key.
@@ -304,33 +335,39 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, key: str = "vec_id", vec
     coded = checkpoint(with_codes(rows, coders))
     asked = checkpoint(coded.where(F.col("id") % every == 0))
     sizes = {r["dim"]: (r["n"], r["asked"]) for r in coded.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % every == 0).alias("asked")).collect()}  # one row a length
-    pairs = None
+    found = df.sparkSession.createDataFrame([], FOUND)
     for dim, (n, n_asked) in sizes.items():
         if not n_asked:
             continue
         radius = measured_radius(rows, coders[dim], units[dim][:MEASURED], k) if dim in coders else BITS
-        found = cells(coded, asked, dim, radius, n, n_asked)
-        pairs = found if pairs is None else pairs.unionByName(found)
-    if pairs is None:
-        return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    pairs = checkpoint(pairs.where(~F.col("id").eqNullSafe(F.col("query_id"))))
+        if selective(radius):
+            pairs = probed_cells(coded, asked, dim, radius, n, n_asked)
+            found = found.unionByName(scored(pairs, rows, every, k))
+        else:
+            found = found.unionByName(read_cells(coded, asked, dim, radius, n, n_asked, k))
+    found = checkpoint(found)
     # Queries with too few rows that near look at the nearest codes of every cell.
-    enough = pairs.groupBy("query_id", "query_mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    enough = found.groupBy("query_id", "query_mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     short = checkpoint(asked.join(enough, (F.col("id") == F.col("query_id")) & (F.col("mark") == F.col("query_mark")), "left_anti"))
     left = {r["dim"]: r["n"] for r in short.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     if left:
-        chosen = [(F.col("query_id") == F.col("_q")) & (F.col("query_mark") == F.col("_m"))]
-        pairs = pairs.join(short.select(F.col("id").alias("_q"), F.col("mark").alias("_m")), chosen, "left_anti")
+        found = found.join(short.select(F.col("id").alias("_q"), F.col("mark").alias("_m")), (F.col("query_id") == F.col("_q")) & (F.col("query_mark") == F.col("_m")), "left_anti")
         for dim, n_short in left.items():
-            wide = cells(coded, short, dim, BITS, sizes[dim][0], n_short, SPARE * k + 1)
-            pairs = pairs.unionByName(wide.where(~F.col("id").eqNullSafe(F.col("query_id"))))
+            found = found.unionByName(read_cells(coded, short, dim, BITS, sizes[dim][0], n_short, k, SPARE * k))
+        found = checkpoint(found)
+    best = Window.partitionBy("query_id", "query_mark").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
+    each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("copies", F.lit(k).cast("bigint")))))
+    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def scored(pairs: DataFrame, rows: DataFrame, every: int, k: int) -> DataFrame:
+    """:data:`FOUND` of probed pairs: their vectors fetched, the ``k`` best of each query."""
+    pairs = pairs.where(~F.col("id").eqNullSafe(F.col("query_id")))
     queries = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("mark").alias("query_mark"), F.col("v").alias("_qv"))
     own = rows.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.col("v").alias("_v"), "copies")
     joined = pairs.join(own, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))).join(lookup(queries), ["query_id", "query_mark"])
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     score = dot("_v", "_qv") / (F.sqrt(dot("_v", "_v")) * F.sqrt(dot("_qv", "_qv")))
-    scored = joined.select("query_id", "query_mark", F.col("id").alias("vec_id"), score.alias("score"), "copies")
+    all_ = joined.select("query_id", "query_mark", F.col("id").alias("vec_id"), score.alias("score"), "copies", F.lit(1).cast("bigint").alias("within"))
     best = Window.partitionBy("query_id", "query_mark").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
-    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    each = top.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("copies", F.lit(k).cast("bigint")))))
-    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return all_.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).drop("n")

@@ -59,8 +59,8 @@ def test_every_code_within_the_radius_is_found_once():
             assert sorted(found.tolist()) == np.flatnonzero(ann.apart(codes, q) <= radius).tolist()
 
 
-@pytest.mark.parametrize("radius, probes", [(9, True), (35, True), (200, False)])
-def test_cells_hold_every_pair_within_the_radius_once(spark, monkeypatch, radius, probes):
+@pytest.mark.parametrize("radius", [9, 35])
+def test_cells_hold_every_pair_within_the_radius_once(spark, monkeypatch, radius):
     monkeypatch.setattr(ann, "CELL_ROWS", 200)
     monkeypatch.setattr(ann, "QUERY_ROWS", 9)
     rng = np.random.default_rng(radius)
@@ -69,13 +69,29 @@ def test_cells_hold_every_pair_within_the_radius_once(spark, monkeypatch, radius
     for _ in range(radius // 2 + 1):
         codes = codes ^ (np.uint64(1) << rng.integers(0, 64, (900, 1)).astype(np.uint64)) * (np.arange(ann.PARTS) == rng.integers(0, ann.PARTS, (900, 1))).astype(np.uint64)
     coded = spark.createDataFrame([(k, k, 8, bytearray(c.tobytes())) for k, c in enumerate(codes)], "id bigint, mark bigint, dim int, code binary")
-    asked = coded.where("id % 25 = 0")
-    assert ann.selective(radius) is probes
-    got = sorted((r["query_id"], r["id"]) for r in ann.cells(coded, asked, 8, radius, 900, 36).collect())
+    assert ann.selective(radius) and not ann.selective(120)
+    got = sorted((r["query_id"], r["id"]) for r in ann.probed_cells(coded, coded.where("id % 25 = 0"), 8, radius, 900, 36).collect())
     want = [(q, int(i)) for q in range(0, 900, 25) for i in np.flatnonzero(ann.apart(codes, codes[q]) <= radius)]
     assert got == sorted(want) and len(want) > 36
 
 
+def test_vectors_of_a_tight_family_are_probed(spark, monkeypatch):
+    """Near copies: the measured radius is small, tables are probed, and nothing is missed."""
+    monkeypatch.setattr(ann, "CELL_ROWS", 300)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(150, 64))
+    vectors = (centres[np.arange(1200) % 150] + 0.01 * rng.normal(size=(1200, 64))).tolist()
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<double>")
+    seen, real = [], ann.probed_cells
+    monkeypatch.setattr(ann, "probed_cells", lambda *a: seen.append(a[3]) or real(*a))
+    got = {}
+    for r in sorted(rows(ann.nearest(df)), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert len(seen) == 1 and seen[0] < 60
+    hits = sum(len({i for i, _ in brute(range(1200), vectors, q, vectors[q], 5)} & set(got[q])) for q in range(0, 1200, 50))
+    assert set(got) == set(range(0, 1200, 50)) and hits >= 0.95 * 5 * 24
+
+
 def test_far_vectors_have_neighbours_too(spark):
     """Rows that the measured radius does not reach find theirs among the nearest codes."""
     rng = np.random.default_rng(9)
