@@ -3,7 +3,7 @@ near-duplicates stays, secrets are replaced, and what is left is tokenised and p
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the
 last return the columns of ``docs``, further ones whatever their names included. Empty tables give
-empty results, NULL texts are treated as empty ones, rows without a key stay rows of their own, and of
+empty results, NULL texts are treated as empty ones, rows without a key count like any other, and of
 rows that repeat the near-duplicate stage keeps one.
 """
 
