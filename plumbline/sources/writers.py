@@ -133,8 +133,8 @@ def merged_manifest(known: DataFrame, more: DataFrame) -> DataFrame:
 def commit_manifest(runs: DataFrame, folder: str) -> int:
     """Publishes ``runs`` merged into the manifest of ``folder`` and returns the version that holds them.
 
-    A version is written aside and published by one rename to a name that must not exist, so readers
-    see whole versions only. A writer that finds its version's name taken merges with what the other
+    A version is written aside and published by one rename to a name that must not exist (atomic as far
+    as the file system's rename is), so readers see whole versions only. A writer that finds its version's name taken merges with what the other
     one published and tries the next. Runs that change nothing (a replay) publish nothing.
     """
     spark = runs.sparkSession
