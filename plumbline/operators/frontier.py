@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.ranking import hash_slices
+
 TIERS = (0.0, 5.0, 10.0, 20.0, 30.0, 50.0)
-SLICES = 64
 
 
 def _not_beaten(df: DataFrame, x: Column, y: Column, name: str, *partition: str) -> DataFrame:
@@ -23,11 +24,11 @@ def frontier(
     points: DataFrame, x: str, y: str, name: str = "name", groups: Sequence[str] = (),
     higher_is_better: bool = True, x_higher_is_better: bool = True,
 ) -> DataFrame:
-    """Points no other point beats on both axes. Hash slices are reduced to their own frontiers
-    first; only those few survivors are compared with each other."""
+    """Points no other point beats on both axes. Hash slices of bounded size are reduced to their own
+    frontiers first; only those few survivors are compared with each other."""
     sx = F.col(x) if x_higher_is_better else -F.col(x)
     sy = F.col(y) if higher_is_better else -F.col(y)
-    sliced = points.withColumn("_slice", F.pmod(F.xxhash64(name), F.lit(SLICES)))
+    sliced = points.withColumn("_slice", F.pmod(F.xxhash64(name), F.lit(hash_slices(points))))
     local = _not_beaten(sliced, sx, sy, name, *groups, "_slice").drop("_slice")
     return _not_beaten(local.withColumn("_one", F.lit(1)), sx, sy, name, *groups, "_one").drop("_one")
 

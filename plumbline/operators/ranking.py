@@ -149,13 +149,23 @@ def exact_quantiles(
     return ranked.groupBy(*groups).agg(*out).drop("_all")
 
 
+SLICES, SLICE_ROWS = 64, 1_000_000
+
+
+def hash_slices(df: DataFrame) -> int:
+    """Slices that hold about :data:`SLICE_ROWS` rows of ``df`` each, :data:`SLICES` at least."""
+    return max(SLICES, df.count() // SLICE_ROWS + 1)
+
+
 def top_n_per_group(
-    df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], n: int, salts: int = 64,
+    df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], n: int, salts: int | None = None,
     rank: str = "rank",
 ) -> DataFrame:
     """The first ``n`` rows of each group in ``order`` with their rank. Groups are first cut to
-    ``n`` rows per hash slice, so no task sorts more than a slice or ``salts * n`` rows."""
+    ``n`` rows per hash slice (as many slices as :func:`hash_slices` says), so no task sorts more than
+    a slice or ``salts * n`` rows."""
     groups = list(groups)
+    salts = salts or hash_slices(df)
     sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
     local = Window.partitionBy(*groups, "_slice").orderBy(*order)
     final = Window.partitionBy(*groups).orderBy(*order)
