@@ -68,7 +68,9 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     some = not crowded.isEmpty()
 
     def found(filed: DataFrame, keys: list[str], probes: DataFrame) -> DataFrame:
-        return probes.join(filed.select(F.col("fp").alias("v"), *keys), keys).where((F.col("u") > F.col("v")) & near).select("u", "v")
+        # Spark's estimate leaves out that exploding multiplies rows: without the hint it may collect all
+        # probes on the driver to broadcast them.
+        return probes.join(filed.select(F.col("fp").alias("v"), *keys).hint("merge"), keys).where((F.col("u") > F.col("v")) & near).select("u", "v")
 
     keys = ["half", "value"]
     probes = filed.select(F.col("fp").alias("u"), "half", "rest", F.explode(flips).alias("flip"), "value")

@@ -222,6 +222,15 @@ def test_links_within_three_bits_are_complete(spark):
     assert got == want
 
 
+def test_probes_are_not_collected_for_a_broadcast(spark, capsys, monkeypatch):
+    few = spark.range(300).select(F.xxhash64("id").alias("fp"))
+    for crowd in (simhash.CROWD, 0):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        simhash.links(few).explain()
+        plan = capsys.readouterr().out
+        assert plan.count("SortMergeJoin") == (1 if crowd else 2) and "Inner, Build" not in plan
+
+
 def test_keeping_one_of_repeated_rows(spark):
     docs = documents(spark, ["same text here now", "same text here now"]).union(documents(spark, ["same text here now"])).union(documents(spark, [None, ""], first=5))
     nulls = documents(spark, ["another thing entirely said"]).selectExpr("cast(null as bigint) doc_id", "text", "lang", "source", "n_chars")
