@@ -26,6 +26,8 @@ MODULUS = 2**31 - 1
 independent between clusters, pairwise independent between replicates."""
 DEFAULT_RESAMPLES = 10_000
 BCA_MIN_CLUSTERS = 500
+TASK_CLUSTERS, LEAST_CLUSTERS = 1 << 16, 1 << 12
+"""Rows of cluster sums whose weights a task draws; fewer, down to the second, where cores would idle."""
 MOST_SUMS = 1 << 24
 """Running sums (of all groups and replicates) that a task holds, but for one group's."""
 POISSON_STEPS = tuple(
@@ -48,16 +50,18 @@ def with_seeds(df: DataFrame, cluster: Sequence[str], seed: int | str = 0) -> Da
 def replicate_weights(a: np.ndarray, b: np.ndarray, first: int, count: int) -> np.ndarray:
     """``(count, n)`` weights of ``n`` clusters in replicates ``first .. first + count - 1``."""
     modulus = np.uint32(MODULUS)
-    u = ((a + first * b) % MODULUS).astype(np.uint32)
-    step = b.astype(np.uint32)
     grid = np.empty((count, a.shape[0]), dtype=np.uint32)
-    for row in grid:
-        row[:] = u
-        u += step
-        np.minimum(u, u - modulus, out=u)  # below the modulus the difference wraps to a large value
-    weights = np.zeros(grid.shape, dtype=np.int8)
+    grid[0] = (a + first * b) % MODULUS
+    done = 1
+    while done < count:  # the replicates at hand, all moved on by as many
+        now = grid[done : 2 * done]
+        np.add(grid[: len(now)], (done * b % MODULUS).astype(np.uint32), out=now)
+        np.minimum(now, now - modulus, out=now)  # below the modulus the difference wraps to a large value
+        done += len(now)
+    weights, reached = np.zeros(grid.shape, dtype=np.int8), np.empty(grid.shape, dtype=bool)
     for bound in POISSON_STEPS:
-        weights += (grid >= np.uint32(bound)).view(np.int8)
+        np.greater_equal(grid, np.uint32(bound), out=reached)
+        weights += reached.view(np.int8)
     return weights.astype(np.float64)
 
 
@@ -75,17 +79,32 @@ def bootstrap_sums(
     cluster (group columns that are not part of it: systems, arms) are packed side by side and one
     draw of weights serves them all.
     """
+    return resampled_sums(checkpoint(cluster_sums(df, groups, cluster, values)), groups, cluster, values, n_resamples, seed)
+
+
+def resampled_sums(
+    sums: DataFrame,
+    groups: Sequence[str],
+    cluster: Sequence[str],
+    values: Sequence[str],
+    n_resamples: int = DEFAULT_RESAMPLES,
+    seed: int | str = 0,
+) -> DataFrame:
+    """:func:`bootstrap_sums` from the :func:`cluster_sums` of the rows (checkpointed: they are read
+    twice). Tasks get :data:`TASK_CLUSTERS` of them each, however few bytes those are: every cluster
+    costs a weight for each replicate."""
     groups, values, cluster = list(groups), list(values), list(cluster)
     series = [g for g in groups if g not in cluster]
     shared = [g for g in groups if g in cluster]
     columns = ["w", *[f"s_{v}" for v in values]]
-    sums = [F.sum(F.col(v).cast("double")).alias(f"s_{v}") for v in values]
     keys = list(dict.fromkeys([*groups, *cluster]))
-    per_cluster = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("w"), *sums)
+    per_cluster = sums.select(*keys, F.col("_n").cast("double").alias("w"), *[F.col(f"_s_{v}").alias(f"s_{v}") for v in values])
+    n = sums.count()
+    tasks = max(n // TASK_CLUSTERS, min(sums.sparkSession.sparkContext.defaultParallelism, n // LEAST_CLUSTERS)) + 1
     name = F.to_json(F.struct(*series)) if series else F.lit("{}")
     entry = F.struct(name.alias("name"), F.array(*columns).alias("v"))
     # One entry per series of a cluster.
-    packed = per_cluster.groupBy(*cluster).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
+    packed = per_cluster.repartition(tasks, *cluster).groupBy(*cluster).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
     packed = with_seeds(packed, cluster, seed).select(
         *shared, "_a", "_b",
         F.array_join(F.transform("_e", lambda e: e["name"]), "\n").alias("_series"),
@@ -172,12 +191,13 @@ def bootstrap_intervals(
     if not groups:
         whole = df.withColumn("_all", F.lit(1))
         return bootstrap_intervals(whole, ["_all"], cluster, values, n_resamples, seed, level).drop("_all")
-    sums = bootstrap_sums(df, groups, cluster, values, n_resamples, seed)
-    bounds = intervals(df, replicate_means(sums, values), groups, cluster, values, level)
+    sums = checkpoint(cluster_sums(df, groups, cluster, values))
+    means = replicate_means(resampled_sums(sums, groups, cluster, values, n_resamples, seed), values)
+    ends = bounds(stratum_moments(sums, groups, values), means, groups, values, level)
     points = df.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(F.col(v).cast("double")).alias(v) for v in values]
     )
-    return points.join(bounds.drop("n_clusters", "method"), groups)
+    return points.join(ends.drop("n_clusters", "method"), groups)
 
 
 def excludes_zero(low: Column, high: Column) -> Column:
@@ -250,7 +270,10 @@ def jackknife_moments(
     df: DataFrame, groups: Sequence[str], cluster: Sequence[str], value: str
 ) -> DataFrame:
     """Per group: number of clusters, mean, and the acceleration from leave-one-cluster-out means."""
-    moments = stratum_moments(cluster_sums(df, groups, cluster, [value]), groups, [value])
+    return jackknifed(stratum_moments(checkpoint(cluster_sums(df, groups, cluster, [value])), groups, [value]), groups, value)
+
+
+def jackknifed(moments: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     return moments.select(
         *groups, "n_clusters", F.col(f"estimate_{value}").alias("estimate"), acceleration(F.col(f"second_{value}"), F.col(f"third_{value}")).alias("acceleration")
     )
@@ -277,20 +300,6 @@ def _array_quantile(values: Column, level: Column) -> Column:
     return F.get(values, low) * (1 - part) + F.get(values, high) * part
 
 
-def intervals(
-    df: DataFrame,
-    means: DataFrame,
-    groups: Sequence[str],
-    cluster: Sequence[str],
-    values: Sequence[str],
-    level: float = 0.95,
-    min_clusters: int = BCA_MIN_CLUSTERS,
-) -> DataFrame:
-    """:func:`bounds` of the means of ``df`` from their replicates ``means``."""
-    moments = stratum_moments(cluster_sums(df, groups, cluster, values), groups, values)
-    return bounds(moments, means, groups, values, level, min_clusters)
-
-
 def bounds(
     moments: DataFrame,
     means: DataFrame,
@@ -342,12 +351,13 @@ def bca_intervals(
     level: float = 0.95,
     min_clusters: int = BCA_MIN_CLUSTERS,
 ) -> DataFrame:
-    """Mean of ``value`` per group with the interval of :func:`intervals`, its method and the
+    """Mean of ``value`` per group with the interval of :func:`bounds`, its method and the
     acceleration."""
-    means = replicate_means(bootstrap_sums(df, groups, cluster, [value], n_resamples, seed), [value])
-    ends = intervals(df, means, groups, cluster, [value], level, min_clusters)
-    moments = jackknife_moments(df, groups, cluster, value).drop("n_clusters")
-    return ends.join(moments, list(groups)).select(
+    sums = checkpoint(cluster_sums(df, groups, cluster, [value]))
+    means = replicate_means(resampled_sums(sums, groups, cluster, [value], n_resamples, seed), [value])
+    moments = checkpoint(stratum_moments(sums, groups, [value]))
+    ends = bounds(moments, means, groups, [value], level, min_clusters)
+    return ends.join(jackknifed(moments, groups, value).drop("n_clusters"), list(groups)).select(
         *groups, "estimate", F.col(f"low_{value}").alias("low"), F.col(f"high_{value}").alias("high"), "n_clusters", "method", "acceleration"
     )
 
@@ -379,10 +389,22 @@ def macro_intervals(
         whole = df.withColumn("_all", F.lit(1))
         return macro_intervals(whole, ["_all"], cluster, values, n_resamples, seed, level, min_clusters).drop("_all")
     each = [*groups, "benchmark"]
-    macro = macro_replicates(replicate_means(bootstrap_sums(df, each, cluster, values, n_resamples, seed), values), groups, values)
-    strata = checkpoint(stratum_moments(cluster_sums(df, each, cluster, values), each, values))
-    moments = macro_moments(strata, groups, values)
-    ends = bounds(moments, macro, groups, values, level, min_clusters).drop("n_clusters", "method")
+    sums = checkpoint(cluster_sums(df, each, cluster, values))
+    means = replicate_means(resampled_sums(sums, each, cluster, values, n_resamples, seed), values)
+    return macro_ends(checkpoint(stratum_moments(sums, each, values)), means, groups, values, level, min_clusters)
+
+
+def macro_ends(
+    strata: DataFrame,
+    means: DataFrame,
+    groups: Sequence[str],
+    values: Sequence[str],
+    level: float = 0.95,
+    min_clusters: int = BCA_MIN_CLUSTERS,
+) -> DataFrame:
+    """:func:`macro_intervals` from the :func:`stratum_moments` and replicates of the benchmarks."""
+    macro = macro_replicates(means, groups, values)
+    ends = bounds(macro_moments(strata, groups, values), macro, groups, values, level, min_clusters).drop("n_clusters", "method")
     points = strata.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_benchmarks"), *[F.avg(f"estimate_{v}").alias(v) for v in values])
     return points.join(ends, groups)
 

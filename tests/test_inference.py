@@ -82,3 +82,18 @@ def test_mcnemar_with_many_pairs(spark):
 
     z = (4000 - 1) / np.sqrt(10_004_000)
     assert p == pytest.approx(2 * NormalDist().cdf(-z), rel=1e-3)
+
+
+def test_draws_are_dealt_by_clusters_and_rows_read_once(spark, monkeypatch, capsys):
+    df = spark.range(400).select(
+        F.lit("a").alias("system"), F.lit("x").alias("benchmark"), F.col("id").cast("string").alias("question_id"), (F.col("id") % 3).alias("d")
+    )
+    groups, cluster = ["system", "benchmark"], ["benchmark", "question_id"]
+    read = lambda: [(r["r"], r["w"], r["s_d"]) for r in B.bootstrap_sums(df, groups, cluster, ["d"], 20).orderBy("r").collect()]
+    whole = read()
+    monkeypatch.setattr(B, "TASK_CLUSTERS", 30)
+    B.bootstrap_sums(df, groups, cluster, ["d"], 20).explain()
+    assert "REPARTITION_BY_NUM" in capsys.readouterr().out and read() == whole
+    calls, own = [], B.cluster_sums
+    monkeypatch.setattr(B, "cluster_sums", lambda *a: calls.append(a) or own(*a))
+    assert B.bca_intervals(df, groups, cluster, "d", 20).count() == 1 and len(calls) == 1
