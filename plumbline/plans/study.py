@@ -37,15 +37,19 @@ def summarize(
     keys = ["system", "benchmark"]
     scored = cached(with_scores(answers))
     items = ["benchmark", "item_id"]
-    intervals = B.bootstrap_intervals(
-        scored.select(*keys, "item_id", F.col("correct").cast("double").alias("hit")), keys, items, ["hit"], n_resamples, seed
-    ).select(*keys, F.col("low_hit").alias("accuracy_low"), F.col("high_hit").alias("accuracy_high"))
+    values = scored.select(*keys, "item_id", F.col("correct").cast("double").alias("accuracy"), "nll", "brier")
+    # Benchmarks and macro averages share their resamples, and what is drawn of them.
+    sums = checkpoint(B.cluster_sums(values, keys, items, METRICS))
+    means = checkpoint(B.replicate_means(B.resampled_sums(sums, keys, items, METRICS, n_resamples, seed), METRICS))
+    strata = checkpoint(B.stratum_moments(sums, keys, METRICS))
+    intervals = B.bounds(strata, means, keys, ["accuracy"]).select(
+        *keys, F.col("low_accuracy").alias("accuracy_low"), F.col("high_accuracy").alias("accuracy_high")
+    )
     out = S.benchmark_summary(scored, keys).join(intervals, keys)
     if latest is not None:
         counts = R.run_counts(latest, keys).select(*keys, "n_items", "n_errors", "n_cached", "spent_usd")
         out = out.join(counts, keys, "left").join(S.latency_percentiles(latest.where("ok"), keys), keys, "left")
-    values = scored.select("system", *CLUSTER, "item_id", F.col("correct").cast("double").alias("accuracy"), "nll", "brier")
-    macro = B.macro_intervals(values, ["system"], items, METRICS, n_resamples, seed)
+    macro = B.macro_ends(strata, means, ["system"], METRICS)
     totals = [c for c in ("n", "n_items", "n_errors", "n_cached", "spent_usd") if c in out.columns]
     summed = out.groupBy("system").agg(*[F.sum(c).alias(c) for c in totals])
     macro_row = macro.join(summed, "system").select(
@@ -88,8 +92,9 @@ def compare(
         )
     )
     values, items = ["d_accuracy", "d_nll", "d_brier"], ["benchmark", "item_id"]
-    means = checkpoint(B.replicate_means(B.bootstrap_sums(d, ["benchmark"], items, values, n_resamples, seed), values))
-    moments = checkpoint(B.stratum_moments(B.cluster_sums(d, ["benchmark"], items, values), ["benchmark"], values))
+    sums = checkpoint(B.cluster_sums(d, ["benchmark"], items, values))
+    means = checkpoint(B.replicate_means(B.resampled_sums(sums, ["benchmark"], items, values, n_resamples, seed), values))
+    moments = checkpoint(B.stratum_moments(sums, ["benchmark"], values))
     points = d.groupBy("benchmark").agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(v) for v in ("accuracy_a", "accuracy_b", *values)]
     )
@@ -240,14 +245,14 @@ def calibration_study(
         F.sum("n").alias("n"), *[F.avg(m).alias(m) for m in (*METRICS, "ece")]
     ).withColumn("benchmark", F.lit(MACRO))
     all_points = checkpoint(points.unionByName(macro_points))
-    means = B.replicate_means(B.bootstrap_sums(scored, series, CLUSTER, METRICS, n_resamples, seed), METRICS)
+    sums = checkpoint(B.cluster_sums(scored, series, CLUSTER, METRICS))
+    means = B.replicate_means(B.resampled_sums(sums, series, CLUSTER, METRICS, n_resamples, seed), METRICS)
     errors = B.ece_replicates(scored, series, CLUSTER, n_resamples, bins, seed).withColumnRenamed("ece", "m_ece")
     means = checkpoint(means.join(errors, [*series, "r"], "left"))
     every = (*METRICS, "ece")
     macro_means = B.macro_replicates(means, ["system", "arm"], every).withColumn("benchmark", F.lit(MACRO))
     kept = ["system", "arm", "benchmark", "r", *[f"m_{m}" for m in every]]
     replicates = checkpoint(means.select(*kept).unionByName(macro_means.select(*kept)))
-    sums = checkpoint(B.cluster_sums(scored, series, CLUSTER, METRICS))
     estimates = all_points.join(_ends(replicates, sums, ["system", "arm"]), series)
     deltas = _deltas(replicates, sums, all_points, X.RAW, "arm", ["system"], "raw")
     if reference is not None:
