@@ -204,3 +204,12 @@ def test_statistics_as_a_table(spark):
     by = {(r[0], r[1]): dict(zip(head, r)) for r in cells}
     assert [r[1] for r in cells if r[0] == "s0"] == ["b0", "b1", "b2", "b3", "all, macro acc."]
     assert by["s0", "b1"]["Calls/item"] == "2.00" and by["s0", "b1"]["In flight"] == "16" and float(by["s0", "b1"]["GPU-h"]) > 0
+
+
+def test_a_summary_draws_its_resamples_once(spark, monkeypatch):
+    from plumbline.queries import derived
+
+    calls, own = [], B.resampled_sums
+    monkeypatch.setattr(B, "resampled_sums", lambda *a: calls.append(a) or own(*a))
+    got = P.summarize(derived.preds(spark, "/root/testdata/sf0.001"), n_resamples=20).collect()
+    assert len(calls) == 1 and {r["benchmark"] for r in got} == {"b0", "b1", "b2", "b3", "macro"}
