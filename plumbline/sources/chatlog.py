@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import vectors as V
 from plumbline.operators.logprobs import MASKED_LOGPROB, clean_logprob
 from plumbline.operators.ranking import top_n_per_group
+from plumbline.session import checkpoint
 from plumbline.sources.readers import line_order
 
 PAYLOAD_SCHEMA = (
@@ -172,7 +173,9 @@ def structured_profile(
     per = reads.groupBy("request_id").agg(
         F.max("failure").alias("failure"), F.count("value").alias("n_values"), F.sum(F.exp("logprob")).alias("mass"), likeliest.alias("likeliest"),
     )
-    joined = keys.join(per, "request_id")
+    # What is parsed is kept: each aggregate would parse the replies again, and a filter on what was read
+    # would be pushed into the parsing and evaluated for every token.
+    joined = checkpoint(keys.join(per, "request_id"))
     ok = F.col("failure").isNull()
 
     def counted(rows: DataFrame, what: str, name: str) -> DataFrame:
@@ -183,7 +186,7 @@ def structured_profile(
 
     more, texts = [], [counted(joined.where(~ok), "failure", "failures")]
     if positions is not None:
-        joined = joined.join(positions, "request_id", "left")
+        joined = joined.join(checkpoint(positions), "request_id", "left")
         more.append(F.count_if(ok & F.col("merged")).alias("n_merged"))
         texts.append(counted(joined.where(ok & F.col("value_token").isNotNull()), "value_token", "value_positions"))
     if older is not None:

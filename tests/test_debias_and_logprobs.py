@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import questions as Q
 from plumbline.operators import debias as D
 from plumbline.operators import logprobs as L
-from plumbline.sources.chatlog import structured_reads
+from plumbline.sources.chatlog import structured_profile, structured_reads, value_positions
 
 
 def presented(spark, prior, n=40, k=4, seed=0):
@@ -210,3 +210,17 @@ def test_structured_reply_paths(spark):
     assert p["split", "A"] == pytest.approx((0.25 + 0.5 * 0.2) / 0.75) and p["split", "B"] == pytest.approx(0.4 / 0.75)
     assert p["joined", "A"] == pytest.approx(0.25) and p["joined", "B"] == pytest.approx(0.5)
     assert found["split", "B"]["sampled"] and found["joined", "B"]["sampled"] and not found["split", "A"]["sampled"]
+
+
+def test_structured_profile_parses_replies_once(spark, capsys):
+    only = lambda t: token(t, 0.0, [(t, 0.0)])
+    replies = {"r1": [only('{"answer":"'), only("A")], "r2": [only('{"answer'), only('":"B')], "r3": [only("\n")]}
+    rows = [(k, "g", json.dumps({"choices": [{"logprobs": {"content": c}}]}), ["A", "B"]) for k, c in replies.items()]
+    payloads = spark.createDataFrame(rows, "request_id string, benchmark string, payload string, values array<string>")
+    older = spark.createDataFrame([("r1", "A"), ("r2", "A"), ("r2", "B")], "request_id string, value string")
+    profile = structured_profile(structured_reads(payloads), payloads.select("request_id", "benchmark"), F.lit(2), positions=value_positions(payloads), older=older)
+    profile.explain("extended")
+    assert "from_json" not in capsys.readouterr().out
+    got = profile.first()
+    # An older log that repeats a request counts in what is compared, not in positions and failures.
+    assert (got["value_positions"], got["failures"], got["n"], got["n_merged"], got["n_compared"], got["n_agree"]) == ("1=2", "stuck=1", 4, 2, 3, 2)
