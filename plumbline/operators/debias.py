@@ -20,6 +20,8 @@ from plumbline.session import lookup
 PRIOR_FLOOR = 1e-6
 MIN_BATCH = 30
 MAX_FREE_OPTIONS = 32
+DEALT_ROWS = 1 << 15
+"""Presentations (and items) that one task takes."""
 
 
 def log_of(p: Column) -> Column:
@@ -67,11 +69,21 @@ def divide_by_prior(p: Column, prior: Column, free: Column) -> Column:
 # --- presentations -----------------------------------------------------------------------------
 
 
-def average_presentations(shown: DataFrame, keys: Sequence[str]) -> DataFrame:
+def dealt(keys: Sequence[str], *tables: DataFrame) -> list[DataFrame]:
+    """``tables`` dealt out by ``keys``, :data:`DEALT_ROWS` rows a task: presentations are alike, so
+    their bytes in a shuffle, which Spark would cut tasks by, say little of what they take in memory."""
+    tasks = max(1, -(-sum(t.count() for t in tables) // DEALT_ROWS))
+    return [t.repartition(tasks, *keys) for t in tables]
+
+
+def average_presentations(shown: DataFrame, keys: Sequence[str], deal: bool = True) -> DataFrame:
     """(keys, probs): each option's mean probability over presentations, in original order.
 
-    ``shown``: keys, ``order`` (original index at each position) and ``shown_probs`` by position.
+    ``shown``: keys, ``order`` (original index at each position) and ``shown_probs`` by position;
+    without ``deal`` they are dealt out by (some of) the keys already.
     """
+    if deal:
+        (shown,) = dealt(keys, shown)
     by_option = shown.select(*keys, F.posexplode(F.arrays_zip("order", "shown_probs"))).select(
         *keys, F.col("col.order").alias("option"), F.col("col.shown_probs").alias("p")
     )
@@ -82,9 +94,11 @@ def average_presentations(shown: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).select(*keys, V.normalize(F.transform("_o", lambda o: o["p"])).alias("probs"))
 
 
-def full_cycles(shown: DataFrame, keys: Sequence[str], free: str = "free") -> DataFrame:
+def full_cycles(shown: DataFrame, keys: Sequence[str], free: str = "free", deal: bool = True) -> DataFrame:
     """(keys, full): do the presentations show every free option at every free position exactly
     once, fixed positions never moving."""
+    if deal:
+        (shown,) = dealt(keys, shown)
     per_position = (
         shown.withColumn("_n_free", F.size(F.filter(free, lambda f: f)))
         .select(*keys, "_n_free", F.posexplode(F.arrays_zip("order", free)))
@@ -105,9 +119,11 @@ def full_cycles(shown: DataFrame, keys: Sequence[str], free: str = "free") -> Da
     )
 
 
-def item_priors(shown: DataFrame, keys: Sequence[str], free: str = "free") -> DataFrame:
+def item_priors(shown: DataFrame, keys: Sequence[str], free: str = "free", deal: bool = True) -> DataFrame:
     """(keys, pos, prior): softmax over free positions of the mean log-probability by position,
     for questions shown in a full cycle. ``pos`` counts free positions."""
+    if deal:
+        (shown,) = dealt(keys, shown)
     rows = shown.select(*keys, F.posexplode(F.arrays_zip("shown_probs", _free_ranks(F.col(free)).alias("rank"))))
     floored = F.ln(F.greatest(F.col("col.shown_probs"), F.lit(PRIOR_FLOOR)))
     per = (
@@ -155,8 +171,9 @@ def pride_priors(
 ) -> DataFrame:
     """Mean of the full-cycle questions' item priors per prior key. ``item_keys`` identify a
     question and include ``keys``."""
-    full = full_cycles(shown, item_keys).where("full").select(*item_keys)
-    priors = item_priors(shown, item_keys).join(full, list(item_keys), "left_semi")
+    (shown,) = dealt(item_keys, shown)
+    full = full_cycles(shown, item_keys, deal=False).where("full").select(*item_keys)
+    priors = item_priors(shown, item_keys, deal=False).join(full, list(item_keys), "left_semi")
     return _priors(
         priors.select(*keys, "pos", F.col("prior").alias("value")), keys, "pride", min_count
     )
@@ -211,10 +228,11 @@ def debias_offline(
         lacking = [k for k in item if k not in shown.columns]
         if lacking:
             raise ValueError(f"presentations lack {lacking}")
+        shown, items = dealt(item, shown, items)
         tagged = shown.join(items.select(*item, "fold"), item)
         ids = [*item, "fold", "prior_key"]
-        full = full_cycles(tagged, ids).where("full").select(*item)
-        rows = item_priors(tagged, ids).join(full, item, "left_semi")
+        full = full_cycles(tagged, ids, deal=False).where("full").select(*item)
+        rows = item_priors(tagged, ids, deal=False).join(full, item, "left_semi")
         priors = out_of_fold_priors(
             rows.select(*keys, "fold", "pos", F.col("prior").alias("value")), keys, "pride", n_folds
         )
@@ -225,7 +243,7 @@ def debias_offline(
     )
     if method == "pride":
         averaged = average_presentations(
-            tagged.join(full, item, "left_semi"), item
+            tagged.join(full, item, "left_semi"), item, deal=False
         ).withColumnRenamed("probs", "_averaged")
         divided = divided.join(averaged, item, "left").withColumn(
             "debiased", F.coalesce("_averaged", "debiased")

@@ -224,3 +224,13 @@ def test_structured_profile_parses_replies_once(spark, capsys):
     got = profile.first()
     # An older log that repeats a request counts in what is compared, not in positions and failures.
     assert (got["value_positions"], got["failures"], got["n"], got["n_merged"], got["n_compared"], got["n_agree"]) == ("1=2", "stuck=1", 4, 2, 3, 2)
+
+
+def test_presentations_are_dealt_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(D, "DEALT_ROWS", 40, raising=False)
+    shown = presented(spark, [0.4, 0.1, 0.3, 0.2])
+    items = shown.select("item_id", "prior_key", "free", F.lit(0).alias("fold"), F.col("shown_probs").alias("raw")).dropDuplicates(["item_id"])
+    half = shown.where("cast(substr(item_id, 2) as int) % 2 = 0")
+    for out, n in ((D.debias_offline(items, "pride", half), 40), (D.average_presentations(shown, ["item_id"]), 40), (D.full_cycles(shown, ["item_id"]), 40), (D.item_priors(shown, ["item_id"]), 160)):
+        parts = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert len(parts) >= 3 and sum(parts) == n
