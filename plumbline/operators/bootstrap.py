@@ -2,13 +2,15 @@
 
 Every cluster gets weight ``w(cluster, r) ~ Poisson(1)`` in replicate ``r``, a pure function of the
 two, so all systems and arms share their resamples without any table of draws. Tasks keep one
-running sum per (group, replicate) and ship only those, however many rows they read.
+running sum per (group, replicate) and ship only those, however many rows they read. Where clusters
+are many, only part of their weights is drawn one by one, see :func:`strided_sums`.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
@@ -26,10 +28,24 @@ MODULUS = 2**31 - 1
 independent between clusters, pairwise independent between replicates."""
 DEFAULT_RESAMPLES = 10_000
 BCA_MIN_CLUSTERS = 500
-TASK_CLUSTERS, LEAST_CLUSTERS = 1 << 16, 1 << 12
-"""Rows of cluster sums whose weights a task draws; fewer, down to the second, where cores would idle."""
+TASK_CLUSTERS, LEAST_CLUSTERS, MOST_CLUSTERS = 1 << 16, 1 << 12, 1 << 20
+"""Rows of cluster sums whose weights a task draws; fewer, down to the second, where cores would idle,
+and more, up to the third, where there are :data:`TASKS_A_CORE` tasks for each core (every task ships a
+row for each group and replicate)."""
+TASKS_A_CORE, PIECES = 4, 8
+"""Tasks for each core, and pieces of a task whose rows are added up by cluster one after another."""
+HELD_CLUSTERS = 1 << 20
+"""Rows of cluster sums that a task takes at once."""
 MOST_SUMS = 1 << 24
 """Running sums (of all groups and replicates) that a task holds, but for one group's."""
+STRIDE_CLUSTERS, STRIDE_RESAMPLES = 1 << 15, 1 << 10
+"""Least clusters and replicates for :func:`strided_sums`."""
+STRIDE_LANES = 1 << 10
+"""Clusters of one stride whose changes of weight are found at once."""
+DRAWN = 1 << 16
+"""Weights drawn at once."""
+CHANGE_COST = 10.0
+"""What finding one change of a weight costs next to drawing one weight."""
 POISSON_STEPS = tuple(
     int(MODULUS * sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1))) for k in range(10)
 )
@@ -50,21 +66,125 @@ def with_seeds(df: DataFrame, cluster: Sequence[str], seed: int | str = 0) -> Da
 def replicate_weights(a: np.ndarray, b: np.ndarray, first: int, count: int) -> np.ndarray:
     """``(count, n)`` weights of ``n`` clusters in replicates ``first .. first + count - 1``."""
     modulus = np.uint32(MODULUS)
-    grid = np.empty((count, a.shape[0]), dtype=np.uint32)
-    grid[0] = (a + first * b) % MODULUS
+    grid, spare = np.empty((2, count, a.shape[0]), dtype=np.uint32)
+    grid[0], step = (a + first * b) % MODULUS, (b % MODULUS).astype(np.uint32)
     done = 1
     while done < count:  # the replicates at hand, all moved on by as many
         now = grid[done : 2 * done]
-        np.add(grid[: len(now)], (done * b % MODULUS).astype(np.uint32), out=now)
-        np.minimum(now, now - modulus, out=now)  # below the modulus the difference wraps to a large value
+        less = spare[: len(now)]
+        np.add(grid[: len(now)], step, out=now)
+        np.minimum(now, np.subtract(now, modulus, out=less), out=now)  # below the modulus the difference wraps to a large value
         done += len(now)
+        step = step + step
+        step = np.minimum(step, step - modulus)
     weights, reached = np.zeros(grid.shape, dtype=np.int8), np.empty(grid.shape, dtype=bool)
+    place = grid.view(np.int32)
     for bound in POISSON_STEPS:
-        np.greater_equal(grid, np.uint32(bound), out=reached)
+        np.greater_equal(place, np.int32(bound), out=reached)
         weights += reached.view(np.int8)
     return weights.astype(np.float64)
 
 
+def _strides(b: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """For every step ``b`` the stride of replicates after which ``r * b`` comes back to nearly the same
+    place, at the least cost for ``n`` replicates: a convergent's denominator q, how far off it is, to
+    which side, and denominator and distance of the convergent after it."""
+    q, off = np.ones(len(b)), b.astype(np.float64)
+    q_before, off_before, side = np.zeros(len(b)), np.full(len(b), float(MODULUS)), 1.0
+    best, out = np.full(len(b), np.inf), [np.zeros(len(b)) for _ in range(5)]
+    a_change = CHANGE_COST * (len(POISSON_STEPS) + 1) * n / MODULUS
+    while True:
+        on = off > 0  # else the place is met exactly
+        times = np.floor(off_before / np.where(on, off, 1.0))
+        q_next = np.where(on, q_before + times * q, float(MODULUS))
+        off_next = np.where(on, off_before - times * off, 0.0)
+        cost = q + a_change * off
+        better = (cost < best) & (q <= n)
+        np.copyto(best, cost, where=better)
+        for held, now in zip(out, (q, off, side * on, q_next, off_next), strict=True):
+            np.copyto(held, now, where=better)
+        if not (q_next < np.minimum(best, n)).any():
+            return tuple(out)
+        q_before, off_before, q, off, side = q, off, q_next, off_next, -side
+
+
+def _changes(a: np.ndarray, q: int, off: np.ndarray, side: np.ndarray, q_next: np.ndarray, off_next: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Replicates from ``q`` on, one row each (``n`` where there is none), in which a cluster has another
+    weight than ``q`` replicates before, per Poisson step and for the end of the modulus; and by how much.
+
+    In ``q`` replicates a cluster moves by ``off`` to one ``side``, so a step is crossed where the cluster
+    lies less than ``off`` beyond it. Visits of a stretch as long as that are numbered by j: each is
+    ``q_next``, or ``q_next + q``, replicates after the one before and ``off_next`` to the other side,
+    modulo the stretch. All figures are integers below 2**53, and so are exact."""
+    marks = np.array([*POISSON_STEPS, 0], dtype=np.float64)[:, None]
+    moved = side * q
+    place = a - (marks - np.where(side < 0, off, 0.0))
+    place = place + np.where(place < 0, float(MODULUS), 0.0)
+    place = place - np.where(place >= MODULUS, float(MODULUS), 0.0)
+    length, shift = np.where(off > 0, off, 1.0), side * off_next
+    j = np.floor((off * q + moved * place - np.where(side > 0, q * off, 0.0)) / MODULUS)
+    for _ in range(2):  # the first visit from replicate q on
+        j += j * q_next - moved * np.floor((place - j * shift) / length) < q
+    visits = np.arange(int(n * off.max() / MODULUS) + 2, dtype=np.float64)[:, None, None]
+    at = (place - j * shift) - visits * shift
+    at /= length
+    np.floor(at, out=at)
+    at *= -moved
+    at += j * q_next
+    at += visits * q_next
+    np.minimum(at, float(n), out=at)
+    jumps = np.ones(len(marks))
+    jumps[-1] = -len(POISSON_STEPS)
+    return at.astype(np.intp), jumps[:, None] * side
+
+
+def strided_sums(a: np.ndarray, b: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """``(n, columns)`` sums of ``x`` weighted by :func:`replicate_weights`, the same integers times the
+    same figures, without drawing each of the ``n`` weights of a cluster.
+
+    ``a + r * b`` comes back to nearly the same place after a stride of q replicates. So the weight in
+    replicate r is that of replicate ``r - q`` but for few changes, where the place has moved across a
+    Poisson step. The first q weights are drawn, the changes are added up by replicate, and running sums
+    along the stride give the rest: about sqrt(n) figures a cluster in place of n."""
+    q, off, side, q_next, off_next = _strides(b, n)
+    order = np.argsort(q, kind="stable")
+    q, off, side, q_next, off_next, a, b = (v[order] for v in (q, off, side, q_next, off_next, a, b))
+    x = np.ascontiguousarray(x[order].T)
+    out = np.zeros((len(x), n))
+    firsts = np.flatnonzero(np.diff(q, prepend=0.0))
+    for first, last in zip(firsts, [*firsts[1:], len(q)], strict=True):
+        stride = int(q[first])
+        sums = np.zeros((len(x), -(-n // stride) * stride))
+        for i in range(first, last, STRIDE_LANES):
+            rows = slice(i, min(i + STRIDE_LANES, last))
+            at, jumps = _changes(a[rows].astype(np.float64), stride, off[rows], side[rows], q_next[rows], off_next[rows], n)
+            for k, value in enumerate(x[:, rows]):
+                sums[k, :n] += np.bincount(at.ravel(), np.broadcast_to(jumps * value, at.shape).ravel(), n + 1)[:n]
+            block = max(1, DRAWN // at.shape[-1])
+            for r in range(0, stride, block):
+                size = min(block, stride - r)
+                sums[:, r : r + size] += x[:, rows] @ replicate_weights(a[rows], b[rows], r, size).T
+        sums = sums.reshape(len(x), -1, stride)
+        for turn in range(1, sums.shape[1]):
+            sums[:, turn] += sums[:, turn - 1]
+        out += sums.reshape(len(x), -1)[:, :n]
+    return out.T
+
+
+def weighted_sums(a: np.ndarray, b: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """``(n, columns)`` sums of ``x`` over clusters, weighted as in each of ``n`` replicates."""
+    if len(a) >= STRIDE_CLUSTERS and n >= STRIDE_RESAMPLES:
+        return strided_sums(a, b, x, n)
+    out = np.zeros((n, x.shape[1]))
+    block_rows, block_reps = 2048, 64
+    for i in range(0, len(a), block_rows):
+        rows = slice(i, i + block_rows)
+        for r in range(0, n, block_reps):
+            size = min(block_reps, n - r)
+            out[r : r + size] += replicate_weights(a[rows], b[rows], r, size) @ x[rows]
+    return out
+
+
 def bootstrap_sums(
     df: DataFrame,
     groups: Sequence[str],
@@ -82,6 +202,39 @@ def bootstrap_sums(
     return resampled_sums(checkpoint(cluster_sums(df, groups, cluster, values)), groups, cluster, values, n_resamples, seed)
 
 
+def draw_tasks(totals: DataFrame) -> int:
+    """Tasks that draw the weights of as many rows as there are in all groups, however few bytes those are:
+    every cluster costs weights of all replicates."""
+    n = totals.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    cores = totals.sparkSession.sparkContext.defaultParallelism
+    return max(n // MOST_CLUSTERS, min(max(n // TASK_CLUSTERS, min(cores, n // LEAST_CLUSTERS)), TASKS_A_CORE * cores)) + 1
+
+
+def group_totals(rows: DataFrame, groups: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Per group of rows its number ``_g``, rows ``_size`` and sums ``_sum_<value>``, as a lookup."""
+    sums = [F.sum(F.col(v).cast("double")).alias(f"_sum_{v}") for v in values]
+    return _numbered(rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"), *sums), groups)
+
+
+def _numbered(totals: DataFrame, groups: Sequence[str]) -> DataFrame:
+    # One row per group.
+    return lookup(totals.withColumn("_g", F.row_number().over(Window.orderBy(*groups)) - 1))
+
+
+def _with_totals(df: DataFrame, totals: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """``df`` with the columns of its group (NULL is a group too)."""
+    named = totals.select(*[c for c in totals.columns if c not in groups], *[F.col(g).alias(f"_of_{g}") for g in groups])
+    same = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in groups])
+    return df.join(named, same).drop(*[f"_of_{g}" for g in groups])
+
+
+def _away(values: Sequence[str]) -> list[Column]:
+    """How far the mean without a cluster lies from the group's; moments about that keep the cubes free
+    of cancellation. NULL where there is no other cluster."""
+    rest = F.col("_size") - F.col("_n")
+    return [(F.try_divide(F.col(f"_sum_{v}") - F.col(f"_s_{v}"), rest) - F.col(f"_sum_{v}") / F.col("_size")).alias(f"_d_{v}") for v in values]
+
+
 def resampled_sums(
     sums: DataFrame,
     groups: Sequence[str],
@@ -89,74 +242,112 @@ def resampled_sums(
     values: Sequence[str],
     n_resamples: int = DEFAULT_RESAMPLES,
     seed: int | str = 0,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
-    """:func:`bootstrap_sums` from the :func:`cluster_sums` of the rows (checkpointed: they are read
-    twice). Tasks get :data:`TASK_CLUSTERS` of them each, however few bytes those are: every cluster
-    costs a weight for each replicate."""
+    """:func:`bootstrap_sums` from the :func:`cluster_sums` of the rows, which are checkpointed and dealt
+    to :func:`draw_tasks`. With the :func:`group_totals` of the rows they are read once as they are dealt
+    (by cluster, in more pieces than tasks), and rows of replicates -4 to -1 tell :func:`told_moments` what it needs."""
     groups, values, cluster = list(groups), list(values), list(cluster)
-    series = [g for g in groups if g not in cluster]
-    shared = [g for g in groups if g in cluster]
+    if not groups:
+        return resampled_sums(sums.withColumn("_all", F.lit(1)), ["_all"], cluster, values, n_resamples, seed, totals).drop("_all")
     columns = ["w", *[f"s_{v}" for v in values]]
-    keys = list(dict.fromkeys([*groups, *cluster]))
-    per_cluster = sums.select(*keys, F.col("_n").cast("double").alias("w"), *[F.col(f"_s_{v}").alias(f"s_{v}") for v in values])
-    n = sums.count()
-    tasks = max(n // TASK_CLUSTERS, min(sums.sparkSession.sparkContext.defaultParallelism, n // LEAST_CLUSTERS)) + 1
-    name = F.to_json(F.struct(*series)) if series else F.lit("{}")
-    entry = F.struct(name.alias("name"), F.array(*columns).alias("v"))
-    # One entry per series of a cluster.
-    packed = per_cluster.repartition(tasks, *cluster).groupBy(*cluster).agg(F.sort_array(F.collect_list(entry)).alias("_e"))
-    packed = with_seeds(packed, cluster, seed).select(
-        *shared, "_a", "_b",
-        F.array_join(F.transform("_e", lambda e: e["name"]), "\n").alias("_series"),
-        F.flatten(F.transform("_e", lambda e: e["v"])).alias("_x"),
-    )
+    told_too = totals is not None
+    if not told_too:
+        totals = _numbered(sums.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size")), groups)
+    tasks = draw_tasks(totals)
+    if not told_too:
+        sums = sums.repartition(tasks, *cluster)
+    away = _away(values) if told_too else []
+    n_groups, width = totals.count(), len(columns)
+    per_cluster = _with_totals(with_seeds(sums, cluster, seed), totals, groups).select(
+        F.col("_g"), "_a", "_b", F.col("_n").cast("double").alias("w"), *[F.col(f"_s_{v}").alias(f"s_{v}") for v in values], *away
+    ).coalesce(tasks)
     schema = T.StructType(
-        [packed.schema[g] for g in shared]
-        + [T.StructField("_name", T.StringType()), T.StructField("r", T.IntegerType())]
-        + [T.StructField(c, T.DoubleType()) for c in columns]
+        [T.StructField("_g", T.IntegerType()), T.StructField("r", T.IntegerType())] + [T.StructField(c, T.DoubleType()) for c in columns]
     )
-    block_rows, block_reps, width = 2048, 128, len(columns)
-
-    def told(totals: dict[tuple, np.ndarray]) -> Iterator[pd.DataFrame]:
-        for key, acc in totals.items():
-            for i, series_name in enumerate(key[-1].split("\n")):
-                out = pd.DataFrame(acc[:, i * width : (i + 1) * width], columns=columns)
-                out.insert(0, "r", np.arange(n_resamples, dtype=np.int32))
-                out.insert(0, "_name", series_name)
-                for j, (column, value) in enumerate(zip(shared, key, strict=False)):
-                    out.insert(j, column, value)
-                yield out
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[tuple, np.ndarray] = {}
+    def told(g: int, first: int, sums: np.ndarray) -> pd.DataFrame:
+        out = pd.DataFrame(sums, columns=columns)
+        out.insert(0, "r", np.arange(first, first + len(sums), dtype=np.int32))
+        out.insert(0, "_g", np.int32(g))
+        return out
+
+    def alike(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Groups (of several series) and row numbers of clusters that have rows in the same groups: one
+        draw of their weights serves all series."""
+        g, a, b = (rows[c].to_numpy(np.int64) for c in ("_g", "_a", "_b"))
+        order = np.lexsort((g, a * MODULUS + b))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        size = np.diff(first, append=len(order))
+        for n in np.unique(size):
+            at = order[first[size == n][:, None] + np.arange(n)]
+            name = g[at[:, 0]]
+            for k in range(1, n):
+                name = np.unique(name * n_groups + g[at[:, k]], return_inverse=True)[1]
+            place = np.argsort(name, kind="stable")
+            for part in np.split(place, np.flatnonzero(np.diff(name[place])) + 1):
+                yield g[at[part[0]]], at[part]
+
+    def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
         for pdf in batches:
-            for key, part in pdf.groupby([*shared, "_series"], sort=False, dropna=False):
-                x = np.stack(part["_x"].to_numpy())
-                if key not in totals:
-                    # Sums add up however they are cut, so a task passes on what it holds and goes on.
-                    if totals and n_resamples * x.shape[1] + sum(acc.size for acc in totals.values()) > MOST_SUMS:
-                        yield from told(totals)
-                        totals = {}
-                    totals[key] = np.zeros((n_resamples, x.shape[1]))
-                acc = totals[key]
-                a, b = part["_a"].to_numpy(np.int64), part["_b"].to_numpy(np.int64)
-                for i in range(0, len(part), block_rows):
-                    rows = slice(i, i + block_rows)
-                    for r in range(0, n_resamples, block_reps):
-                        size = min(block_reps, n_resamples - r)
-                        acc[r : r + size] += replicate_weights(a[rows], b[rows], r, size) @ x[rows]
-        yield from told(totals)
-
-    partials = packed.mapInPandas(partial, schema).groupBy(*shared, "_name", "r").agg(
-        *[F.sum(c).alias(c) for c in columns]
-    )
-    if not series:
-        return partials.select(*groups, "r", *columns)
-    fields = T.StructType([per_cluster.schema[g] for g in series])
-    named = partials.withColumn("_g", F.from_json("_name", fields))
-    return named.select(
-        *[F.col(f"_g.{g}").alias(g) if g in series else F.col(g) for g in groups], "r", *columns
-    )
+            held.append(pdf)
+            n += len(pdf)
+            if n >= HELD_CLUSTERS:
+                yield pd.concat(held)
+                held, n = [], 0
+        if n:
+            yield pd.concat(held)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        np.empty(31 << 20, np.int8)  # freed at once: from then on the allocator keeps blocks up to that size
+        totals: dict[int, np.ndarray] = {}
+        powers = np.zeros((n_groups, 4, width))
+        for rows in taken(batches):
+            x = rows[columns].to_numpy(np.float64)
+            if told_too:
+                g, d = rows["_g"].to_numpy(np.int64), rows.iloc[:, -len(values) :].to_numpy(np.float64)
+                size = np.bincount(g, minlength=n_groups)
+                known = ~np.isnan(d)
+                d, power = np.where(known, d, 0.0), known.astype(np.float64)
+                for k in range(4):
+                    powers[:, k, 0] += size
+                    for i in range(1, width):
+                        powers[:, k, i] += np.bincount(g, power[:, i - 1], n_groups)
+                    power *= d
+            a, b = rows["_a"].to_numpy(np.int64), rows["_b"].to_numpy(np.int64)
+            for series, at in alike(rows):
+                drawn = weighted_sums(a[at[:, 0]], b[at[:, 0]], x[at].reshape(len(at), -1), n_resamples)
+                for i, g in enumerate(series):
+                    if g not in totals:
+                        # Sums add up however they are cut, so a task passes on what it holds and goes on.
+                        if totals and (len(totals) + 1) * n_resamples * width > MOST_SUMS:
+                            yield from (told(k, 0, acc) for k, acc in totals.items())
+                            totals = {}
+                        totals[g] = np.zeros((n_resamples, width))
+                    totals[g] += drawn[:, i * width : (i + 1) * width]
+        yield from (told(k, 0, acc) for k, acc in totals.items())
+        yield from (told(k, -4, powers[k]) for k in np.flatnonzero(powers[:, 0, 0]))
+
+    partials = per_cluster.mapInPandas(partial, schema).groupBy("_g", "r").agg(*[F.sum(c).alias(c) for c in columns])
+    return partials.join(totals.select("_g", *groups), "_g").select(*groups, "r", *columns)
+
+
+def strata_and_means(
+    df: DataFrame,
+    groups: Sequence[str],
+    cluster: Sequence[str],
+    values: Sequence[str],
+    n_resamples: int = DEFAULT_RESAMPLES,
+    seed: int | str = 0,
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`stratum_moments` and :func:`replicate_means` of rows (cached: they are added up by group, and
+    then dealt by cluster), whose cluster sums are made and read once and never written."""
+    totals = group_totals(df, groups, values)
+    sums = cluster_sums(df.repartition(PIECES * draw_tasks(totals), *cluster), groups, cluster, values)
+    drawn = checkpoint(resampled_sums(sums, groups, cluster, values, n_resamples, seed, totals))
+    return checkpoint(told_moments(drawn, totals, groups, values)), replicate_means(drawn.where("r >= 0"), values)
 
 
 def replicate_means(sums: DataFrame, values: Sequence[str]) -> DataFrame:
@@ -233,12 +424,24 @@ def stratum_moments(sums: DataFrame, groups: Sequence[str], values: Sequence[str
     totals = sums.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n_clusters"), F.sum("_n").alias("_size"), *[F.sum(f"_s_{v}").alias(f"_sum_{v}") for v in values]
     )
-    rest = F.col("_size") - F.col("_n")
-    # Moments about the estimate keep the cubes free of cancellation.
-    away = {f"_d_{v}": F.try_divide(F.col(f"_sum_{v}") - F.col(f"_s_{v}"), rest) - F.col(f"_sum_{v}") / F.col("_size") for v in values}
     powers = [F.avg(F.pow(f"_d_{v}", F.lit(k))).alias(f"_m{k}_{v}") for v in values for k in (1, 2, 3)]
     firsts = [F.first(F.col(f"_sum_{v}") / F.col("_size")).alias(f"estimate_{v}") for v in values]
-    moments = sums.join(lookup(totals), groups).withColumns(away).groupBy(*groups).agg(F.first("n_clusters").alias("n_clusters"), *firsts, *powers)
+    away = sums.join(lookup(totals), groups).select("*", *_away(values))
+    return _central(away.groupBy(*groups).agg(F.first("n_clusters").alias("n_clusters"), *firsts, *powers), groups, values)
+
+
+def told_moments(drawn: DataFrame, totals: DataFrame, groups: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """:func:`stratum_moments` from the rows below replicate 0 that :func:`resampled_sums` tells of groups
+    with ``totals``: powers 0 to 3 of how far each cluster is away, added up."""
+    power = F.col("r") + 4
+    of = lambda k, c: F.max(F.when(power == k, F.col(c)))
+    means = [F.try_divide(of(k, f"s_{v}"), of(0, f"s_{v}")).alias(f"_m{k}_{v}") for v in values for k in (1, 2, 3)]
+    told = drawn.where("r < 0").groupBy(*groups).agg(F.max("w").cast("bigint").alias("n_clusters"), *means)
+    estimates = [(F.col(f"_sum_{v}") / F.col("_size")).alias(f"estimate_{v}") for v in values]
+    return _central(_with_totals(told, totals, groups).select("*", *estimates), groups, values)
+
+
+def _central(moments: DataFrame, groups: Sequence[str], values: Sequence[str]) -> DataFrame:
     out = []
     for v in values:
         m1, m2, m3 = (F.coalesce(F.col(f"_m{k}_{v}"), F.lit(0.0)) for k in (1, 2, 3))

@@ -18,6 +18,10 @@ BENCHMARK_ORDER = (
 )
 EXCLUDED_BENCHMARKS = ("yelp_stars",)
 DEFAULT_BINS = 10
+SUMMARY_COLUMNS = (
+    "item_id", "correct", "abstained", "p_gold", "nll", "brier", "abs_error", "within_one", "confidence", "idk_idx",
+)
+"""What summaries read of scored answers."""
 
 
 def as_double(c: str | Column) -> Column:
@@ -156,15 +160,17 @@ def score_summary(df: DataFrame, groups: Sequence[str]) -> DataFrame:
 def benchmark_summary(df: DataFrame, groups: Sequence[str] = ("system", "benchmark"), bins: int = DEFAULT_BINS) -> DataFrame:
     """:func:`score_summary` plus the equal-mass calibration error."""
     groups = list(groups)
-    needed = [
-        "item_id", "correct", "abstained", "p_gold", "nll", "brier", "abs_error", "within_one", "confidence", "idk_idx",
-    ]
-    scores = cached(df.select(*groups, *needed))
-    summary = checkpoint(score_summary(scores, groups).join(ece_equal_mass(scores, groups, bins), groups))
+    scores = cached(df.select(*groups, *SUMMARY_COLUMNS))
+    summary = summary_of(scores, groups, bins)
     scores.unpersist()
     return summary
 
 
+def summary_of(scores: DataFrame, groups: Sequence[str], bins: int = DEFAULT_BINS) -> DataFrame:
+    """:func:`benchmark_summary` of scores that are cached, or cheap to read more than once."""
+    return checkpoint(score_summary(scores, groups).join(ece_equal_mass(scores, groups, bins), list(groups)))
+
+
 def macro_average(
     per_benchmark: DataFrame, groups: Sequence[str], metrics: Sequence[str]
 ) -> DataFrame:

@@ -35,17 +35,15 @@ def summarize(
     ``latest`` records: system, benchmark, ok, cached, cost_usd, latency_ms) errors, cache hits,
     spend and latency percentiles."""
     keys = ["system", "benchmark"]
-    scored = cached(with_scores(answers))
+    scored = cached(with_scores(answers).select(*keys, *S.SUMMARY_COLUMNS))
     items = ["benchmark", "item_id"]
     values = scored.select(*keys, "item_id", F.col("correct").cast("double").alias("accuracy"), "nll", "brier")
     # Benchmarks and macro averages share their resamples, and what is drawn of them.
-    sums = checkpoint(B.cluster_sums(values, keys, items, METRICS))
-    means = checkpoint(B.replicate_means(B.resampled_sums(sums, keys, items, METRICS, n_resamples, seed), METRICS))
-    strata = checkpoint(B.stratum_moments(sums, keys, METRICS))
+    strata, means = B.strata_and_means(values, keys, items, METRICS, n_resamples, seed)
     intervals = B.bounds(strata, means, keys, ["accuracy"]).select(
         *keys, F.col("low_accuracy").alias("accuracy_low"), F.col("high_accuracy").alias("accuracy_high")
     )
-    out = S.benchmark_summary(scored, keys).join(intervals, keys)
+    out = S.summary_of(scored, keys).join(intervals, keys)
     if latest is not None:
         counts = R.run_counts(latest, keys).select(*keys, "n_items", "n_errors", "n_cached", "spent_usd")
         out = out.join(counts, keys, "left").join(S.latency_percentiles(latest.where("ok"), keys), keys, "left")

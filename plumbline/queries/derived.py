@@ -23,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of an input with fewer files than shuffle partitions dealt over those (a small file has one
-    row group, so one task would do all the work); larger inputs stay as they are read."""
+    """Rows of an input read in few pieces dealt over the shuffle partitions (a small file has one row
+    group, so one task would do all the work); inputs in as many pieces, or four for each core, stay as
+    they are read."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts) if len(df.inputFiles()) < parts else df
+    enough = min(parts, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(parts) if df.rdd.getNumPartitions() < enough else df
 
 
 def _rounded(p):

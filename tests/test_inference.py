@@ -97,3 +97,44 @@ def test_draws_are_dealt_by_clusters_and_rows_read_once(spark, monkeypatch, caps
     calls, own = [], B.cluster_sums
     monkeypatch.setattr(B, "cluster_sums", lambda *a: calls.append(a) or own(*a))
     assert B.bca_intervals(df, groups, cluster, "d", 20).count() == 1 and len(calls) == 1
+
+
+@pytest.mark.parametrize(("n", "resamples"), [(3000, 10_000), (500, 37), (500, 1), (2000, 997)])
+def test_strided_sums_are_those_of_drawn_weights(n, resamples):
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, B.MODULUS, n), rng.integers(0, B.MODULUS, n)
+    b[:8] = [0, 1, 2, B.MODULUS - 1, B.MODULUS // 2, B.MODULUS // 3, B.POISSON_STEPS[0], B.POISSON_STEPS[-1]]
+    a[6:11] = [0, B.MODULUS - 1, B.POISSON_STEPS[0], B.POISSON_STEPS[0] - 1, B.POISSON_STEPS[-1]]
+    x = np.column_stack([rng.integers(1, 9, n), rng.normal(size=n)]).astype(float)
+    want = np.concatenate([B.replicate_weights(a, b, r, min(100, resamples - r)) @ x for r in range(0, resamples, 100)])
+    got = B.strided_sums(a, b, x, resamples)
+    assert (got[:, 0] == want[:, 0]).all() and np.allclose(got, want, rtol=0, atol=1e-9)
+
+
+def test_few_weights_are_drawn_where_clusters_are_many(monkeypatch):
+    rng = np.random.default_rng(3)
+    n = B.STRIDE_CLUSTERS
+    drawn, own = [], B.replicate_weights
+    monkeypatch.setattr(B, "replicate_weights", lambda a, b, r, size: drawn.append(len(a) * size) or own(a, b, r, size))
+    sums = B.weighted_sums(rng.integers(0, B.MODULUS, n), rng.integers(0, B.MODULUS, n), np.ones((n, 1)), B.DEFAULT_RESAMPLES)
+    assert sum(drawn) < n * B.DEFAULT_RESAMPLES / 10
+    assert sums.mean() == pytest.approx(n, rel=1e-3) and sums.var() == pytest.approx(n, rel=0.1)
+
+
+def test_moments_and_means_of_rows_read_once(spark, monkeypatch):
+    rows = [(s, f"b{i % 2}" if i % 7 else None, f"i{i // 2}", float(i % 5), None if i % 11 == 0 else float(i)) for i in range(300) for s in "xy"]
+    df = spark.createDataFrame([*rows, ("z", "b0", "lone", 1.0, 2.0)], "system string, benchmark string, item_id string, u double, v double")
+    groups, cluster, values = ["system", "benchmark"], ["benchmark", "item_id"], ["u", "v"]
+    told = lambda d: {(r["system"], r["benchmark"]): r.asDict() for r in d.collect()}
+    whole = B.bootstrap_sums(df.drop("v"), groups, cluster, ["u"], 30)
+    strata = told(B.stratum_moments(B.cluster_sums(df, groups, cluster, values), groups, values))
+    written, own = [], B.checkpoint
+    monkeypatch.setattr(B, "checkpoint", lambda d: written.append(d.columns) or own(d))
+    moments, means = B.strata_and_means(df, groups, cluster, values, 30)
+    assert not any("item_id" in columns for columns in written)
+    got = told(moments)
+    assert set(got) == {*strata, ("x", None), ("y", None)}
+    for key, row in strata.items():
+        assert [got[key][c] for c in row if c not in groups] == pytest.approx([row[c] for c in row if c not in groups], rel=1e-9, abs=1e-15)
+    read = lambda d: sorted(((str(r["system"]), str(r["benchmark"]), r["r"]), r["w"], r["s_u"]) for r in d.collect())
+    assert read(means) == read(whole) and len(read(whole)) == 7 * 30
