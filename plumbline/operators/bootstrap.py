@@ -38,7 +38,7 @@ HELD_CLUSTERS = 1 << 20
 """Rows of cluster sums that a task takes at once."""
 MOST_SUMS = 1 << 24
 """Running sums (of all groups and replicates) that a task holds, but for one group's."""
-STRIDE_CLUSTERS, STRIDE_RESAMPLES = 1 << 15, 1 << 10
+STRIDE_CLUSTERS, STRIDE_RESAMPLES = 1 << 14, 1 << 10
 """Least clusters and replicates for :func:`strided_sums`."""
 STRIDE_LANES = 1 << 10
 """Clusters of one stride whose changes of weight are found at once."""
@@ -85,10 +85,10 @@ def replicate_weights(a: np.ndarray, b: np.ndarray, first: int, count: int) -> n
     return weights.astype(np.float64)
 
 
-def _strides(b: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-    """For every step ``b`` the stride of replicates after which ``r * b`` comes back to nearly the same
-    place, at the least cost for ``n`` replicates: a convergent's denominator q, how far off it is, to
-    which side, and denominator and distance of the convergent after it."""
+def _strides(b: np.ndarray, n: int, most: float) -> tuple[np.ndarray, ...]:
+    """For every step ``b`` the stride of replicates, ``most`` at most, after which ``r * b`` comes back to
+    nearly the same place, at the least cost for ``n`` replicates: a convergent's denominator q, how far
+    off it is, to which side, and denominator and distance of the convergent after it."""
     q, off = np.ones(len(b)), b.astype(np.float64)
     q_before, off_before, side = np.zeros(len(b)), np.full(len(b), float(MODULUS)), 1.0
     best, out = np.full(len(b), np.inf), [np.zeros(len(b)) for _ in range(5)]
@@ -99,11 +99,11 @@ def _strides(b: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
         q_next = np.where(on, q_before + times * q, float(MODULUS))
         off_next = np.where(on, off_before - times * off, 0.0)
         cost = q + a_change * off
-        better = (cost < best) & (q <= n)
+        better = (cost < best) & (q <= most)
         np.copyto(best, cost, where=better)
         for held, now in zip(out, (q, off, side * on, q_next, off_next), strict=True):
             np.copyto(held, now, where=better)
-        if not (q_next < np.minimum(best, n)).any():
+        if not (q_next < np.minimum(best, most)).any():
             return tuple(out)
         q_before, off_before, q, off, side = q, off, q_next, off_next, -side
 
@@ -125,7 +125,8 @@ def _changes(a: np.ndarray, q: int, off: np.ndarray, side: np.ndarray, q_next: n
     j = np.floor((off * q + moved * place - np.where(side > 0, q * off, 0.0)) / MODULUS)
     for _ in range(2):  # the first visit from replicate q on
         j += j * q_next - moved * np.floor((place - j * shift) / length) < q
-    visits = np.arange(int(n * off.max() / MODULUS) + 2, dtype=np.float64)[:, None, None]
+    most = np.minimum((n - 1 - q) // q_next + 1, (n - q) * off // MODULUS + 2).max()
+    visits = np.arange(max(most, 0.0))[:, None, None]
     at = (place - j * shift) - visits * shift
     at /= length
     np.floor(at, out=at)
@@ -146,7 +147,9 @@ def strided_sums(a: np.ndarray, b: np.ndarray, x: np.ndarray, n: int) -> np.ndar
     replicate r is that of replicate ``r - q`` but for few changes, where the place has moved across a
     Poisson step. The first q weights are drawn, the changes are added up by replicate, and running sums
     along the stride give the rest: about sqrt(n) figures a cluster in place of n."""
-    q, off, side, q_next, off_next = _strides(b, n)
+    # Every stride has running sums of its own, so fewer are used where clusters are few.
+    most = max(1.0, min(7.0 * n**0.5, 3.0 * len(b) ** 0.5, n))
+    q, off, side, q_next, off_next = _strides(b, n, most)
     order = np.argsort(q, kind="stable")
     q, off, side, q_next, off_next, a, b = (v[order] for v in (q, off, side, q_next, off_next, a, b))
     x = np.ascontiguousarray(x[order].T)
@@ -276,12 +279,13 @@ def resampled_sums(
         """Groups (of several series) and row numbers of clusters that have rows in the same groups: one
         draw of their weights serves all series."""
         g, a, b = (rows[c].to_numpy(np.int64) for c in ("_g", "_a", "_b"))
-        order = np.lexsort((g, a * MODULUS + b))
+        order = np.argsort(a * MODULUS + b)
         a, b = a[order], b[order]
         first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         size = np.diff(first, append=len(order))
         for n in np.unique(size):
             at = order[first[size == n][:, None] + np.arange(n)]
+            at = np.take_along_axis(at, np.argsort(g[at], axis=1), axis=1) if n > 1 else at
             name = g[at[:, 0]]
             for k in range(1, n):
                 name = np.unique(name * n_groups + g[at[:, k]], return_inverse=True)[1]

@@ -9,12 +9,13 @@ position into a global rank.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import tie_key
-from plumbline.session import checkpoint, lookup
+from plumbline.session import broadcast_if_small, cached, checkpoint, lookup
 
 
 def sorted_once(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -116,6 +117,81 @@ def equal_mass_bins(
     )
 
 
+CELLS, TIE_DIGITS = 4096, 3
+"""Cells that :func:`equal_mass_sums` cuts a group or cell into: by value, or by as many hex digits of an
+item's hash where all values are equal."""
+SORTED_ROWS = 1 << 18
+"""Rows of cut cells that it sorts rather than cutting them once more."""
+MOST_CUTS = 4
+
+
+def equal_mass_sums(
+    df: DataFrame, groups: Sequence[str], value: str, item: str, hit: Column, bins: int
+) -> DataFrame:
+    """(groups, bin): rows ``n``, ``low`` and ``high`` value, and number and sum of values (``n_value``,
+    ``sum_value``) and of ``hit``: the rows of :func:`equal_mass_bins`, added up without sorting them all.
+
+    Rows are counted in cells that follow one another in order. A cell that lies within a bin is added
+    up as it is; one that an edge of a bin cuts (one for each edge) is cut into cells itself, by value
+    or, where all its values are equal, by the hash of ``item``. Rows are sorted where few are left, or
+    where cutting does not leave fewer."""
+    groups = list(groups)
+    v = F.col("_v")
+    rows = df.select(*groups, F.col(item).cast("string").alias("_item"), F.col(value).cast("double").alias("_v"), hit.cast("double").alias("_hit"))
+    told = {
+        "n": F.count(F.lit(1)), "low": F.min(v), "high": F.max(v), "n_value": F.count(v), "sum_value": F.sum(v),
+        "n_hit": F.count("_hit"), "sum_hit": F.sum("_hit"),
+    }
+    added = [c.alias(k) for k, c in told.items()]
+    last = F.lit(CELLS - 1).cast("bigint")
+    within = lambda share: F.least(last, F.greatest(F.lit(0).cast("bigint"), F.floor(share * CELLS)))
+    cell = F.when(v.isNull(), F.lit(-1).cast("bigint")).when(F.isnan(v), last + 1).otherwise(within(v))
+    keys, place, left, parts = groups, ["_size", "_start", "_digits"], None, []
+    same = F.coalesce(F.col("_low") == F.col("_high"), F.lit(True))
+    for cuts in range(MOST_CUTS + 1):
+        celled = rows.withColumn("_cell", cell)
+        found = celled.groupBy(*keys, "_cell").agg(*added)
+        if cuts:
+            used = F.col("_digits") + F.when(same, TIE_DIGITS).otherwise(0)
+            found = found.join(F.broadcast(cut.withColumn("_digits", used).select("_id", *groups, *place)), "_id")
+        else:
+            found = found.withColumns({"_size": F.sum("n").over(Window.partitionBy(*groups)), "_start": F.lit(0).cast("bigint"), "_digits": F.lit(0)})
+        # At most CELLS + 2 rows for each group or cut cell.
+        earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+        found = found.withColumn("_start", F.col("_start") + F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        ends = [split_bin(F.col("_start") + k, F.col("_size"), bins) for k in (F.lit(1), F.col("n"))]
+        found = checkpoint(found.withColumns({"bin": ends[0], "_last": ends[1]}))
+        parts.append(found.where("bin = _last").select(*groups, "bin", *told))
+        # At most a cell for each edge of each group.
+        cut = found.where("bin < _last").select(
+            *(groups if not cuts else ["_id", *groups]), "_cell", "n", "_size", "_start", "_digits", F.col("low").alias("_low"), F.col("high").alias("_high"),
+            F.row_number().over(Window.orderBy(*keys, "_cell")).alias("_next"),
+        )
+        cut = checkpoint(cut)
+        n = cut.agg(F.sum("n")).first()[0]
+        if n is None:
+            break
+        to = cut.select(*keys, "_cell", "_next", *place, "_low", "_high")
+        own = celled if not cuts else celled.drop(*place, "_low", "_high")
+        rows = own.join(broadcast_if_small(to), [*keys, "_cell"]).select(
+            F.col("_next").alias("_id"), *groups, "_item", "_v", "_hit", *place, "_low", "_high"
+        )
+        if n <= SORTED_ROWS or n == left or cuts == MOST_CUTS:
+            held = cached(rows.withColumn("_tie", tie_key(F.col("_item"))).drop("_item", "_low", "_high", "_digits"))
+            ranked = with_rank(held, ["_id"], ["_v", "_tie"], "_rank", "_of")
+            binned = ranked.withColumn("bin", split_bin(F.col("_start") + F.col("_rank"), F.col("_size"), bins))
+            parts.append(checkpoint(binned.groupBy(*groups, "bin").agg(*added)))
+            held.unpersist()
+            break
+        left, keys = n, ["_id"]
+        cut = cut.drop("_id").withColumnRenamed("_next", "_id")
+        digits = F.conv(F.substring(F.sha2("_item", 256), F.col("_digits") + 1, F.lit(TIE_DIGITS)), 16, 10).cast("bigint")
+        share = F.coalesce(F.try_divide(v - F.col("_low"), F.col("_high") - F.col("_low")), F.lit(0.0))
+        cell = F.when(same, F.coalesce(digits, F.lit(0).cast("bigint"))).otherwise(within(share))
+    sums = {k: F.min(k) if k == "low" else F.max(k) if k == "high" else F.sum(k) for k in told}
+    return reduce(DataFrame.unionByName, parts).groupBy(*groups, "bin").agg(*[c.alias(k) for k, c in sums.items()])
+
+
 def exact_quantiles(
     df: DataFrame,
     groups: Sequence[str],

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.ranking import equal_mass_bins, exact_quantiles, with_prefix_sums
+from plumbline.operators.ranking import equal_mass_bins, equal_mass_sums, exact_quantiles, with_prefix_sums
 from plumbline.functions.hashing import tie_key
 from plumbline.session import cached, checkpoint
 
@@ -22,6 +22,8 @@ SUMMARY_COLUMNS = (
     "item_id", "correct", "abstained", "p_gold", "nll", "brier", "abs_error", "within_one", "confidence", "idk_idx",
 )
 """What summaries read of scored answers."""
+MANY = 1 << 21
+"""More scored answers than that are not sorted by confidence."""
 
 
 def as_double(c: str | Column) -> Column:
@@ -61,6 +63,18 @@ def reliability(
     )
 
 
+def reliability_of_many(
+    df: DataFrame, groups: Sequence[str], bins: int = DEFAULT_BINS, conf: str = "confidence",
+    correct: str = "correct", item: str = "item_id",
+) -> DataFrame:
+    """:func:`reliability` of rows that are cheap to read again and too many to sort."""
+    sums = equal_mass_sums(df, groups, conf, item, as_double(correct), bins)
+    return sums.select(
+        *groups, "bin", "n", F.col("low").alias("confidence_low"), F.col("high").alias("confidence_high"),
+        F.try_divide("sum_value", "n_value").alias("mean_confidence"), F.try_divide("sum_hit", "n_hit").alias("accuracy"),
+    )
+
+
 def gap_over_bins(bins: DataFrame, groups: Sequence[str], name: str = "ece") -> DataFrame:
     """``sum_b n_b / n * |accuracy_b - confidence_b|`` of reliability bins."""
     gap = F.col("n") * F.abs(F.col("accuracy") - F.col("mean_confidence"))
@@ -168,7 +182,8 @@ def benchmark_summary(df: DataFrame, groups: Sequence[str] = ("system", "benchma
 
 def summary_of(scores: DataFrame, groups: Sequence[str], bins: int = DEFAULT_BINS) -> DataFrame:
     """:func:`benchmark_summary` of scores that are cached, or cheap to read more than once."""
-    return checkpoint(score_summary(scores, groups).join(ece_equal_mass(scores, groups, bins), list(groups)))
+    binned = reliability_of_many if scores.count() > MANY else reliability
+    return checkpoint(score_summary(scores, groups).join(gap_over_bins(binned(scores, groups, bins), groups), list(groups)))
 
 
 def macro_average(

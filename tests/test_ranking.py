@@ -108,3 +108,42 @@ def test_screen_has_the_asked_size(spark):
     df = spark.createDataFrame(rows, "benchmark string, question_id string, stratum string")
     assert P.screen_split(df, 41).count() == 41
     assert P.screen_split(df, 1000).count() == P.split_halves(df).where("half = 'select'").count()
+
+
+@pytest.mark.parametrize(("cells", "digits", "sorted_rows", "cuts"), [(4096, 3, 1 << 18, 4), (16, 1, 20, 4), (16, 1, 0, 6), (16, 1, 20, 1)])
+def test_bins_added_up_in_cells_are_those_of_sorted_rows(spark, monkeypatch, cells, digits, sorted_rows, cuts):
+    odd = (None, float("nan"), float("inf"), float("-inf"), 0.5, -3.0, 7.0, 0.25)
+    rows = [("few", "x", 0.5, True), ("few", "y", 0.6, False)]
+    for i in range(900):
+        hit = bool(i * 7919 % 5 < 2)
+        rows += [
+            ("ties", f"i{i}", i % 4 / 4, hit), ("spread", f"i{i}", (i * 0.6180339887) % 1, hit), ("one", f"i{i}", 0.7, hit),
+            ("high", f"i{i}", 1.0 if i % 3 else 1 - i * 1e-9, hit), ("odd", f"i{i}", odd[i % 8], None if i % 5 == 0 else hit),
+            ("unnamed", None if i % 4 == 0 else f"i{i}", 0.7 if i % 2 else None, i % 4 == 0),
+        ]
+    df = spark.createDataFrame(rows, "g string, item_id string, confidence double, correct boolean").cache()
+    names = ["g", "bin", "n", "confidence_low", "confidence_high", "mean_confidence", "accuracy"]
+    told = lambda d: {(r["g"], r["bin"]): [r[c] for c in names[2:]] for r in d.collect()}
+    want = told(S.reliability(df, ["g"], 7))
+    for name, value in (("CELLS", cells), ("TIE_DIGITS", digits), ("SORTED_ROWS", sorted_rows), ("MOST_CUTS", cuts)):
+        monkeypatch.setattr(R, name, value)
+    got = told(S.reliability_of_many(df, ["g"], 7))
+    assert set(got) == set(want) and len(want) == 6 * 7 + 2
+    for key, row in want.items():
+        assert [x is None for x in got[key]] == [x is None for x in row]
+        assert [x for x in got[key] if x is not None] == pytest.approx([x for x in row if x is not None], rel=1e-12, nan_ok=True)
+
+
+def test_many_scores_are_summarized_without_sorting_them_all(spark, monkeypatch):
+    df = spark.range(3000).select(
+        F.lit("a").alias("system"), F.lit("x").alias("benchmark"), F.col("id").cast("string").alias("item_id"), (F.col("id") % 3 == 0).alias("correct"),
+        F.lit(False).alias("abstained"), *[(F.col("id") % 100 / 100).alias(c) for c in ("p_gold", "nll", "brier", "confidence")],
+        F.lit(None).cast("double").alias("abs_error"), F.lit(None).cast("boolean").alias("within_one"), F.lit(None).cast("int").alias("idk_idx"),
+    )
+    told = lambda: [S.benchmark_summary(df).first()[c] for c in ("n", "accuracy", "nll", "ece")]
+    want = told()
+    placed, own = [], R.sorted_once
+    monkeypatch.setattr(R, "sorted_once", lambda d, keys: placed.append(d.count()) or own(d, keys))
+    monkeypatch.setattr(S, "MANY", 1000, raising=False)
+    assert told() == pytest.approx(want)
+    assert sum(placed) < 1000
