@@ -34,7 +34,7 @@ and more, up to the third, where there are :data:`TASKS_A_CORE` tasks for each c
 row for each group and replicate)."""
 TASKS_A_CORE, PIECES = 4, 8
 """Tasks for each core, and pieces of a task whose rows are added up by cluster one after another."""
-HELD_CLUSTERS = 1 << 20
+HELD_CLUSTERS = 1 << 19
 """Rows of cluster sums that a task takes at once."""
 MOST_SUMS = 1 << 24
 """Running sums (of all groups and replicates) that a task holds, but for one group's."""
@@ -260,7 +260,7 @@ def resampled_sums(
     tasks = draw_tasks(totals)
     if not told_too:
         sums = sums.repartition(tasks, *cluster)
-    away = _away(values) if told_too else []
+    away, away_names = _away(values) if told_too else [], [f"_d_{v}" for v in values]
     n_groups, width = totals.count(), len(columns)
     per_cluster = _with_totals(with_seeds(sums, cluster, seed), totals, groups).select(
         F.col("_g"), "_a", "_b", F.col("_n").cast("double").alias("w"), *[F.col(f"_s_{v}").alias(f"s_{v}") for v in values], *away
@@ -275,10 +275,9 @@ def resampled_sums(
         out.insert(0, "_g", np.int32(g))
         return out
 
-    def alike(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def alike(g: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Groups (of several series) and row numbers of clusters that have rows in the same groups: one
         draw of their weights serves all series."""
-        g, a, b = (rows[c].to_numpy(np.int64) for c in ("_g", "_a", "_b"))
         order = np.argsort(a * MODULUS + b)
         a, b = a[order], b[order]
         first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
@@ -293,44 +292,48 @@ def resampled_sums(
             for part in np.split(place, np.flatnonzero(np.diff(name[place])) + 1):
                 yield g[at[part[0]]], at[part]
 
-    def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
+    def add_powers(powers: np.ndarray, g: np.ndarray, d: np.ndarray) -> None:
+        known = ~np.isnan(d)
+        d, power = np.where(known, d, 0.0), known.astype(np.float64)
+        for k in range(4):
+            powers[:, k, 0] += np.bincount(g, minlength=n_groups)
+            for i in range(d.shape[1]):
+                powers[:, k, i + 1] += np.bincount(g, power[:, i], n_groups)
+            power *= d
+
+    def taken(batches: Iterator[pd.DataFrame], powers: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Groups, seeds and figures of many rows."""
+        held, n = ([], [], [], []), 0
+        whole = lambda: tuple(np.concatenate([parts.pop(0) for _ in range(len(parts))]) for parts in held)
         for pdf in batches:
-            held.append(pdf)
+            if told_too:
+                add_powers(powers, pdf["_g"].to_numpy(), pdf[away_names].to_numpy(np.float64))
+            kinds = (("_g", np.int32), ("_a", np.int32), ("_b", np.int32), (columns, np.float64))
+            for parts, (name, kind) in zip(held, kinds, strict=True):
+                parts.append(pdf[name].to_numpy(kind))
             n += len(pdf)
             if n >= HELD_CLUSTERS:
-                yield pd.concat(held)
-                held, n = [], 0
+                yield whole()
+                n = 0
         if n:
-            yield pd.concat(held)
+            yield whole()
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         np.empty(31 << 20, np.int8)  # freed at once: from then on the allocator keeps blocks up to that size
         totals: dict[int, np.ndarray] = {}
         powers = np.zeros((n_groups, 4, width))
-        for rows in taken(batches):
-            x = rows[columns].to_numpy(np.float64)
-            if told_too:
-                g, d = rows["_g"].to_numpy(np.int64), rows.iloc[:, -len(values) :].to_numpy(np.float64)
-                size = np.bincount(g, minlength=n_groups)
-                known = ~np.isnan(d)
-                d, power = np.where(known, d, 0.0), known.astype(np.float64)
-                for k in range(4):
-                    powers[:, k, 0] += size
-                    for i in range(1, width):
-                        powers[:, k, i] += np.bincount(g, power[:, i - 1], n_groups)
-                    power *= d
-            a, b = rows["_a"].to_numpy(np.int64), rows["_b"].to_numpy(np.int64)
-            for series, at in alike(rows):
+        for g, a, b, x in taken(batches, powers):
+            g, a, b = (v.astype(np.int64) for v in (g, a, b))
+            for series, at in alike(g, a, b):
                 drawn = weighted_sums(a[at[:, 0]], b[at[:, 0]], x[at].reshape(len(at), -1), n_resamples)
-                for i, g in enumerate(series):
-                    if g not in totals:
+                for i, k in enumerate(series):
+                    if k not in totals:
                         # Sums add up however they are cut, so a task passes on what it holds and goes on.
                         if totals and (len(totals) + 1) * n_resamples * width > MOST_SUMS:
                             yield from (told(k, 0, acc) for k, acc in totals.items())
                             totals = {}
-                        totals[g] = np.zeros((n_resamples, width))
-                    totals[g] += drawn[:, i * width : (i + 1) * width]
+                        totals[k] = np.zeros((n_resamples, width))
+                    totals[k] += drawn[:, i * width : (i + 1) * width]
         yield from (told(k, 0, acc) for k, acc in totals.items())
         yield from (told(k, -4, powers[k]) for k in np.flatnonzero(powers[:, 0, 0]))
 
